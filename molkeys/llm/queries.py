@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files, warc
+from . import token_files, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_bundles(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,9 +35,24 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenise_to_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {"op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op3_winnow": op3_winnow, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    "op3_winnow": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+        own AS (SELECT item_id, least(len(w), 10) AS n, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS gram FROM own),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        at_pos AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n),
+        hits AS (SELECT doc_id, p, a.n, item_id FROM at_pos a JOIN windows b ON a.n = b.n AND array_to_string(w[p:p + a.n - 1], ' ') = gram),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+        listed AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, h, octet_length(encode(h)) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last FROM p)
