@@ -156,10 +156,10 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int, inside: np.ndar
     if len(short):
         extra = np.empty(len(short), np.uint64)
         for i, r in enumerate(short):
-            v = np.uint64(counts[r])
-            for x in h[first[r] : first[r + 1]]:
-                v = mix(np.array([v * np.uint64(0x9E3779B97F4A7C15) + x]))[0]
-            extra[i] = v
+            v = np.array([counts[r]], np.uint64)
+            for j in range(first[r], first[r + 1]):
+                v = mix(v * np.uint64(0x9E3779B97F4A7C15) + h[j : j + 1])
+            extra[i] = v[0]
         out, rows = np.concatenate([out, extra]), np.concatenate([rows, short])
     return out, rows
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files, warc, winnow
+from . import jaccard_join, token_files, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_bundles(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,7 +39,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenise_to_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_winnow": op3_winnow, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -53,6 +57,15 @@ ORACLES = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op5_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[p:p + 3]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+        both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a)
+        SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, h, octet_length(encode(h)) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last FROM p)
