@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, token_files, warc, winnow
+from . import jaccard_join, prefix_free, token_files, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenise_to_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_prefix_free": op10_prefix_free, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
