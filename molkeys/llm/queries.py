@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, prefix_free, token_files, warc, winnow
+from . import collisions, jaccard_join, prefix_free, token_files, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,11 +47,22 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_prefix_free": op10_prefix_free, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    "op1_collisions": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]])) AS norm FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding::DOUBLE[] IF x IS NULL OR NOT isfinite(x)]) = 0),
+        e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) >= 0.93 * a.norm * b.norm),
+        reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN e ON r = a),
+        comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+        deg AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, component_id = vec_id AS kept
+        FROM embeddings JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)""",
     "op3_winnow": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
