@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import collisions, jaccard_join, prefix_free, token_files, warc, winnow
+from . import collisions, jaccard_join, prefix_free, token_files, toxic_crf, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic_crf.score(docs, toxic_crf.train(docs, table(spark, sf_dir, "labels")), "doc_id")
+    return scored.select("doc_id", toxic_crf.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +54,7 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
