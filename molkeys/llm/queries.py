@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, jaccard_join, prefix_free, token_files, toxic_crf, warc, winnow
+from . import collisions, host_suffixes, jaccard_join, prefix_free, token_files, toxic_crf, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffixes.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -54,7 +58,7 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
