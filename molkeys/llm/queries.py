@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, host_suffixes, jaccard_join, lattice, prefix_free, token_files, toxic_crf, warc, winnow
+from . import collisions, host_suffixes, jaccard_join, lattice, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.secrets_by_doc(table(spark, sf_dir, "documents"))
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.encode_summary(table(spark, sf_dir, "documents"), lattice.load_model(tokenizer_file("piece_bpe_32k.model")))
 
@@ -62,7 +66,7 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -1,0 +1,157 @@
+"""Secret scans: a random forest tells secrets from other long tokens, with DataFrame functions and Spark ML only.
+
+Candidates are runs of 16 or more characters of keys. Each is described by its length, kinds of characters and the
+transitions between them, the variety of its characters, the share of it that frequent words of the corpus cover, what
+looks like a path before it, and the words next to it. A random forest, trained from labelled findings with the same
+columns, gives the chance that it is a secret; those below ``threshold`` are false positives and left out.
+
+Labelled findings are a table (token, before, after, label). Without one, ``example_findings`` makes one of documented size:
+random keys of common formats in and out of assignments are secrets; joined words, digests that are named so, identifiers,
+paths, counters and placeholders are not.
+
+Cases: null and empty texts have no candidates; equal tokens are found at each of their places; texts and tokens may be of any
+length; repeated rows are scanned each, and findings of rows that share a doc_id and a text are the same; an empty table gives no
+rows; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import text_of
+
+TOKEN = "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+"
+#: Labelled findings of each kind that are made; words of the dictionary; characters of context.
+EXAMPLES, DICTIONARY, CONTEXT = 400, 200, 40
+KEYWORDS = "(?i)(pass(word|wd)?|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential)s?"
+HARMLESS = "(?i)(sha-?(1|256|512)?|md5|digest|checksum|commit|hash|etag|uuid|guid|rev(ision)?|version|build|license|example)s?"
+
+
+def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
+    """The most frequent words of three to eight letters, counted over all texts; their number is fixed."""
+    found = F.explode(F.regexp_extract_all(F.lower(text_of("text")), F.lit("(?<![\\p{L}\\p{N}])[a-z]{3,8}(?![\\p{L}\\p{N}])"), F.lit(0)))
+    return [r.word for r in docs.select(found.alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()]
+
+
+def candidates(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, and k, start, token, before and after of each candidate of every whole text."""
+    rows = docs.select(*keep, text_of("text").alias("t")).where(F.col("t").rlike(TOKEN))
+    rows = rows.select(*keep, F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("tokens"), F.split("t", TOKEN, -1).alias("gaps"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc, x):
+        at = acc["at"] + F.char_length(x["gap"])
+        return F.struct((at + F.char_length(x["token"])).alias("at"), F.array_append(acc["starts"], at).alias("starts"))
+
+    pairs = F.zip_with("tokens", F.slice("gaps", 1, F.size("tokens")), lambda t, g: F.struct(t.alias("token"), g.alias("gap")))
+    rows = rows.withColumn("starts", F.aggregate(pairs, first, step, lambda acc: acc["starts"]))
+    each = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda k: F.struct(k.alias("k"), F.get("starts", k).alias("start"), F.get("tokens", k).alias("token"), F.right(F.get("gaps", k), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", k + 1), F.lit(CONTEXT)).alias("after")))
+    return rows.select(*keep, F.explode(each).alias("c")).select(*keep, "c.*")
+
+
+def features(rows: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
+    """Numeric columns of candidates and their names."""
+    token, before, after = F.col("token"), F.col("before"), F.col("after")
+    n = F.char_length(token).cast("double")
+    share = lambda kind: F.regexp_count(token, F.lit(kind)) / n
+    changes = lambda pattern: F.regexp_count(token, F.lit(pattern)) / n
+    covered = (n - F.char_length(F.regexp_replace(F.lower(token), "|".join(sorted(words, key=len, reverse=True)) or "(?!)", ""))) / n
+    near = F.regexp_extract(before, "([A-Za-z_.-]{2,})[^A-Za-z0-9]{0,6}$", 1)
+    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    columns: dict[str, Column] = {
+        "length": F.least(n, F.lit(200.0)),
+        "digits": share("[0-9]"),
+        "upper": share("[A-Z]"),
+        "lower": share("[a-z]"),
+        "marks": share("[_+/=-]"),
+        "hex": flag(token.rlike("^[0-9a-f]+$")),
+        "variety": F.size(F.array_distinct(F.split(token, ""))) / F.least(n, F.lit(64.0)),
+        "letter_digit": changes("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
+        "case_change": changes("(?<=[a-z])(?=[A-Z])"),
+        "vowel_turns": changes("(?i)(?<=[aeiou])(?=[bcdfghjklmnpqrstvwxyz])"),
+        "repeats": changes("(.)\\1"),
+        "dictionary": covered,
+        "path": flag(before.rlike("(?i)(/|\\\\|https?:\\S*|www\\.\\S*)$") | token.rlike("/.*/")),
+        "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
+        "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
+        "keyword": flag(near.rlike(KEYWORDS)),
+        "harmless": flag(near.rlike(HARMLESS) | token.rlike("(?i)example|your|x{6,}|placeholder|test")),
+        "known_prefix": flag(token.rlike("^(AKIA|ASIA|gh[opsu]_|sk_|pk_|xox[abp]-|AIza|eyJ)")),
+    }
+    return rows.select("*", *[c.alias(f"f_{k}") for k, c in columns.items()]), [f"f_{k}" for k in columns]
+
+
+def example_findings(spark: SparkSession, words: list[str], each: int = EXAMPLES) -> DataFrame:
+    """(token, before, after, label): ``each`` findings of every kind, from hashes of their numbers."""
+    seed = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id").cast("string")), 256)
+    pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(values))).cast("int") + 1)
+    base64 = F.translate(F.base64(F.unhex(seed("b64"))), "=", "")
+    upper = F.translate(F.upper(F.substring(seed("up"), 1, 16)), "0189", "GHKT")
+    joined = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.element_at(F.array(*[F.lit(w) for w in words or ["word"]]), F.pmod(F.xxhash64(F.lit("w"), "id", i), F.lit(len(words or [1]))).cast("int") + 1)), "")
+    plain = pick(["the ", "is ", "and then ", "note. ", "of "], "plain")
+    assign = pick(['token = "', "password=", "secret: ", "api_key='", "auth_token=", "PASSWORD = "], "assign")
+    mixed = F.when(F.col("id") % 2 == 0, assign).otherwise(plain)
+    hexes = F.expr("substr(sha2(concat_ws(':', 'hex', cast(id as string)), 256), 1, cast(16 + pmod(xxhash64('n', id), 49) as int))")
+    uuid = F.regexp_replace(F.substring(seed("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    ids = spark.range(each)
+    kinds = [
+        (hexes, assign, 1),
+        (F.concat(F.lit("AKIA"), upper), mixed, 1),
+        (F.substring(base64, 1, 40), assign, 1),
+        (F.concat(pick(["ghp_", "sk_live_", "xoxb-"], "pre"), F.translate(F.substring(base64, 1, 36), "+/", "aZ")), mixed, 1),
+        (joined, mixed, 0),
+        (joined, plain, 0),
+        (F.initcap(joined), plain, 0),
+        (F.substring(seed("d"), 1, 40), pick(["commit ", "sha1: ", "digest=", "checksum ", "sha256=", "etag: "], "named"), 0),
+        (uuid, pick(["id ", "uuid: ", "uuid=", "guid "], "uuid"), 0),
+        (F.concat(F.lit("assets/"), F.substring(seed("p"), 1, 20), F.lit("/"), F.element_at(F.split(joined, "e"), 1), F.lit("index")), pick(["https://example.org/", "/var/", "../"], "path"), 0),
+        (F.lpad((F.col("id") * 7919).cast("string"), 18, "1234567890"), pick(["number ", "id=", "no. ", "order: "], "count"), 0),
+        (F.repeat(pick(["x", "-", "_", "a", "0", "=-", "ab"], "rep"), 18), mixed, 0),
+        (F.concat(pick(["your_api_key_here_", "EXAMPLE_TOKEN_VALUE_", "placeholder-secret-"], "ph"), F.col("id").cast("string")), assign, 0),
+    ]
+    close = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").otherwise(" ")
+    parts = [ids.select(t.alias("token"), b.alias("before"), F.lit(label).alias("label")) for t, b, label in kinds]
+    return reduce(DataFrame.unionByName, parts).withColumn("after", close).where(F.char_length("token") >= 16)
+
+
+def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
+    rows, names = features(findings, words)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(data)
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, words: list[str], *keep: str, threshold: float = 0.5) -> DataFrame:
+    """Candidates that the forest takes for secrets, with their score."""
+    rows, names = features(candidates(docs, *keep), words)
+    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    return scored.select(*keep, "k", "start", "token", F.get(vector_to_array("probability"), F.lit(1)).alias("score")).where(F.col("score") >= threshold)
+
+
+def fitted(docs: DataFrame, findings: DataFrame | None = None) -> tuple[RandomForestClassificationModel, list[str]]:
+    words = dictionary(docs)
+    return train(example_findings(docs.sparkSession, words) if findings is None else findings, words), words
+
+
+def secrets_by_doc(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Per document: n_secrets and the places and scores of its secrets."""
+    model, words = fitted(docs, findings)
+    found = scan(docs, model, words, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.char_length("token")).alias("end"), F.round("score", 6).alias("score")))).alias("secrets"))
+    out = docs.select(F.col("doc_id").alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(F.size("secrets"), F.lit(0)).cast("long").alias("n_secrets"), "secrets")
+
+
+def redact(docs: DataFrame, findings: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """All documents and columns, with each secret of a text replaced by a mark."""
+    model, words = fitted(docs, findings)
+    key = F.xxhash64("doc_id", "text")
+    found = scan(docs.withColumn("row_key", key), model, words, "row_key").groupBy("row_key").agg(F.collect_set("k").alias("ks"))
+    tokens, gaps = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.split("text", TOKEN, -1)
+    marked = F.transform(tokens, lambda t, k: F.concat(F.get(gaps, k), F.when(F.array_contains("ks", k), F.lit(mark)).otherwise(t)))
+    text = F.when(F.col("ks").isNull(), F.col("text")).otherwise(F.concat(F.array_join(marked, ""), F.element_at(gaps, -1)))
+    return docs.withColumn("row_key", key).join(found, "row_key", "left").select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
