@@ -1,4 +1,402 @@
-"""Queries of the structural-key operators over the shared test tables, with their DuckDB equivalents."""
+"""Queries of the structural-key operators over the shared test tables, with their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+Atoms come from the vectors: twelve neighbouring ones are a structure, their labels the codes, three components the coordinates.
+Key frequencies come from the line items: suppliers are samples, part sizes keys. Every query covers its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from molkeys.functions import geometry, identifiers
+from molkeys.operators import contacts, key_tables, labels, metrics, models, residues, similarity, triplets
+from molkeys.sources import structures
+
+Frame = DataFrame
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(struct, idx, code, x, y, z)."""
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda i: (F.col("embedding")[i].cast("double") * 40)
+    return e.select(F.floor(F.col("vec_id") / 12).cast("long").alias("struct"), (F.col("vec_id") % 12).cast("int").alias("idx"), (F.col("label") + 1).cast("int").alias("code"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, grp, region, key, freq, line)."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("key"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    counted = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "key").agg(F.count("*").alias("freq"))
+    return counted.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("l_suppkey").alias("sample"), F.col("s_nationkey").alias("grp"), F.col("r_name").alias("region"), "key", "freq")
+
+
+def triplet_keys(spark, sf_dir) -> Frame:
+    return triplets.key_frequency(triplets.triplet_keys(atoms(spark, sf_dir), ["struct"]), ["struct"])
+
+
+def mirror_keys(spark, sf_dir) -> Frame:
+    return triplets.key_frequency(triplets.triplet_keys(atoms(spark, sf_dir), ["struct"], mirror=True), ["struct"])
+
+
+def triplet_bins(spark, sf_dir) -> Frame:
+    return triplets.triplet_keys(atoms(spark, sf_dir), ["struct"]).groupBy("theta_bin", "dist_bin").agg(F.count("*").alias("n"))
+
+
+def triplet_summary(spark, sf_dir) -> Frame:
+    a = atoms(spark, sf_dir)
+    out = triplets.summaries(triplets.triplet_keys(a, ["struct"]), a, ["struct"])
+    return out.select("struct", "n_atoms", "n_triplets", "n_keys", F.round("max_distance", 6).alias("max_distance"), F.round("min_distance", 6).alias("min_distance"))
+
+
+def atom_count_filter(spark, sf_dir) -> Frame:
+    a = atoms(spark, sf_dir).withColumn("res", F.concat(F.lit("L"), F.col("code").cast("string")))
+    counts = F.array(*[F.struct(F.lit(f"L{c}").alias("res"), F.lit(2).alias("expected")) for c in range(1, 8)])
+    expected = spark.range(1).select(F.explode(counts).alias("c")).select("c.*")
+    return triplets.atom_count_filter(a, expected, ["struct", "res"]).groupBy("struct", "res").agg(F.count("*").alias("n"))
+
+
+def search_atoms(spark, sf_dir) -> Frame:
+    a = atoms(spark, sf_dir).withColumn("name", F.concat(F.lit("C"), F.col("code").cast("string")))
+    rows = triplets.triplet_keys(a, ["struct"], carry=("name",)).where("error is null")
+    rows = rows.select(F.col("struct").alias("sample"), "key", F.col("v1_name").alias("atom1"), F.col("v2_name").alias("atom2"), F.col("v3_name").alias("atom3"))
+    samples = atoms(spark, sf_dir).select(F.col("struct").alias("sample")).distinct()
+    return labels.search_triplets(rows, samples, ["C2", "C1", "C2"]).select("sample", "key", "atom1", "atom2", "atom3")
+
+
+def fixed_width(spark, sf_dir) -> Frame:
+    """Vectors written as structure lines and read back."""
+    e = atoms(spark, sf_dir)
+    line = F.format_string("HETATM%5d  C%-2d NAG A%4d    %8.3f%8.3f%8.3f  1.00 20.00           C  ", F.col("idx"), F.col("code"), F.col("idx"), "x", "y", "z")
+    lines = e.select(F.col("struct").cast("string").alias("pdb"), F.col("idx").alias("ln"), line.alias("line"))
+    out = structures.key_atoms(lines, "ligand")
+    return out.select("pdb", "label", "res", "chain", "seq", F.round(F.col("x") * 1000).cast("long").alias("x1000"), F.round(F.col("z") * 1000).cast("long").alias("z1000"))
+
+
+def common_keys(spark, sf_dir) -> Frame:
+    return key_tables.common_keys(frequencies(spark, sf_dir), ["grp"])
+
+
+def common_key_summary(spark, sf_dir) -> Frame:
+    return key_tables.common_key_summary(frequencies(spark, sf_dir), ["grp"])
+
+
+def key_percent(spark, sf_dir) -> Frame:
+    return key_tables.key_percent(frequencies(spark, sf_dir), "grp").select("grp", "key", "key_occurrence", "total_files", "key_percent")
+
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def one_vs_all(spark, sf_dir) -> Frame:
+    out = key_tables.one_vs_all(frequencies(spark, sf_dir), "region", REGIONS)
+    return out.select("key", *[F.col(f"`{r}_key%`").alias(f"{r.lower().replace(' ', '_')}_percent") for r in REGIONS])
+
+
+def feature_table(spark, sf_dir) -> Frame:
+    out = key_tables.feature_table(frequencies(spark, sf_dir), keys=list(range(1, 51)))
+    return out.select("sample", *[F.col(f"`{k}`").cast("long").alias(f"k{k}") for k in range(1, 51)])
+
+
+def feature_frequency(spark, sf_dir) -> Frame:
+    return metrics.feature_frequency(frequencies(spark, sf_dir))
+
+
+def generalised_jaccard(spark, sf_dir) -> Frame:
+    out = similarity.generalised_jaccard(frequencies(spark, sf_dir))
+    return out.select("id_i", "id_j", F.round("jaccard", 6).alias("jaccard"))
+
+
+def set_jaccard(spark, sf_dir) -> Frame:
+    f = frequencies(spark, sf_dir).groupBy(F.col("grp").alias("sample"), "key").agg(F.sum("freq").alias("freq"))
+    out = similarity.generalised_jaccard(f, weighted=False)
+    return out.select("id_i", "id_j", F.round("jaccard", 6).alias("jaccard"))
+
+
+def distance_matrix(spark, sf_dir) -> Frame:
+    f = frequencies(spark, sf_dir).groupBy(F.col("grp").alias("sample"), "key").agg(F.sum("freq").alias("freq"))
+    return similarity.distance_matrix(f).select("id_i", "id_j", F.round("d", 6).alias("d"))
+
+
+def matrix_faults(spark, sf_dir) -> Frame:
+    f = frequencies(spark, sf_dir).groupBy(F.col("grp").alias("sample"), "key").agg(F.sum("freq").alias("freq"))
+    m = similarity.distance_matrix(f).withColumn("d", F.when(F.expr("id_i = 1 and id_j = 2"), 2.0).otherwise(F.round("d", 6)))
+    return similarity.matrix_faults(m)
+
+
+def similarity_text(spark, sf_dir) -> Frame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("decimal(20,10)") / F.lit(50)).cast("decimal(20,10)").alias("d"))
+    return p.select("p_partkey", identifiers.similarity(F.col("d")).alias("similarity"))
+
+
+def adjusted_rand(spark, sf_dir) -> Frame:
+    return similarity.adjusted_rand(table(spark, sf_dir, "documents"), "lang", "source").select(F.round("ari", 9).alias("ari"))
+
+
+def clusters(spark, sf_dir) -> Frame:
+    f = frequencies(spark, sf_dir).groupBy(F.col("grp").alias("sample"), "key").agg(F.sum("freq").alias("freq"))
+    return similarity.average_linkage(similarity.distance_matrix(f), 5)
+
+
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    a = atoms(spark, sf_dir).withColumnRenamed("struct", "pdb")
+    return a.where("code <= 5"), a.where("code > 5")
+
+
+def contact_pairs(spark, sf_dir) -> Frame:
+    left, right = _sides(spark, sf_dir)
+    out = contacts.contacts(left, right, 6.0)
+    return out.select("pdb", "l_idx", "r_idx", F.round("distance", 6).alias("distance"))
+
+
+def interaction_labels(spark, sf_dir) -> Frame:
+    left, right = _sides(spark, sf_dir)
+    out = contacts.contacts(left, right, 12.0).withColumn("distance", F.floor("distance") / 4)
+    return contacts.nearest_labels(out, ["pdb", "l_idx"]).select("pdb", "l_idx", "min_distance", "label")
+
+
+def linked_residues(spark, sf_dir) -> Frame:
+    a = atoms(spark, sf_dir).withColumnRenamed("struct", "pdb")
+    node = lambda c: (F.col("pdb") * 12 + F.col(c)).cast("long")
+    edges = contacts.contacts(a, a, 7.0).where("l_idx < r_idx").select(node("l_idx").alias("a"), node("r_idx").alias("b"))
+    nodes = a.select(node("idx").alias("node"), "code")
+    return residues.linked(edges, nodes.where("code = 1"), nodes.where("code <> 1"))
+
+
+def discovery_labels(spark, sf_dir) -> Frame:
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chain"), (F.col("l_partkey") % 97).alias("seq"))
+    seeds = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 120).alias("chain"), (F.col("o_orderkey") % 101).alias("seq"))
+    return residues.discovery_labels(found, seeds, ["chain", "seq"], include_missing=False).unionByName(residues.missing_seeds(found, seeds, ["chain", "seq"]).withColumn("label", F.lit("CI missing")))
+
+
+def aggregated_residues(spark, sf_dir) -> Frame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.concat((F.col("o_orderkey") % 500).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "A").otherwise("")).alias("seq"))
+    return residues.aggregate_residues(o, ["o_custkey"])
+
+
+def exploded_residues(spark, sf_dir) -> Frame:
+    return residues.explode_residues(aggregated_residues(spark, sf_dir)).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    pdb = F.concat((F.col("c_custkey") % 10).cast("string"), F.lpad(F.hex(F.col("c_custkey") % 4096), 3, "0"))
+    chain = F.element_at(F.array(*[F.lit(x) for x in "ABCg"]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    seq, label = (F.col("c_custkey") % 300).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "_CI").when(F.col("c_custkey") % 3 == 1, "_NCI").otherwise("")
+    kind = F.col("c_custkey") % 5
+    name = F.when(kind == 0, F.concat_ws("_", pdb, chain, seq, F.lit("NAG"))).when(kind == 1, F.concat_ws("_", seq, pdb, chain, F.lit("man"))).when(kind == 2, F.concat_ws("_", pdb, chain, F.lit("NNB"))).when(kind == 3, F.concat_ws("_", pdb, chain)).otherwise(F.concat(F.lit("x-"), F.col("c_custkey").cast("string")))
+    return c.select("c_custkey", F.concat(name, F.when(kind < 3, label).otherwise("")).alias("identifier"))
+
+
+def parsed_identifiers(spark, sf_dir) -> Frame:
+    n = _names(spark, sf_dir)
+    p = identifiers.parse_identifier(F.col("identifier"))
+    return n.select("c_custkey", p.alias("p"), identifiers.canonical(p, F.col("identifier")).alias("canon")).select("c_custkey", "canon", F.col("p.kind").alias("kind"), F.col("p.label").alias("label"))
+
+
+def label_join(spark, sf_dir) -> Frame:
+    n = _names(spark, sf_dir).where("c_custkey % 5 = 0")
+    seq = F.split("identifier", "_")
+    known = n.select(F.concat_ws("_", seq[2], seq[0], seq[1], seq[3]).alias("identifier"), F.when(F.col("c_custkey") % 2 == 0, "CI").otherwise("NCI").alias("label"))
+    return labels.label_identifiers(n.select("identifier"), known.where(F.crc32(F.col("identifier").cast("binary")) % 4 != 0))
+
+
+def resolved_files(spark, sf_dir) -> Frame:
+    o = table(spark, sf_dir, "orders")
+    samples = o.select((F.col("o_custkey") % 200).alias("key"), F.when(F.col("o_orderkey") % 3 == 0, "CI").otherwise("").alias("label")).distinct()
+    files = o.select((F.col("o_orderkey") % 230).alias("key"), F.when(F.col("o_orderkey") % 2 == 0, "CI").when(F.col("o_orderkey") % 5 == 0, "").otherwise("NCI").alias("file_label")).distinct()
+    return labels.resolve_files(samples, files.withColumn("file", F.concat_ws("_", F.col("key").cast("string"), F.col("file_label")))).select("key", "label", "status")
+
+
+def balanced_sizes(spark, sf_dir) -> Frame:
+    return labels.balanced_sample(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+def oversampled_sizes(spark, sf_dir) -> Frame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return models.balance_oversample(d, "lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def class_weights(spark, sf_dir) -> Frame:
+    d = labels.class_weights(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
+    return d.select("doc_id", "lang", F.round("weight", 9).alias("weight"))
+
+
+def frequent_classes(spark, sf_dir) -> Frame:
+    return labels.least_class_count(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 60)
+
+
+def split_sizes(spark, sf_dir) -> Frame:
+    d = labels.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.25, 0.25)
+    return labels.split_statistics(d, "lang").select("split", "lang", "n")
+
+
+def grouped_split(spark, sf_dir) -> Frame:
+    d = labels.grouped_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source", tries=64)
+    return labels.split_report(d, "lang", "source")
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    l, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    return l.join(d.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("y"), (F.col("n_chars") > 900).cast("int").alias("p"), F.least(F.floor(F.col("n_chars") / 100), F.lit(40)).cast("double").alias("score"))
+
+
+def class_report(spark, sf_dir) -> Frame:
+    return metrics.class_report(_predictions(spark, sf_dir)).select("class", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def metric_summary(spark, sf_dir) -> Frame:
+    out = metrics.summary(_predictions(spark, sf_dir))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")])
+
+
+def confusion(spark, sf_dir) -> Frame:
+    return metrics.normalised_confusion(_predictions(spark, sf_dir)).select("y", "p", "n", F.round("share", 9).alias("share"))
+
+
+def binary_auc(spark, sf_dir) -> Frame:
+    return metrics.binary_auc(_predictions(spark, sf_dir)).select(F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+def confidence_histogram(spark, sf_dir) -> Frame:
+    rows = _predictions(spark, sf_dir).select((F.col("score") / 40).alias("confidence"))
+    return metrics.confidence_histogram(rows)
+
+
+def missing_report(spark, sf_dir) -> Frame:
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, F.lit("x")).otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
+    return models.missing_report(models.numeric(c, ["c_mktsegment", "balance"]), ["c_mktsegment", "balance"])
+
+
+FEATURES = [f"f{i}" for i in range(8)]
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(FEATURES)])
+
+
+def forest_predictions(spark, sf_dir) -> Frame:
+    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
+    train = rows.where("split = 'train'")
+    state = models.fit_preprocessor(train, FEATURES, scaler="none")
+    model = models.train(train, state, models.classifier("random_forest", numTrees=20, maxDepth=5))
+    return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
+
+
+def logistic_predictions(spark, sf_dir) -> Frame:
+    rows = labels.class_weights(labels.stratified_split(_features(spark, sf_dir), "label", "vec_id"), "label")
+    train = rows.where("split = 'train'")
+    state = models.fit_preprocessor(train, FEATURES)
+    model = models.train(train, state, models.classifier("logistic_regression", weight="weight", maxIter=50))
+    return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
+}
+
+ATOMS = "atoms AS (SELECT vec_id // 12 AS struct, vec_id % 12 AS idx, label + 1 AS code, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 40 AS z FROM embeddings)"
+FREQ = """freq AS (SELECT l_suppkey AS sample, s_nationkey AS grp, r_name AS region, p_size::BIGINT AS key, count(*) AS freq
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"""
+BY_GROUP = "freq AS (SELECT grp AS sample, key, sum(freq)::BIGINT AS freq FROM base GROUP BY ALL)"
+
+
+def _d(a: str, b: str) -> str:
+    return f"sqrt(pow({a}.x - {b}.x, 2) + pow({a}.y - {b}.y, 2) + pow({a}.z - {b}.z, 2))"
+
+
+def _keys(mirror: bool = False, extra: str = "") -> str:
+    """The triplets with their keys, as SQL of its own."""
+    bins = " + ".join(["1", *[f"(theta >= {e})::INT" for e in geometry.THETA_EDGES]])
+    sign = "CASE WHEN theta1 > 90 THEN -1 ELSE 1 END * " if mirror else ""
+    atom = lambda p: f"struct_pack(idx := {p}.idx, code := {p}.code, x := {p}.x, y := {p}.y, z := {p}.z)"
+    pair = lambda p, q, r, dp, dq: f"CASE WHEN {p}.code > {r}.code THEN CASE WHEN {dq} > {dp} THEN [{q}, {p}, {r}] ELSE [{p}, {q}, {r}] END ELSE CASE WHEN {dq} > {dp} THEN [{r}, {q}, {p}] ELSE [{r}, {p}, {q}] END END"
+    return f"""{ATOMS},
+    t AS (SELECT a.struct, {atom('a')} AS p, {atom('b')} AS q, {atom('c')} AS r FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.idx < b.idx JOIN atoms c ON a.struct = c.struct AND b.idx < c.idx),
+    t2 AS MATERIALIZED (SELECT *, {_d('p', 'q')} AS d12, {_d('p', 'r')} AS d13, {_d('q', 'r')} AS d23 FROM t),
+    v AS MATERIALIZED (SELECT struct, CASE WHEN p.code = q.code AND q.code = r.code THEN CASE WHEN d12 >= d13 AND d12 >= d23 THEN [p, q, r] WHEN d13 >= d23 THEN [p, r, q] ELSE [q, r, p] END
+        WHEN p.code = q.code THEN {pair('p', 'q', 'r', 'd13', 'd23')} WHEN p.code = r.code THEN {pair('p', 'r', 'q', 'd12', 'd23')} WHEN q.code = r.code THEN {pair('q', 'r', 'p', 'd12', 'd13')}
+        WHEN p.code > q.code AND q.code > r.code THEN [p, q, r] WHEN p.code > r.code AND r.code > q.code THEN [p, r, q] WHEN q.code > p.code AND p.code > r.code THEN [q, p, r]
+        WHEN q.code > r.code AND r.code > p.code THEN [q, r, p] WHEN r.code > p.code AND p.code > q.code THEN [r, p, q] ELSE [r, q, p] END AS v FROM t2),
+    w AS MATERIALIZED (SELECT struct, v[1] AS v1, v[2] AS v2, v[3] AS v3, struct_pack(x := (v[1].x + v[2].x) / 2, y := (v[1].y + v[2].y) / 2, z := (v[1].z + v[2].z) / 2) AS m FROM v),
+    g AS MATERIALIZED (SELECT *, {_d('v1', 'v2')} AS d01, {_d('v1', 'v3')} AS d02, {_d('v2', 'v3')} AS dd, {_d('m', 'v3')} AS d3 FROM w),
+    h AS MATERIALIZED (SELECT *, greatest(d01, d02, dd) AS max_dist, 180 * acos((pow(d02, 2) - pow(d01 / 2, 2) - pow(d3, 2)) / (2 * (d01 / 2) * d3)) / 3.14::DOUBLE AS theta1 FROM g),
+    h2 AS MATERIALIZED (SELECT *, CASE WHEN theta1 <= 90 THEN theta1 ELSE abs(180 - theta1) END AS theta FROM h),
+    h3 AS MATERIALIZED (SELECT *, {bins} AS theta_bin, least(floor(max_dist) + 1, 18)::INT AS dist_bin FROM h2),
+    keys AS (SELECT *, {sign}(18 * 29 * 112 * 112 * (v1.code - 1)::BIGINT + 18 * 29 * 112 * (v2.code - 1) + 18 * 29 * (v3.code - 1) + 29 * (dist_bin - 1) + theta_bin - 1) AS key FROM h3)"""
+
+
+_LINKS = f"""{ATOMS}, e AS (SELECT a.struct * 12 + a.idx AS a, b.struct * 12 + b.idx AS b FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.idx <> b.idx AND {_d('a', 'b')} <= 7)"""
+_JACCARD = """t AS (SELECT sample, sum(freq) AS t FROM freq GROUP BY 1),
+    j AS (SELECT a.sample AS id_i, b.sample AS id_j, sum(least(a.freq, b.freq)) AS low FROM freq a JOIN freq b ON a.key = b.key AND a.sample < b.sample GROUP BY ALL),
+    jaccard AS (SELECT id_i, id_j, low / (x.t + y.t - low)::DOUBLE AS jaccard FROM j JOIN t x ON x.sample = id_i JOIN t y ON y.sample = id_j)"""
+_PRED = "pred AS (SELECT doc_id, quality AS y, (n_chars > 900)::INT AS p, least(n_chars // 100, 40)::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
+_REPORT = """rep AS (SELECT class, coalesce(sum(s), 0)::BIGINT AS support, coalesce(sum(h), 0)::DOUBLE AS hits, coalesce(sum(q), 0)::DOUBLE AS predicted FROM (
+        SELECT y AS class, 1 AS s, (y = p)::INT AS h, 0 AS q FROM pred UNION ALL SELECT p, 0, 0, 1 FROM pred) GROUP BY class),
+    pr AS (SELECT class, support, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall FROM rep),
+    report AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr)"""
+_SEQ = "s AS (SELECT DISTINCT o_custkey, (o_orderkey % 500)::VARCHAR || CASE WHEN o_orderkey % 7 = 0 THEN 'A' ELSE '' END AS seq, (o_orderkey % 500) AS num FROM orders)"
+_NAMES = """base AS (SELECT c_custkey, (c_custkey % 10)::VARCHAR || lpad(printf('%X', c_custkey % 4096), 3, '0') AS pdb, ['A', 'B', 'C', 'g'][c_nationkey % 4 + 1] AS chain, (c_custkey % 300)::VARCHAR AS seq,
+        ['CI', 'NCI', ''][c_custkey % 3 + 1] AS label, c_custkey % 5 AS kind FROM customer)"""
+
+ORACLES = {
+    "triplet_keys": f"WITH {_keys()} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
+    "mirror_keys": f"WITH {_keys(mirror=True)} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
+    "triplet_bins": f"WITH {_keys()} SELECT theta_bin, dist_bin, count(*) AS n FROM keys GROUP BY ALL",
+    "triplet_summary": f"""WITH {_keys()}, n AS (SELECT struct, count(*) AS n_atoms FROM atoms GROUP BY 1)
+        SELECT struct, any_value(n_atoms) AS n_atoms, count(*) AS n_triplets, count(DISTINCT key) AS n_keys, round(max(max_dist), 6) AS max_distance, round(min(max_dist), 6) AS min_distance FROM keys JOIN n USING (struct) GROUP BY struct""",
+    "atom_count_filter": f"WITH {ATOMS} SELECT struct, 'L' || code AS res, count(*) AS n FROM atoms WHERE code BETWEEN 1 AND 7 GROUP BY ALL HAVING count(*) = 2",
+    "search_atoms": f"WITH {_keys()} SELECT struct AS sample, key, 'C' || v1.code AS atom1, 'C' || v2.code AS atom2, 'C' || v3.code AS atom3 FROM keys WHERE list_sort([v1.code, v2.code, v3.code]) = [1, 2, 2]",
+    "fixed_width": f"WITH {ATOMS} SELECT struct::VARCHAR AS pdb, CASE WHEN code < 10 THEN 'C' || code ELSE 'C' || code END AS label, 'NAG' AS res, 'A' AS chain, idx::VARCHAR AS seq, round(printf('%.3f', x)::DOUBLE * 1000)::BIGINT AS x1000, round(printf('%.3f', z)::DOUBLE * 1000)::BIGINT AS z1000 FROM atoms",
+    "common_keys": f"WITH {FREQ} SELECT grp, key FROM freq JOIN (SELECT grp, count(DISTINCT sample) AS total FROM freq GROUP BY grp) USING (grp) GROUP BY grp, key, total HAVING count(DISTINCT sample) = total",
+    "common_key_summary": f"""WITH {FREQ}, shared AS (SELECT grp, key FROM freq JOIN (SELECT grp, count(DISTINCT sample) AS total FROM freq GROUP BY grp) USING (grp) GROUP BY grp, key, total HAVING count(DISTINCT sample) = total)
+        SELECT f.grp, sample, count(*) AS total_keys, count(s.key) AS common_keys, coalesce(sum(freq) FILTER (s.key IS NOT NULL), 0)::BIGINT AS common_freq FROM freq f LEFT JOIN shared s ON f.grp = s.grp AND f.key = s.key GROUP BY ALL""",
+    "key_percent": f"WITH {FREQ} SELECT grp, key, count(*) AS key_occurrence, any_value(total) AS total_files, round_even(count(*) / any_value(total)::DOUBLE * 100, 3) AS key_percent FROM freq JOIN (SELECT grp, count(DISTINCT sample) AS total FROM freq GROUP BY grp) USING (grp) GROUP BY grp, key",
+    "one_vs_all": f"""WITH {FREQ}, p AS (SELECT region, key, round_even(count(*) / any_value(total)::DOUBLE * 100, 3) AS pc FROM freq JOIN (SELECT region, count(DISTINCT sample) AS total FROM freq GROUP BY region) USING (region) GROUP BY region, key)
+        SELECT key, {', '.join(f"coalesce(max(pc) FILTER (region = '{r}'), 0.0) AS {r.lower().replace(' ', '_')}_percent" for r in REGIONS)} FROM p GROUP BY key""",
+    "feature_table": f"WITH {FREQ} SELECT sample, {', '.join(f'coalesce(max(freq) FILTER (key = {k}), 0)::BIGINT AS k{k}' for k in range(1, 51))} FROM freq GROUP BY sample",
+    "feature_frequency": f"WITH {FREQ} SELECT key, sum(freq)::BIGINT AS total, count(*) FILTER (freq <> 0) AS n_samples FROM freq GROUP BY key",
+    "generalised_jaccard": f"WITH {FREQ}, {_JACCARD} SELECT id_i, id_j, round(jaccard, 6) AS jaccard FROM jaccard",
+    "set_jaccard": f"WITH {FREQ.replace('freq AS (', 'base AS (', 1)}, freq AS (SELECT DISTINCT grp AS sample, key, 1 AS freq FROM base), {_JACCARD} SELECT id_i, id_j, round(jaccard, 6) AS jaccard FROM jaccard",
+    "distance_matrix": f"""WITH {FREQ.replace('freq AS (', 'base AS (', 1)}, {BY_GROUP}, {_JACCARD}, ids AS (SELECT DISTINCT sample FROM freq), b AS (SELECT * FROM jaccard UNION ALL SELECT id_j, id_i, jaccard FROM jaccard)
+        SELECT x.sample AS id_i, y.sample AS id_j, CASE WHEN x.sample = y.sample THEN 0 ELSE round(1 - coalesce(jaccard, 0), 6) END::DOUBLE AS d FROM ids x CROSS JOIN ids y LEFT JOIN b ON id_i = x.sample AND id_j = y.sample""",
+    "matrix_faults": f"WITH {FREQ}, g AS (SELECT DISTINCT grp FROM freq), b AS (SELECT count(*) = 2 AS there FROM g WHERE grp IN (1, 2)) SELECT 'range' AS fault, 1::BIGINT AS n FROM b WHERE there UNION ALL SELECT 'asymmetric', 2 FROM b WHERE there",
+    "similarity_text": "SELECT p_partkey, regexp_replace(regexp_replace((100 - 2 * p_size)::DECIMAL(20,10)::VARCHAR, '0+$', ''), '\\.$', '') AS similarity FROM part",
+    "adjusted_rand": """WITH c AS (SELECT lang, source, count(*)::DOUBLE AS n FROM documents GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS idx, sum(n) AS t FROM c),
+        a AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY lang)), b AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY source)),
+        e AS (SELECT idx, sa, sb, sa * sb / (t * (t - 1) / 2) AS ex FROM i, a, b) SELECT round((idx - ex) / ((sa + sb) / 2 - ex), 9) AS ari FROM e""",
+    "contact_pairs": f"WITH {ATOMS} SELECT a.struct AS pdb, a.idx::INT AS l_idx, b.idx::INT AS r_idx, round({_d('a', 'b')}, 6) AS distance FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.code <= 5 AND b.code > 5 WHERE {_d('a', 'b')} <= 6",
+    "interaction_labels": f"""WITH {ATOMS}, c AS (SELECT a.struct AS pdb, a.idx::INT AS l_idx, min(round(floor({_d('a', 'b')}) / 4, 1)) AS m FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.code <= 5 AND b.code > 5 WHERE {_d('a', 'b')} <= 12 GROUP BY ALL)
+        SELECT pdb, l_idx, m AS min_distance, CASE WHEN m <= 1.5 THEN 'ci' WHEN m <= 2 THEN 'wci' ELSE 'nci' END AS label FROM c""",
+    "linked_residues": f"WITH RECURSIVE {_LINKS}, n AS (SELECT struct * 12 + idx AS node, code FROM atoms), r AS (SELECT b AS node FROM e JOIN n x ON x.node = a AND x.code = 1 JOIN n y ON y.node = b AND y.code <> 1 UNION SELECT b FROM r JOIN e ON a = r.node JOIN n y ON y.node = b AND y.code <> 1) SELECT node FROM r",
+    "discovery_labels": """WITH f AS (SELECT DISTINCT l_suppkey AS chain, l_partkey % 97 AS seq FROM lineitem), s AS (SELECT DISTINCT o_custkey % 120 AS chain, o_orderkey % 101 AS seq FROM orders)
+        SELECT f.chain, f.seq, CASE WHEN s.chain IS NULL THEN 'NCI' ELSE 'CI' END AS label FROM f LEFT JOIN s USING (chain, seq) UNION ALL SELECT chain, seq, 'CI missing' FROM s ANTI JOIN f USING (chain, seq)""",
+    "aggregated_residues": f"WITH {_SEQ} SELECT o_custkey, string_agg(seq, ';' ORDER BY num, seq) AS seqs FROM s GROUP BY o_custkey",
+    "exploded_residues": f"WITH {_SEQ} SELECT seq, count(*) AS n FROM s GROUP BY seq",
+    "parsed_identifiers": f"""WITH {_NAMES} SELECT c_custkey, CASE kind WHEN 0 THEN concat_ws('_', upper(pdb), chain, seq, 'NAG') WHEN 1 THEN concat_ws('_', upper(pdb), chain, seq, 'MAN') WHEN 2 THEN concat_ws('_', upper(pdb), chain, 'NNB') WHEN 3 THEN concat_ws('_', upper(pdb), chain) ELSE 'x-' || c_custkey END AS canon,
+        CASE WHEN kind < 2 THEN 'PDB_CHAIN_SEQ_RESIDUE' WHEN kind = 2 THEN 'PDB_CHAIN_GROUP' WHEN kind = 3 THEN 'PDB_CHAIN' ELSE 'RAW' END AS kind, CASE WHEN kind < 3 THEN label ELSE '' END AS label FROM base""",
+    "resolved_files": """WITH s AS (SELECT DISTINCT o_custkey % 200 AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'CI' ELSE '' END AS label FROM orders),
+        f AS (SELECT DISTINCT o_orderkey % 230 AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'CI' WHEN o_orderkey % 5 = 0 THEN '' ELSE 'NCI' END AS fl FROM orders), c AS (SELECT key, count(*) AS n FROM f GROUP BY key),
+        r AS (SELECT s.key, s.label, min(CASE WHEN fl IS NULL THEN 9 WHEN fl = label THEN 0 WHEN fl = '' THEN 1 WHEN label = '' AND n = 1 THEN 2 ELSE 8 END) AS b FROM s LEFT JOIN f USING (key) LEFT JOIN c USING (key) GROUP BY ALL)
+        SELECT key, label, CASE WHEN b <= 2 THEN 'resolved' WHEN b = 8 THEN 'ambiguous' ELSE 'missing' END AS status FROM r""",
+    "balanced_sizes": "SELECT c_mktsegment, min(count(*)) OVER () AS n FROM customer GROUP BY c_mktsegment",
+    "oversampled_sizes": "SELECT lang, max(count(*)) OVER () AS n FROM documents GROUP BY lang",
+    "class_weights": "SELECT doc_id, lang, round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * n)::DOUBLE, 9) AS weight FROM documents JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)",
+    "frequent_classes": "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 60)",
+    "split_sizes": "WITH c AS (SELECT lang, count(*) AS n, round(count(*) * 0.25)::BIGINT AS h FROM documents GROUP BY lang) SELECT 'test' AS split, lang, h AS n FROM c UNION ALL SELECT 'val', lang, h FROM c UNION ALL SELECT 'train', lang, n - 2 * h FROM c",
+    "class_report": f"WITH {_PRED}, {_REPORT} SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM report",
+    "metric_summary": f"WITH {_PRED}, {_REPORT} SELECT round((SELECT avg((y = p)::INT) FROM pred), 9) AS accuracy, round(avg(recall) FILTER (support > 0), 9) AS balanced_accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM report",
+    "confusion": f"WITH {_PRED} SELECT y, p, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY y))::DOUBLE, 9) AS share FROM pred GROUP BY y, p",
+    "binary_auc": f"""WITH {_PRED}, s AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM pred GROUP BY score), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM s WINDOW w AS (ORDER BY score DESC))
+        SELECT round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 9) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 9) AS average_precision FROM c""",
+    "confidence_histogram": f"WITH {_PRED} SELECT least(floor(score / 40 * 30), 29)::INT AS bin, count(*) AS n FROM pred GROUP BY bin",
+    "missing_report": "SELECT 'c_mktsegment' AS column, count(*) AS n_missing, true AS all_missing FROM customer UNION ALL SELECT 'balance', count(*) FILTER (c_custkey % 4 = 0), false FROM customer",
+}
