@@ -73,7 +73,7 @@ def with_vertices(rows: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -
         .when((cr > cp) & (cp > cq), order(3, 1, 2))
         .otherwise(order(3, 2, 1))
     )
-    rows = rows.withColumn("place", place)
+    rows = fenced(rows, place=place)
     at = F.col("place")
     digits = {"v1": F.floor(at / 100), "v2": F.floor(at / 10) % 10, "v3": at % 10}
     pick = lambda v, k: F.when(digits[v] == 1, F.col(f"a_{k}")).when(digits[v] == 2, F.col(f"b_{k}")).otherwise(F.col(f"c_{k}")).alias(f"{v}_{k}")

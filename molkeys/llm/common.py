@@ -164,25 +164,65 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int, inside: np.ndar
     return out, rows
 
 
+#: Nodes of the forest that a task holds before it gives it out and begins another.
+FOREST_NODES = 1 << 20
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges but the roots, with the smallest node that it is connected with."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        low = np.minimum(up[x], up[y])
+        before = up.copy()
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up, before):
+            break
+    inner = up != np.arange(len(nodes))
+    return nodes[inner], nodes[up[inner]]
+
+
+def forest_of(batches):
+    """Spanning forests (a, b) of the edges (a, b) in Arrow batches, in bounded memory: what connected stays so."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = _forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        if len(a) > FOREST_NODES:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a = b = np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); the component is the smallest node reachable.
 
-    Alternates large-star and small-star steps: each is one aggregate for the smallest neighbour and one join, so a
-    hub is split like any skewed join. Each round is written to the shared folder. Loops are ignored.
+    Each task thins the edges that it reads to a forest, before anything is shuffled. Then large-star and small-star steps alternate: each is one aggregate for
+    the smallest neighbour and one join, so a hub is split like any skewed join. Each round is written to the shared
+    folder, and the rounds end when the edges' count and sum of hashes stay. Loops are ignored.
     """
-    cur = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+
+    def print_of(df: DataFrame):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    thin = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(forest_of, "a bigint, b bigint")
+    cur = materialise(thin, name)
+    seen = print_of(cur)
     for _ in range(rounds):
-        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        few = cur.mapInArrow(forest_of, "a bigint, b bigint")
+        both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low2, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = materialise(small.select("e.*").where("a <> b").distinct(), name)
-        changed = new.exceptAll(cur).limit(1).count() or cur.exceptAll(new).limit(1).count()
         forget(cur)
-        cur = new
-        if not changed:
+        cur, before = new, seen
+        seen = print_of(cur)
+        if seen == before:
             break
     else:
         raise RuntimeError("components have not settled")

@@ -2,13 +2,16 @@
 
 1. Texts become sets of hashed word shingles; equal sets are one class from then on, whatever its number of copies.
 2. A fixed-size count sketch of all shingles gives a global order, rarest first. Two sets can only link if the heads of
-   their sets in that order meet, so classes are grouped by the head shingles they share (a star for each shingle,
-   closed by connected components). Frequent passages come last in the order and join nothing by themselves.
-3. The sets of each group are compared in bounded blocks, dealt to tasks as pairs of blocks whose size levels can link.
-   Inside, documents are the leaves of signature trees: each node holds the OR of its documents' token bitmaps, its range of
-   set sizes and the largest number of tokens that a bitmap hides. Two trees are walked together; a pair of nodes is
-   left when the largest overlap it can have is below the least that a link needs. Surviving documents are verified on
-   their whole sets. Documents that links already connect are not compared again, since only components are asked for.
+   their sets in that order meet, so classes are grouped by the head shingles they share: those of a shingle are put in
+   order of size and chained wherever sizes allow a link, and chains are closed by connected components. Frequent
+   passages come last in the order and join nothing by themselves.
+3. Each group is compared in bounded blocks, dealt to tasks as pairs of blocks whose size levels can link. Inside,
+   documents are the leaves of signature trees: each node holds the OR of its documents' token bitmaps, its range of set
+   sizes and the largest number of tokens that a bitmap hides. Two trees are walked together; a pair of nodes is left when
+   the largest overlap it can have is below the least that a link needs.
+4. Groups beyond a block, mostly long texts that meet by chance, are walked on bitmaps alone first and fall apart into
+   those that the bitmaps cannot tell apart. Then whole sets are shipped, and surviving pairs are verified on them.
+   Documents that are already connected are not compared again, since only components are asked for.
 
 Cases: null or empty texts, and texts without words, have an empty set and link with nothing; fewer words than the shingle
 length are one shingle; copies share a class; rows that share a doc_id are reported one by one; a class whose ids are all
@@ -19,17 +22,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, forget, materialise, mix, shingle_hashes, steps, string_buffer, text_of
+from .common import LOWER, connected_components, forest_of, forget, materialise, mix, shingle_hashes, steps, string_buffer, text_of
 
-#: Counters of the sketch (4 bytes each, whatever the input) and the pieces that it is summed in.
-SKETCH, PIECES = 1 << 20, 16
+#: Counters of the sketch (2 bytes each in a task, 1 byte on a scale of logarithms when broadcast: 16 MB whatever the input),
+#: and the pieces that it is summed in.
+SKETCH, PIECES = 1 << 24, 64
+MOST = np.iinfo(np.uint16).max
 #: Sets of a block; a task holds two blocks at a time.
 BLOCK = 2048
-#: Bits of a document's bitmap, documents of a leaf node, leaf nodes of an upper node.
-BITS, FAN = 1024, 8
+#: Least and most bits of a document's bitmap; documents of a leaf node, and leaf nodes of an upper node.
+BITS, WIDEST, FAN = 1024, 1 << 20, 8
+#: Classes that a task remembers, to leave out copies.
+SEEN = 500_000
 #: Identifiers that may be broadcast, by their counted number.
 BROADCAST_ROWS = 500_000
 
@@ -56,65 +64,100 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cls, piece): a row for each document, and each task's count sketch in pieces (n = -1)."""
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(SKETCH, np.uint16)
         for batch in batches:
             raw, offsets = string_buffer(batch.column(1))
             for a, b in steps(offsets):
                 h, row = sets_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 n, cls = _class_of(h, row, b - a)
-                sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                at, more = np.unique(h & np.uint64(SKETCH - 1), return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + more, MOST)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n.astype(np.int64)), pa.array(cls), pa.nulls(b - a, pa.binary())], names=["doc_id", "n", "cls", "piece"])
-        parts = np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32).reshape(PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array(np.full(PIECES, -1)), pa.array(np.zeros(PIECES, np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "n", "cls", "piece"])
+        packer = zstandard.ZstdCompressor(level=1)
+        parts = [packer.compress(x.tobytes()) for x in sketch.reshape(PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array(np.full(PIECES, -1)), pa.array(np.zeros(PIECES, np.int64)), pa.array(parts, pa.binary())], names=["doc_id", "n", "cls", "piece"])
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, piece binary")
 
 
 def sketch_of(described: DataFrame) -> np.ndarray:
-    """The tasks' sketches summed, piece by piece and one at a time; always ``SKETCH`` numbers."""
+    """The tasks' sketches summed, piece by piece and one at a time; always ``SKETCH`` numbers, on a scale of logarithms."""
 
     def add(batches):
+        opener = zstandard.ZstdDecompressor()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(data.as_py(), np.int32).astype(np.int64)
+                x = np.frombuffer(opener.decompress(data.as_py()), np.uint16).astype(np.uint32)
                 sums[piece] = sums[piece] + x if piece in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["piece", "data"])
+            scaled = [np.minimum(np.rint(16 * np.log2(1.0 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(scaled, pa.binary())], names=["piece", "data"])
 
     pieces = described.where("n = -1").select(F.col("doc_id").alias("p"), "piece").repartition(PIECES, "p")
-    out = np.zeros((PIECES, SKETCH // PIECES), np.int32)
+    out = np.zeros((PIECES, SKETCH // PIECES), np.uint8)
     for r in pieces.mapInArrow(add, "piece bigint, data binary").collect():
-        out[r.piece] = np.frombuffer(r.data, np.int32)
+        out[r.piece] = np.frombuffer(r.data, np.uint8)
     return out.reshape(-1)
 
 
 def heads(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, cls): the rarest shingles of each set, as many as any linked set must meet."""
+    """(token, n, cls): the rarest shingles of each set, as many as any linked set must meet."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        counts = shared.value
+        counts, seen = shared.value, set()
         for batch in batches:
             raw, offsets = string_buffer(batch.column(0))
             for a, b in steps(offsets):
                 h, row = sets_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 n, cls = _class_of(h, row, b - a)
-                _, one = np.unique(cls, return_index=True)  # copies within a step add nothing
                 keep = np.zeros(b - a, bool)
-                keep[one] = True
+                for i, c in enumerate(cls.tolist()):  # further copies add nothing
+                    if c not in seen:
+                        keep[i] = True
+                        if len(seen) < SEEN:
+                            seen.add(c)
                 h, row = h[keep[row]], row[keep[row]]
                 order = np.lexsort((h, counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)], row))
                 h, row = h[order], row[order]
                 first = np.searchsorted(row, np.arange(b - a))
                 head = np.arange(len(h)) - first[row] <= n[row] - (percent * n[row] + 99) // 100
-                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(cls[row[head]])], names=["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(n[row[head]].astype(np.int32)), pa.array(cls[row[head]])], names=["token", "n", "cls"])
 
-    return docs.select(text_of("text").alias("text")).mapInArrow(run, "token bigint, cls bigint")
+    return docs.select(text_of("text").alias("text")).mapInArrow(run, "token bigint, n int, cls bigint")
 
 
-def whole_sets(wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, cls, grp, n, tokens) of texts whose class is the one wanted of them."""
+def chains(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): neighbours in size of each head shingle's classes whose sizes allow a link, thinned to forests.
+
+    Where neighbours are too far apart, so is every pair across the gap. One row is kept between batches.
+    """
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            token, n, cls = (batch.column(c).to_numpy() for c in range(3))
+            if not len(token):
+                continue
+            if last is not None:
+                token, n, cls = (np.append(v, x) for v, x in zip(last, (token, n, cls)))
+            last = token[-1:], n[-1:], cls[-1:]
+            near = (token[1:] == token[:-1]) & (cls[1:] != cls[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[1:][near]), pa.array(cls[:-1][near])], names=["a", "b"])
+
+    rows = tokens.repartition("token").sortWithinPartitions("token", "n", "cls")
+    return rows.select("token", "n", "cls").mapInArrow(lambda batches: forest_of(run(batches)), "a bigint, b bigint")
+
+
+def bitmap_of(h: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[(h >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def payloads(wanted: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(doc_id, grp, n, data) of texts whose class is the one wanted of them: their whole sets, or bitmaps of 4 bits a shingle."""
 
     def run(batches):
         for batch in batches:
@@ -125,25 +168,21 @@ def whole_sets(wanted: DataFrame, k: int) -> DataFrame:
                 n, cls = _class_of(h, row, b - a)
                 at = np.concatenate([[0], np.cumsum(n)])
                 good = np.flatnonzero(cls == want[a:b])
-                tokens = pa.array([h[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())
+                parts = [h[at[i] : at[i + 1]] for i in good]
+                if not whole:
+                    parts = [bitmap_of(x, min(max(BITS, 4 << (len(x) - 1).bit_length()), WIDEST)) for x in parts]
                 take = pa.array(good + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(cls[good]), batch.column(3).take(take), pa.array(n[good].astype(np.int64)), tokens], names=["doc_id", "cls", "grp", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(3).take(take), pa.array(n[good].astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "grp", "n", "data"])
 
-    return wanted.select("doc_id", text_of("text").alias("text"), "cls", "grp").mapInArrow(run, "doc_id bigint, cls bigint, grp bigint, n bigint, tokens binary")
+    return wanted.select("doc_id", text_of("text").alias("text"), "cls", "grp").mapInArrow(run, "doc_id bigint, grp bigint, n bigint, data binary")
 
 
 class Tree:
-    """Signature tree over documents in the order of their smallest tokens: leaves of FAN, upper nodes of FAN leaves."""
-
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
-        order = np.argsort([s[0] for s in sets], kind="stable")
-        self.ids, self.sets = ids[order], [sets[i] for i in order]
-        self.n = np.array([len(s) for s in self.sets], np.int64)
-        row = np.repeat(np.arange(len(self.sets)), self.n)
-        bits = np.zeros((len(self.sets), BITS), bool)
-        bits[row, (np.concatenate(self.sets) >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        levels = [(maps, self.n, self.n, self.n - bits.sum(1))]
+    """Signature tree over documents in a given order: leaves of FAN, upper nodes of FAN leaves; sets where they are known."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, maps: np.ndarray, sets: list[np.ndarray] | None = None):
+        self.ids, self.n, self.sets = ids, n, sets
+        levels = [(maps, n, n, n - np.bitwise_count(maps).sum(1, dtype=np.int64))]
         for _ in range(2):
             m, low, high, hidden = levels[-1]
             cut = np.arange(0, len(m), FAN)
@@ -151,15 +190,41 @@ class Tree:
         self.levels = levels
 
 
+def tree_of_sets(rows: list[tuple[int, int, bytes]]) -> Tree:
+    """Documents by their smallest shingle, which near copies mostly share."""
+    sets = [np.frombuffer(x[2], np.uint64) for x in rows]
+    order = np.argsort([s[0] for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    maps = np.stack([bitmap_of(s, BITS) for s in sets]).view(np.uint64)
+    return Tree(np.array([x[0] for x in rows], np.int64)[order], np.array([len(s) for s in sets], np.int64), maps, sets)
+
+
+def trees_of_bitmaps(sides: list[list[tuple[int, int, bytes]]]) -> list[Tree]:
+    """Documents by size; all bitmaps are folded to the narrowest of the unit."""
+    width = min(len(x[2]) for side in sides for x in side) // 8
+
+    def fold(data: bytes) -> np.ndarray:
+        return np.bitwise_or.reduce(np.frombuffer(data, np.uint64).reshape(-1, width), axis=0)
+
+    out = []
+    for side in sides:
+        side = sorted(side, key=lambda x: (x[1], x[0]))
+        out.append(Tree(np.array([x[0] for x in side], np.int64), np.array([x[1] for x in side], np.int64), np.stack([fold(x[2]) for x in side])))
+    return out
+
+
 def may_link(p, q, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Of node pairs: whether the largest possible overlap reaches the least that a link needs, and sizes agree."""
     (pm, pl, ph, px), (qm, ql, qh, qx) = p, q
     out = (100 * qh[j] >= percent * pl[i]) & (100 * ph[i] >= percent * ql[j])
-    some = np.flatnonzero(out)
-    i, j = i[some], j[some]
-    common = np.bitwise_count(pm[i] & qm[j]).sum(1, dtype=np.int64)
-    most = np.minimum(common + np.minimum(px[i], qx[j]), np.minimum(ph[i], qh[j]))
-    out[some] = most * (100 + percent) >= percent * (pl[i] + ql[j])
+    every = np.flatnonzero(out)
+    slab = max(1, (1 << 20) // pm.shape[1])
+    for at in range(0, len(every), slab):
+        some = every[at : at + slab]
+        x, y = i[some], j[some]
+        common = np.bitwise_count(pm[x] & qm[y]).sum(1, dtype=np.int64)
+        most = np.minimum(common + np.minimum(px[x], qx[y]), np.minimum(ph[x], qh[y]))
+        out[some] = most * (100 + percent) >= percent * (pl[x] + ql[y])
     return out
 
 
@@ -176,15 +241,9 @@ class Links:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(self.up, up := self.up[self.up]):
-            self.up = up
-        return self.up
-
     def join(self, a: int, b: int) -> None:
-        up = self.roots()
-        low, high = sorted((int(up[a]), int(up[b])))
-        self.up[up == high] = low
+        low, high = sorted((int(self.up[a]), int(self.up[b])))
+        self.up[self.up == high] = low
 
 
 def overlaps(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
@@ -194,7 +253,7 @@ def overlaps(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
 
 
 def links_of_unit(left: Tree, right: Tree, percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect all documents of two trees (or of one) which links connect at all."""
+    """Links that connect all documents of two trees (or of one) which links connect at all; without sets, what may be links."""
     same = left is right
     base = 0 if same else len(left.ids)
     links, found = Links(base + len(right.ids)), []
@@ -219,49 +278,52 @@ def links_of_unit(left: Tree, right: Tree, percent: int) -> list[tuple[int, int]
                 continue
             ys = ys[may_link(left.levels[0], right.levels[0], np.full(len(ys), x), ys, percent)]
             while len(ys):  # one of each component at a time: its link makes the others needless
-                comps = links.roots()[base + ys]
-                _, one = np.unique(comps, return_index=True)
-                common = overlaps(left.sets[x], [right.sets[y] for y in ys[one]])
-                union = left.n[x] + right.n[ys[one]] - common
-                for y in ys[one][100 * common >= percent * union]:
+                _, one = np.unique(links.up[base + ys], return_index=True)
+                good = ys[one]
+                if left.sets is not None:
+                    common = overlaps(left.sets[x], [right.sets[y] for y in good])
+                    good = good[100 * common >= percent * (left.n[x] + right.n[good] - common)]
+                for y in good:
                     found.append((int(left.ids[x]), int(right.ids[y])))
                     links.join(x, base + y)
                 ys = np.delete(ys, one)
-                ys = ys[links.roots()[base + ys] != links.up[x]]
+                ys = ys[links.up[base + ys] != links.up[x]]
     return found
 
 
-def compare_units(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of (unit, side, doc_id, tokens) rows; the rows of a unit are together and in order."""
+def compare_units(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b) links of (unit, side, doc_id, n, data) rows, unit by unit."""
 
     def run(batches):
-        held, unit = ([], []), None
+        both, unit = ({}, {}), None
 
         def links():
-            trees = [Tree(np.array([x[0] for x in side], np.int64), [np.frombuffer(x[1], np.uint64) for x in side]) for side in held if side]
+            sides = [[(d, n, x) for d, (n, x) in side.items()] for side in both if side]
+            trees = [tree_of_sets(side) for side in sides] if whole else trees_of_bitmaps(sides)
             found = links_of_unit(trees[0], trees[-1], percent)
             a, b = (list(x) for x in zip(*found)) if found else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for u, side, doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for u, side, doc, n, data in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
                 if u != unit and unit is not None:
                     yield links()
-                    held = ([], [])
+                    both = ({}, {})
                 unit = u
-                held[side].append((doc, tokens.as_py()))
+                both[side][doc] = (n, data.as_py())  # repeated rows are one document
         if unit is not None:
             yield links()
 
-    return rows.select("unit", "side", "doc_id", "tokens").mapInArrow(run, "a bigint, b bigint")
+    rows = rows.select("unit", "side", "doc_id", "n", "data").repartition("unit").sortWithinPartitions("unit", "side")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def deal_units(sets: DataFrame) -> DataFrame:
-    """(unit, side, doc_id, tokens): a small group is one unit; of a large one, each pair of blocks that can link."""
+    """(unit, side, doc_id, n, data): a small group is one unit; of a large one, each pair of blocks that can link."""
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     totals = sets.groupBy("grp").agg(F.count("*").alias("total"))
     rows = sets.join(totals, "grp").withColumn("level", F.when(F.col("total") > BLOCK, level).otherwise(0))
-    small = rows.where(F.col("total") <= BLOCK).select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "tokens")
+    small = rows.where(F.col("total") <= BLOCK).select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "n", "data")
     large = rows.where(F.col("total") > BLOCK)
     sizes = large.groupBy("grp", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     large = large.join(sizes, ["grp", "level"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
@@ -271,7 +333,7 @@ def deal_units(sets: DataFrame) -> DataFrame:
     pairs = blocks.join(other, "grp").where("level2 = level + 1 or (level2 = level and block2 >= block)")
     unit = F.xxhash64("grp", "level", "block", "level2", "block2")
     places = pairs.select(unit.alias("unit"), "grp", F.explode(F.array_distinct(F.array(F.struct("level", "block", F.lit(0).alias("side")), F.struct(F.col("level2").alias("level"), F.col("block2").alias("block"), F.when(F.expr("level = level2 and block = block2"), 0).otherwise(1).alias("side"))))).alias("p")).select("unit", "grp", "p.*")
-    return small.unionByName(large.join(places, ["grp", "level", "block"]).select("unit", "side", "doc_id", "tokens"))
+    return small.unionByName(large.join(places, ["grp", "level", "block"]).select("unit", "side", "doc_id", "n", "data"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -283,16 +345,22 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     own = described.where("n >= 0").select("doc_id", "n", "cls")
     classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     tokens = heads(docs, sketch_of(described), k, percent)
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token", "low")
-    stars = tokens.join(shared, "token").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b"))
-    groups = connected_components(stars, "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    groups = connected_components(chains(tokens, percent), "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     active = materialise(groups.join(classes, "cls").where("rep is not null"), "active")
-    some = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
-    sets = materialise(whole_sets(docs.join(some, docs["doc_id"] == some["rep"]), k).dropDuplicates(["doc_id", "cls"]), "whole")
-    units = deal_units(sets).repartition("unit").sortWithinPartitions("unit", "side")
-    links = compare_units(units, percent)
-    found = connected_components(links, "links")
-    forget(sets, active)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return docs.join(some, docs["doc_id"] == some["rep"])
+
+    big = active.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).select("grp")
+    crowd = materialise(active.join(big, "grp"), "crowd")
+    maps = materialise(payloads(texts_of(crowd), k, whole=False), "bitmaps")
+    alike = connected_components(compare_units(deal_units(maps), percent, whole=False), "alike")
+    rest = active.join(big, "grp", "left_anti").unionByName(crowd.join(alike, F.col("rep") == F.col("node")).select(F.col("component").alias("grp"), "cls", "rep"))
+    rest = materialise(rest, "rest")
+    sets = materialise(payloads(texts_of(rest), k, whole=True), "whole")
+    found = connected_components(compare_units(deal_units(sets), percent, whole=True), "links")
+    forget(sets, maps, crowd, active)
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = own.where("n > 0").join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -31,10 +31,12 @@ from .common import byte_prefix, forget, materialise, mix, span_hash, steps, str
 
 #: Bytes of the rolling hash.
 GRAM = 24
-#: Contexts of a trigger that one task sorts.
-HOT = 2000
+#: Contexts of a trigger that one task sorts (some 2 million strings, about 150 MB while they are sorted).
+HOT = 50_000
 #: Rows that may be broadcast, by their counted number.
 BROADCAST_ROWS = 500_000
+#: Places that a task sums up at a time.
+PLACES = 1 << 20
 #: Bytes of contexts that are sorted at a time, whole triggers at least.
 SORT_BYTES = 8 << 20
 _PLACE = np.uint64((1 << 31) - 1)
@@ -73,18 +75,39 @@ def triggers(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def parse(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, context, doc, at): the places of all phrase contexts; at packs position and reach to both sides."""
+    """(gram, context, doc, at, again): the places of all phrase contexts; at packs position and reach to both sides.
+
+    Of the places of a context in a batch only the first goes on to be compared, so that a frequent passage is summed up
+    before the shuffle. The others are known to repeat (again) and are dealt by chance.
+    """
 
     def run(batches):
+        held = []
         for batch in batches:
             raw, offsets = string_buffer(batch.column(1))
             ids = batch.column(0).to_numpy()
             for a, b in steps(offsets):
                 row, pos, first, last, gram, context = triggers(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 packed = (pos - (offsets[a + row] - offsets[a])) << 14 | (pos - first) << 7 | (pos - last)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[a + row]), pa.array(packed)], names=["gram", "context", "doc", "at"])
+                held.append((gram.view(np.int64), context.view(np.int64), ids[a + row], packed))
+                if sum(len(x[0]) for x in held) >= PLACES:
+                    yield summed(held)
+                    held = []
+        if held:
+            yield summed(held)
+
+    def summed(held):
+        gram, context, doc, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, doc, context))
+        gram, context, doc, at = gram[order], context[order], doc[order], at[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = context[1:] != context[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+        again = (doc != doc[head]) | (at != at[head])
+        chance = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(again, chance, gram)), pa.array(context), pa.array(doc), pa.array(at), pa.array(again)], names=["gram", "context", "doc", "at", "again"])
 
-    return docs.select("doc", "text").mapInArrow(run, "gram bigint, context bigint, doc bigint, at bigint")
+    return docs.select("doc", "text").mapInArrow(run, "gram bigint, context bigint, doc bigint, at bigint, again boolean")
 
 
 def starts_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +124,11 @@ def compare_contexts(places: DataFrame) -> DataFrame:
     def run(batches):
         last = None  # gram, context, doc, at of the last context's first place, and whether it has been given out
         for batch in batches:
-            gram, context, doc, at = (c.to_numpy() for c in batch.columns)
+            gram, context, doc, at = (c.to_numpy() for c in batch.columns[:4])
+            known = batch.column(4).to_numpy(zero_copy_only=False)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[known], at[known], gram[known], known[known])], names=["doc", "at", "gram", "again"])
+                gram, context, doc, at = gram[~known], context[~known], doc[~known], at[~known]
             if not len(gram):
                 continue
             new_gram, new_context = np.ones(len(gram), bool), np.ones(len(gram), bool)
@@ -127,7 +154,7 @@ def compare_contexts(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "at", "gram", "again"])
 
     rows = places.repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
-    return rows.select("gram", "context", "doc", "at").mapInArrow(run, "doc bigint, at bigint, gram bigint, again boolean")
+    return rows.select("gram", "context", "doc", "at", "again").mapInArrow(run, "doc bigint, at bigint, gram bigint, again boolean")
 
 
 def fetch_contexts(docs: DataFrame, fine: DataFrame, length: int) -> DataFrame:

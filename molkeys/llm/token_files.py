@@ -11,7 +11,6 @@ table gives empty files; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, steps, string_buffer, text_of
 
 #: Word pieces whose ids a worker keeps; beyond it the library is asked again.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -47,8 +46,13 @@ def _tokenizer(path: str):
     return _WORKERS[path]
 
 
-#: Letters with at most one mark after them: two pieces of the tokenizer's pattern, whatever follows.
-_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]?)")
+#: Marks that are a piece of their own behind letters at the end of a part.
+_MARKS = frozenset(".,;:!?")
+
+
+#: White space that stands next to white space, and all white space but the space and the line end.
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def _bytes(ids) -> bytes:
@@ -60,30 +64,34 @@ def _encode_words(t, lead: str, words: list[str]) -> list[bytes]:
     out: list[bytes] = []
     for at in range(0, len(words), 4000):
         some = words[at : at + 4000]
-        e = t.encode("".join([lead + w for w in some]), add_special_tokens=False)
+        e = t.encode(lead + lead.join(some), add_special_tokens=False)
         ids, piece = np.array(e.ids, "<u4"), np.array(e.word_ids)
         if lead == "\n":
             ids, piece = ids[piece % 2 == 1], piece[piece % 2 == 1] // 2
-        cut = np.searchsorted(piece, np.arange(len(some) + 1))
-        out += [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        cut = (4 * np.searchsorted(piece, np.arange(len(some) + 1))).tolist()
+        data = ids.tobytes()
+        out += [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
     return out
 
 
 def _learn(t, known: dict, lead: str, parts: set[str]) -> dict:
     """Ids of the parts, by their pieces where a part is a word with at most one mark, else by the part itself."""
-    plain, other = {}, []
+    plain, marked, other = set(), [], []
     for p in parts:
-        if m := _PLAIN.fullmatch(p):
-            plain[p] = m.groups()
+        if p.isalpha():
+            plain.add(p)
+        elif p[-1:] in _MARKS and p[:-1].isalpha():
+            marked.append(p)
+            if p[:-1] not in known:
+                plain.add(p[:-1])
         else:
             other.append(p)
-    found = {}
-    words = list({w for w, mark in plain.values() if w not in known})
-    fresh = dict(zip(words, _encode_words(t, lead, words)))
-    marks = {m: _bytes(t.encode(m, add_special_tokens=False).ids) for m in {m for _, m in plain.values()} if m}
-    for p, (w, m) in plain.items():
-        found[p] = (known.get(w) or fresh[w]) + marks.get(m, b"")
-    found |= fresh
+    words = list(plain)
+    found = dict(zip(words, _encode_words(t, lead, words)))
+    marks = {m: _bytes(t.encode(m, add_special_tokens=False).ids) for m in _MARKS}
+    for p in marked:
+        w = p[:-1]
+        found[p] = (found[w] if w in found else known[w]) + marks[p[-1]]
     for p, e in zip(other, t.encode_batch_fast([p if lead == "\n" else lead + p for p in other], add_special_tokens=False)):
         found[p] = _bytes(e.ids)
     return found
@@ -101,11 +109,11 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tails: set[str] = set()
     odd = []
     for x in texts:
-        lines = [line.split(" ") for line in x.split("\n")]
-        if sum(map(len, lines)) != len(x.split()):
+        if not x or x[0].isspace() or x[-1].isspace() or any(pair in x for pair in _PAIRS) or any(map(x.__contains__, _SPACES)):
             odd.append(x)
             cut.append(None)
             continue
+        lines = [line.split(" ") for line in x.split("\n")]
         head = [line.pop(0) for line in lines]
         cut.append((head, lines))
         heads.update(head)
