@@ -115,8 +115,8 @@ def insertion_key(c: Column) -> Column:
 
 def sorted_join(values: Column, key=natural_key, separator: str = ";") -> Column:
     """Distinct values in natural order, joined."""
-    keyed = F.array_sort(F.transform(F.array_distinct(values), key))
-    return F.array_join(F.transform(keyed, lambda k: k["text"]), separator)
+    keyed = F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(key(v).alias("k"), v.alias("v"))))
+    return F.array_join(F.transform(keyed, lambda x: x["v"]), separator)
 
 
 def similarity(d: Column) -> Column:

@@ -16,7 +16,7 @@ WATERS = ("HOH", "WAT", "DOD", "UNX")
 def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, pdb, ln, line) of all lines under the paths, in order."""
     name = F.regexp_extract(F.col("_metadata.file_name"), "([^/]+)$", 1)
-    rows = spark.read.option("wholetext", True).text(paths).select(name.alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("ln", "line"))
+    rows = spark.read.text(paths, wholetext=True).select(name.alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("ln", "line"))
     pdb = F.upper(F.regexp_replace(F.regexp_replace("file", "(?i)\\.gz$", ""), "(?i)^(pdb)?(.*?)\\.(pdb|ent)$", "$2"))
     return rows.select("file", pdb.alias("pdb"), "ln", "line")
 

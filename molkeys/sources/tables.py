@@ -59,7 +59,7 @@ def lexical_map(rows: DataFrame, keep_na: bool = False) -> DataFrame:
 
 def expected_counts(spark: SparkSession, path: str) -> DataFrame:
     """(kind, res, expected) from a JSON object of objects; names are upper-cased, counts below 1 are an error."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     maps = text.select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
     rows = maps.select(F.explode("m").alias("kind", "counts")).select("kind", F.explode("counts").alias("res", "expected"))
     checked = F.when(F.col("expected") >= 1, F.col("expected")).otherwise(F.raise_error(F.concat(F.lit("bad count of "), "res")))
@@ -68,7 +68,7 @@ def expected_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def key_frequencies(spark: SparkSession, path: str, pattern: str = "*.keys_Freq_theta29_dist18*") -> DataFrame:
     """(sample, key, freq, line) of a folder of two-column files; the file name up to ``.keys`` is the sample."""
-    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     sample = F.regexp_extract("_metadata.file_name", "^(.*?)\\.keys", 1)
     rows = rows.select(sample.alias("sample"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text")).where(F.trim("text") != "")
     part = F.split("text", "\t")
@@ -96,7 +96,7 @@ def key_rows(lines: DataFrame, text: str = "line", layout: str = "auto") -> Data
 
 def distance_rows(spark: SparkSession, path: str) -> DataFrame:
     """(id_i, id_j, d) of headerless lines ``id;d,d,...``; columns are in the order of the lines."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
     rows = rows.select("i", F.trim(F.substring_index("line", ";", 1)).alias("id_i"), F.split(F.substring_index("line", ";", -1), ",").alias("ds"))
     cells = rows.select("i", "id_i", F.posexplode("ds").alias("j", "d"))
     names = rows.select(F.col("i").alias("j"), F.col("id_i").alias("id_j"))

@@ -25,10 +25,11 @@ def test_keys_of_hand_computed_triplets(spark, mirror):
 
 
 def test_degenerate_triplets_are_errors(spark):
-    rows = [(0, 0, 0.0, 5), (0, 1, 0.0, 5), (0, 2, 1.0, 6), (1, 0, 0.0, 5), (1, 1, 1.0, 5)]
+    # only a leading pair in one place leaves no angle; a trailing one is seen under 0 degrees
+    rows = [(0, 0, 0.0, 5), (0, 1, 0.0, 5), (0, 2, 1.0, 4), (1, 0, 0.0, 5), (1, 1, 1.0, 5), (2, 0, 0.0, 5), (2, 1, 0.0, 5), (2, 2, 1.0, 6)]
     atoms = spark.createDataFrame(rows, "s int, idx int, x double, code int").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     got = triplets.triplet_keys(atoms, ["s"]).collect()
-    assert [(r.s, r.error) for r in got] == [(0, "degenerate")]
+    assert {(r.s, r.error, r.theta_bin) for r in got} == {(0, "degenerate", None), (2, None, 1)}
 
 
 def test_bins_at_their_edges(spark):

@@ -19,6 +19,7 @@ def test_identifiers(spark):
     assert [one(spark, ids.similarity(F.lit(d).cast("decimal(20,10)"))) for d in ("0.821", "0.000", "1")] == ["17.9", "100", "0"]
     assert [one(spark, ids.interaction_label(F.lit(d))) for d in (1.5, 1.6, 2.0, 2.1)] == ["ci", "wci", "wci", "nci"]
     assert one(spark, ids.sorted_join(F.array(*map(F.lit, ["10", "9", "9A"])))) == "9;10;9A"
+    assert one(spark, ids.sorted_join(F.array(*map(F.lit, ["10", "9", "9A"])), ids.insertion_key)) == "9;9A;10"
 
 
 LINE = "HETATM 1234  C1  NAG A 102      11.104   6.134  -6.504  1.00 20.00           C  "
