@@ -98,7 +98,7 @@ def ligand_code(names: Column) -> Column:
     """Letters of a list of ligand names; an unknown name is an error."""
     letters = F.create_map(*[F.lit(x) for kv in LIGAND_LETTERS.items() for x in kv])
     one = lambda x: F.coalesce(F.try_element_at(letters, F.upper(x)), F.raise_error(F.concat(F.lit("unknown ligand "), x)))
-    return F.array_join(F.transform(F.filter(F.transform(F.split(names, ","), F.trim), lambda x: x != ""), one), "")
+    return F.array_join(F.transform(F.filter(F.transform(F.split(names, ","), lambda x: F.trim(x)), lambda x: x != ""), one), "")
 
 
 def natural_key(c: Column) -> Column:

@@ -35,7 +35,7 @@ def aggregate_residues(rows: DataFrame, by: list[str], seq: str = "seq", separat
 
 def explode_residues(rows: DataFrame, seqs: str = "seqs", separator: str = ";") -> DataFrame:
     """The inverse of ``aggregate_residues``."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(seqs, separator), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(seqs, separator), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.select(*[c for c in rows.columns if c != seqs], F.explode(parts).alias("seq"))
 
 

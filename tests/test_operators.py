@@ -16,6 +16,7 @@ def test_identifiers(spark):
         assert (one(spark, ids.canonical(p, F.lit(text))), one(spark, p["label"])) == (canon, label)
     assert one(spark, ids.ligand_code(F.lit("NAG,NAG,BMA,MAN,MAN"))) == "NNBMM"
     assert one(spark, ids.split_list(F.lit("49;58.0;476A"))) == ["49", "58", "476A"]
+    assert one(spark, ids.split_list(F.lit("10;11; 102"))) == ["10", "11", "102"]
     assert [one(spark, ids.similarity(F.lit(d).cast("decimal(20,10)"))) for d in ("0.821", "0.000", "1")] == ["17.9", "100", "0"]
     assert [one(spark, ids.interaction_label(F.lit(d))) for d in (1.5, 1.6, 2.0, 2.1)] == ["ci", "wci", "wci", "nci"]
     assert one(spark, ids.sorted_join(F.array(*map(F.lit, ["10", "9", "9A"])))) == "9;10;9A"
