@@ -2,22 +2,23 @@
 
 Markup is cut into blocks, and blocks are marked: ``main`` inside an article or main element, ``cut`` inside an element that by
 its name, role, class or id is a menu, header, footer, sidebar, notice, advert, form, comment, script or style, and ``other``
-elsewhere. The token streams of a host's pages outside their articles are concatenated; their suffixes are compared to
-the depth of ``DEPTH`` tokens, at which equal neighbours of the suffix array are the substrings that repeat. Those of distinct
-pages are boilerplate: the words that they cover are removed from ``other`` blocks and the unique runs stay. The suffixes
-are not sorted on one machine: equal ones meet by their hash, and smallest and largest page of each are enough to tell
-distinct pages, so a host with most of the pages is summed up before the shuffle.
+elsewhere. A page that declares its article gives ``main`` blocks, other pages ``other`` blocks, both without what repeats.
 
-A page that declares its article gives the article's blocks only, since what an article quotes may well repeat; other pages
-give what repetition and the marks leave. Pages whose marks decide alone are not shuffled.
+What repeats is found per host. Pages of equal ``main`` and ``other`` blocks are one page there, so copies are no evidence. A
+block is boilerplate as a whole, or a maximal run of ``LONG`` words or more inside it is, when it recurs on ``PAGES``
+different pages of the host and on one in ``SHARE`` of them. Suffixes of blocks are compared to the depth of ``LONG`` words by hash.
+Most are never counted: a run that recurs takes the smallest hash of its substrings of ``DEPTH`` words along, so only suffixes whose smallest
+one recurs as often are. Where repetition would leave less than one in ``LEFT`` of a page's words, the page is taken for one of a
+family of near copies and stays whole.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own name, empty; unclosed and unmatched tags, broken
 attributes, cut-off pages and unknown references are read as browsers do, as far as text goes; rows that share a page_id are
-one page for repetition and are reported one by one; an empty table gives no rows; further columns are ignored.
+one page for repetition (one of its texts counts) and are reported one by one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from urllib.parse import urlsplit
@@ -27,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import NOT_SPACE, byte_prefix, materialise, mix, span_hash, text_of, words_of
+from .winnow import bounded
 
-#: Tokens of a repeated substring, at least.
-DEPTH = 6
+#: Words of the substrings that stand for a repeated run, and of a run that is long.
+DEPTH, LONG = 6, 20
+#: Boilerplate recurs on so many different pages of a host, and on one in so many of them; one in so many words of a page is left.
+PAGES, SHARE, LEFT = 3, 2, 10
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*$""", re.S)
 NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -123,79 +127,120 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _print(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, row, host, text, outer, undecided): the article's text, or null where repetition has to decide; outer blocks by mark."""
+    """(page_id, url, row, host, stream, keep, texts): blocks of each page and whether they are its text; host and stream are hashes."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                hosts, texts, outer = [], [], []
+                hosts, streams, keep, texts = [], [], [], []
                 for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     blocks, declared = blocks_of(page or "")
-                    open_ones = not declared and any(mark == "other" for mark, _ in blocks)
-                    hosts.append(host_of(url))
-                    texts.append(None if open_ones else " ".join(x for mark, x in blocks if mark == "main"))
-                    outer.append([{"keep": open_ones and mark == "other", "text": x} for mark, x in blocks if mark != "main"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(outer, pa.list_(pa.struct([("keep", pa.bool_()), ("text", pa.string())])))], names=["page_id", "url", "row", "host", "text", "outer"])
+                    host = host_of(url)
+                    hosts.append(_print(host))
+                    streams.append(_print(host, *(x for mark, x in blocks if mark != "cut")))
+                    keep.append([mark == ("main" if declared else "other") for mark, _ in blocks])
+                    texts.append([x for _, x in blocks])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(keep, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "stream", "keep", "texts"])
 
     rows = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
-    return rows.select("page_id", "url", "html", "row").mapInArrow(run, "page_id bigint, url string, row bigint, host string, text string, outer array<struct<keep:boolean,text:string>>")
-
-
-def suffixes(parsed: DataFrame, depth: int) -> DataFrame:
-    """(suffix, page_id, row, pos, wanted): the first tokens of every suffix of a page's outer stream, hashed with the host."""
-    # a block is a mark and its words, so that runs may go on over blocks but the words of two blocks are told apart
-    words = F.flatten(F.transform("outer", lambda b: F.concat(F.array(F.lit("\n")), F.split(b["text"], " "))))
-    stream = parsed.select("page_id", "row", "host", F.exists("outer", lambda b: b["keep"]).alias("wanted"), words.alias("w")).where(F.size("w") >= depth)
-    places = stream.select("page_id", "row", "host", "wanted", "w", F.explode(F.sequence(F.lit(0), F.size("w") - depth)).alias("pos"))
-    return places.select(F.xxhash64("host", F.slice("w", F.col("pos") + 1, depth)).alias("suffix"), "page_id", "row", "pos", "wanted")
-
-
-def repeated_places(parsed: DataFrame, depth: int) -> DataFrame:
-    """(row, places): where in a page's outer stream substrings begin that other pages of the host have too."""
-    every = suffixes(parsed, depth)
-    page = F.coalesce("page_id", F.lit(-1))
-    repeated = every.groupBy("suffix").agg(F.min(page).alias("low"), F.max(page).alias("high")).where("low <> high").select("suffix")
-    return every.where("wanted").join(repeated, "suffix").groupBy("row").agg(F.collect_set("pos").alias("places"))
-
-
-def covered_words(outer: list[dict], places: list[int] | None, depth: int) -> list[np.ndarray]:
-    """Of each block, which words repeated runs cover: a run takes a whole block, or ``depth`` tokens of it or more."""
-    begins = np.sort(np.array(places or [], np.int64))
-    first = np.flatnonzero(np.diff(begins, prepend=-2) > 1)
-    ends = begins[np.append(first[1:], len(begins)) - 1] + depth if len(begins) else begins
-    begins, out, at = begins[first], [], 1
-    for b in outer:
-        n = b["text"].count(" ") + 1
-        hit = np.zeros(n, bool)
-        for k in range(np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + n)):
-            low, high = max(begins[k] - at, 0), min(ends[k] - at, n)
-            if high - low == n or high - low >= depth:
-                hit[low:high] = True
-        out.append(hit)
-        at += n + 1
-    return out
-
-
-def unique_runs(undecided: DataFrame, depth: int) -> DataFrame:
-    """(page_id, url, text): the words of undecided blocks that no repeated substring covers."""
+    return rows.select("page_id", "url", "html", "row").mapInArrow(run, "page_id bigint, url string, row bigint, host bigint, stream bigint, keep array<boolean>, texts array<string>")
+
+
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k neighbouring words from those of the words."""
+    n = max(len(words) - k + 1, 0)
+    acc = np.zeros(n, np.uint64)
+    for j in range(k):
+        acc += words[j : j + n] * np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 + 2 * j & 0xFFFFFFFFFFFFFFFF | 1)
+    return mix(acc)
+
+
+def suffixes(texts: list[str], depth: int, long: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The hash of each block, and per block those of its suffixes' first ``long`` words, each with the smallest hash of ``depth`` words in them."""
+    data = [x.encode() for x in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    prefix = byte_prefix(raw)
+    starts, ends, row = words_of(raw, offsets, NOT_SPACE)
+    words = span_hash(prefix, starts, ends)
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(first, first[1:]):
+        if b - a < long:
+            out.append((np.zeros(0, np.int64),) * 2)
+            continue
+        least = np.lib.stride_tricks.sliding_window_view(_grams(words[a:b], depth), long - depth + 1).min(1)
+        out.append((_grams(words[a:b], long).view(np.int64), least.view(np.int64)))
+    return span_hash(prefix, offsets[:-1], offsets[1:]).view(np.int64), out
+
+
+def recurring(blocks: DataFrame, pages: DataFrame, hosts: DataFrame, keys_of) -> DataFrame:
+    """(host, keys): the keys that recur on enough different pages of each host; ``keys_of`` gives those of a page's texts and known keys."""
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for outer, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                marks = covered_words(outer, places, depth)
-                texts.append(" ".join(w for b, hit in zip(outer, marks) if b["keep"] for w, c in zip(b["text"].split(" "), hit) if not c))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return undecided.select("page_id", "url", "outer", "places").mapInArrow(run, "page_id bigint, url string, text string")
+            keys = [np.unique(keys_of(texts, known)) for texts, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "keys"])
+
+    every = blocks.select("row", "host", "texts", "known").mapInArrow(run, "row bigint, host bigint, keys array<bigint>").where(F.size("keys") > 0)
+    # rows that are the same have one key of row: one of them counts
+    one = pages.join(every.withColumnRenamed("row", "r"), (F.col("row") == F.col("r")), "inner").select("row", "host", F.explode("keys").alias("key"))
+    counts = one.groupBy("host", "key").agg(F.count("*").alias("c")).where(F.col("c") >= PAGES)
+    enough = counts.join(hosts, "host").where(F.col("c") * SHARE >= F.col("n"))
+    return materialise(enough.groupBy("host").agg(F.collect_list("key").alias("keys")), "recurring")
+
+
+def uncovered(keep: list[bool], texts: list[str], keys: list[int] | None, runs: list[int] | None, depth: int, long: int) -> str:
+    """The words of a page's text that nothing recurring covers."""
+    words = [x.split(" ") for x in texts]
+    hits = [np.zeros(len(w), bool) for w in words]
+    if keys and texts:
+        whole, inner = suffixes(texts, depth, long)
+        for i, hit in enumerate(hits):
+            hit[:] = whole[i] in keys
+            for at in np.flatnonzero(np.isin(inner[i][0], runs or [])):
+                hit[at : at + long] = True
+    total = sum(len(w) for k, w in zip(keep, words) if k)
+    left = sum(int((~hit).sum()) for k, hit in zip(keep, hits) if k)
+    if left * LEFT < total:
+        hits = [np.zeros(len(w), bool) for w in words]
+    return " ".join(x for k, w, hit in zip(keep, words, hits) if k for x, c in zip(w, hit) if not c)
+
+
+def main_text(pages: DataFrame, depth: int = DEPTH, long: int = LONG) -> DataFrame:
+    """Per page: page_id, url, text, n_chars."""
+    blocks = materialise(parse_pages(pages), "blocks", compression="zstd")
+    # one row for each different page: equal streams first, then texts of one page_id
+    streams = blocks.groupBy("stream").agg(F.min(F.struct("row", "page_id", "host")).alias("x")).select("x.*")
+    different = materialise(streams.groupBy(F.coalesce("page_id", "row").alias("page"), "host").agg(F.min("row").alias("row")), "different")
+    hosts = materialise(different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES), "hosts")
+    different = different.select("row").distinct()
+    hosts = bounded(hosts, hosts.count())
+
+    def first_keys(texts, _):
+        whole, inner = suffixes(texts, depth, long)
+        return np.concatenate([whole, *(x[1] for x in inner)])
+
+    def run_keys(texts, known):
+        return np.concatenate([np.zeros(0, np.int64), *(x[0][np.isin(x[1], known)] for x in suffixes(texts, depth, long)[1])])
+
+    keys = recurring(blocks.join(hosts, "host", "left_semi").withColumn("known", F.array().cast("array<bigint>")), different, hosts, first_keys)
+    keys = bounded(keys, keys.count())
+    known = blocks.join(keys.withColumnRenamed("keys", "known"), "host")
+    runs = recurring(known, different, hosts, run_keys)
+    runs = bounded(runs, runs.count())
 
+    def run(batches):
+        for batch in batches:
+            texts = [uncovered(*x, depth, long) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-def main_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
-    parsed = parse_pages(pages)
-    outer = materialise(parsed.select("page_id", "url", "row", "host", "outer", F.col("text").isNull().alias("undecided")), "outer", compression="zstd")
-    open_ones = outer.where("undecided").join(repeated_places(outer, depth).withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(unique_runs(open_ones, depth))
+    every = blocks.join(keys, "host", "left").join(runs.withColumnRenamed("keys", "runs"), "host", "left")
+    out = every.select("page_id", "url", "keep", "texts", "keys", "runs").mapInArrow(run, "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
