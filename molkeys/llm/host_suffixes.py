@@ -37,29 +37,49 @@ DEPTH, LONG = 6, 20
 PAGES, SHARE, LEFT = 3, 2, 10
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*$""", re.S)
-NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 # Fixed values of HTML and of common class names.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CUT = frozenset("nav footer aside form script style noscript template head button select textarea iframe dialog menu svg canvas object title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer header masthead comment comments disqus respond reply replies newsletter subscribe signup login popup modal overlay share sharing social related recommended search toolbar copyright pagination skip".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer header masthead comment comments disqus respond reply replies newsletter subscribe signup login popup modal overlay share sharing social related recommended search toolbar copyright pagination skip site-header site-footer site-nav site-navigation main-nav main-menu main-navigation page-footer ad-slot ad-banner ad-container cookie-banner cookie-notice cookie-consent social-share share-buttons skip-link related-posts".split())
+#: Elements whose own marks say nothing of the text in them.
+ROOTS = frozenset("html body main article".split())
 
 
 def _marked(attributes: str) -> bool:
-    for m in NAME.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "role" and value.strip().lower() in ROLES:
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in MARKS for w in WORD.findall(value)):
+        if name in ("class", "id") and not MARKS.isdisjoint(value.split()):
             return True
     return False
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
-    """(mark, text) of the blocks of a page in order, and whether it declares an article."""
+    """(mark, text) of the blocks of a page in order, and whether it declares an article.
+
+    Marks of an element with a main element in it are ignored, as are those of one with an article where no other is declared: comments
+    and cards are articles too.
+    """
+    out, declared, mains, articles = _blocks(page, frozenset())
+    if mains:
+        out, declared, _, articles = _blocks(page, mains)
+    if articles and not declared:
+        out, declared, _, _ = _blocks(page, mains | articles)
+    return out, declared
+
+
+def _blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, str]], bool, frozenset[int], frozenset[int]]:
+    """The blocks, whether an article is declared, and where the marked elements with a main element or an article in them begin.
+
+    Marks of elements that begin at ``unmarked`` are ignored.
+    """
+    marked: list[int] = []  # of each element of the stack, where it begins if it is marked, or -1
+    holders: dict[str, set[int]] = {"main": set(), "article": set()}
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, cut, main
     parts: list[str] = []
@@ -80,7 +100,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at = m.end()
+        begin, at = m.start(), m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -95,29 +115,35 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
                     close()
                 while stack.pop()[0] != name:
                     pass
+                del marked[len(stack) :]
                 _, cut, main = stack[-1] if stack else ("", False, False)
             elif block:
                 close()
             continue
-        new_cut = cut or name in CUT or name == "header" and not main or _marked(attributes)
+        by_mark = name not in ROOTS and begin not in unmarked and _marked(attributes)
+        new_cut = cut or name in CUT or name == "header" and not main or by_mark
         new_main = main or name in ("article", "main")
         if block or new_cut != cut:
             close()
         if block and stack and any(x[0] == "p" for x in stack):
             while stack.pop()[0] != "p":
                 pass
+            del marked[len(stack) :]
             _, cut, main = stack[-1] if stack else ("", False, False)
-            new_cut = cut or name in CUT or name == "header" and not main or _marked(attributes)
+            new_cut = cut or name in CUT or name == "header" and not main or by_mark
             new_main = main or name in ("article", "main")
         declared |= new_main and not new_cut
+        if name in holders:
+            holders[name].update(x for x in marked if x >= 0)
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
         elif name not in VOID and not attributes.rstrip().endswith("/") or name in BLOCKS and name != "hr":
             stack.append((name, new_cut, new_main))
+            marked.append(begin if by_mark else -1)
             cut, main = new_cut, new_main
     close()
-    return out, declared
+    return out, declared, frozenset(holders["main"]), frozenset(holders["article"])
 
 
 def host_of(url: str | None) -> str:

@@ -66,3 +66,34 @@ def test_shares_of_a_host(spark):
     passage = words(40)
     pages = [("", [words(30), passage] if i < 4 else [words(30)]) for i in range(10)] + [("c", [MENU, words(20)]) for _ in range(2)]
     assert passage in check(spark, pages)[0]
+
+
+def text_of(page):
+    blocks, declared = host_suffixes.blocks_of(page)
+    return " ".join(x for mark, x in blocks if mark == ("main" if declared else "other"))
+
+
+def test_marks_around_an_article_are_ignored():
+    for page in (
+        "<body class='has-sidebar'><article>T x</article>",
+        "<html class=search><body id='search' hidden><article>T x</article>",
+        "<main class='search-results'>T x</main>",
+        "<main class='search'>T x</main>",
+        "<article id='notice-3'>T x</article>",
+        "<article class='notice'>T x</article>",
+        "<div class='with-comments'><article>T x</article></div>",
+        "<div class='comments'><div role='search'><article>T x</article></div></div>",
+        "<div class='sidebar'><main>T x</main></div>",
+        "<article><div class='article-header'>T</div>x</article>",
+        "<article>T x</article><div class='comments'><article class='comment'>c</article></div>",
+        "<article>T <div class='comments'>c</div>x</article>",
+    ):
+        assert text_of(page) == "T x", page
+
+
+def test_values_are_not_read_as_names():
+    for attributes in (' style="overflow: hidden"', " title='the hidden class=ad one'", " data-x=hidden", ' alt = "a role=navigation"', ' data-class="ad"'):
+        assert not host_suffixes._marked(attributes), attributes
+    for attributes in (" hidden", ' hidden=""', " CLASS=Ad", ' class="x ad y"', " id = 'footer'", " role=navigation/", ' title="x"class="ad"'):
+        assert host_suffixes._marked(attributes) == (attributes != " role=navigation/"), attributes
+    assert text_of("<body><div style='overflow: hidden'>a</div><div hidden>b</div>") == "a"
