@@ -52,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: numbers of units and tokens, the hash of its ids, and whether they decode to the text."""
+    """Per row: numbers of units and tokens, the hash of its ids, whether they decode to the text, and the ids in order."""
     return lattice.encode_summary(docs, lattice.load_model(tokenizer_file("piece_bpe_32k.model")))
 
 

@@ -3,8 +3,9 @@
 Texts are escaped as the model does (a space is U+2581, one is put in front) and cut into units where no piece of the
 vocabulary can cross: the piece table decides which neighbouring kinds of characters ever share a piece. Distinct units
 are exploded into substrings of bounded length and joined to the piece table; the edges are grouped by unit and folded
-with a higher-order aggregate. Each distinct unit is thus encoded once. Occurrences of the ``COMMON`` most frequent units meet
-their ids by a broadcast of that bounded table, all others by a shuffled join.
+with a higher-order aggregate. Each distinct unit is thus encoded once. The units of a row meet
+their ids in order: the ``COMMON`` most frequent ones by a broadcast of that bounded table, all others by a shuffled join that
+fills the gaps of their rows. The ids of every row are then decoded and compared with its text.
 
 Two folds are there. ``viterbi`` is the best path by summed scores, for unigram models. For a BPE model the best path is
 not what the library gives; there ``merges`` folds over merge steps: the edge of best score, leftmost of equals, that joins
@@ -12,17 +13,20 @@ exactly two current symbols. Boundaries are the bits of a long, so it takes unit
 take the same merges with a heap in a Python task. A character without a piece becomes its bytes.
 
 Cases: null or empty texts have no ids; U+2581 in a text is read as a space, as by the library, so such texts come back
-with spaces; repeated rows are encoded each, and rows that share a doc_id add up; texts and units may be of any length; an
+with spaces and are not exact; repeated rows and rows that share a doc_id are encoded and reported each; texts and units may be of any length; an
 empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,12 +110,15 @@ def unit_pattern(model: Model) -> str:
     return f"{lead['letter']}\\p{{L}}+|{lead['digit']}{digit}|{lead['mark']}[^{SPACE}\\p{{L}}\\p{{Nd}}]+|{SPACE}+"
 
 
+def _unit_array(text: Column, model: Model) -> Column:
+    escaped = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
+    return F.regexp_extract_all(escaped, F.lit(unit_pattern(model)), F.lit(0))
+
+
 def units(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, pos, unit): the units of every whole text in order."""
     text = text_of("text")
-    escaped = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    found = F.regexp_extract_all(escaped, F.lit(unit_pattern(model)), F.lit(0))
-    return docs.where(text != "").select("doc_id", F.posexplode(found).alias("pos", "unit"))
+    return docs.where(text != "").select("doc_id", F.posexplode(_unit_array(text, model)).alias("pos", "unit"))
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -243,15 +250,8 @@ def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
     return short.unionByName(distinct.where(F.char_length("unit") > LONGEST).select("unit", "n").mapInArrow(run, "unit string, n bigint, ids array<int>"))
 
 
-def decoded(ids: str, model: Model) -> Column:
-    """The text of an array of ids, pieces and bytes alike; the vocabulary is a constant of the expression."""
-    table = {i: p.encode().hex() for p, i, _ in model.pieces} | {model.byte_base + b: f"{b:02x}" for b in range(256)}
-    hexes = F.split(F.lit(",".join(table.get(i, "") for i in range(max(table) + 1))), ",")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "UTF-8")
-
-
 def vocabulary(docs: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids, exact): all distinct units with their frequency, ids, and whether the ids decode to them.
+    """(unit, n, ids): all distinct units with their frequency and ids.
 
     Units are dealt to as many tasks as keep the lists of a task's edges in memory.
     """
@@ -262,7 +262,7 @@ def vocabulary(docs: DataFrame, model: Model) -> DataFrame:
     spark.conf.set(name, str(4 * TASK_UNITS))
     try:
         ids = encode_units(counted.repartition(parts, "unit"), model)
-        known = materialise(ids.select("unit", "n", "ids", (decoded("ids", model) == F.col("unit")).alias("exact")), "vocabulary")
+        known = materialise(ids.select("unit", "n", "ids"), "vocabulary")
     finally:
         spark.conf.set(name, before)
     forget(counted)
@@ -281,23 +281,85 @@ def token_arrays(encoded: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
 
 
-def encode_summary(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: n_units, n_tokens, ids_hash (of all ids in order, by place), exact (whether they decode to the text).
+def _texts_of(model: Model):
+    """A function of ids that gives their text as the library does: a space for U+2581, without the one that was put in front."""
+    table = {i: p.encode() for p, i, _ in model.pieces} | {model.byte_base + b: bytes([b]) for b in range(256)}
+
+    def text(ids: list[int]) -> str:
+        return b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+
+    return text
+
+
+def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_units, ids, exact) of every row: its ids in order, and whether they decode to its own text.
 
-    Common units are summed up where the text is read; only the others are shuffled, once, with their places.
+    A row with gaps is shuffled once, as packed ids and a digest of its text that the decoded text is compared by.
     """
-    known = vocabulary(docs, model)
-    common = known.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids", "exact")
-    places = units(docs, model).join(F.broadcast(common), "unit", "left")
-    hit = F.col("ids").isNotNull()
-    rare = F.when(~hit, F.col("unit"))
-    mixed = places.select("doc_id", rare.alias("unit"), F.when(~hit, F.col("pos")).alias("pos"), F.when(hit, F.size("ids")).alias("k"), F.when(hit, F.xxhash64("pos", "ids")).alias("h"), F.col("exact").cast("int").alias("e"))
-    mixed = mixed.groupBy("doc_id", "unit", "pos").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.bit_xor("h").alias("h"), F.min("e").alias("e"))
-    left = known.select("unit", F.size("ids").alias("k2"), "ids", F.col("exact").cast("int").alias("e2"))
-    done = mixed.where("unit is null").select("doc_id", "n", "k", "h", "e")
-    late = mixed.where("unit is not null").join(left, "unit").select("doc_id", "n", (F.col("k2") * F.col("n")).alias("k"), F.when(F.col("n") % 2 == 1, F.xxhash64("pos", "ids")).otherwise(F.lit(0).cast("bigint")).alias("h"), F.col("e2").alias("e"))
-    parts = done.unionByName(late).groupBy("doc_id").agg(F.sum("n").alias("n_units"), F.sum("k").cast("long").alias("n_tokens"), F.bit_xor("h").alias("ids_hash"), (F.min("e") == 1).alias("exact"))
-    ids = docs.select("doc_id").withColumnRenamed("doc_id", "id")
-    zero = F.lit(0).cast("long")
-    out = ids.join(parts, F.col("id").eqNullSafe(F.col("doc_id")), "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_units", zero).alias("n_units"), F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("ids_hash", zero).alias("ids_hash"), F.coalesce("exact", F.lit(True)).alias("exact"))
+    known = vocabulary(docs, model).select("unit", "n", "ids")
+    common = docs.sparkSession.sparkContext.broadcast(known.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids").toArrow())
+    text_from = _texts_of(model)
+
+    def digest(text: str) -> bytes:
+        return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+    kinds = "row bigint, doc_id bigint, n_units bigint, ids array<int>, exact boolean, digest binary, packed binary, gaps array<struct<at:int,unit:string>>"
+
+    def run(batches):
+        table = common.value
+        packer = zstandard.ZstdCompressor()
+        ids_of = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                n_units, ids, exact, digests, packed, gaps = [], [], [], [], [], []
+                for text, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    own, open_ones = [], []
+                    for u in found:
+                        known_ids = ids_of.get(u)
+                        if known_ids is None:
+                            open_ones.append({"at": len(own), "unit": u})
+                        else:
+                            own += known_ids
+                    n_units.append(len(found))
+                    ids.append(None if open_ones else own)
+                    exact.append(None if open_ones else text_from(own) == text)
+                    digests.append(digest(text) if open_ones else None)
+                    packed.append(packer.compress(np.array(own, "<u4").tobytes()) if open_ones else None)
+                    gaps.append(open_ones)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_units, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(gaps, pa.list_(pa.struct([("at", pa.int32()), ("unit", pa.string())])))], names=["row", "doc_id", "n_units", "ids", "exact", "digest", "packed", "gaps"])
+
+    def fill(batches):
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                ids, exact = [], []
+                for print_of, data, found in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
+                    own = np.frombuffer(opener.decompress(data), "<u4").tolist()
+                    out, at = [], 0
+                    for x in found:
+                        out += own[at : x["at"]]
+                        out += x["ids"]
+                        at = x["at"]
+                    out += own[at:]
+                    ids.append(out)
+                    exact.append(digest(text_from(out)) == print_of)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], names=["doc_id", "n_units", "ids", "exact"])
+
+    text = text_of("text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), text.alias("text"), F.when(text != "", _unit_array(text, model)).otherwise(F.array().cast("array<string>")).alias("found"))
+    # the keys of rows hold from here on, since they are written
+    coded = materialise(rows.mapInArrow(run, kinds), "coded", compression="zstd")
+    gaps = coded.where(F.size("gaps") > 0).select("row", F.posexplode("gaps").alias("nth", "gap")).select("row", "nth", "gap.at", "gap.unit")
+    filled = gaps.join(known.select("unit", F.col("ids").alias("unit_ids")), "unit")
+    filled = filled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "at", F.col("unit_ids").alias("ids")))).alias("found"))
+    late = coded.where(F.size("gaps") > 0).join(filled, "row").select("doc_id", "n_units", "digest", "packed", "found").mapInArrow(fill, "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
+    return coded.where(F.size("gaps") == 0).select("doc_id", "n_units", "ids", "exact").unionByName(late)
+
+
+def encode_summary(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, n_units, n_tokens, ids_hash (of the ids in their order), exact (whether they decode to the text), ids."""
+    rows = encode_rows(docs, model)
+    ids_hash = F.when(F.size("ids") > 0, F.xxhash64("ids")).otherwise(F.lit(0).cast("bigint"))
+    return rows.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_tokens"), ids_hash.alias("ids_hash"), "exact", "ids")
