@@ -201,9 +201,11 @@ def parsed_identifiers(spark, sf_dir) -> Frame:
 
 
 def label_join(spark, sf_dir) -> Frame:
-    n = _names(spark, sf_dir).where("c_custkey % 5 = 0")
+    n = _names(spark, sf_dir)
     seq = F.split("identifier", "_")
-    known = n.select(F.concat_ws("_", seq[2], seq[0], seq[1], seq[3]).alias("identifier"), F.when(F.col("c_custkey") % 2 == 0, "CI").otherwise("NCI").alias("label"))
+    # labels know the four-part identifiers in the other order of their parts, all others as they are
+    other = F.when(F.col("c_custkey") % 5 == 0, F.concat_ws("_", seq[2], seq[0], seq[1], seq[3])).otherwise(F.col("identifier"))
+    known = n.select(other.alias("identifier"), F.when(F.col("c_custkey") % 2 == 0, "CI").otherwise("NCI").alias("label"))
     return labels.label_identifiers(n.select("identifier"), known.where(F.crc32(F.col("identifier").cast("binary")) % 4 != 0))
 
 
@@ -238,7 +240,7 @@ def split_sizes(spark, sf_dir) -> Frame:
 
 
 def grouped_split(spark, sf_dir) -> Frame:
-    d = labels.grouped_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source", tries=64)
+    d = labels.grouped_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source")
     return labels.split_report(d, "lang", "source")
 
 
@@ -274,7 +276,7 @@ def missing_report(spark, sf_dir) -> Frame:
     return models.missing_report(models.numeric(c, ["c_mktsegment", "balance"]), ["c_mktsegment", "balance"])
 
 
-FEATURES = [f"f{i}" for i in range(8)]
+FEATURES = [f"f{i}" for i in range(64)]
 
 
 def _features(spark, sf_dir) -> DataFrame:
@@ -285,16 +287,16 @@ def _features(spark, sf_dir) -> DataFrame:
 def forest_predictions(spark, sf_dir) -> Frame:
     rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
     train = rows.where("split = 'train'")
-    state = models.fit_preprocessor(train, FEATURES, scaler="none")
-    model = models.train(train, state, models.classifier("random_forest", numTrees=20, maxDepth=5))
+    state = models.fit_preprocessor(train, FEATURES, least_total=float("-inf"), scaler="none")
+    model = models.train(train, state, models.classifier("random_forest"))
     return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
 def logistic_predictions(spark, sf_dir) -> Frame:
     rows = labels.class_weights(labels.stratified_split(_features(spark, sf_dir), "label", "vec_id"), "label")
     train = rows.where("split = 'train'")
-    state = models.fit_preprocessor(train, FEATURES)
-    model = models.train(train, state, models.classifier("logistic_regression", weight="weight", maxIter=50))
+    state = models.fit_preprocessor(train, FEATURES, least_total=float("-inf"))
+    model = models.train(train, state, models.classifier("logistic_regression", weight="weight"))
     return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
