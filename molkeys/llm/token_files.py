@@ -41,7 +41,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         _WORKERS[path] = (t, {}, {})
     return _WORKERS[path]
 
@@ -98,9 +97,9 @@ def _learn(t, known: dict, lead: str, parts: set[str]) -> dict:
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, by the tokenizers library without special tokens.
+    """Little-endian unsigned 32-bit ids of each text, by the tokenizers library without adding special tokens.
 
-    The tokenizer's pattern always starts a new piece at a single line end, after it, and at a single space, so a text
+    The literal of a special token in a text is that token, as by the library's default. The tokenizer's pattern always starts a new piece at a single line end, after it, and at a single space, so a text
     without other white space is cut there and each distinct part is encoded once; any other text is encoded whole.
     """
     t, first, inner = _tokenizer(path)
@@ -108,8 +107,9 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     heads: set[str] = set()
     tails: set[str] = set()
     odd = []
+    specials = [a.content for a in t.get_added_tokens_decoder().values()]
     for x in texts:
-        if not x or x[0].isspace() or x[-1].isspace() or any(pair in x for pair in _PAIRS) or any(map(x.__contains__, _SPACES)):
+        if not x or any(map(x.__contains__, specials)) or x[0].isspace() or x[-1].isspace() or any(pair in x for pair in _PAIRS) or any(map(x.__contains__, _SPACES)):
             odd.append(x)
             cut.append(None)
             continue
