@@ -15,6 +15,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from urllib.parse import quote
 
@@ -140,7 +141,10 @@ RECORD = "page_id bigint, record_type string, payload_digest string, payload_byt
 
 
 def read_bundles(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """All records of the bundles under ``path`` with their places; payloads only if asked for."""
+    """All records of the bundles under ``path`` with their places; payloads only if asked for.
+
+    Digest and length are those of the payload that was read; a revisit has those of the response that it refers to, or null.
+    """
 
     def number(urn: str | None):
         return None if urn is None or urn.endswith(":None>") else int(urn[len("<urn:page:") : -1])
@@ -153,13 +157,20 @@ def read_bundles(spark: SparkSession, path: str, payloads: bool = False) -> Data
                 for k, (at, packed, _) in enumerate(read_seek_table(bundle)):
                     out = []
                     for offset, head, http, payload in parse_records(opener.decompress(bundle[at : at + packed])):
-                        digest = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex()
-                        out.append((number(head["WARC-Record-ID"]), head["WARC-Type"], digest, int(http["Content-Length"]), number(head.get("WARC-Refers-To")), name, k, at, offset, payload if payloads else None))
+                        claimed = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex()
+                        stored = head["WARC-Type"] == "response"
+                        digest, size = (hashlib.sha1(payload).hexdigest(), len(payload)) if stored else (None, None)
+                        out.append((number(head["WARC-Record-ID"]), head["WARC-Type"], digest, size, number(head.get("WARC-Refers-To")), name, k, at, offset, payload if payloads else None, claimed))
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in RECORD.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=[*(x.split()[0] for x in RECORD.split(", ")), "claimed"])
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return files.where("length > 0").select("path", "content").mapInArrow(records, RECORD)
+    every = files.where("length > 0").select("path", "content").mapInArrow(records, f"{RECORD}, claimed string")
+    # rows that share a page_id may be responses of different payloads: the digest in the header tells them apart
+    kept = every.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "claimed").agg(F.min(F.struct(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n"))).alias("kept"))
+    revisits = every.where("record_type <> 'response'").join(kept, ["refers_to", "claimed"], "left").withColumns({"payload_digest": F.col("kept.d"), "payload_bytes": F.col("kept.n")})
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    return every.where("record_type = 'response'").select(*names).unionByName(revisits.select(*names))
 
 
 def record_index(spark: SparkSession, path: str) -> DataFrame:
