@@ -7,14 +7,16 @@ tokens of a bounded sample of labelled documents: in a toxic document, the words
 word's marginal; a document's score is a logistic function of the marginals' sum and maximum, fitted on the same sample,
 and its offending offsets are the runs of words whose marginal reaches one half.
 
-Fitting is one task over at most ``TOXIC_SAMPLE`` + ``CLEAN_SAMPLE`` documents, the first by hash of doc_id; scoring
-covers every whole text. Sentences end at . ! ? and line ends; longer ones go on as a further chain after ``CHAIN``
+Fitting is one task over a bounded sample of the documents that have labels: at most ``TOXIC_SAMPLE`` + ``CLEAN_SAMPLE`` of
+them, the first by hash of doc_id, with ``SAMPLE_BYTES`` of text for each label and none over ``SAMPLE_LONGEST``; some 2 million
+words, held as 32-bit features. Scoring covers every whole text. Sentences end at . ! ? and line ends; longer ones go on as a further chain after ``CHAIN``
 words. Only the text is an input of a score.
 
 Cases: a null or empty text, or one without words, has no spans and gets the score of such texts; labels that are null or
 neither 0 nor 1 are left out, and of several labels of a document the largest counts; without toxic or clean training
-documents every score is the smoothed share of toxic ones; repeated rows are scored one by one; an empty table gives no
-rows; further columns are ignored.
+documents every score is the smoothed share of toxic ones; of texts that share a doc_id the smallest is learnt from; repeated
+rows are scored one by one; a null doc_id is never learnt from and its held_out is null; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, byte_prefix, mix, span_hash, steps, string_buffer, text_of, words_of
 
+#: Bounds of the sample: documents of each label, bytes of text for each label, bytes of a document.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
+SAMPLE_BYTES, SAMPLE_LONGEST = 8 << 20, 256 << 10
 #: Hashed features, words of a chain, times that a toxic feature must be more frequent, and the likelihood ratio (twice its
 #: logarithm; one in a million by chance) that the difference must reach.
 FEATURES, CHAIN, RATIO, GAIN = 1 << 18, 64, 12.0, 24.0
@@ -63,11 +67,11 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray):
     low = lowered(raw)
     starts, ends, row = words_of(low, offsets, INSIDE)
     pre = byte_prefix(low)
-    feats = np.empty((len(starts), len(PREFIXES) + 1), np.int64)
-    feats[:, 0] = (mix(span_hash(pre, starts, ends)) & np.uint64(FEATURES - 1)).astype(np.int64)
+    feats = np.empty((len(starts), len(PREFIXES) + 1), np.int32)
+    feats[:, 0] = mix(span_hash(pre, starts, ends)) & np.uint64(FEATURES - 1)
     for k, n in enumerate(PREFIXES, 1):
         h = mix(span_hash(pre, starts, np.minimum(starts + n, ends)) + np.uint64(k))
-        feats[:, k] = np.where(starts + n <= ends, (h & np.uint64(FEATURES - 1)).astype(np.int64), 0)  # 0: no such prefix
+        feats[:, k] = np.where(starts + n <= ends, h & np.uint64(FEATURES - 1), 0)  # 0: no such prefix
     stops = np.concatenate([[0], np.cumsum(STOP[low])])
     new = np.ones(len(starts), bool)
     if len(starts):
@@ -132,67 +136,98 @@ def doc_inputs(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.ones(rows), np.log1p(np.bincount(row, p, minlength=rows)), np.log(top / (1 - top))], 1)
 
 
-def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+@dataclass
+class Slab:
+    """Some whole documents of the sample: features of their words, rows, where chains begin, labels of documents and words."""
+
+    feats: np.ndarray
+    row: np.ndarray
+    heads: np.ndarray
+    toxic: np.ndarray
+    y: np.ndarray
+
+
+def slabs_of(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> list[Slab]:
+    out = []
+    for a, b in steps(offsets):
+        _, _, row, feats, heads = tokens_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        out.append(Slab(feats, row.astype(np.int32), heads, toxic[a:b], np.zeros(len(row), np.int8)))
+    return out
+
+
+def label_tokens(slabs: list[Slab]) -> None:
     """1 for words of toxic documents with a feature that marks such documents."""
-    share = []
-    for value in (1, 0):
-        docs = np.flatnonzero(toxic == value)
-        mine = np.isin(row, docs)
-        pairs = np.unique(np.repeat(row[mine], feats.shape[1]) * FEATURES + feats[mine].ravel())
-        share.append((np.bincount(pairs % FEATURES, minlength=FEATURES), len(docs)))
-    (with1, n1), (with0, n0) = share
+    counts = {1: np.zeros(FEATURES), 0: np.zeros(FEATURES)}
+    n1, n0 = (sum(int((s.toxic == v).sum()) for s in slabs) for v in (1, 0))
+    for s in slabs:
+        for value, total in counts.items():
+            mine = s.toxic[s.row] == value
+            pairs = np.unique(np.repeat(s.row[mine].astype(np.int64), s.feats.shape[1]) * FEATURES + s.feats[mine].ravel())
+            total += np.bincount(pairs % FEATURES, minlength=FEATURES)
+    with1, with0 = counts[1], counts[0]
     odds = (with1 + 0.5) / (n1 + 1) / ((with0 + 0.5) / (n0 + 1))
     all_with, base = with1 + with0, n1 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(with1 > 0, with1 * np.log(with1 / (all_with * base)), 0) + np.where(with0 > 0, with0 * np.log(with0 / (all_with * (1 - base))), 0))
     marks = (gain >= GAIN) & (odds >= RATIO)
     marks[0] = False
-    return (marks[feats].any(1) & (toxic[row] == 1)).astype(np.float64)
+    for s in slabs:
+        s.y = (marks[s.feats].any(1) & (s.toxic[s.row] == 1)).astype(np.int8)
 
 
 def fit(raw: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Crf:
-    """Adagrad on the penalised likelihood of the token labels, then a logistic fit of the documents."""
-    _, _, row, feats, heads = tokens_of(raw, offsets)
-    y = token_labels(feats, row, toxic)
-    first = np.zeros(len(y), bool)
-    first[heads] = True
-    inner = np.flatnonzero(~first)
-    seen = np.array([y[heads].sum(), ((1 - y[inner - 1]) * y[inner]).sum(), (y[inner - 1] * (1 - y[inner])).sum(), (y[inner - 1] * y[inner]).sum()])
-    used, local = np.unique(feats, return_inverse=True)
-    local = local.reshape(feats.shape)
-    w, chain = np.zeros(len(used)), np.array([-3.0, -3.0, 0.0, 0.0])
-    square_w, square_c = np.full(len(used), 1e-8), np.full(4, 1e-8)
+    """Adagrad on the penalised likelihood of the token labels, summed slab by slab, then a logistic fit of the documents."""
+    slabs = slabs_of(raw, offsets, toxic)
+    label_tokens(slabs)
+    seen, n_heads = np.zeros(4), sum(len(s.heads) for s in slabs)
+    for s in slabs:
+        first = np.zeros(len(s.y), bool)
+        first[s.heads] = True
+        inner = np.flatnonzero(~first)
+        before, now = s.y[inner - 1], s.y[inner]
+        seen += [s.y[s.heads].sum(), ((before == 0) & (now == 1)).sum(), ((before == 1) & (now == 0)).sum(), ((before == 1) & (now == 1)).sum()]
+    w, chain = np.zeros(FEATURES), np.array([-3.0, -3.0, 0.0, 0.0])
+    square_w, square_c = np.full(FEATURES, 1e-8), np.full(4, 1e-8)
     for _ in range(EPOCHS):
-        p, expected, _ = marginals(w[local].sum(1), heads, chain, moves=True)
-        rest = (y - p)[:, None] + np.zeros((1, feats.shape[1]))
-        grad = np.bincount(local.ravel(), rest.ravel(), minlength=len(used)) - DECAY * w * len(heads) / 100
-        grad[used == 0] = 0.0
+        grad, expected = -DECAY * w * n_heads / 100, np.zeros(4)
+        for s in slabs:
+            p, moves, _ = marginals(w[s.feats].sum(1), s.heads, chain, moves=True)
+            grad += np.bincount(s.feats.ravel(), np.repeat(s.y - p, s.feats.shape[1]), minlength=FEATURES)
+            expected += moves
+        grad[0] = 0.0
         move = seen - expected - DECAY * chain
         square_w += grad * grad
         square_c += move * move
         w += RATE * grad / np.sqrt(square_w)
         chain += RATE * move / np.sqrt(square_c)
-    weights = np.zeros(FEATURES)
-    weights[used] = w
-    x = doc_inputs(marginals(w[local].sum(1), heads, chain), row, len(toxic))
+    x = np.concatenate([doc_inputs(marginals(w[s.feats].sum(1), s.heads, chain), s.row, len(s.toxic)) for s in slabs])
     doc = np.zeros(3)
     for _ in range(25):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ doc, -30, 30)))
         hess = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
         doc += np.linalg.solve(hess, x.T @ (toxic - q) - 0.05 * doc)
-    return Crf(weights, chain, doc)
+    return Crf(w, chain, doc)
+
+
+def held_out(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def held_out(doc_id: str | Column) -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): the bounded sample of documents that are there, have a label and are not held out."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
+    there = docs.select("doc_id", F.octet_length(text_of("text")).alias("size")).where(F.col("size") <= SAMPLE_LONGEST).groupBy("doc_id").agg(F.max("size").alias("size"))
+    there = there.join(known, "doc_id").withColumn("chance", F.xxhash64("doc_id"))
+    first = [there.where(F.col("toxic") == value).orderBy("chance", "doc_id").limit(n) for value, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("chance", "doc_id"))  # at most CLEAN_SAMPLE narrow rows
+    return first[0].unionByName(first[1]).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Crf:
     """Fit on the bounded sample of labelled documents that are not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
-    first = lambda value, n: known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = first(1, TOXIC_SAMPLE).unionByName(first(0, CLEAN_SAMPLE))
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample), "doc_id")
+    text = text_of("text")
+    rows = docs.where(F.octet_length(text) <= SAMPLE_LONGEST).select("doc_id", text.alias("text")).join(F.broadcast(sample_of(docs, labels)), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches):
         held = list(batches)
@@ -204,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
             crf = Crf(np.zeros(FEATURES), np.zeros(4), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() if x is crf.weights else x.astype("<f8").tobytes()], pa.binary()) for x in (crf.weights, crf.chain, crf.doc)], names=["weights", "chain", "doc"])
 
-    one = rows.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "weights binary, chain binary, doc binary").first()
+    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, "weights binary, chain binary, doc binary").first()
     if one is None:
         return Crf(np.zeros(FEATURES), np.zeros(4), np.zeros(3))
     return Crf(np.frombuffer(one.weights, "<f4").astype(np.float64), np.frombuffer(one.chain, "<f8"), np.frombuffer(one.doc, "<f8"))
