@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ STEP_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a single machine where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="molkeys-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -28,10 +31,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Narrow rows that one task writes, where their number is known.
+ROWS_A_FILE = 250_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows`` is a bound of narrow rows, where one is known: a small table is then written as few files, however many tasks made it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -209,22 +221,24 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     thin = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(forest_of, "a bigint, b bigint")
-    cur = materialise(thin, name)
+    # forests are small beside what made them: as many files as the cluster has cores, twice
+    cur = materialise(thin.repartition(2 * edges.sparkSession.sparkContext.defaultParallelism), name)
     seen = print_of(cur)
-    for _ in range(rounds):
+    for _ in range(rounds if seen[0] else 0):
         few = cur.mapInArrow(forest_of, "a bigint, b bigint")
         both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low2, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = materialise(small.select("e.*").where("a <> b").distinct(), name)
+        new = materialise(small.select("e.*").where("a <> b").distinct(), name, rows=2 * seen[0])
         forget(cur)
         cur, before = new, seen
         seen = print_of(cur)
         if seen == before:
             break
     else:
-        raise RuntimeError("components have not settled")
+        if seen[0]:
+            raise RuntimeError("components have not settled")
     nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -20,6 +20,8 @@ null links with nothing and its component is null; an empty table gives no rows;
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,8 +34,8 @@ from .common import LOWER, connected_components, forest_of, forget, materialise,
 #: and the pieces that it is summed in.
 SKETCH, PIECES = 1 << 24, 64
 MOST = np.iinfo(np.uint16).max
-#: Sets of a block; a task holds two blocks at a time.
-BLOCK = 2048
+#: Sets of a block and bytes of their payloads; a task holds two blocks at a time.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Least and most bits of a document's bitmap; documents of a leaf node, and leaf nodes of an upper node.
 BITS, WIDEST, FAN = 1024, 1 << 20, 8
 #: Classes that a task remembers, to leave out copies.
@@ -318,18 +320,19 @@ def compare_units(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def deal_units(sets: DataFrame) -> DataFrame:
+def deal_units(sets: DataFrame, percent: int) -> DataFrame:
     """(unit, side, doc_id, n, data): a small group is one unit; of a large one, each pair of blocks that can link."""
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    totals = sets.groupBy("grp").agg(F.count("*").alias("total"))
-    rows = sets.join(totals, "grp").withColumn("level", F.when(F.col("total") > BLOCK, level).otherwise(0))
-    small = rows.where(F.col("total") <= BLOCK).select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "n", "data")
-    large = rows.where(F.col("total") > BLOCK)
-    sizes = large.groupBy("grp", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # sizes two or more levels apart differ by more than a link allows
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    size = F.octet_length("data").cast("bigint")
+    totals = sets.groupBy("grp").agg(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES).alias("total"))
+    rows = sets.join(totals, "grp").withColumn("level", F.when(F.col("total") > 1, level).otherwise(0))
+    small = rows.where(F.col("total") <= 1).select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "n", "data")
+    large = rows.where(F.col("total") > 1)
+    sizes = large.groupBy("grp", "level").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
     large = large.join(sizes, ["grp", "level"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     blocks = sizes.select("grp", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     other = blocks.select("grp", F.col("level").alias("level2"), F.col("block").alias("block2"))
-    # sizes two or more levels apart differ by more than a factor of 1.25
     pairs = blocks.join(other, "grp").where("level2 = level + 1 or (level2 = level and block2 >= block)")
     unit = F.xxhash64("grp", "level", "block", "level2", "block2")
     places = pairs.select(unit.alias("unit"), "grp", F.explode(F.array_distinct(F.array(F.struct("level", "block", F.lit(0).alias("side")), F.struct(F.col("level2").alias("level"), F.col("block2").alias("block"), F.when(F.expr("level = level2 and block = block2"), 0).otherwise(1).alias("side"))))).alias("p")).select("unit", "grp", "p.*")
@@ -338,29 +341,30 @@ def deal_units(sets: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per document: n_shingles, component_id (the smallest doc_id that links of at least ``percent`` reach)."""
-    if percent < 80:
-        raise ValueError("size levels are made for 80 percent or more")
+    if not 1 <= percent < 100:
+        raise ValueError("the similarity must be from 1 to 99 percent")
     docs = docs.select("doc_id", text_of("text").alias("text"))
     described = materialise(describe(docs, k), "sets")
     own = described.where("n >= 0").select("doc_id", "n", "cls")
-    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes", rows=own.count())
     tokens = heads(docs, sketch_of(described), k, percent)
     groups = connected_components(chains(tokens, percent), "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    active = materialise(groups.join(classes, "cls").where("rep is not null"), "active")
+    n_active = groups.count()
+    active = materialise(groups.join(classes, "cls").where("rep is not null"), "active", rows=n_active)
 
     def texts_of(some: DataFrame) -> DataFrame:
-        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        some = F.broadcast(some) if n_active <= BROADCAST_ROWS else some
         return docs.join(some, docs["doc_id"] == some["rep"])
 
     big = active.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).select("grp")
-    crowd = materialise(active.join(big, "grp"), "crowd")
+    crowd = materialise(active.join(big, "grp"), "crowd", rows=n_active)
     maps = materialise(payloads(texts_of(crowd), k, whole=False), "bitmaps")
-    alike = connected_components(compare_units(deal_units(maps), percent, whole=False), "alike")
+    alike = connected_components(compare_units(deal_units(maps, percent), percent, whole=False), "alike")
     rest = active.join(big, "grp", "left_anti").unionByName(crowd.join(alike, F.col("rep") == F.col("node")).select(F.col("component").alias("grp"), "cls", "rep"))
-    rest = materialise(rest, "rest")
+    rest = materialise(rest, "rest", rows=n_active)
     sets = materialise(payloads(texts_of(rest), k, whole=True), "whole")
-    found = connected_components(compare_units(deal_units(sets), percent, whole=True), "links")
-    forget(sets, maps, crowd, active)
+    found = connected_components(compare_units(deal_units(sets, percent), percent, whole=True), "links")
+    forget(sets, maps, crowd, active, rest)
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = own.where("n > 0").join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
