@@ -2,8 +2,8 @@
 
 Every text is cut into k-grams of words; each window of w consecutive k-grams keeps its smallest hash. Two texts that
 share a run of w + k - 1 words share such a window and so a kept hash, whichever texts they are: no sufficiently long
-shared span is missed. Fingerprints of documents and items are joined, and the documents with a common fingerprint are
-searched exactly: an item's windows of ``window`` words are compared with all positions of the document and the matches
+shared span is missed. Each text is split into words once, for its length, its fingerprints and its runs as short as a short
+item; these are joined with those of the items, and the documents with a common one are searched exactly: an item's windows of ``window`` words are compared with all positions of the document and the matches
 extend to the words that any of them covers.
 
 Fingerprints and windows of the items are broadcast while their counted number is below ``BROADCAST_ROWS``; above it the same joins shuffle.
@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, text_of
 
@@ -50,11 +51,15 @@ def minima(array: str, w: int) -> Column:
     return F.when(n >= w, F.array_distinct(F.transform(F.sequence(F.lit(0), n - w), low))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(docs: DataFrame, key: str, text: str = "text", k: int = 5, window: int = 10) -> DataFrame:
-    """(key, fp): the winnowed fingerprints; spans of ``window`` words are guaranteed to share one."""
-    rows = docs.select(key, words(text).alias("w")).where(F.size("w") >= window)
-    rows = rows.select(key, grams("w", k).alias("g"))
-    return rows.select(key, F.explode(minima("g", window - k + 1)).alias("fp"))
+def probes(array: str, short: list[int], k: int, window: int) -> Column:
+    """What a text with these words may share: its winnowed fingerprints, and all its runs of the lengths of short items."""
+    return F.array_distinct(F.concat(minima("g", window - k + 1), *[grams(array, n) for n in short]))
+
+
+def parse(docs: DataFrame, key: str, short: list[int], k: int, window: int) -> DataFrame:
+    """(key, n_words, probes) of every whole text, which is split into words once."""
+    rows = docs.select(key, words("text").alias("w")).withColumn("g", grams("w", k))
+    return rows.select(key, F.size("w").cast("long").alias("n_words"), probes("w", short, k, window).alias("probes"))
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -64,31 +69,33 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
     """(key, pos, gram) of all runs of n words, as a 96-bit hash of the words."""
-    run = F.slice("w", F.col("pos") + 1, n)
-    out = rows.where(F.size("w") >= n).select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos"))
-    return out.select(key, "pos", F.struct(F.xxhash64(run).alias("a"), F.hash(run).alias("b")).alias("gram"))
+    run = lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, n)).alias("a"), F.hash(F.slice("w", i + 1, n)).alias("b"))
+    return rows.where(F.size("w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - n), run)).alias("pos", "gram"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """(doc_id, pos, n, item_id): each occurrence of an item's window in a document."""
+def search(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_words) of every row, and (doc_id, pos, n, item_id) of each occurrence of an item's window."""
     item_words = items.select("item_id", words("text").alias("w"))
     own = materialise(_item_windows(item_words, window), "windows")
-    lengths = [r.n for r in own.select("n").distinct().collect()]  # at most ``window`` numbers
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())  # at most ``window`` numbers
+    short = [n for n in lengths if n < window]
     n_own = own.count()
-    doc_words = docs.select("doc_id", words("text").alias("w"))
-    found = []
-    for n in sorted(lengths):
+    # a long item's short runs are no windows of its own, but whatever they find is searched exactly
+    wanted = materialise(parse(items, "item_id", short, k, window).select(F.explode("probes").alias("probe")).distinct(), "wanted")
+    parsed = materialise(parse(docs, "doc_id", short, k, window), "parsed")
+    hit = parsed.select("doc_id", F.explode("probes").alias("probe")).join(bounded(wanted, wanted.count()), "probe", "left_semi")
+    near = materialise(hit.select("doc_id").distinct(), "near")
+    rows = docs.join(bounded(near, near.count()), docs["doc_id"].eqNullSafe(near["doc_id"]), "left_semi").select("doc_id", words("text").alias("w"))
+    found = [docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), items.schema["item_id"]]))]
+    for n in lengths:
         there = bounded(own.where(F.col("n") == n).select("item_id", "gram"), n_own)
-        rows = doc_words
-        if n == window:
-            fps = materialise(fingerprints(items, "item_id", k=k, window=window).select("fp").distinct(), "fingerprints")
-            hit = fingerprints(docs, "doc_id", k=k, window=window).join(bounded(fps, fps.count()), "fp", "left_semi")
-            near = materialise(hit.select("doc_id").distinct(), "near")
-            rows = docs.join(bounded(near, near.count()), docs["doc_id"].eqNullSafe(near["doc_id"]), "left_semi").select("doc_id", words("text").alias("w"))
         found.append(_windows(rows, "doc_id", n).join(there, "gram").select("doc_id", "pos", F.lit(n).alias("n"), "item_id"))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, pos int, n int, item_id bigint")
-    return reduce(DataFrame.unionByName, found)
+    return parsed.select("doc_id", "n_words"), reduce(DataFrame.unionByName, found)
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """(doc_id, pos, n, item_id): each occurrence of an item's window in a document."""
+    return search(docs, items, window, k)[1]
 
 
 def _item_windows(item_words: DataFrame, window: int) -> DataFrame:
@@ -111,10 +118,9 @@ def covered(spans: str) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = find_hits(docs, items, window, k)
+    per_doc, hits = search(docs, items, window, k)
     by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     by_doc = by_doc.select(F.col("doc_id").alias("hit_id"), covered("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
-    per_doc = docs.select("doc_id", F.regexp_count(text_of("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long").alias("n_words"))
     out = per_doc.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
