@@ -15,14 +15,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, steps, string_buffer, text_of
 
-#: Word pieces whose ids a worker keeps; beyond it the library is asked again.
-CACHE_WORDS = 800_000
+#: Bytes of text whose distinct parts are encoded together, and bytes of parts that the library gets at a time.
+PART_STEP, CALL_BYTES = 16 << 20, 64 << 10
+#: Parts whose ids a worker keeps for the next step, the most frequent ones that occurred more than once.
+KEPT_PARTS = 300_000
 FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -30,137 +33,166 @@ FILE_OPTIONS = {
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
+    "parquet.enable.dictionary#place": "false",
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
+FILE_SCHEMA = "doc_id bigint, shard int, place bigint, n_tokens bigint, ids array<int>"
 _WORKERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """The library's tokenizer, the bytes that each id stands for, and the parts that are kept with their ids and numbers of ids."""
     if path not in _WORKERS:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _WORKERS[path] = (t, {}, {})
+        sizes = np.zeros(t.get_vocab_size(), np.int64)
+        for piece, i in t.get_vocab().items():
+            sizes[i] = len(piece)  # a character of the byte-level alphabet for each byte
+        _WORKERS[path] = (t, sizes, [pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)])
     return _WORKERS[path]
 
 
-#: Marks that are a piece of their own behind letters at the end of a part.
-_MARKS = frozenset(".,;:!?")
-
-
-#: White space that stands next to white space, and all white space but the space and the line end.
-_PAIRS = ("  ", " \n", "\n ", "\n\n")
-_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-
-
-def _bytes(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def _encode_words(t, lead: str, words: list[str]) -> list[bytes]:
-    """Ids of letter-only words that follow ``lead`` (a space, part of the piece, or a line end, a piece of its own)."""
-    out: list[bytes] = []
-    for at in range(0, len(words), 4000):
-        some = words[at : at + 4000]
-        e = t.encode(lead + lead.join(some), add_special_tokens=False)
-        ids, piece = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        if lead == "\n":
-            ids, piece = ids[piece % 2 == 1], piece[piece % 2 == 1] // 2
-        cut = (4 * np.searchsorted(piece, np.arange(len(some) + 1))).tolist()
-        data = ids.tobytes()
-        out += [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    return out
-
-
-def _learn(t, known: dict, lead: str, parts: set[str]) -> dict:
-    """Ids of the parts, by their pieces where a part is a word with at most one mark, else by the part itself."""
-    plain, marked, other = set(), [], []
-    for p in parts:
-        if p.isalpha():
-            plain.add(p)
-        elif p[-1:] in _MARKS and p[:-1].isalpha():
-            marked.append(p)
-            if p[:-1] not in known:
-                plain.add(p[:-1])
-        else:
-            other.append(p)
-    words = list(plain)
-    found = dict(zip(words, _encode_words(t, lead, words)))
-    marks = {m: _bytes(t.encode(m, add_special_tokens=False).ids) for m in _MARKS}
-    for p in marked:
-        w = p[:-1]
-        found[p] = (found[w] if w in found else known[w]) + marks[p[-1]]
-    for p, e in zip(other, t.encode_batch_fast([p if lead == "\n" else lead + p for p in other], add_special_tokens=False)):
-        found[p] = _bytes(e.ids)
-    return found
+#: ASCII white space; bytes that may end a character which some take for white space; first bytes of such characters.
+_SPACE, _MAYBE_LAST, _MAYBE_FIRST = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MAYBE_LAST[[*range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_MAYBE_FIRST[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _joined(t, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray, between: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts that are encoded behind each other, and their numbers: the bytes of the ids tell where a part ends."""
+    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    gap = len(between)
+    for a, b in steps(offsets, CALL_BYTES):
+        text = data[offsets[a] : offsets[b]].tobytes()
+        at = offsets[a : b + 1] - offsets[a]
+        if gap:
+            text = between.join(text[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist()))
+        some = np.array(t.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(0, np.cumsum(sizes[some]))
+        begin = at[:-1] + gap * np.arange(b - a)
+        low, high = np.searchsorted(ends, begin), np.searchsorted(ends, begin + np.diff(at))
+        if (ends[low] != begin).any() or (ends[high] - ends[low] != np.diff(at)).any():
+            raise ValueError("an id reaches over the end of a part")
+        ids.append(some if not gap else some[np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())])
+        counts.append(high - low)
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def _encode_parts(t, sizes: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct parts, and their numbers, in the parts' order.
+
+    Parts with white space before and none behind stand behind each other as they may in a text; those without white space get
+    line ends between; what may end in white space beyond ASCII, white space alone and whole texts are encoded by themselves.
+    """
+    data, offsets = string_buffer(parts)
+    first, last = data[offsets[:-1]], data[offsets[1:] - 1]
+    clean = ~_SPACE[last] & ~_MAYBE_LAST[last] & (np.diff(offsets) < CALL_BYTES)
+    kinds = np.where(clean & _SPACE[first], 0, np.where(clean & ~_MAYBE_FIRST[first], 1, 2))
+    order = np.argsort(kinds, kind="stable")
+    ids, counts = [], []
+    for kind, between in enumerate((b"", b"\n")):
+        some = string_buffer(parts.take(pa.array(np.flatnonzero(kinds == kind))))
+        found, n = _joined(t, sizes, *some, between)
+        ids.append(found)
+        counts.append(n)
+    alone = [e.ids for e in t.encode_batch_fast([x.decode() for x in parts.take(pa.array(np.flatnonzero(kinds == 2))).to_pylist()], add_special_tokens=False)]
+    ids.append(np.array([i for x in alone for i in x], np.uint32))
+    counts.append(np.array([len(x) for x in alone], np.int64))
+    flat, n = np.concatenate(ids), np.concatenate(counts)
+    begin = np.cumsum(n) - n
+    back = np.argsort(order)
+    return _gather(flat, begin[back], n[back]), n[back]
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` behind each other."""
+    total = np.cumsum(n)
+    return flat[np.repeat(begin - (total - n), n) + np.arange(total[-1] if len(n) else 0)]
+
+
+def _part_starts(raw: np.ndarray, offsets: np.ndarray, specials: list[bytes]) -> np.ndarray:
+    """Where parts begin: at each text, before each run of white space, and behind a line end that is a run of its own.
+
+    The tokenizer's pattern starts a new piece there whatever stands before. Where a neighbour might be white space beyond
+    ASCII there is no cut, and none in a text with the literal of a special token, which is that token, as by the library's default.
+    """
+    n = len(raw)
+    cut = np.zeros(n + 1, bool)
+    space = _SPACE[raw]
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    last = raw[at - 1]
+    unsure = _MAYBE_LAST[last] & ((last < 0x80) | (raw[at - 2] == 0xC2) | _MAYBE_FIRST[raw[at - 3]])
+    at = at[~unsure]
+    cut[at] = True
+    at = at[(raw[at] == 10) & (at + 1 < n)]
+    cut[at[~space[at + 1] & ~_MAYBE_FIRST[raw[at + 1]]] + 1] = True
+    data = raw.tobytes() if specials else b""
+    for s in specials:
+        found = data.find(s)
+        while found >= 0:
+            row = int(np.searchsorted(offsets, found, side="right"))
+            cut[offsets[row - 1] : offsets[row]] = False
+            found = data.find(s, int(offsets[row]))
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
+
+
+def encode_buffer(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row and their number in each, by the tokenizers library without adding special tokens.
+
+    Each distinct part of the texts is encoded once, many in a call, and its ids are put at all its places.
+    """
+    t, sizes, kept = _tokenizer(path)
+    starts = _part_starts(raw, offsets, [a.content.encode() for a in t.get_added_tokens_decoder().values()])
+    where = np.append(starts, len(raw)).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where.tobytes()), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    parts, slots, first = array.dictionary, array.indices.to_numpy(), np.searchsorted(starts, offsets)
+    known = pc.fill_null(pc.index_in(parts, value_set=kept[0]), -1).to_numpy().astype(np.int64)
+    late = np.flatnonzero(known < 0)
+    new_flat, new_n = _encode_parts(t, sizes, parts.take(pa.array(late)))
+    known[late] = len(kept[2]) + np.arange(len(late))
+    flat, n = np.append(kept[1], new_flat), np.append(kept[2], new_n)
+    begin, n = (np.cumsum(n) - n)[known], n[known]
+    times = np.bincount(slots, minlength=len(parts))
+    frequent = np.flatnonzero(times > 1)
+    frequent = frequent[np.argsort(-times[frequent], kind="stable")[:KEPT_PARTS]]
+    kept[:] = [parts.take(pa.array(frequent)), _gather(flat, begin[frequent], n[frequent]), n[frequent]]
+    if end_id is not None:
+        slots = np.insert(slots, first[1:], len(n))
+        first = first + np.arange(len(first))
+        begin, n, flat = np.append(begin, len(flat)), np.append(n, 1), np.append(flat, np.uint32(end_id))
+    return _gather(flat, begin[slots], n[slots]), np.diff(np.append(0, np.cumsum(n[slots]))[first])
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, by the tokenizers library without adding special tokens.
-
-    The literal of a special token in a text is that token, as by the library's default. The tokenizer's pattern always starts a new piece at a single line end, after it, and at a single space, so a text
-    without other white space is cut there and each distinct part is encoded once; any other text is encoded whole.
-    """
-    t, first, inner = _tokenizer(path)
-    cut: list[tuple[list[str], list[list[str]]] | None] = []
-    heads: set[str] = set()
-    tails: set[str] = set()
-    odd = []
-    specials = [a.content for a in t.get_added_tokens_decoder().values()]
-    for x in texts:
-        if not x or any(map(x.__contains__, specials)) or x[0].isspace() or x[-1].isspace() or any(pair in x for pair in _PAIRS) or any(map(x.__contains__, _SPACES)):
-            odd.append(x)
-            cut.append(None)
-            continue
-        lines = [line.split(" ") for line in x.split("\n")]
-        head = [line.pop(0) for line in lines]
-        cut.append((head, lines))
-        heads.update(head)
-        tails.update(*lines)
-    heads -= first.keys()
-    tails -= inner.keys()
-    new_first, new_inner = _learn(t, first, "\n", heads), _learn(t, inner, " ", tails)
-    whole = iter([_bytes(e.ids) for e in t.encode_batch_fast(odd, add_special_tokens=False)])
-    known = []
-    for kept, new in ((first, new_first), (inner, new_inner)):
-        if len(kept) < CACHE_WORDS:
-            kept.update(new)
-            known.append(kept.__getitem__)
-        else:
-            known.append(lambda p, kept=kept, new=new: kept[p] if p in kept else new[p])
-    head_ids, tail_ids = known
-    end_of_line = _bytes(t.encode("\n", add_special_tokens=False).ids)
-    out = []
-    for lines in cut:
-        if lines is None:
-            out.append(next(whole))
-        else:
-            out.append(end_of_line.join([head_ids(h) + b"".join(map(tail_ids, line)) for h, line in zip(*lines)]))
-    return out
+    """Little-endian unsigned 32-bit ids of each text."""
+    ids, n = encode_buffer(*string_buffer(pa.array(texts, pa.string())), path)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
-    """Write (doc_id, shard, n_tokens, ids) of all documents in ascending doc_id; shards follow each other."""
-    end = np.array([end_id], "<u4").tobytes()
+    """Write (doc_id, shard, place, n_tokens, ids) of all documents in ascending doc_id; shards follow each other, and place counts the ids before in a shard."""
 
     def encode(batches):
-        shard = TaskContext.get().partitionId()
+        shard, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, offsets = string_buffer(batch.column(1))
-            for a, b in steps(offsets):
-                ids = [x + end for x in encode_texts([x or "" for x in batch.column(1)[a:b].to_pylist()], tokenizer)]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, shard, np.int32)), pa.array(n), lists], names=["doc_id", "shard", "n_tokens", "ids"])
+            raw, offsets = string_buffer(batch.column(1))
+            for a, b in steps(offsets, PART_STEP):
+                ids, n = encode_buffer(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokenizer, end_id)
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, shard, np.int32)), pa.array(place + ends - n), pa.array(n), lists], names=["doc_id", "shard", "place", "n_tokens", "ids"])
+                place += int(ends[-1])
 
     rows = docs.select("doc_id", text_of("text").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, "doc_id bigint, shard int, n_tokens bigint, ids array<int>").write.options(**FILE_OPTIONS).parquet(path)
+    rows.mapInArrow(encode, FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    return spark.read.schema("doc_id bigint, shard int, n_tokens bigint, ids array<int>").parquet(path)
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
 def token_digests(files: DataFrame) -> DataFrame:
@@ -168,17 +200,16 @@ def token_digests(files: DataFrame) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             off = lists.offsets.to_numpy()
             raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
             crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1], off[1:])], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array(crc)], names=["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off).astype(np.int64)), pa.array(crc)], names=["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    rows = files.select("doc_id", "shard", "ids").mapInArrow(digest, "doc_id bigint, shard int, n_tokens bigint, ids_crc32 bigint")
-    sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # one row a file part; the ids are not read
-    base = sums.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(base, "shard").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.select("doc_id", "shard", "place", "ids").mapInArrow(digest, "doc_id bigint, shard int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    # one row a file part; the ids are not read
+    sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
+    return rows.join(sums, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenise_to_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2) -> DataFrame:
