@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are escaped as the model does (a space is U+2581, one is put in front) and cut into units where no piece of the
-vocabulary can cross: the piece table decides which neighbouring kinds of characters ever share a piece. Distinct units
-are exploded into substrings of bounded length and joined to the piece table; the edges are grouped by unit and folded
-with a higher-order aggregate. Each distinct unit is thus encoded once. The units of a row meet
-their ids in order: the ``COMMON`` most frequent ones by a broadcast of that bounded table, all others by a shuffled join that
-fills the gaps of their rows. The ids of every row are then decoded and compared with its text.
-
-Two folds are there. ``viterbi`` is the best path by summed scores, for unigram models. For a BPE model the best path is
-not what the library gives; there ``merges`` folds over merge steps: the edge of best score, leftmost of equals, that joins
-exactly two current symbols. Boundaries are the bits of a long, so it takes units up to ``LONGEST`` characters; longer ones
-take the same merges with a heap in a Python task. A character without a piece becomes its bytes.
+Texts are escaped as the model does (a space is U+2581, one is put in front) and cut into units where no piece can cross: the
+piece table decides which neighbouring kinds of characters ever share a piece. Units are exploded into substrings of bounded
+length and joined to the piece table; the edges are grouped by unit and folded with a higher-order
+aggregate.
+
+The ``COMMON`` most frequent units are encoded first and broadcast, a table of bounded rows and bytes. All other units are
+encoded where they stand: a pass over the texts gives each row, with the ids of its common units, and after it its other
+units; the broadcast join to the piece table keeps that order, so edges are grouped by unit, and ids put back into their row,
+by neighbourhood. No text, unit or id is shuffled. The ids of every row are then decoded and compared with its text.
+
+Two folds are there. ``viterbi_ids`` is the best path by summed scores, for unigram models. For a BPE model the best path is
+not what the library gives; there ``merged_ids`` folds over the edges, best first: an edge joins if exactly two current symbols
+make it up. A merge may let an earlier edge join only if a better piece contains its piece, which the piece table marks;
+units where that happens are folded once more with a search for the best edge at each step. Boundaries are the bits of a long, so
+it takes units up to ``LONGEST`` characters; longer ones take the same path or merges in the Python task. A character without a
+piece becomes its bytes.
 
 Cases: null or empty texts have no ids; U+2581 in a text is read as a space, as by the library, so such texts come back
 with spaces and are not exact; repeated rows and rows that share a doc_id are encoded and reported each; texts and units may be of any length; an
@@ -19,24 +24,29 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, text_of
+from .common import steps, string_buffer, text_of
 
 SPACE = "▁"
-#: Characters of a unit that bits can hold; units whose ids are broadcast.
-LONGEST, COMMON = 61, 300_000
-#: Units of a task while edges are grouped; the id part of an edge without a piece.
-TASK_UNITS, UNKNOWN = 50_000, (1 << 24) - 1
+#: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
+LONGEST, COMMON, COUNTED = 61, 500_000, 500_000
+#: The id part of an edge without a piece, and the mark of an edge whose piece is a part of a better one.
+UNKNOWN, INNER = (1 << 24) - 1, 1 << 31
+#: Bytes of text of a step.
+STEP = 2 << 20
+#: Kinds of bytes: spaces, ASCII letters, digits and marks, and bytes of other characters.
+KINDS = np.full(256, 4, np.int8)
+KINDS[:128] = 3
+KINDS[[*range(65, 91), *range(97, 123)]], KINDS[48:58], KINDS[32] = 1, 2, 0
 
 
 @dataclass
@@ -95,51 +105,44 @@ def load_model(path: str) -> Model:
     return Model(normal, base, max(len(p) for p, _, _ in normal), kind)
 
 
-def unit_pattern(model: Model) -> str:
-    """A pattern of the units between which no piece lies, from the neighbours that the pieces have."""
+def escaped(text: Column) -> Column:
+    """The text with a space in front and U+2581 as spaces; empty texts stay empty."""
+    return F.when(text != "", F.concat(F.lit(" "), F.replace(text, F.lit(SPACE), F.lit(" ")))).otherwise(F.lit(""))
 
-    def kind(c: str) -> str:
-        return "space" if c == SPACE else "letter" if c.isalpha() else "digit" if c.isdecimal() else "mark"
 
-    near = {(kind(a), kind(b)) for p, _, _ in model.pieces for a, b in zip(p, p[1:])}
-    mixed = {frozenset(x) for x in near if x[0] != x[1] and x[0] != "space"}
-    if mixed:  # kinds that share pieces stay together
-        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-    lead = {k: f"{SPACE}*" if ("space", k) in near else "" for k in ("letter", "digit", "mark")}
-    digit = "\\p{Nd}+" if ("digit", "digit") in near else "\\p{Nd}"
-    return f"{lead['letter']}\\p{{L}}+|{lead['digit']}{digit}|{lead['mark']}[^{SPACE}\\p{{L}}\\p{{Nd}}]+|{SPACE}+"
-
-
-def _unit_array(text: Column, model: Model) -> Column:
-    escaped = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.regexp_extract_all(escaped, F.lit(unit_pattern(model)), F.lit(0))
-
-
-def units(docs: DataFrame, model: Model) -> DataFrame:
+def units(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, unit): the units of every whole text in order."""
-    text = text_of("text")
-    return docs.where(text != "").select("doc_id", F.posexplode(_unit_array(text, model)).alias("pos", "unit"))
+    parts = F.split(F.translate(escaped(text_of("text")), " ", SPACE), f"(?<=[^{SPACE}])(?={SPACE})")
+    return docs.where(text_of("text") != "").select("doc_id", F.posexplode(parts).alias("pos", "unit"))
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, packed): the vocabulary; packed holds the place of the score among all scores, best first, and the id."""
+    """(piece, packed): the vocabulary; packed holds the place of the score among all scores, best first, the id, and ``INNER``."""
     places = {x: i for i, x in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
-    return spark.createDataFrame([(p, places[s] << 40 | i) for p, i, s in model.pieces], "piece string, packed bigint")
+    place = {p: places[s] for p, _, s in model.pieces}
+    inner = {q for p in place for i in range(len(p)) for j in range(i + 2, len(p) + 1) if (q := p[i:j]) in place and place[q] > place[p]}
+    return spark.createDataFrame([(p, places[s] << 40 | i | (INNER if p in inner else 0)) for p, i, s in model.pieces], "piece string, packed bigint")
 
 
-def edges(distinct: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, edges): all pieces in each unit, and single characters without a piece.
+def substrings(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows with an edge for each piece in their unit, and for each single character without one; rows without a unit get the edge -1.
 
     An edge is a long: place of its score, start (bits 32 on), length (bits 24 on) and id, so that edges sort by score and start.
     """
     n = F.char_length("unit")
-    starts = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    some = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("len"))
-    some = some.select("unit", "n", "start", "len", F.substr("unit", F.col("start") + 1, F.col("len")).alias("piece"))
+    some = rows.select("*", F.explode_outer(F.sequence(F.lit(0), n - 1)).alias("start"))
+    some = some.select("*", F.explode_outer(F.when(n.isNotNull(), F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start"))))).alias("len"))
+    some = some.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("len")))
     # the vocabulary is a fixed table of some ten thousand rows
-    joined = some.join(F.broadcast(piece_table(distinct.sparkSession, model)), "piece", "left").where("packed is not null or len = 1")
+    joined = some.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where("packed is not null or len = 1 or unit is null")
     where = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("len").cast("bigint"), 24))
-    return joined.groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.coalesce("packed", F.lit(UNKNOWN)).bitwiseOR(where))).alias("edges"))
+    edge = F.when(F.col("unit").isNull(), F.lit(-1).cast("bigint")).otherwise(F.coalesce("packed", F.lit(UNKNOWN)).bitwiseOR(where))
+    return joined.select(*rows.columns, "start", "len", edge.alias("edge"))
+
+
+def edges(distinct: DataFrame, model: Model) -> DataFrame:
+    """(unit, n, edges): the edges of each unit, best first."""
+    return substrings(distinct.select("unit", "n"), model).groupBy("unit").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _start(e: Column) -> Column:
@@ -147,7 +150,7 @@ def _start(e: Column) -> Column:
 
 
 def _len(e: Column) -> Column:
-    return F.shiftright(e, 24).bitwiseAND(255).cast("int")
+    return F.shiftright(e, 24).bitwiseAND(63).cast("int")
 
 
 def _bit(k: Column) -> Column:
@@ -162,29 +165,39 @@ def _ids(e: Column, model: Model) -> Column:
     return F.when(known != UNKNOWN, F.array(known)).otherwise(in_bytes)
 
 
+def with_joins(rows: DataFrame) -> DataFrame:
+    """Rows with the bits of each edge of two characters or more: its ends, and the places inside it."""
+    ends = lambda e: F.call_function("shiftleft", _bit(_len(e)) + 1, _start(e))
+    inner = lambda e: F.call_function("shiftleft", _bit(_len(e) - 1) - 1, _start(e) + 1)
+    return rows.withColumn("joins", F.transform(F.filter("edges", lambda e: _len(e) > 1), lambda e: F.struct(e.alias("e"), ends(e).alias("ends"), inner(e).alias("inner"))))
+
+
 def merged_ids(model: Model) -> Column:
-    """Ids of ``unit`` by the merges of ``edges``, which are sorted by score and start."""
-    n = F.char_length("unit")
-    ends = lambda e: _bit(_start(e)).bitwiseOR(_bit(_start(e) + _len(e)))
-    inner = lambda e: _bit(_start(e) + _len(e)) - _bit(_start(e) + 1)
-    joins = F.transform(F.filter("edges", lambda e: _len(e) > 1), lambda e: F.struct(ends(e).alias("ends"), inner(e).alias("inner")))
-    begin = F.struct((_bit(n + 1) - 1).alias("cuts"), joins.alias("joins"))
+    """Ids of ``unit`` by the merges of ``joins``, which are sorted by score and start; the places between symbols are bits."""
+    every = _bit(F.char_length("unit") + 1) - 1
+    can = lambda cuts, j: (cuts.bitwiseAND(j["ends"]) == j["ends"]) & (F.bit_count(cuts.bitwiseAND(j["inner"])) == 1)
+
+    def once(cuts, j):
+        after = cuts.bitwiseAND(F.bitwise_not(j["inner"]))
+        earlier = j["e"].bitwiseAND(F.lit(INNER)).cast("boolean") & F.exists("joins", lambda g: (g["e"] < j["e"]) & can(after, g))
+        return F.when((cuts > 0) & can(cuts, j), F.when(earlier, F.lit(-1).cast("bigint")).otherwise(after)).otherwise(cuts)
+
+    def again(cuts, _):
+        best = F.get(F.filter("joins", lambda j: can(cuts, j)), F.lit(0))
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    def step(acc, _):
-        cuts = acc["cuts"]
-        can = lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
-        best = F.get(F.filter(acc["joins"], can), F.lit(0))
-        return F.struct(F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts).alias("cuts"), acc["joins"].alias("joins"))
+    one_pass = F.aggregate("joins", every, once)
+    searched = F.aggregate("joins", every, again)  # a unit has no more merges than edges
+    cuts = F.when(one_pass > 0, one_pass).otherwise(searched)
 
-    def finish(acc):
-        held = lambda e: (acc["cuts"].bitwiseAND(ends(e)) == ends(e)) & (acc["cuts"].bitwiseAND(inner(e)) == 0)
-        tokens = F.array_sort(F.transform(F.filter("edges", held), lambda e: F.struct(_start(e).alias("start"), e.alias("e"))))
-        return F.flatten(F.transform(tokens, lambda t: _ids(t["e"], model)))
+    def tokens(cuts):
+        span = lambda e: F.call_function("shiftleft", _bit(_len(e) + 1) - 1, _start(e))
+        held = lambda e: cuts.bitwiseAND(span(e)) == F.call_function("shiftleft", _bit(_len(e)) + 1, _start(e))
+        return F.sort_array(F.transform(F.filter("edges", held), lambda e: F.shiftleft(e.bitwiseAND((1 << 40) - 1), 16)))
 
-    # a unit has no more merges than characters less one, nor than edges of two characters or more
-    rounds = F.least(F.size(F.filter("edges", lambda e: _len(e) > 1)), n - 1)
-    rounds = F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, begin, step, finish)
+    # the cuts are folded once and then used for each edge
+    found = F.aggregate(F.array(cuts), F.array().cast("array<bigint>"), lambda _, c: tokens(c))
+    return F.flatten(F.transform(found, lambda t: _ids(F.shiftright(t, 16), model)))
 
 
 def viterbi_ids(model: Model) -> Column:
@@ -216,8 +229,8 @@ def heap_merges(unit: str, ranks: dict[str, tuple[int, float]], longest: int, by
             if len(both) <= longest and both in ranks:
                 heapq.heappush(heap, (-ranks[both][1], i, j, both))
 
-    for i in range(len(unit) - 1):
-        offer(i)
+    for k in range(len(unit) - 1):
+        offer(k)
     while heap:
         _, i, j, both = heapq.heappop(heap)
         if not symbols[i] or right[i] != j or symbols[i] + symbols[j] != both:
@@ -234,128 +247,258 @@ def heap_merges(unit: str, ranks: dict[str, tuple[int, float]], longest: int, by
     return out
 
 
-def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids) of distinct units with their frequency n."""
+def best_path(unit: str, ranks: dict[str, tuple[int, float]], longest: int, byte_base: int) -> list[int]:
+    """The path of one long unit with the largest summed score."""
+    worst = min(s for _, s in ranks.values()) - 10.0
+    best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
+    for end in range(1, len(unit) + 1):
+        options = [(best[at][0] + ranks[p][1], at, [ranks[p][0]]) for at in range(max(0, end - longest), end) if (p := unit[at:end]) in ranks]
+        if unit[end - 1] not in ranks:
+            options.append((best[end - 1][0] + worst, end - 1, [byte_base + b for b in unit[end - 1].encode()]))
+        best.append(max(options, key=lambda x: x[0]))
+    out: list[list[int]] = []
+    at = len(unit)
+    while at:
+        out.append(best[at][2])
+        at = best[at][1]
+    return [i for ids in reversed(out) for i in ids]
+
+
+def fold(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows with the ids of their unit from its edges, instead of these."""
     if model.kind != "bpe":
-        return edges(distinct, model).select("unit", "n", viterbi_ids(model).alias("ids"))
-    short = edges(distinct.where(F.char_length("unit") <= LONGEST), model).select("unit", "n", merged_ids(model).alias("ids"))
+        return rows.withColumn("ids", F.when(F.col("unit").isNotNull(), viterbi_ids(model))).drop("edges")
+    return with_joins(rows).withColumn("ids", F.when(F.col("unit").isNotNull(), merged_ids(model))).drop("edges", "joins")
+
+
+def long_ids(model: Model):
+    """A function of a unit of any length that gives its ids."""
     ranks = {p: (i, s) for p, i, s in model.pieces}
-    longest, base = model.longest, model.byte_base
+    path = heap_merges if model.kind == "bpe" else best_path
+    return lambda unit: path(unit, ranks, model.longest, model.byte_base)
+
+
+def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
+    """(unit, n, ids) of distinct units with their frequency n."""
+    short = fold(edges(distinct.where(F.char_length("unit") <= LONGEST), model), model).select("unit", "n", "ids")
 
     def run(batches):
+        ids_of = long_ids(model)
         for batch in batches:
-            ids = [heap_merges(u, ranks, longest, base) for u in batch.column(0).to_pylist()]
+            ids = [ids_of(u) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
     return short.unionByName(distinct.where(F.char_length("unit") > LONGEST).select("unit", "n").mapInArrow(run, "unit string, n bigint, ids array<int>"))
 
 
-def vocabulary(docs: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids): all distinct units with their frequency and ids.
-
-    Units are dealt to as many tasks as keep the lists of a task's edges in memory.
-    """
-    counted = materialise(units(docs, model).groupBy("unit").agg(F.count("*").alias("n")), "units")
-    parts = counted.count() // TASK_UNITS + 1
-    spark, name = docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(4 * TASK_UNITS))
-    try:
-        ids = encode_units(counted.repartition(parts, "unit"), model)
-        known = materialise(ids.select("unit", "n", "ids"), "vocabulary")
-    finally:
-        spark.conf.set(name, before)
-    forget(counted)
-    return known
-
-
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, pos, unit, ids): the long form of the encoding; ids of a text are those of its units in order."""
-    known = vocabulary(docs, model).select("unit", "ids")
-    return units(docs, model).join(known, "unit").select("doc_id", "pos", "unit", "ids")
+    rows = units(docs)
+    known = encode_units(rows.groupBy("unit").agg(F.count("*").alias("n")), model).select("unit", "ids")
+    return rows.join(known, "unit").select("doc_id", "pos", "unit", "ids")
 
 
 def token_arrays(encoded: DataFrame) -> DataFrame:
     """(doc_id, ids) from the long form."""
-    rows = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    rows = encoded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     return rows.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
 
 
-def _texts_of(model: Model):
-    """A function of ids that gives their text as the library does: a space for U+2581, without the one that was put in front."""
-    table = {i: p.encode() for p, i, _ in model.pieces} | {model.byte_base + b: bytes([b]) for b in range(256)}
+def cuts_of(model: Model) -> np.ndarray:
+    """Between which kinds of bytes no piece reaches over, by the neighbours that the pieces have."""
+    out = np.ones((5, 5), bool)
+    for p, _, _ in model.pieces:
+        kinds = KINDS[np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)]
+        out[kinds[:-1], kinds[1:]] = False
+    out[0, 0] = out[4, 4] = False
+    return out
 
-    def text(ids: list[int]) -> str:
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
-    return text
+def _cut(raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where units begin in escaped texts, and the units, with spaces as such."""
+    kinds = KINDS[raw]
+    new = np.zeros(len(raw) + 1, bool)
+    new[1:-1] = cuts[kinds[:-1], kinds[1:]]
+    new[offsets] = True
+    starts = np.flatnonzero(new[: len(raw)])
+    where = np.append(starts, len(raw)).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(where.tobytes()), pa.py_buffer(np.ascontiguousarray(raw))])
+    return starts, array.dictionary_encode()
 
 
-def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_units, ids, exact) of every row: its ids in order, and whether they decode to its own text.
+def frequent_units(docs: DataFrame, model: Model) -> DataFrame:
+    """(unit, n): at most ``COMMON`` units that tasks have counted more than once. It only decides where a unit is encoded."""
+    cuts = cuts_of(model)
+
+    def run(batches):
+        held, rows = [], 0
+
+        def summed():
+            table = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
+            return table.filter(pc.greater(table["n"], 1))
+
+        for batch in batches:
+            raw, offsets = string_buffer(batch.column(0))
+            for a, b in steps(offsets, 4 * STEP):
+                _, found = _cut(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cuts)
+                n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                held.append(pa.table({"unit": found.dictionary, "n": pa.array(n.astype(np.int64))}))
+                rows += len(n)
+                if rows > COUNTED:
+                    yield from summed().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from summed().to_batches()
+
+    counted = docs.select(escaped(text_of("text")).alias("text")).mapInArrow(run, "unit string, n bigint")
+    counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).where(F.char_length("unit") <= LONGEST)
+    return counted.orderBy(F.desc("n"), "unit").limit(COMMON).withColumn("unit", F.translate("unit", " ", SPACE))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values behind each other and lengths of lists; null lists are empty."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
-    A row with gaps is shuffled once, as packed ids and a digest of its text that the decoded text is compared by.
+def _gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.cumsum(n)
+    return flat[np.repeat(begin - (total - n), n) + np.arange(total[-1] if len(n) else 0)]
+
+
+def _lists(flat: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat, kind))
+
+
+#: A row on its way: no doc_id, free of U+2581, doc_id, units, known ids; these and the escaped text follow.
+HEADER = "<??qqq"
+
+
+def open_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, at, unit): each row packed with its known ids, then one without ``row`` for each of its open units, to be put in at ``at``.
+
+    One column holds what only goes along, since each column costs time for each edge that leaves for a Python task.
     """
-    known = vocabulary(docs, model).select("unit", "n", "ids")
-    common = docs.sparkSession.sparkContext.broadcast(known.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids").toArrow())
-    text_from = _texts_of(model)
+    table = encode_units(frequent_units(docs, model).repartition("unit"), model).toArrow()  # at most COMMON units of LONGEST characters
+    flat, n = _flat(table["ids"])
+    common = docs.sparkSession.sparkContext.broadcast((pc.replace_substring(table["unit"].cast(pa.large_string()).combine_chunks(), SPACE, " "), flat.astype(np.int32), n))
 
-    def digest(text: str) -> bytes:
-        return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    cuts = cuts_of(model)
 
-    kinds = "row bigint, doc_id bigint, n_units bigint, ids array<int>, exact boolean, digest binary, packed binary, gaps array<struct<at:int,unit:string>>"
+    def run(batches):
+        words, flat, n = common.value
+        ids_of = long_ids(model)
+        for batch in batches:
+            raw, offsets = string_buffer(batch.column(1))
+            for a, b in steps(offsets, STEP):
+                off = offsets[a : b + 1] - offsets[a]
+                starts, parts = _cut(raw[offsets[a] : offsets[b]], off, cuts)
+                slots, first = parts.indices.to_numpy(), np.searchsorted(starts, off)
+                known = pc.fill_null(pc.index_in(parts.dictionary, value_set=words), -1).to_numpy().astype(np.int64)
+                every, count = flat, n
+                long = np.flatnonzero((known < 0) & (pc.utf8_length(parts.dictionary).to_numpy() > LONGEST))
+                if len(long):
+                    more = [ids_of(x.replace(" ", SPACE)) for x in parts.dictionary.take(pa.array(long)).to_pylist()]
+                    known[long] = len(n) + np.arange(len(long))
+                    every, count = np.append(flat, np.concatenate(more).astype(np.int32)), np.append(n, [len(x) for x in more])
+                slot, count = known[slots], np.append(count, 0)  # the last one stands for open units
+                size = count[slot]
+                before = np.append(0, np.cumsum(size))
+                own = _gather(every, (np.cumsum(count) - count)[slot], size)
+                gaps = np.flatnonzero(slot < 0)
+                row = np.searchsorted(first, gaps, side="right") - 1
+                order = np.argsort(np.append(np.arange(b - a), row), kind="stable")  # each row, then its gaps
+                gap = order - (b - a)
+                nulls = pa.array(np.where(gap < 0, order, 0), mask=gap >= 0)
+                of_gap = pa.array(np.where(gap >= 0, gap, 0), mask=gap < 0)
+                unit = pc.replace_substring(parts.dictionary.take(pa.array(slots[gaps])), " ", SPACE)
+                at = pa.array((before[gaps] - before[first[row]]).astype(np.int32))
+                data, ids, at_id = memoryview(raw[offsets[a] : offsets[b]].tobytes()), memoryview(own.tobytes()), (4 * before[first]).tolist()
+                packed = [struct.pack(HEADER, d is None, p, d or 0, u, (j - i) // 4) + ids[i:j] + data[x:y] for d, p, u, i, j, x, y in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], off.tolist(), off[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()).take(nulls), at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["row", "at", "unit"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
+    return rows.mapInArrow(run, "row binary, at int, unit string")
+
+
+def grouped_edges(exploded: DataFrame) -> DataFrame:
+    """The rows of ``open_rows`` again, with the edges of their units: an edge of start 0 and length 1, or -1, begins a row."""
 
     def run(batches):
-        table = common.value
-        packer = zstandard.ZstdCompressor()
-        ids_of = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+        held = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                n_units, ids, exact, digests, packed, gaps = [], [], [], [], [], []
-                for text, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    own, open_ones = [], []
-                    for u in found:
-                        known_ids = ids_of.get(u)
-                        if known_ids is None:
-                            open_ones.append({"at": len(own), "unit": u})
-                        else:
-                            own += known_ids
-                    n_units.append(len(found))
-                    ids.append(None if open_ones else own)
-                    exact.append(None if open_ones else text_from(own) == text)
-                    digests.append(digest(text) if open_ones else None)
-                    packed.append(packer.compress(np.array(own, "<u4").tobytes()) if open_ones else None)
-                    gaps.append(open_ones)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_units, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(gaps, pa.list_(pa.struct([("at", pa.int32()), ("unit", pa.string())])))], names=["row", "doc_id", "n_units", "ids", "exact", "digest", "packed", "gaps"])
-
-    def fill(batches):
-        opener = zstandard.ZstdDecompressor()
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            edge = table["edge"].to_numpy()
+            heads = np.flatnonzero((edge < 0) | ((edge >> 24 & 0xFF3F) == 1))
+            if not len(heads):
+                held = table
+                continue
+            held = table.slice(heads[-1])
+            yield from done(table.slice(0, heads[-1]), heads)
+        if held is not None:
+            yield from done(held, np.array([0, len(held)]))
+
+    def done(table, heads):
+        if len(table):
+            firsts = table.select(["row", "at", "unit"]).take(pa.array(heads[:-1])).combine_chunks()
+            yield from firsts.append_column("edges", _lists(table["edge"].to_numpy(), np.diff(heads), pa.int64())).to_batches()
+
+    head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
+    rows = exploded.select("row", *[F.when(head, F.col(c)).alias(c) for c in ("at", "unit")], "edge")
+    return rows.mapInArrow(run, "row binary, at int, unit string, edges array<bigint>")
+
+
+def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_units, ids, exact) of every row: its ids in order, and whether they decode to its own text."""
+    base, size = model.byte_base, 1 + max([model.byte_base + 255, *(i for _, i, _ in model.pieces)])
+    names = ["doc_id", "n_units", "ids", "exact"]
+
+    def close(batches):
+        table = [b""] * size
+        for p, i, _ in model.pieces:
+            table[i] = p.replace(SPACE, " ").encode()
+        for b in range(256):
+            table[base + b] = bytes([b])
+        piece, length = np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table])
+        held = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                ids, exact = [], []
-                for print_of, data, found in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
-                    own = np.frombuffer(opener.decompress(data), "<u4").tolist()
-                    out, at = [], 0
-                    for x in found:
-                        out += own[at : x["at"]]
-                        out += x["ids"]
-                        at = x["at"]
-                    out += own[at:]
-                    ids.append(out)
-                    exact.append(digest(text_from(out)) == print_of)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], names=["doc_id", "n_units", "ids", "exact"])
-
-    text = text_of("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), text.alias("text"), F.when(text != "", _unit_array(text, model)).otherwise(F.array().cast("array<string>")).alias("found"))
-    # the keys of rows hold from here on, since they are written
-    coded = materialise(rows.mapInArrow(run, kinds), "coded", compression="zstd")
-    gaps = coded.where(F.size("gaps") > 0).select("row", F.posexplode("gaps").alias("nth", "gap")).select("row", "nth", "gap.at", "gap.unit")
-    filled = gaps.join(known.select("unit", F.col("ids").alias("unit_ids")), "unit")
-    filled = filled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "at", F.col("unit_ids").alias("ids")))).alias("found"))
-    late = coded.where(F.size("gaps") > 0).join(filled, "row").select("doc_id", "n_units", "digest", "packed", "found").mapInArrow(fill, "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
-    return coded.where(F.size("gaps") == 0).select("doc_id", "n_units", "ids", "exact").unionByName(late)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            heads = np.flatnonzero(rows["at"].is_null().to_numpy())
+            held = rows.slice(heads[-1])
+            yield from done(rows.slice(0, heads[-1]), heads[:-1], piece, length)
+        if held is not None:
+            yield from done(held, np.array([0]), piece, length)
+
+    def done(rows, heads, piece, length):
+        if not len(rows):
+            return
+        firsts = [x.as_py() for x in rows["row"].combine_chunks().take(pa.array(heads))]
+        fields = [struct.unpack_from(HEADER, x) for x in firsts]
+        n = np.array([f[4] for f in fields], np.int64)
+        known = np.concatenate([np.frombuffer(x, "<i4", k, struct.calcsize(HEADER)) for x, k in zip(firsts, n)])
+        open_ids, more = _flat(rows["ids"])
+        row = np.searchsorted(heads, np.arange(len(rows)), side="right") - 1
+        base_of = np.cumsum(n) - n
+        gap = np.setdiff1d(np.arange(len(rows)), heads, assume_unique=True)
+        at = rows["at"].combine_chunks().take(pa.array(gap)).to_numpy() + base_of[row[gap]]
+        shift = np.cumsum(np.bincount(at, more[gap], minlength=len(known) + 1)).astype(np.int64)
+        place = np.arange(len(known)) + shift[: len(known)]
+        ids = np.empty(len(known) + len(open_ids), np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[place] = False
+        ids[place], ids[inside] = known, open_ids
+        total = n + np.bincount(row, more, minlength=len(heads)).astype(np.int64)
+        begin = np.cumsum(length) - length
+        text = _gather(piece, begin[ids], length[ids]).tobytes()
+        ends = np.append(0, np.cumsum(length[ids]))[np.append(0, np.cumsum(total))].tolist()
+        exact = [f[1] and text[a:b] == x[struct.calcsize(HEADER) + 4 * f[4] :] for f, x, a, b in zip(fields, firsts, ends, ends[1:])]
+        out = pa.table([pa.array([None if f[0] else f[2] for f in fields], pa.int64()), pa.array([f[3] for f in fields], pa.int64()), _lists(ids, total, pa.int32()), pa.array(exact, pa.bool_())], names=names)
+        yield from out.combine_chunks().to_batches()
+
+    rows = fold(grouped_edges(substrings(open_rows(docs, model), model)).withColumn("edges", F.sort_array("edges")), model)
+    return rows.select("row", "at", "ids").mapInArrow(close, "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
 
 
 def encode_summary(docs: DataFrame, model: Model) -> DataFrame:
