@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, byte_prefix, mix, span_hash, steps, string_buffer, text_of, words_of
 
@@ -215,7 +216,7 @@ def held_out(doc_id: str) -> Column:
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic): the bounded sample of documents that are there, have a label and are not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("integer").alias("toxic")).where(~held_out("doc_id"))
     there = docs.select("doc_id", F.octet_length(text_of("text")).alias("size")).where(F.col("size") <= SAMPLE_LONGEST).groupBy("doc_id").agg(F.max("size").alias("size"))
     there = there.join(known, "doc_id").withColumn("chance", F.xxhash64("doc_id"))
     first = [there.where(F.col("toxic") == value).orderBy("chance", "doc_id").limit(n) for value, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
@@ -245,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
     return Crf(np.frombuffer(one.weights, "<f4").astype(np.float64), np.frombuffer(one.chain, "<f8"), np.frombuffer(one.doc, "<f8"))
 
 
-SPANS = "array<struct<start:int,end:int,marginal:double>>"
+SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("marginal", "double"))
 
 
 def score(docs: DataFrame, model: Crf, *keep: str) -> DataFrame:
@@ -274,5 +275,5 @@ def score(docs: DataFrame, model: Crf, *keep: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(home, np.arange(b - a + 1)).astype(np.int32)), spans)
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), pa.array(s), lists], names=names)
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", f"spans {SPANS}"])
+    schema = T.StructType([docs.schema[c] for c in keep]).add("score", "double").add("spans", SPANS)
     return docs.select(text_of("text").alias("text"), *keep).mapInArrow(run, schema)
