@@ -38,11 +38,11 @@ from .common import steps, string_buffer, text_of
 
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
-LONGEST, COMMON, COUNTED = 61, 500_000, 500_000
+LONGEST, COMMON, COUNTED = 61, 400_000, 300_000
 #: The id part of an edge without a piece, and the mark of an edge whose piece is a part of a better one.
 UNKNOWN, INNER = (1 << 24) - 1, 1 << 31
 #: Bytes of text of a step.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Kinds of bytes: spaces, ASCII letters, digits and marks, and bytes of other characters.
 KINDS = np.full(256, 4, np.int8)
 KINDS[:128] = 3
@@ -416,6 +416,7 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
                 data, ids, at_id = memoryview(raw[offsets[a] : offsets[b]].tobytes()), memoryview(own.tobytes()), (4 * before[first]).tolist()
                 packed = [struct.pack(HEADER, d is None, p, d or 0, u, (j - i) // 4) + ids[i:j] + data[x:y] for d, p, u, i, j, x, y in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], off.tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()).take(nulls), at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["row", "at", "unit"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
     return rows.mapInArrow(run, "row binary, at int, unit string")
