@@ -339,7 +339,7 @@ def frequent_units(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             raw, offsets = string_buffer(batch.column(0))
-            for a, b in steps(offsets, 4 * STEP):
+            for a, b in steps(offsets, 2 * STEP):
                 _, found = _cut(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cuts)
                 n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
                 held.append(pa.table({"unit": found.dictionary, "n": pa.array(n.astype(np.int64))}))
@@ -347,6 +347,8 @@ def frequent_units(docs: DataFrame, model: Model) -> DataFrame:
                 if rows > COUNTED:
                     yield from summed().to_batches()
                     held, rows = [], 0
+            del batch, raw, offsets
+            pa.default_memory_pool().release_unused()
         if held:
             yield from summed().to_batches()
 
@@ -390,6 +392,7 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
         ids_of = long_ids(model)
         for batch in batches:
             raw, offsets = string_buffer(batch.column(1))
+            data = packed = None
             for a, b in steps(offsets, STEP):
                 off = offsets[a : b + 1] - offsets[a]
                 starts, parts = _cut(raw[offsets[a] : offsets[b]], off, cuts)
@@ -416,6 +419,7 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
                 data, ids, at_id = memoryview(raw[offsets[a] : offsets[b]].tobytes()), memoryview(own.tobytes()), (4 * before[first]).tolist()
                 packed = [struct.pack(HEADER, d is None, p, d or 0, u, (j - i) // 4) + ids[i:j] + data[x:y] for d, p, u, i, j, x, y in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], off.tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()).take(nulls), at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["row", "at", "unit"])
+            del batch, raw, offsets, data, packed  # before the next batch comes
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
