@@ -324,19 +324,25 @@ def deal_units(sets: DataFrame, percent: int) -> DataFrame:
     """(unit, side, doc_id, n, data): a small group is one unit; of a large one, each pair of blocks that can link."""
     # sizes two or more levels apart differ by more than a link allows
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    size = F.octet_length("data").cast("bigint")
-    totals = sets.groupBy("grp").agg(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES).alias("total"))
-    rows = sets.join(totals, "grp").withColumn("level", F.when(F.col("total") > 1, level).otherwise(0))
-    small = rows.where(F.col("total") <= 1).select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "n", "data")
-    large = rows.where(F.col("total") > 1)
-    sizes = large.groupBy("grp", "level").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    fill = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("data").cast("bigint")) / BLOCK_BYTES)
+    # large groups, their blocks and the units of these are few beside the sets, which are shuffled once, by unit
+    many = _few(sets.groupBy("grp").agg(fill.alias("total")).where("total > 1").select("grp"))
+    small = sets.join(many, "grp", "left_anti").select(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), "doc_id", "n", "data")
+    large = sets.join(many, "grp", "left_semi").withColumn("level", level)
+    sizes = _few(large.groupBy("grp", "level").agg(F.ceil(fill).cast("int").alias("blocks")))
     large = large.join(sizes, ["grp", "level"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     blocks = sizes.select("grp", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     other = blocks.select("grp", F.col("level").alias("level2"), F.col("block").alias("block2"))
     pairs = blocks.join(other, "grp").where("level2 = level + 1 or (level2 = level and block2 >= block)")
     unit = F.xxhash64("grp", "level", "block", "level2", "block2")
     places = pairs.select(unit.alias("unit"), "grp", F.explode(F.array_distinct(F.array(F.struct("level", "block", F.lit(0).alias("side")), F.struct(F.col("level2").alias("level"), F.col("block2").alias("block"), F.when(F.expr("level = level2 and block = block2"), 0).otherwise(1).alias("side"))))).alias("p")).select("unit", "grp", "p.*")
-    return small.unionByName(large.join(places, ["grp", "level", "block"]).select("unit", "side", "doc_id", "n", "data"))
+    return small.unionByName(large.join(_few(places), ["grp", "level", "block"]).select("unit", "side", "doc_id", "n", "data"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table written out, and broadcast if its counted rows are within the bound."""
+    df = materialise(df, "few")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
