@@ -127,3 +127,19 @@ def similarity(d: Column) -> Column:
 
 def interaction_label(d: Column, ci: float = 1.5, wci: float = 2.0) -> Column:
     return F.when(d <= ci, "ci").when(d <= wci, "wci").otherwise("nci")
+
+
+def chain_order(chain: Column) -> Column:
+    """Order of chains: by name, blank ones last."""
+    blank = F.coalesce(F.trim(chain), F.lit("")) == ""
+    return F.struct(blank.alias("blank"), F.coalesce(F.trim(chain), F.lit("")).alias("chain"))
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Text of so many decimals; halves of the number's shortest text go to the even digit."""
+    return F.bround(value.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
+def kept_first(values: Column) -> Column:
+    """The different values of an array, each at its first place."""
+    return F.array_distinct(values)

@@ -50,10 +50,19 @@ def search_triplets(keys: DataFrame, samples: DataFrame, wanted: list[str], igno
 
 
 def rename_by_prefix(names: DataFrame, renames: DataFrame) -> DataFrame:
-    """(name, new_name): the longest old name that ends at a dot of a file name is replaced."""
-    stem = F.substring_index("name", ".", 1)
-    rows = names.withColumn("old", stem).join(renames, "old", "left")
-    return rows.select("name", F.when(F.col("new").isNotNull(), F.concat("new", F.substr("name", F.char_length("old") + 1))).otherwise(F.col("name")).alias("new_name"))
+    """(name, new_name): the longest old name that is the file name or ends at one of its dots is replaced; null where there is none."""
+    parts = F.split("name", "[.]")
+    olds = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    rows = names.select("name").distinct().select("name", F.explode(olds).alias("old")).join(renames, "old")
+    best = rows.groupBy("name").agg(F.max_by(F.struct("old", "new"), F.char_length("old")).alias("best"))
+    new = F.concat("best.new", F.expr("substr(name, char_length(best.old) + 1)"))
+    return names.join(best.select("name", new.alias("new_name")), "name", "left").select("name", "new_name")
+
+
+def code_or_default(names: DataFrame, lexical: DataFrame, on: str, code: str, default: str = "N/A") -> DataFrame:
+    """Rows with the code of their name, or the default where the table has none."""
+    known = lexical.select(F.col("name").alias("_name"), F.col("code").cast("string").alias("_code"))
+    return names.join(known, F.col(on) == F.col("_name"), "left").select(*names.columns, F.coalesce("_code", F.lit(default)).alias(code))
 
 
 def balanced_sample(rows: DataFrame, label: str, order: str, seed: int = 42) -> DataFrame:

@@ -231,7 +231,40 @@ def class_weights(spark, sf_dir) -> Frame:
 
 
 def frequent_classes(spark, sf_dir) -> Frame:
-    return labels.least_class_count(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 60)
+    return labels.least_class_count(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 60)
+
+
+def legacy_files(spark, sf_dir) -> Frame:
+    """Five lines a customer, of which one may tell."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"))
+    told = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.pmod(F.col("file") * 7 + F.col("ln") * 3, F.lit(len(LINES))) + 1).cast("int"))
+    lines = c.select("file", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ln")).withColumn("line", told)
+    return structures.legacy_validity(lines, 4)
+
+
+def renamed_files(spark, sf_dir) -> Frame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    names = c.select(F.concat_ws(".", F.concat(F.lit("P"), F.col("k") % 50), F.col("k") % 7, F.lit("keys")).alias("name")).distinct()
+    old = F.when(F.col("k") % 3 == 0, F.concat_ws(".", F.concat(F.lit("P"), F.col("k") % 50), F.col("k") % 7)).otherwise(F.concat(F.lit("P"), F.col("k") % 40))
+    renames = c.select(old.alias("old")).distinct().withColumn("new", F.concat("old", F.lit("_N")))
+    return labels.rename_by_prefix(names, renames)
+
+
+def coded_names(spark, sf_dir) -> Frame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("name"))
+    n = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("name"), F.col("n_regionkey").alias("code"))
+    return labels.code_or_default(c, n, "name", "code")
+
+
+def half_even_texts(spark, sf_dir) -> Frame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") / 8).alias("v"))
+    return c.select("c_custkey", identifiers.half_even(F.col("v"), 1).alias("one"), identifiers.half_even(F.col("v"), 2).alias("two"))
+
+
+def chains_in_order(spark, sf_dir) -> Frame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.element_at(F.array(*[F.lit(x) for x in (" ", "B", "A", "", "c")]), (F.col("c_custkey") % 5 + 1).cast("int")).alias("chain"))
+    per = c.select("grp", identifiers.chain_order(F.col("chain")).alias("o")).groupBy("grp").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    return per.select("grp", F.array_join(F.transform("os", lambda o: F.when(o["blank"], F.lit("_")).otherwise(o["chain"])), ",").alias("chains"))
 
 
 def split_sizes(spark, sf_dir) -> Frame:
@@ -302,9 +335,12 @@ def logistic_predictions(spark, sf_dir) -> Frame:
 
 QUERIES = {
     f.__name__: f
-    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
+    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
 }
 
+#: Lines of made structure files.
+LINES = ("HEADER    X", "data_1ABC", "JRNL        AUTH", "note PDBx/mmCIF", "TITLE", "REMARK PDBx/mmCIF", "xyz", "TER   1", "CRYST1", "", "MODEL", "END")
+
 ATOMS = "atoms AS (SELECT vec_id // 12 AS struct, vec_id % 12 AS idx, label + 1 AS code, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 40 AS z FROM embeddings)"
 FREQ = """freq AS (SELECT l_suppkey AS sample, s_nationkey AS grp, r_name AS region, p_size::BIGINT AS key, count(*) AS freq
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"""
@@ -392,7 +428,16 @@ ORACLES = {
     "balanced_sizes": "SELECT c_mktsegment, min(count(*)) OVER () AS n FROM customer GROUP BY c_mktsegment",
     "oversampled_sizes": "SELECT lang, max(count(*)) OVER () AS n FROM documents GROUP BY lang",
     "class_weights": "SELECT doc_id, lang, round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * n)::DOUBLE, 9) AS weight FROM documents JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)",
-    "frequent_classes": "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 60)",
+    "frequent_classes": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) >= 60)",
+    "legacy_files": """WITH lines AS (SELECT c_custkey AS file, ln, (['HEADER    X', 'data_1ABC', 'JRNL        AUTH', 'note PDBx/mmCIF', 'TITLE', 'REMARK PDBx/mmCIF', 'xyz', 'TER   1', 'CRYST1', '', 'MODEL', 'END'])[(c_custkey * 7 + ln * 3) % 12 + 1] AS line FROM customer, range(4) r(ln)),
+        told AS (SELECT *, line[1:6] IN ('HEADER', 'TITLE ', 'COMPND', 'SOURCE', 'KEYWDS', 'EXPDTA', 'AUTHOR', 'REVDAT', 'JRNL  ', 'REMARK', 'SEQRES', 'ATOM  ', 'HETATM', 'TER   ', 'END   ') AS good, line[1:5] = 'data_' OR contains(line, 'PDBx/mmCIF') AS bad FROM lines)
+        SELECT file, coalesce(bool_or(good) FILTER (ln = first), false) AS valid FROM (SELECT *, min(ln) FILTER (good OR bad) OVER (PARTITION BY file) AS first FROM told) GROUP BY file""",
+    "renamed_files": """WITH names AS (SELECT DISTINCT 'P' || (c_custkey % 50) || '.' || (c_custkey % 7) || '.keys' AS name FROM customer),
+        olds AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'P' || (c_custkey % 50) || '.' || (c_custkey % 7) ELSE 'P' || (c_custkey % 40) END AS old FROM customer)
+        SELECT name, any_value(best) || '_N' || name[length(any_value(best)) + 1:] AS new_name FROM (SELECT name, arg_max(old, length(old)) AS best FROM names LEFT JOIN olds ON name = old OR starts_with(name, old || '.') GROUP BY name) GROUP BY name""",
+    "coded_names": "SELECT c_custkey, c_nationkey AS name, coalesce(n_regionkey::VARCHAR, 'N/A') AS code FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2",
+    "half_even_texts": "SELECT c_custkey, printf('%.1f', c_custkey / 8) AS one, printf('%.2f', c_custkey / 8) AS two FROM customer",
+    "chains_in_order": "SELECT grp, string_agg(CASE WHEN blank THEN '_' ELSE chain END, ',' ORDER BY blank, chain) AS chains FROM (SELECT DISTINCT c_nationkey AS grp, trim(([' ', 'B', 'A', '', 'c'])[c_custkey % 5 + 1]) AS chain, trim(([' ', 'B', 'A', '', 'c'])[c_custkey % 5 + 1]) = '' AS blank FROM customer) GROUP BY grp",
     "split_sizes": "WITH c AS (SELECT lang, count(*) AS n, round(count(*) * 0.25)::BIGINT AS h FROM documents GROUP BY lang) SELECT 'test' AS split, lang, h AS n FROM c UNION ALL SELECT 'val', lang, h FROM c UNION ALL SELECT 'train', lang, n - 2 * h FROM c",
     "class_report": f"WITH {_PRED}, {_REPORT} SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM report",
     "metric_summary": f"WITH {_PRED}, {_REPORT} SELECT round((SELECT avg((y = p)::INT) FROM pred), 9) AS accuracy, round(avg(recall) FILTER (support > 0), 9) AS balanced_accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM report",

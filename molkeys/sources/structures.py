@@ -107,18 +107,15 @@ def matching_residues(lines: DataFrame, component: str, record: str = "auto") ->
     return rows.select("pdb", "chain", "res", "seq").distinct()
 
 
-# What legacy files start their first lines with.
-LEGACY = ("HEADER", "OBSLTE", "TITLE", "SPLIT", "CAVEAT", "COMPND", "SOURCE", "KEYWDS", "EXPDTA", "AUTHOR", "REVDAT", "REMARK", "CRYST1", "MODEL", "ATOM", "HETATM")
+# What a legacy file's telling line begins with, padded to six characters.
+LEGACY = ("HEADER", "TITLE ", "COMPND", "SOURCE", "KEYWDS", "EXPDTA", "AUTHOR", "REVDAT", "JRNL  ", "REMARK", "SEQRES", "ATOM  ", "HETATM", "TER   ", "END   ")
 
 
 def legacy_validity(lines: DataFrame, first: int = 200) -> DataFrame:
-    """(file, valid): whether the first telling line among the first ones is of a legacy file."""
+    """(file, valid): whether the first telling line among the first ones is of a legacy file; a marker tells before anything else in its line."""
     text = F.col("line")
-    good = text.rlike("^(" + "|".join(LEGACY) + ")")
-    bad = text.startswith("data_") | text.contains("PDBx/mmCIF")
-    verdict = F.when(bad, False).when(good, True)
-    told = lines.where(F.col("ln") < first).withColumn("v", verdict).where(F.col("v").isNotNull()).groupBy("file").agg(F.min_by("v", "ln").alias("valid"))
-    return lines.select("file").distinct().join(told, "file", "left").select("file", F.coalesce("valid", F.lit(False)).alias("valid"))
+    verdict = F.when(F.substring(text, 1, 6).isin(*LEGACY), True).when(text.startswith("data_") | text.contains("PDBx/mmCIF"), False)
+    return lines.groupBy("file").agg(F.coalesce(F.min_by(verdict, F.when((F.col("ln") < first) & verdict.isNotNull(), F.col("ln"))), F.lit(False)).alias("valid"))
 
 
 def availability(ids: DataFrame, files: DataFrame) -> DataFrame:
