@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molkeys.llm import jaccard_join, lattice, secret_forest, toxic_crf, winnow
-from molkeys.llm.common import materialise
+from molkeys.llm.common import for_long_texts, materialise
 from molkeys.llm.queries import table, tokenizer_file
 
 
@@ -27,6 +27,7 @@ def record(docs: DataFrame) -> Column:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, own, doc_id, text): rows with a number of their own, written so that it holds."""
+    for_long_texts(docs.sparkSession)
     return materialise(docs.select(F.monotonically_increasing_id().alias("row"), record(docs), "doc_id", "text"), "numbered", compression="zstd")
 
 
@@ -73,6 +74,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: numbers of units and tokens, the hash of its ids, whether they decode to the text, and the ids in order."""
+    for_long_texts(spark)
     return lattice.encode_summary(docs, lattice.load_model(tokenizer_file("piece_bpe_32k.model")))
 
 
