@@ -69,7 +69,11 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
     """(key, pos, gram) of all runs of n words, as a 96-bit hash of the words."""
-    run = lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, n)).alias("a"), F.hash(F.slice("w", i + 1, n)).alias("b"))
+
+    def run(i):
+        own = [F.get(F.col("w"), i + j) for j in range(n)]  # as hashing the slice, which would copy all words each time
+        return F.struct(F.xxhash64(*own).alias("a"), F.hash(*own).alias("b"))
+
     return rows.where(F.size("w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - n), run)).alias("pos", "gram"))
 
 
