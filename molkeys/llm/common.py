@@ -57,6 +57,26 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def for_long_texts(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, unless the session has a bound of its own: texts are long, and each task holds a few batches."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", {"67108864b", "64m", "67108864", None}
+    if spark.conf.get(name, None) in default:
+        spark.conf.set(name, "8m")
+
+
+def gathered(batches, least: int):
+    """Arrow batches put together to so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_of(column: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import collisions, host_suffixes, jaccard_join, lattice, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
+from .common import for_long_texts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for_long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, steps, string_buffer, text_of
+from .common import gathered, scratch_path, steps, string_buffer, text_of
 
 #: Bytes of text whose distinct parts are encoded together, and bytes of parts that the library gets at a time.
 PART_STEP, CALL_BYTES = 16 << 20, 64 << 10
@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
     def encode(batches):
         shard, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, PART_STEP):
             raw, offsets = string_buffer(batch.column(1))
             for a, b in steps(offsets, PART_STEP):
                 ids, n = encode_buffer(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokenizer, end_id)
