@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, lean, materialise
 
 PROJECTIONS = 32
 #: Half width of the windows, in deviations of a unit vector's projection.
@@ -75,7 +75,7 @@ def project(vectors: DataFrame, key: str, label: str, column: str) -> DataFrame:
 
     rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(column).cast("array<double>").alias("v"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    return rows.mapInArrow(run, "id bigint, label bigint, dim int, cell int, vec binary")
+    return rows.mapInArrow(lean(run), "id bigint, label bigint, dim int, cell int, vec binary")
 
 
 def deal(classes: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def count_and_verify(units: DataFrame, cosine: float) -> DataFrame:
             yield links()
 
     rows = units.repartition("unit").sortWithinPartitions("unit", "side", "id")
-    return rows.select("unit", "side", "id", "copies", "vec").mapInArrow(run, "a bigint, b bigint, copies_a bigint, copies_b bigint")
+    return rows.select("unit", "side", "id", "copies", "vec").mapInArrow(lean(run), "a bigint, b bigint, copies_a bigint, copies_b bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:

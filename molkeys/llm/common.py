@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -64,6 +65,21 @@ def for_long_texts(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
+def lean(run):
+    """A function of Arrow batches after which the worker, which Spark keeps for a while, holds no freed memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def gathered(batches, least: int):
     """Arrow batches put together to so many bytes."""
     held, size = [], 0

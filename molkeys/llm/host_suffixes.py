@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, byte_prefix, materialise, mix, span_hash, text_of, words_of
+from .common import NOT_SPACE, byte_prefix, lean, materialise, mix, span_hash, text_of, words_of
 from .winnow import bounded
 
 #: Words of the substrings that stand for a repeated run, and of a run that is long.
@@ -175,7 +175,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(keep, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "stream", "keep", "texts"])
 
     rows = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
-    return rows.select("page_id", "url", "html", "row").mapInArrow(run, "page_id bigint, url string, row bigint, host bigint, stream bigint, keep array<boolean>, texts array<string>")
+    return rows.select("page_id", "url", "html", "row").mapInArrow(lean(run), "page_id bigint, url string, row bigint, host bigint, stream bigint, keep array<boolean>, texts array<string>")
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def recurring(blocks: DataFrame, pages: DataFrame, hosts: DataFrame, keys_of) ->
             keys = [np.unique(keys_of(texts, known)) for texts, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "keys"])
 
-    every = blocks.select("row", "host", "texts", "known").mapInArrow(run, "row bigint, host bigint, keys array<bigint>").where(F.size("keys") > 0)
+    every = blocks.select("row", "host", "texts", "known").mapInArrow(lean(run), "row bigint, host bigint, keys array<bigint>").where(F.size("keys") > 0)
     # rows that are the same have one key of row: one of them counts
     one = pages.join(every.withColumnRenamed("row", "r"), (F.col("row") == F.col("r")), "inner").select("row", "host", F.explode("keys").alias("key"))
     counts = one.groupBy("host", "key").agg(F.count("*").alias("c")).where(F.col("c") >= PAGES)
@@ -268,5 +268,5 @@ def main_text(pages: DataFrame, depth: int = DEPTH, long: int = LONG) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     every = blocks.join(keys, "host", "left").join(runs.withColumnRenamed("keys", "runs"), "host", "left")
-    out = every.select("page_id", "url", "keep", "texts", "keys", "runs").mapInArrow(run, "page_id bigint, url string, text string")
+    out = every.select("page_id", "url", "keep", "texts", "keys", "runs").mapInArrow(lean(run), "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

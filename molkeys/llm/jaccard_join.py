@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, forest_of, forget, materialise, mix, shingle_hashes, steps, string_buffer, text_of
+from .common import LOWER, connected_components, forest_of, forget, lean, materialise, mix, shingle_hashes, steps, string_buffer, text_of
 
 #: Counters of the sketch (2 bytes each in a task, 1 byte on a scale of logarithms when broadcast: 16 MB whatever the input),
 #: and the pieces that it is summed in.
@@ -79,7 +79,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         parts = [packer.compress(x.tobytes()) for x in sketch.reshape(PIECES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array(np.full(PIECES, -1)), pa.array(np.zeros(PIECES, np.int64)), pa.array(parts, pa.binary())], names=["doc_id", "n", "cls", "piece"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, piece binary")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, cls bigint, piece binary")
 
 
 def sketch_of(described: DataFrame) -> np.ndarray:
@@ -98,7 +98,7 @@ def sketch_of(described: DataFrame) -> np.ndarray:
 
     pieces = described.where("n = -1").select(F.col("doc_id").alias("p"), "piece").repartition(PIECES, "p")
     out = np.zeros((PIECES, SKETCH // PIECES), np.uint8)
-    for r in pieces.mapInArrow(add, "piece bigint, data binary").collect():
+    for r in pieces.mapInArrow(lean(add), "piece bigint, data binary").collect():
         out[r.piece] = np.frombuffer(r.data, np.uint8)
     return out.reshape(-1)
 
@@ -127,7 +127,7 @@ def heads(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFram
                 head = np.arange(len(h)) - first[row] <= n[row] - (percent * n[row] + 99) // 100
                 yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(n[row[head]].astype(np.int32)), pa.array(cls[row[head]])], names=["token", "n", "cls"])
 
-    return docs.select(text_of("text").alias("text")).mapInArrow(run, "token bigint, n int, cls bigint")
+    return docs.select(text_of("text").alias("text")).mapInArrow(lean(run), "token bigint, n int, cls bigint")
 
 
 def chains(tokens: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def payloads(wanted: DataFrame, k: int, whole: bool) -> DataFrame:
                 take = pa.array(good + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(3).take(take), pa.array(n[good].astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "grp", "n", "data"])
 
-    return wanted.select("doc_id", text_of("text").alias("text"), "cls", "grp").mapInArrow(run, "doc_id bigint, grp bigint, n bigint, data binary")
+    return wanted.select("doc_id", text_of("text").alias("text"), "cls", "grp").mapInArrow(lean(run), "doc_id bigint, grp bigint, n bigint, data binary")
 
 
 class Tree:
@@ -317,7 +317,7 @@ def compare_units(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
             yield links()
 
     rows = rows.select("unit", "side", "doc_id", "n", "data").repartition("unit").sortWithinPartitions("unit", "side")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def deal_units(sets: DataFrame, percent: int) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, string_buffer, text_of
+from .common import lean, steps, string_buffer, text_of
 
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
@@ -288,7 +288,7 @@ def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
             ids = [ids_of(u) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    return short.unionByName(distinct.where(F.char_length("unit") > LONGEST).select("unit", "n").mapInArrow(run, "unit string, n bigint, ids array<int>"))
+    return short.unionByName(distinct.where(F.char_length("unit") > LONGEST).select("unit", "n").mapInArrow(lean(run), "unit string, n bigint, ids array<int>"))
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
@@ -352,7 +352,7 @@ def frequent_units(docs: DataFrame, model: Model) -> DataFrame:
         if held:
             yield from summed().to_batches()
 
-    counted = docs.select(escaped(text_of("text")).alias("text")).mapInArrow(run, "unit string, n bigint")
+    counted = docs.select(escaped(text_of("text")).alias("text")).mapInArrow(lean(run), "unit string, n bigint")
     counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).where(F.char_length("unit") <= LONGEST)
     return counted.orderBy(F.desc("n"), "unit").limit(COMMON).withColumn("unit", F.translate("unit", " ", SPACE))
 
@@ -423,7 +423,7 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
-    return rows.mapInArrow(run, "row binary, at int, unit string")
+    return rows.mapInArrow(lean(run), "row binary, at int, unit string")
 
 
 def grouped_edges(exploded: DataFrame) -> DataFrame:
@@ -451,7 +451,7 @@ def grouped_edges(exploded: DataFrame) -> DataFrame:
 
     head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
     rows = exploded.select("row", *[F.when(head, F.col(c)).alias(c) for c in ("at", "unit")], "edge")
-    return rows.mapInArrow(run, "row binary, at int, unit string, edges array<bigint>")
+    return rows.mapInArrow(lean(run), "row binary, at int, unit string, edges array<bigint>")
 
 
 def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
@@ -503,7 +503,7 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         yield from out.combine_chunks().to_batches()
 
     rows = fold(grouped_edges(substrings(open_rows(docs, model), model)).withColumn("edges", F.sort_array("edges")), model)
-    return rows.select("row", "at", "ids").mapInArrow(close, "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
+    return rows.select("row", "at", "ids").mapInArrow(lean(close), "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
 
 
 def encode_summary(docs: DataFrame, model: Model) -> DataFrame:

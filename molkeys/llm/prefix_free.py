@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_prefix, forget, materialise, mix, span_hash, steps, string_buffer, text_of
+from .common import byte_prefix, forget, lean, materialise, mix, span_hash, steps, string_buffer, text_of
 
 #: Bytes of the rolling hash.
 GRAM = 24
@@ -107,7 +107,7 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
         chance = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.where(again, chance, gram)), pa.array(context), pa.array(doc), pa.array(at), pa.array(again)], names=["gram", "context", "doc", "at", "again"])
 
-    return docs.select("doc", "text").mapInArrow(run, "gram bigint, context bigint, doc bigint, at bigint, again boolean")
+    return docs.select("doc", "text").mapInArrow(lean(run), "gram bigint, context bigint, doc bigint, at bigint, again boolean")
 
 
 def starts_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def compare_contexts(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "at", "gram", "again"])
 
     rows = places.repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
-    return rows.select("gram", "context", "doc", "at", "again").mapInArrow(run, "doc bigint, at bigint, gram bigint, again boolean")
+    return rows.select("gram", "context", "doc", "at", "again").mapInArrow(lean(run), "doc bigint, at bigint, gram bigint, again boolean")
 
 
 def fetch_contexts(docs: DataFrame, fine: DataFrame, length: int) -> DataFrame:
@@ -179,7 +179,7 @@ def fetch_contexts(docs: DataFrame, fine: DataFrame, length: int) -> DataFrame:
 
     wanted = fine.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("places"))
     rows = docs.join(wanted, "doc").select("doc", "text", "places")
-    return rows.mapInArrow(run, "gram bigint, hot boolean, doc bigint, at bigint, data binary")
+    return rows.mapInArrow(lean(run), "gram bigint, hot boolean, doc bigint, at bigint, data binary")
 
 
 def _strings(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int):
@@ -234,7 +234,7 @@ def sort_suffixes(contexts: DataFrame, length: int) -> DataFrame:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
     rows = contexts.where("not hot").select("gram", "doc", "at", "data").repartition("gram").sortWithinPartitions("gram")
-    return rows.mapInArrow(run, "doc bigint, low bigint, high bigint")
+    return rows.mapInArrow(lean(run), "doc bigint, low bigint, high bigint")
 
 
 def aggregate_strings(contexts: DataFrame, length: int) -> DataFrame:
@@ -248,7 +248,7 @@ def aggregate_strings(contexts: DataFrame, length: int) -> DataFrame:
                 row, start, h = _strings(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], at[a:b], length)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[a + row]), pa.array(start)], names=["string", "doc", "start"])
 
-    strings = contexts.where("hot").select("doc", "at", "data").mapInArrow(run, "string bigint, doc bigint, start bigint")
+    strings = contexts.where("hot").select("doc", "at", "data").mapInArrow(lean(run), "string bigint, doc bigint, start bigint")
     first = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = strings.join(first, "string").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     return later.select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
@@ -280,7 +280,7 @@ def cut_out(rows: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def repeated_runs(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, scratch_path, steps, string_buffer, text_of
+from .common import gathered, lean, scratch_path, steps, string_buffer, text_of
 
 #: Bytes of text whose distinct parts are encoded together, and bytes of parts that the library gets at a time.
 PART_STEP, CALL_BYTES = 16 << 20, 64 << 10
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
                 place += int(ends[-1])
 
     rows = docs.select("doc_id", text_of("text").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
+    rows.mapInArrow(lean(encode), FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -206,7 +206,7 @@ def token_digests(files: DataFrame) -> DataFrame:
             crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1], off[1:])], np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off).astype(np.int64)), pa.array(crc)], names=["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    rows = files.select("doc_id", "shard", "place", "ids").mapInArrow(digest, "doc_id bigint, shard int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select("doc_id", "shard", "place", "ids").mapInArrow(lean(digest), "doc_id bigint, shard int, place bigint, n_tokens bigint, ids_crc32 bigint")
     # one row a file part; the ids are not read
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
     return rows.join(sums, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

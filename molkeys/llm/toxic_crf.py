@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_prefix, mix, span_hash, steps, string_buffer, text_of, words_of
+from .common import LOWER, byte_prefix, lean, mix, span_hash, steps, string_buffer, text_of, words_of
 
 #: Bounds of the sample: documents of each label, bytes of text for each label, bytes of a document.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
             crf = Crf(np.zeros(FEATURES), np.zeros(4), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() if x is crf.weights else x.astype("<f8").tobytes()], pa.binary()) for x in (crf.weights, crf.chain, crf.doc)], names=["weights", "chain", "doc"])
 
-    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(run, "weights binary, chain binary, doc binary").first()
+    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(lean(run), "weights binary, chain binary, doc binary").first()
     if one is None:
         return Crf(np.zeros(FEATURES), np.zeros(4), np.zeros(3))
     return Crf(np.frombuffer(one.weights, "<f4").astype(np.float64), np.frombuffer(one.chain, "<f8"), np.frombuffer(one.doc, "<f8"))
@@ -276,4 +276,4 @@ def score(docs: DataFrame, model: Crf, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), pa.array(s), lists], names=names)
 
     schema = T.StructType([docs.schema[c] for c in keep]).add("score", "double").add("spans", SPANS)
-    return docs.select(text_of("text").alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(text_of("text").alias("text"), *keep).mapInArrow(lean(run), schema)

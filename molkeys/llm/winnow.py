@@ -74,7 +74,8 @@ def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
         own = [F.get(F.col("w"), i + j) for j in range(n)]  # as hashing the slice, which would copy all words each time
         return F.struct(F.xxhash64(*own).alias("a"), F.hash(*own).alias("b"))
 
-    return rows.where(F.size("w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - n), run)).alias("pos", "gram"))
+    # the outer form: for the inner one the optimiser filters by the whole expression, with the words split anew for each place
+    return rows.where(F.size("w") >= n).select(key, F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.size("w") - n), run)).alias("pos", "gram"))
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
