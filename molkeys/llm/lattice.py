@@ -38,7 +38,7 @@ from .common import lean, steps, string_buffer, text_of
 
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
-LONGEST, COMMON, COUNTED = 61, 400_000, 300_000
+LONGEST, COMMON, COUNTED = 61, 150_000, 300_000
 #: The id part of an edge without a piece, and the mark of an edge whose piece is a part of a better one.
 UNKNOWN, INNER = (1 << 24) - 1, 1 << 31
 #: Bytes of text of a step.
