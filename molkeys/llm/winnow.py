@@ -86,7 +86,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> t
     short = [n for n in lengths if n < window]
     n_own = own.count()
     # a long item's short runs are no windows of its own, but whatever they find is searched exactly
-    wanted = materialise(parse(items, "item_id", short, k, window).select(F.explode("probes").alias("probe")).distinct(), "wanted")
+    wanted = materialise(parse(items, "item_id", short, k, window).select(F.explode_outer("probes").alias("probe")).where("probe is not null").distinct(), "wanted")
     parsed = materialise(parse(docs, "doc_id", short, k, window), "parsed")
     hit = parsed.select("doc_id", F.explode("probes").alias("probe")).join(bounded(wanted, wanted.count()), "probe", "left_semi")
     near = materialise(hit.select("doc_id").distinct(), "near")
