@@ -42,23 +42,32 @@ def is_seqnum(c: Column) -> Column:
     return c.rlike("^-?\\d+[A-Za-z]?$")
 
 
+def _tokens(c: Column) -> tuple[Column, Column]:
+    """The filled parts of an identifier without its label, and the label: one of four or more parts may be."""
+    whole = F.filter(F.transform(F.split(clean(c), "_"), lambda x: F.trim(x)), lambda x: x != "")
+    last = F.upper(F.element_at(whole, -1))
+    labelled = (F.size(whole) >= 4) & last.isin(*LABELS)
+    return F.when(labelled, F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole), F.when(labelled, last).otherwise("")
+
+
+def without_label(c: Column) -> Column:
+    return F.array_join(_tokens(c)[0], "_")
+
+
 def parse_identifier(c: Column) -> Column:
     """(kind, pdb, chain, seq, res, grp, label) of ``PDB_CHAIN_SEQ_RES``, ``SEQ_PDB_CHAIN_RES``, ``PDB_CHAIN_GROUP`` or ``PDB_CHAIN``; else RAW.
 
-    Both orders of four parts give the first kind.
+    Both orders of four parts give the first kind; parts beyond the fourth are ignored. Chains keep their case.
     """
-    whole = F.split(clean(c), "_")
-    last = F.upper(F.element_at(whole, -1))
-    labelled = (F.size(whole) >= 3) & last.isin(*LABELS)
-    t = F.when(labelled, F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
+    t, label = _tokens(c)
     n = F.size(t)
     at = lambda i: F.get(t, F.lit(i))
     none = F.lit(None).cast("string")
-    made = lambda kind, pdb, chain, seq, res, grp: F.struct(F.lit(kind).alias("kind"), pdb.alias("pdb"), chain.alias("chain"), seq.alias("seq"), res.alias("res"), grp.alias("grp"), F.when(labelled, last).otherwise("").alias("label"))
+    made = lambda kind, pdb, chain, seq, res, grp: F.struct(F.lit(kind).alias("kind"), pdb.alias("pdb"), chain.alias("chain"), seq.alias("seq"), res.alias("res"), grp.alias("grp"), label.alias("label"))
     return (
-        F.when((n == 4) & is_pdb_id(at(0)) & is_seqnum(at(2)), made("PDB_CHAIN_SEQ_RESIDUE", F.upper(at(0)), at(1), at(2), F.upper(at(3)), none))
-        .when((n == 4) & is_seqnum(at(0)) & is_pdb_id(at(1)), made("PDB_CHAIN_SEQ_RESIDUE", F.upper(at(1)), at(2), at(0), F.upper(at(3)), none))
-        .when((n == 3) & is_pdb_id(at(0)), made("PDB_CHAIN_GROUP", F.upper(at(0)), at(1), none, none, at(2)))
+        F.when((n >= 4) & is_pdb_id(at(0)) & is_seqnum(at(2)), made("PDB_CHAIN_SEQ_RESIDUE", F.upper(at(0)), at(1), at(2), F.upper(at(3)), none))
+        .when((n >= 4) & is_seqnum(at(0)) & is_pdb_id(at(1)), made("PDB_CHAIN_SEQ_RESIDUE", F.upper(at(1)), at(2), at(0), F.upper(at(3)), none))
+        .when((n == 3) & is_pdb_id(at(0)) & ~is_seqnum(at(2)), made("PDB_CHAIN_GROUP", F.upper(at(0)), at(1), none, none, F.upper(at(2))))
         .when((n == 2) & is_pdb_id(at(0)), made("PDB_CHAIN", F.upper(at(0)), at(1), none, none, none))
         .otherwise(made("RAW", none, none, none, none, none))
     )
@@ -143,3 +152,8 @@ def half_even(value: Column, digits: int) -> Column:
 def kept_first(values: Column) -> Column:
     """The different values of an array, each at its first place."""
     return F.array_distinct(values)
+
+
+def sorted_names(values: Column) -> Column:
+    """The different filled names in order, joined by a comma and a space."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(values, clean), lambda x: x != ""))), ", ")

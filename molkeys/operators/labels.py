@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from molkeys.functions.geometry import fenced
 from molkeys.functions.identifiers import canonical, clean, parse_identifier, with_label
 
 from .triplets import matches_atoms
@@ -12,8 +13,9 @@ from .triplets import matches_atoms
 
 def label_identifiers(rows: DataFrame, labels: DataFrame, identifier: str = "identifier") -> DataFrame:
     """(identifier, label, status): labels by identifier in either order of its parts; status is matched, unmatched or ambiguous."""
-    keyed = rows.select(identifier, canonical(parse_identifier(F.col(identifier)), F.col(identifier)).alias("canon"))
-    known = labels.select(canonical(parse_identifier(F.col(identifier)), F.col(identifier)).alias("canon"), clean(F.col("label")).alias("label")).distinct()
+    # the parse is behind a fence, since the optimizer inlines it into each use of a field
+    keyed = fenced(rows.select(identifier), p=parse_identifier(F.col(identifier))).select(identifier, canonical(F.col("p"), F.col(identifier)).alias("canon"))
+    known = fenced(labels.select(identifier, "label"), p=parse_identifier(F.col(identifier))).select(canonical(F.col("p"), F.col(identifier)).alias("canon"), clean(F.col("label")).alias("label")).distinct()
     found = keyed.join(known, "canon", "left").groupBy(identifier).agg(F.countDistinct("label").alias("n"), F.min("label").alias("label"))
     status = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "matched").otherwise("ambiguous")
     return found.select(identifier, F.when(F.col("n") == 1, F.col("label")).alias("label"), status.alias("status"))

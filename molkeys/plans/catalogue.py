@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molkeys.functions import geometry, identifiers
-from molkeys.operators import contacts, key_tables, labels, metrics, models, residues, similarity, triplets
-from molkeys.sources import structures
+from molkeys.operators import contacts, key_tables, labels, metrics, models, residues, search, similarity, targets, triplets
+from molkeys.sources import structures, tables
 
 Frame = DataFrame
 
@@ -267,6 +267,64 @@ def chains_in_order(spark, sf_dir) -> Frame:
     return per.select("grp", F.array_join(F.transform("os", lambda o: F.when(o["blank"], F.lit("_")).otherwise(o["chain"])), ",").alias("chains"))
 
 
+def _sample_rows(spark, sf_dir) -> DataFrame:
+    """A sample table over the customers, with columns as such tables name them."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    pdb = F.concat(text(k % 10), F.lpad(F.hex(k % 256), 3, "0"))
+    seqs = F.when(k % 4 == 0, F.concat_ws("; ", text(k % 30), text(k % 9))).when(k % 4 == 1, text(k % 30)).otherwise("")
+    name = F.when(k % 3 == 0, "NAG").when(k % 3 == 1, "man").otherwise("")
+    columns = {"protein": F.when(k % 11 == 0, "").otherwise(pdb), "Chain ID": F.when(k % 13 == 0, "").otherwise(F.when(k % 2 == 0, "A").otherwise("b")), "carb_name": name, "SeqNum": seqs, "chain_group": F.when(k % 5 == 0, "nnb").otherwise(""), "Group": F.when(k % 7 == 0, "ci").when(k % 7 == 1, "other").otherwise("")}
+    return table(spark, sf_dir, "customer").select(k.alias("line"), *[v.alias(c) for c, v in columns.items()])
+
+
+def search_samples(spark, sf_dir) -> Frame:
+    out = search.samples_of_rows(_sample_rows(spark, sf_dir), "line")
+    return out.select("line", F.coalesce("nth", F.lit(0)).alias("nth"), "protein", "grp", "canon", "kind", "fault")
+
+
+def search_chain_samples(spark, sf_dir) -> Frame:
+    out = search.samples_of_rows(_sample_rows(spark, sf_dir), "line", search.CHAIN)
+    return out.select("line", "protein", "grp", "canon", "kind", "fault")
+
+
+def search_counters(spark, sf_dir) -> Frame:
+    """Samples of the table against key files of one line for each order: standard, cross or malformed."""
+    samples = search.samples_of_rows(_sample_rows(spark, sf_dir), "line", search.CHAIN)
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey")
+    key = F.concat_ws("_", F.concat((k % 10).cast("string"), F.lpad(F.hex(k % 256), 3, "0")), F.when(k % 2 == 0, "A").otherwise("b"))
+    size = F.element_at(F.array(F.lit(20), F.lit(26), F.lit(19)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    atom = F.concat(F.lit("C"), (F.col("o_orderkey") % 4).cast("string"))
+    cell = lambda i: F.when(i == 0, "7").when(i == 1, atom).when(i == F.when(size == 26, 5).otherwise(3), "C2").when(i == F.when(size == 26, 9).otherwise(5), "C1").otherwise("0")
+    line = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), cell), "\t")
+    label = F.when(k % 3 == 0, "CI").otherwise("")
+    lines = o.select(key.alias("key"), label.alias("file_label"), F.concat_ws("/", key, label).alias("file"), line.alias("line"))
+    return search.search(samples, lines, ["C1", "C2", "C3"])[1]
+
+
+def residue_targets(spark, sf_dir) -> Frame:
+    rows = _sample_rows(spark, sf_dir).select("line", "protein", F.col("Chain ID").alias("chain"), F.col("carb_name").alias("name"), F.col("SeqNum").alias("seq"))
+    return targets.residue_targets(rows).select("line", "identifier", "name", "seq")
+
+
+def chain_targets(spark, sf_dir) -> Frame:
+    rows = _sample_rows(spark, sf_dir).select("line", "protein", F.col("Chain ID").alias("chain"), F.col("carb_name").alias("name"), F.col("SeqNum").alias("seq"))
+    return targets.chain_targets(rows).select("line", "identifier", "summary_names", "summary_seqs")
+
+
+def target_keys(spark, sf_dir) -> Frame:
+    """Keys of residues of four atoms, from written structure lines and a table that names them."""
+    e = atoms(spark, sf_dir)
+    seq = F.floor(F.col("idx") / 4).cast("int")
+    line = F.format_string("HETATM%5d  C%-2d NAG A%4d    %8.3f%8.3f%8.3f  1.00 20.00           C  ", F.col("idx"), F.col("code"), seq, "x", "y", "z")
+    lines = e.select(F.col("struct").cast("string").alias("pdb"), F.col("idx").alias("ln"), line.alias("line"))
+    wanted = e.select(F.col("struct").alias("line"), F.col("struct").cast("string").alias("protein")).distinct().select("line", "protein", F.lit("A").alias("chain"), F.lit("NAG").alias("name"), F.lit("0;1; 2").alias("seq"))
+    codes = e.select(F.concat(F.lit("C"), F.col("code").cast("string")).alias("atom"), F.col("code").cast("string").alias("seq"), F.lit(0).alias("line")).distinct()
+    keys = targets.target_keys(lines, targets.residue_targets(wanted), tables.lexical_map(codes))
+    return targets.key_records(keys).groupBy("identifier", "key").agg(F.count("*").alias("freq"))
+
+
 def split_sizes(spark, sf_dir) -> Frame:
     d = labels.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.25, 0.25)
     return labels.split_statistics(d, "lang").select("split", "lang", "n")
@@ -335,7 +393,7 @@ def logistic_predictions(spark, sf_dir) -> Frame:
 
 QUERIES = {
     f.__name__: f
-    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
+    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, search_samples, search_chain_samples, search_counters, residue_targets, chain_targets, target_keys, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
 }
 
 #: Lines of made structure files.
@@ -385,7 +443,35 @@ _SEQ = "s AS (SELECT DISTINCT o_custkey, (o_orderkey % 500)::VARCHAR || CASE WHE
 _NAMES = """base AS (SELECT c_custkey, (c_custkey % 10)::VARCHAR || lpad(printf('%X', c_custkey % 4096), 3, '0') AS pdb, ['A', 'B', 'C', 'g'][c_nationkey % 4 + 1] AS chain, (c_custkey % 300)::VARCHAR AS seq,
         ['CI', 'NCI', ''][c_custkey % 3 + 1] AS label, c_custkey % 5 AS kind FROM customer)"""
 
+_SAMPLES = """rows AS (SELECT c_custkey AS line, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE (c_custkey % 10) || lpad(printf('%X', c_custkey % 256), 3, '0') END AS protein, CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'b' END AS chain,
+        ['NAG', 'man', ''][c_custkey % 3 + 1] AS name, CASE c_custkey % 4 WHEN 0 THEN [(c_custkey % 30)::VARCHAR, (c_custkey % 9)::VARCHAR] WHEN 1 THEN [(c_custkey % 30)::VARCHAR] ELSE [] END AS seqs,
+        CASE WHEN c_custkey % 5 = 0 THEN 'nnb' ELSE '' END AS code, CASE c_custkey % 7 WHEN 0 THEN 'CI' WHEN 1 THEN 'other' ELSE '' END AS grp FROM customer),
+    filled AS (SELECT * FROM rows WHERE protein || chain || name || array_to_string(seqs, '') || code || grp <> '')"""
+
+
+def _samples(mode: str) -> str:
+    """The samples of the table as SQL: numbers only outside the chain mode."""
+    by_seq = "name <> '' AND len(seqs) > 0" if mode != "chain" else "false"
+    return f"""{_SAMPLES}, made AS (SELECT *, CASE WHEN protein = '' OR chain = '' THEN [NULL] WHEN {by_seq} THEN list_transform(seqs, lambda x: concat_ws('_', protein, chain, x, name)) WHEN code <> '' THEN [concat_ws('_', protein, chain, code)] ELSE [concat_ws('_', protein, chain)] END AS ids FROM filled),
+    one AS (SELECT *, unnest(ids) AS identifier, generate_subscripts(ids, 1) - 1 AS nth FROM made),
+    kinds AS (SELECT *, CASE WHEN {by_seq} THEN 'PDB_CHAIN_SEQ_RESIDUE' WHEN code <> '' THEN 'PDB_CHAIN_GROUP' ELSE 'PDB_CHAIN' END AS kind,
+        CASE WHEN {by_seq} THEN concat_ws('_', protein, chain, seqs[nth + 1], upper(name)) WHEN code <> '' THEN concat_ws('_', protein, chain, upper(code)) ELSE identifier END AS canon FROM one WHERE identifier IS NOT NULL),
+    samples AS (SELECT min(struct_pack(line := line, nth := nth)) AS place, arg_max(identifier, struct_pack(line := line, nth := nth)) AS protein, grp, canon, kind FROM kinds GROUP BY canon, grp, kind)"""
+
+
 ORACLES = {
+    "search_samples": f"WITH {_samples('auto')} SELECT place.line AS line, place.nth::INT AS nth, protein, grp, canon, kind, NULL::VARCHAR AS fault FROM samples UNION ALL SELECT line, 0, '', grp, '', 'RAW', 'unparsable' FROM one WHERE identifier IS NULL",
+    "search_chain_samples": f"WITH {_samples('chain')} SELECT place.line AS line, protein, grp, canon, kind, NULL::VARCHAR AS fault FROM samples UNION ALL SELECT line, '', grp, '', 'RAW', 'unparsable' FROM one WHERE identifier IS NULL",
+    "search_counters": f"""WITH {_samples('chain')}, o AS (SELECT (o_custkey % 10) || lpad(printf('%X', o_custkey % 256), 3, '0') || CASE WHEN o_custkey % 2 = 0 THEN '_A' ELSE '_b' END AS key, CASE WHEN o_custkey % 3 = 0 THEN 'CI' ELSE '' END AS fl, o_orderkey % 3 <> 2 AS good, o_orderkey % 3 <> 2 AND o_orderkey % 4 = 3 AS hit FROM orders),
+        f AS (SELECT key, fl, count(*) FILTER (good) AS r, count(*) FILTER (hit) AS m, count(*) FILTER (NOT good) AS b FROM o GROUP BY ALL), n AS (SELECT key, count(*) AS n FROM f GROUP BY key),
+        j AS (SELECT s.canon, s.grp, f.*, CASE WHEN f.key IS NULL THEN 9 WHEN fl = grp THEN 0 WHEN fl = '' THEN 1 WHEN grp = '' AND n = 1 THEN 2 ELSE 8 END AS rank FROM samples s LEFT JOIN f ON f.key = s.canon LEFT JOIN n ON n.key = s.canon),
+        t AS (SELECT canon, grp, min(rank) AS best, arg_min(r, rank) AS r, arg_min(m, rank) AS m, arg_min(b, rank) AS b FROM j GROUP BY ALL)
+        SELECT count(*) AS samples, count(*) FILTER (best <= 2) AS key_files_found, count(*) FILTER (best = 9) AS key_files_missing, count(*) FILTER (best = 8) AS ambiguous_key_files,
+        coalesce(sum(r) FILTER (best <= 2), 0)::BIGINT AS rows_read, coalesce(sum(m) FILTER (best <= 2), 0)::BIGINT AS rows_matched, coalesce(sum(b) FILTER (best <= 2), 0)::BIGINT AS malformed_rows FROM t""",
+    "residue_targets": f"WITH {_SAMPLES}, one AS (SELECT *, unnest(seqs) AS seq FROM rows WHERE protein <> '' AND chain <> '' AND name <> '') SELECT line, concat_ws('_', protein, chain, seq, name) AS identifier, name, seq FROM one",
+    "chain_targets": f"""WITH {_SAMPLES}, one AS (SELECT *, unnest(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END) AS seq, generate_subscripts(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END, 1) AS nth FROM rows WHERE protein <> '' AND chain <> '')
+        SELECT min(line) AS line, protein || '_' || chain AS identifier, coalesce(string_agg(name, ',' ORDER BY seq::INT, line, nth) FILTER (seq IS NOT NULL), '') AS summary_names, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(seq::INT) FILTER (seq IS NOT NULL))), lambda x: x::VARCHAR), ','), '') AS summary_seqs FROM one GROUP BY protein, chain""",
+    "target_keys": "WITH " + _keys().replace(ATOMS, "atoms AS (SELECT vec_id // 4 AS struct, vec_id % 4 AS idx, label + 1 AS code, printf('%.3f', embedding[1]::DOUBLE * 40)::DOUBLE AS x, printf('%.3f', embedding[2]::DOUBLE * 40)::DOUBLE AS y, printf('%.3f', embedding[3]::DOUBLE * 40)::DOUBLE AS z FROM embeddings)") + " SELECT (struct // 3) || '_A_' || (struct % 3) || '_NAG' AS identifier, key, count(*) AS freq FROM keys GROUP BY ALL",
     "triplet_keys": f"WITH {_keys()} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
     "mirror_keys": f"WITH {_keys(mirror=True)} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
     "triplet_bins": f"WITH {_keys()} SELECT theta_bin, dist_bin, count(*) AS n FROM keys GROUP BY ALL",

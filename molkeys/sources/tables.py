@@ -44,17 +44,30 @@ def read_strings(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.options(header=True, inferSchema=False, quote='"', escape='"', maxColumns="200000", **options).csv(path)
 
 
-def lexical_map(rows: DataFrame, keep_na: bool = False) -> DataFrame:
-    """(name, code) from columns atom, seq, ATOM and line: the last row of a name wins, and ATOM over atom.
+def lexical_map(rows: DataFrame, line: str = "line", keep_na: bool = False) -> DataFrame:
+    """(name, code) from ``seq`` and ``atom`` or ``ATOM``, or both: the last row of a name wins, and ATOM over atom.
 
-    ``NA`` is lost by default, as by readers that take it for a missing value.
+    ``NA`` is lost by default, as by readers that take it for a missing value. Names of columns are compared with their case.
     """
-    own = rows.select(F.trim("atom").alias("name"), F.col("seq").cast("int").alias("code"), F.struct(F.lit(0), F.col("line").cast("long")).alias("o"))
-    upper = rows.select(F.trim("`ATOM_`").alias("name"), F.col("seq").cast("int").alias("code"), F.struct(F.lit(1), F.col("line").cast("long")).alias("o"))
-    both = own.unionByName(upper).where("name <> '' and code is not null")
+    if "seq" not in rows.columns or not {"atom", "ATOM"} & set(rows.columns):
+        raise ColumnError("a lexical table needs seq, and atom or ATOM")
+    # places, for the session may not tell names that differ by case only
+    flat = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    col = lambda name: F.col(f"c{rows.columns.index(name)}")
+    names = [F.struct(F.lit(i).alias("i"), col(c).alias("name")) for i, c in enumerate(("atom", "ATOM")) if c in rows.columns]
+    both = flat.select(col("seq").try_cast("double").cast("int").alias("code"), col(line).cast("long").alias("at"), F.explode(F.array(*names)).alias("n"))
+    both = both.where("n.name <> '' and code is not null")
     if not keep_na:
-        both = both.where("name <> 'NA'")
-    return both.groupBy("name").agg(F.max_by("code", "o").alias("code"))
+        both = both.where("n.name <> 'NA'")
+    return both.groupBy(F.col("n.name").alias("name")).agg(F.max_by("code", F.struct("n.i", "at")).alias("code"))
+
+
+def read_lexical(spark: SparkSession, path: str) -> DataFrame:
+    """The lexical map of a CSV file; its header is read apart, since the reader renames columns that differ by case only."""
+    head = spark.read.text(path).first()
+    names = [x.strip().strip('"') for x in head.value.split(",")] if head else []
+    rows = read_strings(spark, path)
+    return lexical_map(rows.toDF(*names).withColumn("line", F.monotonically_increasing_id()) if names else rows)
 
 
 def expected_counts(spark: SparkSession, path: str) -> DataFrame:
