@@ -6,8 +6,8 @@ length and joined to the piece table; the edges are grouped by unit and folded w
 aggregate.
 
 The ``COMMON`` most frequent units are encoded first and broadcast, a table of bounded rows and bytes. All other units are
-encoded where they stand: a pass over the texts gives each row, with the ids of its common units, and after it its other
-units; the broadcast join to the piece table keeps that order, so edges are grouped by unit, and ids put back into their row,
+encoded where they stand: a pass over the texts writes each row, with the ids of its common units and its other units;
+the broadcast join to the piece table keeps their order, so edges are grouped by unit, and ids put back into their row,
 by neighbourhood. No text, unit or id is shuffled. The ids of every row are then decoded and compared with its text.
 
 Two folds are there. ``viterbi_ids`` is the best path by summed scores, for unigram models. For a BPE model the best path is
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, steps, string_buffer, text_of
+from .common import lean, materialise, steps, string_buffer, text_of
 
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
@@ -172,8 +172,8 @@ def with_joins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("joins", F.transform(F.filter("edges", lambda e: _len(e) > 1), lambda e: F.struct(e.alias("e"), ends(e).alias("ends"), inner(e).alias("inner"))))
 
 
-def merged_ids(model: Model) -> Column:
-    """Ids of ``unit`` by the merges of ``joins``, which are sorted by score and start; the places between symbols are bits."""
+def merged_cuts() -> Column:
+    """The merges of ``joins``, which are sorted by score and start, over ``unit``; the places between symbols are bits."""
     every = _bit(F.char_length("unit") + 1) - 1
     can = lambda cuts, j: (cuts.bitwiseAND(j["ends"]) == j["ends"]) & (F.bit_count(cuts.bitwiseAND(j["inner"])) == 1)
 
@@ -186,9 +186,12 @@ def merged_ids(model: Model) -> Column:
         best = F.get(F.filter("joins", lambda j: can(cuts, j)), F.lit(0))
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    one_pass = F.aggregate("joins", every, once)
     searched = F.aggregate("joins", every, again)  # a unit has no more merges than edges
-    cuts = F.when(one_pass > 0, one_pass).otherwise(searched)
+    return F.aggregate("joins", every, once, lambda cuts: F.when(cuts > 0, cuts).otherwise(searched))
+
+
+def merged_ids(model: Model) -> Column:
+    """Ids of ``unit`` by the merges of ``joins``, from ``edges``."""
 
     def tokens(cuts):
         span = lambda e: F.call_function("shiftleft", _bit(_len(e) + 1) - 1, _start(e))
@@ -196,7 +199,7 @@ def merged_ids(model: Model) -> Column:
         return F.sort_array(F.transform(F.filter("edges", held), lambda e: F.shiftleft(e.bitwiseAND((1 << 40) - 1), 16)))
 
     # the cuts are folded once and then used for each edge
-    found = F.aggregate(F.array(cuts), F.array().cast("array<bigint>"), lambda _, c: tokens(c))
+    found = F.aggregate(F.array(merged_cuts()), F.array().cast("array<bigint>"), lambda _, c: tokens(c))
     return F.flatten(F.transform(found, lambda t: _ids(F.shiftright(t, 16), model)))
 
 
@@ -377,7 +380,7 @@ HEADER = "<??qqq"
 
 
 def open_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, at, unit): each row packed with its known ids, then one without ``row`` for each of its open units, to be put in at ``at``.
+    """(row, gaps): each row packed with its known ids, and a gap without unit, then its open units, to be put in at ``at``.
 
     One column holds what only goes along, since each column costs time for each edge that leaves for a Python task.
     """
@@ -412,22 +415,38 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
                 row = np.searchsorted(first, gaps, side="right") - 1
                 order = np.argsort(np.append(np.arange(b - a), row), kind="stable")  # each row, then its gaps
                 gap = order - (b - a)
-                nulls = pa.array(np.where(gap < 0, order, 0), mask=gap >= 0)
+                heads = np.append(np.flatnonzero(gap < 0), len(gap)).astype(np.int32)
                 of_gap = pa.array(np.where(gap >= 0, gap, 0), mask=gap < 0)
                 unit = pc.replace_substring(parts.dictionary.take(pa.array(slots[gaps])), " ", SPACE)
                 at = pa.array((before[gaps] - before[first[row]]).astype(np.int32))
                 data, ids, at_id = memoryview(raw[offsets[a] : offsets[b]].tobytes()), memoryview(own.tobytes()), (4 * before[first]).tolist()
                 packed = [struct.pack(HEADER, d is None, p, d or 0, u, (j - i) // 4) + ids[i:j] + data[x:y] for d, p, u, i, j, x, y in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], off.tolist(), off[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()).take(nulls), at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["row", "at", "unit"])
+                gaps = pa.ListArray.from_arrays(pa.array(heads), pa.StructArray.from_arrays([at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["at", "unit"]))
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), gaps], names=["row", "gaps"])
             del batch, raw, offsets, data, packed  # before the next batch comes
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
-    return rows.mapInArrow(lean(run), "row binary, at int, unit string")
+    return rows.mapInArrow(lean(run), "row binary, gaps array<struct<at int, unit string>>")
+
+
+def open_units(rows: DataFrame) -> DataFrame:
+    """(row, at, unit): a row for each gap of ``open_rows``; only that without unit holds ``row``."""
+    gaps = rows.select("row", F.posexplode("gaps").alias("pos", "gap"))
+    return gaps.select(F.when(F.col("pos") == 0, F.col("row")).alias("row"), "gap.at", "gap.unit")
+
+
+def _bits(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and the bits of both ends of edges."""
+    start, length = edge >> 32 & 255, edge >> 24 & 63
+    return start, length, (1 << length) + 1 << start
 
 
 def grouped_edges(exploded: DataFrame) -> DataFrame:
-    """The rows of ``open_rows`` again, with the edges of their units: an edge of start 0 and length 1, or -1, begins a row."""
+    """The rows of ``open_units`` again, with the edges of their units and, as ``with_joins`` has them, those of two characters or more.
+
+    An edge of start 0 and length 1, or -1, begins a row.
+    """
 
     def run(batches):
         held = None
@@ -446,18 +465,47 @@ def grouped_edges(exploded: DataFrame) -> DataFrame:
 
     def done(table, heads):
         if len(table):
-            firsts = table.select(["row", "at", "unit"]).take(pa.array(heads[:-1])).combine_chunks()
-            yield from firsts.append_column("edges", _lists(table["edge"].to_numpy(), np.diff(heads), pa.int64())).to_batches()
+            out = table.select(["row", "at", "unit"]).take(pa.array(heads[:-1])).combine_chunks()
+            edge, of = table["edge"].to_numpy(), np.repeat(np.arange(len(out)), np.diff(heads))
+            join = np.flatnonzero((edge >= 0) & ((edge >> 24 & 63) > 1))
+            join = join[np.lexsort((edge[join], of[join]))]
+            start, length, ends = _bits(edge[join])
+            inner = (1 << length - 1) - 1 << start + 1
+            places = np.append(0, np.cumsum(np.bincount(of[join], minlength=len(out)))).astype(np.int32)
+            joins = pa.StructArray.from_arrays([pa.array(edge[join]), pa.array(ends), pa.array(inner)], names=["e", "ends", "inner"])
+            out = out.append_column("edges", _lists(edge, np.diff(heads), pa.int64()))
+            yield from out.append_column("joins", pa.ListArray.from_arrays(pa.array(places), joins)).to_batches()
 
     head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
     rows = exploded.select("row", *[F.when(head, F.col(c)).alias(c) for c in ("at", "unit")], "edge")
-    return rows.mapInArrow(lean(run), "row binary, at int, unit string, edges array<bigint>")
+    joins = "array<struct<e bigint, ends bigint, inner bigint>>"
+    return rows.mapInArrow(lean(run), f"row binary, at int, unit string, edges array<bigint>, joins {joins}")
+
+
+def held_ids(rows: pa.Table, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the edges that lie between two ``cuts`` without one inside, or of their character's bytes, behind each other, and their numbers by row."""
+    edge, n = _flat(rows["edges"])
+    of = np.repeat(np.arange(len(rows)), n)
+    start, length, ends = _bits(edge)
+    cuts = pc.fill_null(rows["cuts"], 0).to_numpy()[of]
+    held = np.flatnonzero((edge >= 0) & (cuts & (1 << length + 1) - 1 << start == ends))
+    held = held[np.argsort(of[held] << 8 | start[held])]
+    ids, of, count = edge[held] & UNKNOWN, of[held], np.ones(len(held), np.int64)
+    bare = np.flatnonzero(ids == UNKNOWN)
+    if len(bare):
+        words = rows["unit"].combine_chunks().take(pa.array(of[bare])).to_pylist()
+        chars = [w[i].encode() for w, i in zip(words, start[held[bare]].tolist())]
+        count[bare] = [len(c) for c in chars]
+        ids, of = np.repeat(ids, count), np.repeat(of, count)
+        ids[ids == UNKNOWN] = byte_base + np.frombuffer(b"".join(chars), np.uint8).astype(np.int64)
+    return ids, np.bincount(of, minlength=len(rows)).astype(np.int64)
 
 
 def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_units, ids, exact) of every row: its ids in order, and whether they decode to its own text."""
     base, size = model.byte_base, 1 + max([model.byte_base + 255, *(i for _, i, _ in model.pieces)])
     names = ["doc_id", "n_units", "ids", "exact"]
+    merges = model.kind == "bpe"
 
     def close(batches):
         table = [b""] * size
@@ -483,7 +531,7 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         fields = [struct.unpack_from(HEADER, x) for x in firsts]
         n = np.array([f[4] for f in fields], np.int64)
         known = np.concatenate([np.frombuffer(x, "<i4", k, struct.calcsize(HEADER)) for x, k in zip(firsts, n)])
-        open_ids, more = _flat(rows["ids"])
+        open_ids, more = held_ids(rows, base) if merges else _flat(rows["ids"])
         row = np.searchsorted(heads, np.arange(len(rows)), side="right") - 1
         base_of = np.cumsum(n) - n
         gap = np.setdiff1d(np.arange(len(rows)), heads, assume_unique=True)
@@ -502,8 +550,14 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         out = pa.table([pa.array([None if f[0] else f[2] for f in fields], pa.int64()), pa.array([f[3] for f in fields], pa.int64()), _lists(ids, total, pa.int32()), pa.array(exact, pa.bool_())], names=names)
         yield from out.combine_chunks().to_batches()
 
-    rows = fold(grouped_edges(substrings(open_rows(docs, model), model)).withColumn("edges", F.sort_array("edges")), model)
-    return rows.select("row", "at", "ids").mapInArrow(lean(close), "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
+    # written, so that a task of each pass has two Python workers at most
+    rows = open_units(materialise(open_rows(docs, model), "open", compression="zstd"))
+    rows = grouped_edges(substrings(rows, model))
+    if merges:
+        rows = rows.select("row", "at", "unit", "edges", F.when(F.col("unit").isNotNull(), merged_cuts()).alias("cuts"))
+    else:
+        rows = fold(rows, model).select("row", "at", "ids")
+    return rows.mapInArrow(lean(close), "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
 
 
 def encode_summary(docs: DataFrame, model: Model) -> DataFrame:
