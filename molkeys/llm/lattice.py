@@ -8,7 +8,7 @@ aggregate.
 The ``COMMON`` most frequent units are encoded first and broadcast, a table of bounded rows and bytes. All other units are
 encoded where they stand: a pass over the texts writes each row, with the ids of its common units and its other units;
 the broadcast join to the piece table keeps their order, so edges are grouped by unit, and ids put back into their row,
-by neighbourhood. No text, unit or id is shuffled. The ids of every row are then decoded and compared with its text.
+by neighbourhood. No text, unit or id is shuffled. The ids of every row are then decoded and compared with its text, by a digest of 128 bits.
 
 Two folds are there. ``viterbi_ids`` is the best path by summed scores, for unigram models. For a BPE model the best path is
 not what the library gives; there ``merged_ids`` folds over the edges, best first: an edge joins if exactly two current symbols
@@ -24,6 +24,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import struct
 from dataclasses import dataclass
@@ -380,12 +381,22 @@ def _lists(flat: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat, kind))
 
 
-#: A row on its way: no doc_id, free of U+2581, doc_id, units, known ids; these and the escaped text follow.
-HEADER = "<??qqq"
+#: A row on its way: no doc_id, free of U+2581, doc_id, units, known ids, open units, digest of the escaped text; the ids and places follow.
+HEADER = "<??qqqq16s"
+
+
+def id_type(model: Model) -> np.dtype:
+    """The type of ids in packed rows."""
+    last = max([model.byte_base + 255, *(i for _, i, _ in model.pieces)])
+    return np.dtype("<u2" if last < 1 << 16 else "<i4")
+
+
+def digest(text) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def open_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, gaps): each row packed with its known ids, and a gap without unit, then its open units, to be put in at ``at``.
+    """(row, units): each row packed with its known ids and the places of its open units; a null, then these units.
 
     One column holds what only goes along, since each column costs time for each edge that leaves for a Python task.
     """
@@ -393,7 +404,7 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
     flat, n = _flat(table["ids"])
     common = docs.sparkSession.sparkContext.broadcast((pc.replace_substring(table["unit"].cast(pa.large_string()).combine_chunks(), SPACE, " "), flat.astype(np.int32), n))
 
-    cuts = cuts_of(model)
+    cuts, kind = cuts_of(model), id_type(model)
 
     def run(batches):
         words, flat, n = common.value
@@ -423,22 +434,23 @@ def open_rows(docs: DataFrame, model: Model) -> DataFrame:
                 heads = np.append(np.flatnonzero(gap < 0), len(gap)).astype(np.int32)
                 of_gap = pa.array(np.where(gap >= 0, gap, 0), mask=gap < 0)
                 unit = pc.replace_substring(parts.dictionary.take(pa.array(slots[gaps])), " ", SPACE)
-                at = pa.array((before[gaps] - before[first[row]]).astype(np.int32))
-                data, ids, at_id = memoryview(raw[offsets[a] : offsets[b]].tobytes()), memoryview(own.tobytes()), (4 * before[first]).tolist()
-                packed = [struct.pack(HEADER, d is None, p, d or 0, u, (j - i) // 4) + ids[i:j] + data[x:y] for d, p, u, i, j, x, y in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], off.tolist(), off[1:].tolist())]
-                gaps = pa.ListArray.from_arrays(pa.array(heads), pa.StructArray.from_arrays([at.take(of_gap), unit.take(of_gap).cast(pa.string())], names=["at", "unit"]))
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), gaps], names=["row", "gaps"])
+                data, own = memoryview(raw[offsets[a] : offsets[b]].tobytes()), own.astype(kind)
+                at, at_id = (before[gaps] - before[first[row]]).astype("<i4"), before[first].tolist()
+                at_gap = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+                fields = zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), np.diff(first).tolist(), at_id, at_id[1:], at_gap, at_gap[1:], off.tolist(), off[1:].tolist())
+                packed = [struct.pack(HEADER, d is None, p, d or 0, u, j - i, h - g, digest(data[x:y])) + own[i:j].tobytes() + at[g:h].tobytes() for d, p, u, i, j, g, h, x, y in fields]
+                opened = pa.ListArray.from_arrays(pa.array(heads), unit.take(of_gap).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), opened], names=["row", "units"])
             del batch, raw, offsets, data, packed  # before the next batch comes
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), escaped(text_of("text")).alias("text"), (~F.contains(text_of("text"), F.lit(SPACE))).alias("plain"))
-    return rows.mapInArrow(lean(run), "row binary, gaps array<struct<at int, unit string>>")
+    return rows.mapInArrow(lean(run), "row binary, units array<string>")
 
 
 def open_units(rows: DataFrame) -> DataFrame:
-    """(row, at, unit): a row for each gap of ``open_rows``; only that without unit holds ``row``."""
-    gaps = rows.select("row", F.posexplode("gaps").alias("pos", "gap"))
-    return gaps.select(F.when(F.col("pos") == 0, F.col("row")).alias("row"), "gap.at", "gap.unit")
+    """(row, unit): a row for each of the units of ``open_rows``; only the first, without unit, holds ``row``."""
+    return rows.select("row", F.posexplode("units").alias("pos", "unit")).select(F.when(F.col("pos") == 0, F.col("row")).alias("row"), "unit")
 
 
 def _bits(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -450,7 +462,7 @@ def _bits(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grouped_edges(exploded: DataFrame) -> DataFrame:
     """The rows of ``open_units`` again, with the edges of their units and, as ``with_joins`` has them, those of two characters or more.
 
-    An edge of start 0 and length 1, or -1, begins a row.
+    An edge of start 0 and length 1, or -1, begins a row. ``row`` or ``unit``, of which each row has one, is sent as the one column ``row``.
     """
 
     def run(batches):
@@ -470,7 +482,7 @@ def grouped_edges(exploded: DataFrame) -> DataFrame:
 
     def done(table, heads):
         if len(table):
-            out = table.select(["row", "at", "unit"]).take(pa.array(heads[:-1])).combine_chunks()
+            out = table.select(["row"]).take(pa.array(heads[:-1])).combine_chunks()
             edge, of = table["edge"].to_numpy(), np.repeat(np.arange(len(out)), np.diff(heads))
             join = np.flatnonzero((edge >= 0) & ((edge >> 24 & 63) > 1))
             join = join[np.lexsort((edge[join], of[join]))]
@@ -482,9 +494,10 @@ def grouped_edges(exploded: DataFrame) -> DataFrame:
             yield from out.append_column("joins", pa.ListArray.from_arrays(pa.array(places), joins)).to_batches()
 
     head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
-    rows = exploded.select("row", *[F.when(head, F.col(c)).alias(c) for c in ("at", "unit")], "edge")
+    rows = exploded.select(F.when(head, F.coalesce("row", F.col("unit").cast("binary"))).alias("row"), "edge")
     joins = "array<struct<e bigint, ends bigint, inner bigint>>"
-    return rows.mapInArrow(lean(run), f"row binary, at int, unit string, edges array<bigint>, joins {joins}")
+    grouped = rows.mapInArrow(lean(run), f"row binary, edges array<bigint>, joins {joins}")
+    return grouped.withColumn("unit", F.when(F.get("edges", F.lit(0)) >= 0, F.col("row").cast("string")))
 
 
 def held_ids(rows: pa.Table, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -498,8 +511,8 @@ def held_ids(rows: pa.Table, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
     ids, of, count = edge[held] & UNKNOWN, of[held], np.ones(len(held), np.int64)
     bare = np.flatnonzero(ids == UNKNOWN)
     if len(bare):
-        words = rows["unit"].combine_chunks().take(pa.array(of[bare])).to_pylist()
-        chars = [w[i].encode() for w, i in zip(words, start[held[bare]].tolist())]
+        words = rows["row"].combine_chunks().take(pa.array(of[bare])).to_pylist()
+        chars = [w.decode()[i].encode() for w, i in zip(words, start[held[bare]].tolist())]
         count[bare] = [len(c) for c in chars]
         ids, of = np.repeat(ids, count), np.repeat(of, count)
         ids[ids == UNKNOWN] = byte_base + np.frombuffer(b"".join(chars), np.uint8).astype(np.int64)
@@ -510,7 +523,8 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_units, ids, exact) of every row: its ids in order, and whether they decode to its own text."""
     base, size = model.byte_base, 1 + max([model.byte_base + 255, *(i for _, i, _ in model.pieces)])
     names = ["doc_id", "n_units", "ids", "exact"]
-    merges = model.kind == "bpe"
+    merges, kind = model.kind == "bpe", id_type(model)
+    last, start = ("cuts" if merges else "ids"), struct.calcsize(HEADER)
 
     def close(batches):
         table = [b""] * size
@@ -523,7 +537,7 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            heads = np.flatnonzero(rows["at"].is_null().to_numpy())
+            heads = np.flatnonzero(rows[last].is_null().to_numpy())
             held = rows.slice(heads[-1])
             yield from done(rows.slice(0, heads[-1]), heads[:-1], piece, length)
         if held is not None:
@@ -535,12 +549,13 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         firsts = [x.as_py() for x in rows["row"].combine_chunks().take(pa.array(heads))]
         fields = [struct.unpack_from(HEADER, x) for x in firsts]
         n = np.array([f[4] for f in fields], np.int64)
-        known = np.concatenate([np.frombuffer(x, "<i4", k, struct.calcsize(HEADER)) for x, k in zip(firsts, n)])
+        known = np.concatenate([np.frombuffer(x, kind, k, start) for x, k in zip(firsts, n)])
+        places = np.concatenate([np.frombuffer(x, "<i4", f[5], start + kind.itemsize * f[4]) for x, f in zip(firsts, fields)])
         open_ids, more = held_ids(rows, base) if merges else _flat(rows["ids"])
         row = np.searchsorted(heads, np.arange(len(rows)), side="right") - 1
         base_of = np.cumsum(n) - n
         gap = np.setdiff1d(np.arange(len(rows)), heads, assume_unique=True)
-        at = rows["at"].combine_chunks().take(pa.array(gap)).to_numpy() + base_of[row[gap]]
+        at = places + base_of[row[gap]]
         shift = np.cumsum(np.bincount(at, more[gap], minlength=len(known) + 1)).astype(np.int64)
         place = np.arange(len(known)) + shift[: len(known)]
         ids = np.empty(len(known) + len(open_ids), np.int32)
@@ -551,7 +566,7 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         begin = np.cumsum(length) - length
         text = _gather(piece, begin[ids], length[ids]).tobytes()
         ends = np.append(0, np.cumsum(length[ids]))[np.append(0, np.cumsum(total))].tolist()
-        exact = [f[1] and text[a:b] == x[struct.calcsize(HEADER) + 4 * f[4] :] for f, x, a, b in zip(fields, firsts, ends, ends[1:])]
+        exact = [f[1] and digest(text[a:b]) == f[6] for f, a, b in zip(fields, ends, ends[1:])]
         out = pa.table([pa.array([None if f[0] else f[2] for f in fields], pa.int64()), pa.array([f[3] for f in fields], pa.int64()), _lists(ids, total, pa.int32()), pa.array(exact, pa.bool_())], names=names)
         yield from out.combine_chunks().to_batches()
 
@@ -559,9 +574,9 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
     rows = open_units(materialise(open_rows(docs, model), "open", compression="zstd"))
     rows = grouped_edges(substrings(rows, model))
     if merges:
-        rows = rows.select("row", "at", "unit", "edges", F.when(F.col("unit").isNotNull(), merged_cuts()).alias("cuts"))
+        rows = rows.select("row", "edges", F.when(F.col("unit").isNotNull(), merged_cuts()).alias("cuts"))
     else:
-        rows = fold(rows, model).select("row", "at", "ids")
+        rows = fold(rows, model).select("row", "ids")
     return rows.mapInArrow(lean(close), "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
 
 

@@ -21,3 +21,14 @@ def test_rows_are_encoded_and_decoded(spark, common, monkeypatch):
     assert [r.exact for r in got].count(False) == 1 and all(r.n_tokens == len(r.ids) for r in got)
     hashes = {tuple(r.ids): r.ids_hash for r in got}
     assert len(set(hashes.values())) == len(hashes) and hashes[()] == 0
+
+
+def test_rows_of_a_unigram_model_take_the_best_path(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "COMMON", 1)
+    pieces = [("▁", 0, -3.0), ("▁a", 1, -2.0), ("a", 2, -2.5), ("b", 3, -2.5), ("ab", 4, -1.0), ("▁ab", 5, -4.5)]
+    model = lattice.Model(pieces, 300, 3, "unigram")
+    ranks = {p: (i, s) for p, i, s in pieces}
+    rows = [(i, t) for i, t in enumerate(["ab abab", "a b é ab", "", None, "ab ab"])]
+    got = lattice.encode_summary(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    want = {i: lattice.best_path("▁" + t.replace(" ", "▁"), ranks, 3, 300) if t else [] for i, t in rows}
+    assert {r.doc_id: r.ids for r in got} == want and all(r.exact for r in got)
