@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, host_suffixes, jaccard_join, lattice, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
+from . import collisions, filter_audit, host_suffixes, jaccard_join, lattice, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
 from .common import for_long_texts
 
 
@@ -68,7 +68,11 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op11_filter_audit": op11_filter_audit, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -84,6 +88,20 @@ ORACLES = {
         deg AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
         SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, component_id = vec_id AS kept
         FROM embeddings JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)""",
+    "op11_filter_audit": """
+        WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS q, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id),
+        f AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t))::INT
+                + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS m, coalesce(q, false) AS q, coalesce(x, false) AS x FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, m, count(*) AS n, count(*) FILTER (q) AS g, count(*) FILTER (x) AS x FROM f GROUP BY ALL),
+        b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+        o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs FROM b p, b q, b r, b s, b t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+        s AS (SELECT filter_order, step, bs[step] AS b, list_sum(bs[1:step - 1])::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+        r AS (SELECT part, filter_order, step, b, count(*) AS _, coalesce(sum(n) FILTER (m & (b | coalesce(before, 0)) = 0), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (m & b > 0 AND m & coalesce(before, 0) = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (m & b > 0 AND m & coalesce(before, 0) > 0), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (m = b), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (m & b > 0 AND m & coalesce(before, 0) = 0), 0)::BIGINT AS good_lost,
+                coalesce(sum(x) FILTER (m & b > 0 AND m & coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM r""",
     "op3_winnow": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
