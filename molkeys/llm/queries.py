@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, filter_audit, host_suffixes, jaccard_join, lattice, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
+from . import collisions, filter_audit, host_suffixes, jaccard_join, lattice, lexical_index, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
 from .common import for_long_texts
 
 
@@ -72,10 +72,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op11_filter_audit": op11_filter_audit, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+def op12_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.search_once(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op11_filter_audit": op11_filter_audit, "op12_lexical_index": op12_lexical_index, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLES = {
     "op1_collisions": """
         WITH RECURSIVE v AS MATERIALIZED (
@@ -102,6 +108,15 @@ ORACLES = {
                 coalesce(sum(n) FILTER (m = b), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (m & b > 0 AND m & coalesce(before, 0) = 0), 0)::BIGINT AS good_lost,
                 coalesce(sum(x) FILTER (m & b > 0 AND m & coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM r""",
+    "op12_lexical_index": f"""
+        WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+        q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+        v AS (SELECT DISTINCT term FROM q),
+        p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) SEMI JOIN v USING (term) GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(g.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * g.n) // g.l))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op3_winnow": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
