@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, filter_audit, host_suffixes, jaccard_join, lattice, lexical_index, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
+from . import collisions, entropy_mix, filter_audit, host_suffixes, jaccard_join, lattice, lexical_index, prefix_free, secret_forest, token_files, toxic_crf, warc, winnow
 from .common import for_long_texts
 
 
@@ -76,7 +76,11 @@ def op12_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_index.search_once(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op11_filter_audit": op11_filter_audit, "op12_lexical_index": op12_lexical_index, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_collisions": op1_collisions, "op10_prefix_free": op10_prefix_free, "op11_filter_audit": op11_filter_audit, "op12_lexical_index": op12_lexical_index, "op13_entropy_mix": op13_entropy_mix, "op2_toxic_crf": op2_toxic_crf, "op3_winnow": op3_winnow, "op4_host_suffixes": op4_host_suffixes, "op5_jaccard_join": op5_jaccard_join, "op6_secret_forest": op6_secret_forest, "op7_lattice": op7_lattice, "op8_warc": op8_warc, "op9_token_files": op9_token_files}
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
