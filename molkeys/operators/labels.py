@@ -34,8 +34,10 @@ def conflicting_labels(labels: DataFrame, identifier: str = "identifier") -> Dat
 def resolve_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     """Sample (key, label) to key file (key, file_label, file): its label first, then no label, then the only file if the sample has none.
 
-    A sample with several candidates of like priority is ambiguous, one without is missing.
+    A sample with several candidates of like priority is ambiguous, one without is missing. Two files of one key and label are an error.
     """
+    two = F.raise_error(F.concat(F.lit("two key files of "), F.col("key").cast("string"), F.lit(" "), "file_label"))
+    files = files.groupBy("key", "file_label").agg(F.countDistinct("file").alias("n"), F.min("file").alias("file")).select("key", "file_label", F.when(F.col("n") == 1, F.col("file")).otherwise(two).alias("file"))
     only = files.groupBy("key").agg(F.count("*").alias("n_files"))
     rows = samples.join(files.join(only, "key"), "key", "left")
     rank = F.when(F.col("file").isNull(), 9).when(F.col("file_label") == F.col("label"), 0).when(F.col("file_label") == "", 1).when((F.col("label") == "") & (F.col("n_files") == 1), 2).otherwise(8)

@@ -79,15 +79,6 @@ def expected_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("kind", F.upper(F.trim("res")).alias("res"), checked.alias("expected"))
 
 
-def key_frequencies(spark: SparkSession, path: str, pattern: str = "*.keys_Freq_theta29_dist18*") -> DataFrame:
-    """(sample, key, freq, line) of a folder of two-column files; the file name up to ``.keys`` is the sample."""
-    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
-    sample = F.regexp_extract("_metadata.file_name", "^(.*?)\\.keys", 1)
-    rows = rows.select(sample.alias("sample"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text")).where(F.trim("text") != "")
-    part = F.split("text", "\t")
-    return rows.select("sample", F.get(part, F.lit(0)).try_cast("long").alias("key"), F.get(part, F.lit(1)).try_cast("long").alias("freq"), "line")
-
-
 KEY_FIELDS = {20: ("atom", "seq"), 26: ("atom", "seq", "residue", "chain")}
 
 
@@ -132,11 +123,6 @@ def first_column(lines: DataFrame, text: str = "line") -> DataFrame:
     return lines.where(F.trim(text) != "").select(F.trim(F.get(F.split(F.col(text), "[;\t,]"), F.lit(0))).alias("value"))
 
 
-def write_key_files(keys: DataFrame, path: str, by: str = "sample") -> None:
-    """Key rows partitioned by sample: the identifier is a column and no part of a schema."""
-    keys.write.partitionBy(by).parquet(path)
-
-
 def write_generalised(features: DataFrame, path: str, id_column: str, columns: list[str]) -> None:
     """Lines ``id;v1,v2,...``."""
     features.select(F.concat(F.col(id_column), F.lit(";"), F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in columns])).alias("value")).write.text(path)
