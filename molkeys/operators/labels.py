@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from molkeys.functions.geometry import fenced
 from molkeys.functions.identifiers import canonical, clean, parse_identifier, with_label
 
+from .ranks import draw, numbered
 from .triplets import matches_atoms
 
 
@@ -71,9 +72,9 @@ def code_or_default(names: DataFrame, lexical: DataFrame, on: str, code: str, de
 
 def balanced_sample(rows: DataFrame, label: str, order: str, seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest has, by a hash of the seed; the draw does not depend on partitions."""
-    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), order), order))
-    return rows.withColumn("nth", nth).crossJoin(F.broadcast(least)).where("nth <= least").drop("nth", "least")
+    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
+    placed = numbered(rows, [draw(seed, order), F.col(order)], [label], "_nth")
+    return placed.crossJoin(F.broadcast(least)).where("_nth <= _least").drop("_nth", "_least")  # a single row
 
 
 def class_counts(rows: DataFrame, label: str) -> DataFrame:
@@ -93,12 +94,10 @@ def class_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFram
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds ``split`` (train, val, test) with the shares in every class, by a hash order."""
+    """Adds ``split`` (train, val, test) with the shares in every class, by a hash order; shares of rows round half up."""
     if not (test > 0 and val > 0 and test + val < 1):
         raise ValueError("sizes must be positive and sum to less than one")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    n = F.count("*").over(Window.partitionBy(label))
-    out = rows.withColumns({"_p": place, "_n": n})
+    out = numbered(rows, [draw(seed, key), F.col(key)], [label], "_p", "_n")
     split = F.when(F.col("_p") <= F.round(F.col("_n") * test), "test").when(F.col("_p") <= F.round(F.col("_n") * test) + F.round(F.col("_n") * val), "val").otherwise("train")
     return out.withColumn("split", split).drop("_p", "_n")
 

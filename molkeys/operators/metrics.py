@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 
 def confusion(rows: DataFrame, true: str = "y", pred: str = "p", by: list[str] = ()) -> DataFrame:
     return rows.groupBy(*by, true, pred).agg(F.count("*").alias("n"))
@@ -44,11 +46,10 @@ def summary(rows: DataFrame, true: str = "y", pred: str = "p") -> DataFrame:
 def binary_auc(rows: DataFrame, true: str = "y", score: str = "score", by: list[str] = ()) -> DataFrame:
     """ROC-AUC and average precision of a score; rows of equal scores are one step, so only distinct scores are ordered.
 
-    Counts per score are aggregated before the cumulative sums.
+    Counts per score are aggregated before the cumulative sums, which go by ranges of scores.
     """
     steps = rows.groupBy(*by, score).agg(F.sum(F.col(true).cast("long")).alias("pos"), F.sum(1 - F.col(true).cast("long")).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    steps = running_sums(steps, [(F.col(score), Column.desc_nulls_last)], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
     out = steps.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),

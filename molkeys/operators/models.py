@@ -1,16 +1,22 @@
-"""Preparation of features and classifiers with Spark ML."""
+"""Classifiers with Spark ML: training, saved models, calibration, boosting with history, importances, evaluation."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molkeys.scratch import written
+
+from . import metrics
+from .preparation import Preparation, PreparationModel
+from .ranks import draw, numbered
+
 
 def numeric(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as doubles; what cannot be read is null."""
@@ -23,91 +29,34 @@ def missing_report(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_missing"), (F.col(f"`{c}`") == F.col("_n")).alias("all_missing")) for c in columns])).alias("r")).select("r.*")
 
 
-@dataclass
-class Preprocessor:
-    """What the training rows said: medians, the features kept, and whether to take log1p of values clipped at 0."""
-
-    medians: dict[str, float]
-    kept: list[str]
-    log: bool
-    scaler: str
-
-
-def _value(c: str, medians: dict[str, float], log: bool) -> Column:
-    x = F.coalesce(F.col(f"`{c}`"), F.lit(float(medians[c])))
-    return F.log1p(F.greatest(x, F.lit(0.0))) if log else x
-
-
-def fit_preprocessor(train: DataFrame, columns: list[str], log: bool = False, least_total: float = 0.0, scaler: str = "standard") -> Preprocessor:
-    """Exact medians, then variance and totals of the filled values, in two passes over the training rows."""
-    got = train.agg(*[F.percentile(F.col(f"`{c}`"), 0.5).alias(c) for c in columns]).first()
-    medians = {c: 0.0 if got[c] is None else float(got[c]) for c in columns}
-    stats = train.agg(*[F.struct(F.var_samp(_value(c, medians, log)).alias("v"), F.sum(_value(c, medians, log)).alias("s")).alias(c) for c in columns]).first()
-    kept = [c for c in columns if stats[c].v and stats[c].v > 0 and stats[c].s >= least_total]
-    if not kept:
-        raise ValueError("no feature is left")
-    return Preprocessor(medians, kept, log, scaler)
+def fit_preprocessor(train: DataFrame, columns: list[str], log: bool = False, least_total: float = 0.0, scaler: str = "standard") -> PreparationModel:
+    """What the training rows say about their features."""
+    return Preparation(columns, log=log, leastTotal=least_total, scaler=scaler).fit(train)
 
 
-def prepare(rows: DataFrame, state: Preprocessor) -> DataFrame:
-    """Adds ``raw``, the vector of kept features; a column that is missing takes its median, others are ignored."""
-    for c in set(state.kept) - set(rows.columns):
-        rows = rows.withColumn(c, F.lit(None).cast("double"))
-    out = rows.withColumns({f"_{i}": _value(c, state.medians, state.log) for i, c in enumerate(state.kept)})
-    names = [f"_{i}" for i in range(len(state.kept))]
-    return VectorAssembler(inputCols=names, outputCol="raw").transform(out).drop(*names)
+def prepare(rows: DataFrame, state: PreparationModel) -> DataFrame:
+    """Adds ``features``, the vector of kept features; a column that is missing takes its median, others are ignored."""
+    return state.transform(rows)
 
 
-def balance_oversample(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Copies of rows until each class has the size of the largest; which rows get one more is by hash."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    most = counts.agg(F.max("_n").alias("_most"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    out = rows.join(F.broadcast(counts), label).crossJoin(F.broadcast(most)).withColumn("_p", place)
-    copies = F.floor(F.col("_most") / F.col("_n")) + (F.col("_p") <= F.col("_most") % F.col("_n")).cast("int")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n", "_most", "_p")
+def penalty(params: dict) -> dict:
+    """Spark's parameters of ``penalty`` (l1, l2, elasticnet or none), ``C``, ``l1_ratio`` and the ``n`` training rows; others pass through.
 
-
-def smote(rows: DataFrame, label: str, key: str, vector: str = "features", k: int = 5, seed: int = 42, block: int = 2000) -> DataFrame:
-    """Rows and interpolated ones until each class has the size of the largest; neighbours are the k nearest of the class.
-
-    Only as many rows as new ones are needed are queries; a class above ``block`` rows is an error, since its neighbours would be
-    all pairs.
+    An elastic net needs a ratio from 0 to 1, no other penalty takes one, and C must be positive; C and n are needed with a penalty.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    small = {r[label]: r.n for r in counts.collect()}
-    most = max(small.values())
-    need = {c: most - n for c, n in small.items() if n < most}
-    if not need:
-        return rows.select(label, vector)
-    if min(small[c] for c in need) < 2 or max(small[c] for c in need) > block:
-        raise ValueError("a class is too small or too large for interpolation")
-    k = min(k, min(small[c] for c in need) - 1)
-    few = rows.where(F.col(label).isin(*need)).select(label, F.col(key).alias("_k"), vector_to_array(vector).alias("_v"))
-    other = few.select(label, F.col("_k").alias("_k2"), F.col("_v").alias("_w"))
-    d = F.aggregate(F.zip_with("_v", "_w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = few.join(other, label).where("_k <> _k2").withColumn("_d", d)
-    near = near.groupBy(label, "_k").agg(F.first("_v").alias("_v"), F.slice(F.array_sort(F.collect_list(F.struct("_d", "_k2", "_w"))), 1, k).alias("_near"))
-    wanted = F.create_map(*[F.lit(x) for c, n in need.items() for x in (c, n)])
-    size = F.create_map(*[F.lit(x) for c in need for x in (c, small[c])])
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "_k"), "_k"))
-    near = near.withColumn("_p", place)
-    copies = F.floor(wanted[F.col(label)] / size[F.col(label)]) + (F.col("_p") <= wanted[F.col(label)] % size[F.col(label)]).cast("int")
-    near = near.where(copies > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    pick = F.get("_near", F.pmod(F.xxhash64(F.lit(seed + 1), "_k", "_c"), F.size("_near")).cast("int"))["_w"]
-    share = F.pmod(F.xxhash64(F.lit(seed + 2), "_k", "_c"), F.lit(1_000_000)) / 1e6
-    from pyspark.ml.functions import array_to_vector
-
-    made = near.withColumns({"_o": pick, "_s": share}).select(label, array_to_vector(F.zip_with("_v", "_o", lambda a, b: a + F.col("_s") * (b - a))).alias(vector))
-    return rows.select(label, vector).unionByName(made)
-
-
-def scaler_of(kind: str):
-    if kind == "standard":
-        return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    if kind == "robust":
-        return RobustScaler(inputCol="raw", outputCol="features", withCentering=True)
-    return None
+    if "penalty" not in params:
+        return params
+    rest = {k: v for k, v in params.items() if k not in ("penalty", "C", "l1_ratio", "n")}
+    kind, c, ratio = params["penalty"], params.get("C", 1.0), params.get("l1_ratio")
+    if kind not in ("l1", "l2", "elasticnet", "none"):
+        raise ValueError(f"unknown penalty {kind}")
+    if (kind == "elasticnet") != (ratio is not None):
+        raise ValueError("an elastic net, and nothing else, needs l1_ratio")
+    if ratio is not None and not 0 <= ratio <= 1:
+        raise ValueError("l1_ratio must be from 0 to 1")
+    if c <= 0:
+        raise ValueError("C must be positive")
+    return rest | ({} if kind == "none" else {"regParam": 1.0 / (c * params["n"]), "elasticNetParam": {"l1": 1.0, "l2": 0.0}.get(kind, ratio)})
 
 
 def classifier(kind: str, label: str = "label", features: str = "features", weight: str | None = None, seed: int = 42, n_features: int = 0, n_classes: int = 2, **params):
@@ -121,30 +70,151 @@ def classifier(kind: str, label: str = "label", features: str = "features", weig
     if kind == "svm":
         return OneVsRest(classifier=LinearSVC(**common, **({"maxIter": 100} | params)), **common)
     if kind == "logistic_regression":
-        return LogisticRegression(**weighted, family="multinomial", **({"maxIter": 200} | params))
+        return LogisticRegression(**weighted, family="multinomial", **({"maxIter": 200} | penalty(params)))
     if kind == "mlp":
         return MultilayerPerceptronClassifier(**common, seed=seed, layers=[n_features, *params.pop("hidden", [64, 32]), n_classes], **params)
     raise ValueError(f"unknown classifier {kind}")
 
 
-def train(rows: DataFrame, state: Preprocessor, model) -> PipelineModel:
-    """Scaler and classifier on prepared rows."""
-    scaler = scaler_of(state.scaler)
-    data = prepare(rows, state)
-    if scaler is None:
-        data, stages = data.withColumnRenamed("raw", "features"), [model]
+def train(rows: DataFrame, state: PreparationModel, model) -> PipelineModel:
+    """Preparation and classifier as one pipeline, fitted on rows."""
+    return Pipeline(stages=[state, model]).fit(rows)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def predict(rows: DataFrame, model: PipelineModel, label: str = "label") -> DataFrame:
+    """Rows with prediction, probabilities as an array, confidence and whether it is right; a saved model is applied to new rows the same way.
+
+    A model without probabilities, but with scores, gives the softmax of its scores.
+    """
+    out = model.transform(rows)
+    if "probability" in out.columns:
+        shares = vector_to_array("probability")
+    elif "rawPrediction" in out.columns:
+        shares = softmax(vector_to_array("rawPrediction"))
+    else:
+        shares = F.lit(None).cast("array<double>")
+    out = out.withColumn("probabilities", shares)
+    return out.withColumns({"confidence": F.array_max("probabilities"), "is_correct": F.col("prediction") == F.col(label)})
+
+
+def misclassified(predicted: DataFrame) -> DataFrame:
+    return predicted.where("not is_correct")
+
+
+def evaluate_splits(predicted: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
+    """(split, n, accuracy, balanced accuracy, macro and weighted precision, recall and F1) of predicted rows."""
+    names = [r[0] for r in predicted.select(split).distinct().orderBy(split).collect()]
+    out = None
+    for name in names:
+        own = predicted.where(F.col(split) == name)
+        one = metrics.summary(own, label, "prediction").crossJoin(own.agg(F.count("*").alias("n"))).withColumn("split", F.lit(name))  # single rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def importances(model: PipelineModel) -> DataFrame:
+    """(feature, importance) of a forest, or the mean of absolute coefficients of a linear model, largest first."""
+    spark = SparkSession.active()
+    names, last = model.stages[0].kept, model.stages[-1]
+    if hasattr(last, "featureImportances"):
+        values = last.featureImportances.toArray()
+    elif hasattr(last, "coefficientMatrix"):
+        values = abs(last.coefficientMatrix.toArray()).mean(0)
     else:
-        stages = [scaler, model]
-    return Pipeline(stages=stages).fit(data)
+        values = sum(abs(m.coefficients.toArray()) for m in last.models) / len(last.models)
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def class_coefficients(model: PipelineModel) -> DataFrame:
+    """(class, feature, coefficient) of a linear model."""
+    names, last = model.stages[0].kept, model.stages[-1]
+    matrix = last.coefficientMatrix.toArray() if hasattr(last, "coefficientMatrix") else [m.coefficients.toArray() for m in last.models]
+    return SparkSession.active().createDataFrame([(c, n, float(v)) for c, row in enumerate(matrix) for n, v in zip(names, row)], "class int, feature string, coefficient double")
+
 
+class Calibration(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Probabilities from one score a class: a logistic curve for each, scaled to sum to one. A stage behind a classifier with scores."""
 
-def predict(rows: DataFrame, state: Preprocessor, model: PipelineModel, label: str = "label") -> DataFrame:
-    """Rows with prediction, confidence and whether it is right; a saved model is applied to new rows the same way."""
-    data = prepare(rows, state)
-    data = data if state.scaler in ("standard", "robust") else data.withColumnRenamed("raw", "features")
-    out = model.transform(data)
-    confidence = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
-    return out.withColumns({"confidence": confidence, "is_correct": F.col("prediction") == F.col(label)})
+    slopes = Param(Params._dummy(), "slopes", "of the curves", TypeConverters.toListFloat)
+    offsets = Param(Params._dummy(), "offsets", "of the curves", TypeConverters.toListFloat)
+
+    def __init__(self, slopes: list[float] = (), offsets: list[float] = ()):
+        super().__init__()
+        self._set(slopes=list(slopes), offsets=list(offsets))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scores = vector_to_array("rawPrediction")
+        each = [1 / (1 + F.exp(-(F.lit(a) * F.get(scores, F.lit(i)) + F.lit(b)))) for i, (a, b) in enumerate(zip(self.getOrDefault("slopes"), self.getOrDefault("offsets")))]
+        total = sum(each[1:], each[0])
+        shares = F.array(*[F.when(total > 0, e / total).otherwise(1.0 / len(each)) for e in each])
+        out = dataset.drop("prediction").withColumn("_shares", shares)
+        # of equal shares the first class
+        return out.withColumns({"probability": array_to_vector("_shares"), "prediction": (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")}).drop("_shares")
+
+
+def calibrated_svm(rows: DataFrame, state: PreparationModel, key: str, label: str = "label", folds: int = 5, seed: int = 42, **params) -> tuple[PipelineModel, DataFrame]:
+    """(pipeline, out-of-fold rows): linear support vectors for each class against the rest, with probabilities.
+
+    Every row is scored by a model that has not seen its fold; folds have like shares of all classes. A logistic curve for each class is fitted to
+    these scores, with targets drawn in from 0 and 1 by the class counts. The model that is kept is fitted on all rows.
+    """
+    if folds < 2:
+        raise ValueError("calibration needs two folds")
+    data = written(numbered(state.transform(rows), [draw(seed, key), F.col(key)], [label], "_p").withColumn("fold", (F.col("_p") % folds).cast("int")).select(key, F.col(label).cast("double").alias(label), "features", "fold"), "folds")
+    svm = classifier("svm", label, seed=seed, **params)
+    parts = [svm.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f)) for f in range(folds)]
+    scores = parts[0].select(key, label, "fold", "rawPrediction")
+    for part in parts[1:]:
+        scores = scores.unionByName(part.select(*scores.columns))
+    scores = written(scores, "scores")
+    final = svm.fit(data)
+    slopes, offsets = [], []
+    for c in range(len(final.models)):
+        one = scores.select((F.col(label) == c).alias("is"), F.get(vector_to_array("rawPrediction"), F.lit(c)).alias("s"))
+        n, hits = one.agg(F.count("*"), F.count_if("is")).first()
+        high, low = (hits + 1) / (hits + 2), 1 / (n - hits + 2)
+        target = F.when(F.col("is"), high).otherwise(low)
+        both = one.select(array_to_vector(F.array("s")).alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("t"))
+        curve = LogisticRegression(labelCol="y", weightCol="w", maxIter=100, tol=1e-9).fit(both.select("features", "t.y", "t.w"))
+        slopes.append(float(curve.coefficients[0]))
+        offsets.append(float(curve.intercept))
+    calibration = Calibration(slopes, offsets)
+    return PipelineModel([state, final, calibration]), calibration.transform(scores)
+
+
+def calibration_table(predicted: DataFrame, label: str = "label", bins: int = 10) -> DataFrame:
+    """(class, bin, n, mean_probability, share): how often a class is true where it has a probability of about so much."""
+    long = predicted.select(F.col(label).alias("_y"), F.posexplode(vector_to_array("probability")).alias("class", "p"))
+    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    return long.groupBy("class", place.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_probability"), F.avg((F.col("_y") == F.col("class")).cast("double")).alias("share"))
+
+
+def boost(rows: DataFrame, state: PreparationModel, validation: str, label: str = "label", seed: int = 42, **params) -> tuple[PipelineModel, DataFrame]:
+    """(pipeline, history) of boosted trees, one against the rest, that stop when the rows marked by the column ``validation`` gain nothing.
+
+    The history has (class, iteration, train, validation): the loss of the ensemble's first trees over both sets of rows, for as many trees as
+    the stop left.
+    """
+    data = written(state.transform(rows).select(F.col(label).cast("double").alias(label), "features", validation), "boosting")
+    n_classes = int(data.agg(F.max(label)).first()[0]) + 1
+    settings = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "validationTol": 0.01} | params
+    models, lines = [], []
+    for c in range(1 if n_classes == 2 else n_classes):
+        own = data.withColumn("_y", (F.col(label) == (1 if n_classes == 2 else c)).cast("double"))
+        trees = GBTClassifier(labelCol="_y", featuresCol="features", seed=seed, validationIndicatorCol=validation, **settings).fit(own)
+        losses = [trees.evaluateEachIteration(own.where(F.col(validation) == held).select("_y", "features")) for held in (False, True)]
+        lines += [(c, i, float(x), float(y)) for i, (x, y) in enumerate(zip(*losses), 1)]
+        models.append(trees)
+    history = rows.sparkSession.createDataFrame(lines, "class int, iteration int, train double, validation double")
+    return PipelineModel([state, models[0] if n_classes == 2 else OneVsRestModel(models)]), history
 
 
 def softmax(scores: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molkeys.functions import geometry, identifiers
-from molkeys.operators import contacts, key_tables, labels, metrics, models, residues, search, similarity, targets, triplets
+from molkeys.operators import balance, contacts, key_tables, labels, metrics, models, residues, search, similarity, targets, triplets
 from molkeys.sources import structures, tables
 
 Frame = DataFrame
@@ -222,7 +222,7 @@ def balanced_sizes(spark, sf_dir) -> Frame:
 
 def oversampled_sizes(spark, sf_dir) -> Frame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return models.balance_oversample(d, "lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return balance.balance_oversample(d, "lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 def class_weights(spark, sf_dir) -> Frame:
@@ -378,17 +378,17 @@ def _features(spark, sf_dir) -> DataFrame:
 def forest_predictions(spark, sf_dir) -> Frame:
     rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
     train = rows.where("split = 'train'")
-    state = models.fit_preprocessor(train, FEATURES, least_total=float("-inf"), scaler="none")
+    state = models.fit_preprocessor(train, FEATURES, scaler="none")
     model = models.train(train, state, models.classifier("random_forest"))
-    return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
+    return models.predict(rows.where("split = 'test'"), model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
 def logistic_predictions(spark, sf_dir) -> Frame:
     rows = labels.class_weights(labels.stratified_split(_features(spark, sf_dir), "label", "vec_id"), "label")
     train = rows.where("split = 'train'")
-    state = models.fit_preprocessor(train, FEATURES, least_total=float("-inf"))
+    state = models.fit_preprocessor(train, FEATURES)
     model = models.train(train, state, models.classifier("logistic_regression", weight="weight"))
-    return models.predict(rows.where("split = 'test'"), state, model).select("vec_id", "label", "prediction", "confidence", "is_correct")
+    return models.predict(rows.where("split = 'test'"), model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
 QUERIES = {

@@ -75,7 +75,7 @@ def test_preprocessing_uses_training_rows_only(spark):
     train = spark.createDataFrame([(1.0, 5.0, 0.0), (3.0, 5.0, 1.0), (None, 5.0, 1.0)], "a double, b double, label double")
     state = models.fit_preprocessor(train, ["a", "b"], scaler="none")
     assert state.kept == ["a"] and state.medians["a"] == 2.0
-    assert models.prepare(spark.createDataFrame([(None,)], "a double"), state).first().raw[0] == 2.0
+    assert models.prepare(spark.createDataFrame([(None,)], "a double"), state).first().features[0] == 2.0
 
 
 def test_keys_of_a_stream(spark, tmp_path):
