@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels that may end an identifier.
+# Labels that may end an identifier.
 LABELS = ("CI", "NCI", "WCI", "I", "NI")
 # One-letter codes of ligand chains.
 LIGAND_LETTERS = {"NAG": "N", "MAN": "M", "BMA": "B", "FUC": "F", "BGC": "G", "GAL": "A", "FUL": "U", "NDG": "D"}
@@ -145,8 +145,38 @@ def chain_order(chain: Column) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """Text of so many decimals; halves of the number's shortest text go to the even digit."""
-    return F.bround(value.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    """Text of so many decimals of a double's exact binary value, halves to the even digit, as C and Python print it.
+
+    The fraction times a power of ten is taken as a product and its exact rounding error, so nothing is lost. The sign stays, also of a zero. Exact up
+    to 2^115; larger values, null and what is not finite are null.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    whole = F.floor(F.when(size < 2.0**63, size).otherwise(0.0)).cast("double")
+    part = F.when(size < 2.0**53, size - whole).otherwise(0.0)
+    power = 10.0**digits
+    # both factors in halves of 26 bits, whose products are exact
+    split = lambda v: (134217729.0 * v) - ((134217729.0 * v) - v)
+    high = split(part)
+    low = part - high
+    p_high = F.lit(134217729.0 * power - (134217729.0 * power - power))
+    p_low = F.lit(power) - p_high
+    product = part * F.lit(power)
+    error = ((high * p_high - product) + high * p_low + low * p_high) + low * p_low
+    floor = F.floor(product).cast("double")
+    rest = product - floor
+    odd = (floor % 2 == 1) if digits else ((whole + floor) % 2 == 1)
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    # a product that rounding took up to the next whole number
+    below = (rest == 0) & (error < 0) & (floor > 0)
+    scaled = F.when(below, floor).otherwise(floor + up.cast("double")).cast("bigint")
+    ten = int(power)
+    carry = scaled >= ten
+    big = F.floor(size / 2.0**62).cast("bigint").cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + (size % 2.0**62).cast("bigint")
+    units = F.when(size < 2.0**63, (whole.cast("bigint") + carry.cast("bigint")).cast("string")).when(size < 2.0**115, big.cast("decimal(38,0)").cast("string"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    tail = F.concat(F.lit("."), F.lpad((scaled % ten).cast("string"), digits, "0")) if digits else F.lit("")
+    return F.concat(sign, units, tail)
 
 
 def kept_first(values: Column) -> Column:

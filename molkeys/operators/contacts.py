@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molkeys.functions.identifiers import interaction_label
+from molkeys.functions.identifiers import half_even, interaction_label
 
 
 def contacts(left: DataFrame, right: DataFrame, cut: float = 3.0, by: str = "pdb") -> DataFrame:
@@ -25,5 +25,5 @@ def contacts(left: DataFrame, right: DataFrame, cut: float = 3.0, by: str = "pdb
 
 def nearest_labels(rows: DataFrame, residue: list[str], distance: str = "distance", ci: float = 1.5, wci: float = 2.0) -> DataFrame:
     """Per residue: the smallest distance, rounded to a tenth as contact tables hold it, and its label."""
-    low = rows.groupBy(*residue).agg(F.min(F.round(distance, 1)).alias("min_distance"))
+    low = rows.groupBy(*residue).agg(F.min(half_even(F.col(distance), 1).cast("double")).alias("min_distance"))
     return low.withColumn("label", interaction_label(F.col("min_distance"), ci, wci))

@@ -23,9 +23,49 @@ def label_identifiers(rows: DataFrame, labels: DataFrame, identifier: str = "ide
 
 
 def annotate(rows: DataFrame, labels: DataFrame, identifier: str = "identifier") -> DataFrame:
-    """Rows whose identifier carries its label at the end; those without a label are left out (see ``label_identifiers``)."""
-    found = label_identifiers(rows, labels, identifier).where("status = 'matched'").select(identifier, "label")
-    return rows.join(found, identifier).withColumn(identifier, with_label(F.col(identifier), F.col("label"))).drop("label")
+    """Rows whose identifier carries its label at the end; the first one read without a single label is an error (see ``label_identifiers``)."""
+    found = label_identifiers(rows, labels, identifier).select(F.col(identifier).alias("_id"), F.col("label").alias("_label"), F.col("status").alias("_status"))
+    joined = rows.join(found, F.col(identifier).eqNullSafe(F.col("_id")))
+    bad = F.raise_error(F.concat(F.lit("no single label of "), F.coalesce(F.col(identifier), F.lit("null")), F.lit(": "), "_status"))
+    named = F.when(F.col("_status") == "matched", with_label(F.col(identifier), F.col("_label"))).otherwise(bad)
+    return joined.withColumn(identifier, named).select(*rows.columns)
+
+
+def unmatched(rows: DataFrame, labels: DataFrame, identifier: str = "identifier") -> DataFrame:
+    """(identifier, status) of the rows that ``annotate`` would refuse."""
+    return label_identifiers(rows, labels, identifier).where("status <> 'matched'").select(identifier, "status")
+
+
+def annotate_lines(lines: DataFrame, labels: DataFrame, strict: bool = True) -> DataFrame:
+    """(ln, line, status) of a generalised file (ln, line) whose first fields carry their labels; all else of a line stays as it is.
+
+    Lines are ``id;v,v,...`` where the first filled line has a semicolon, else CSV, in which lines that begin with ``Protein Name`` are headers
+    and stay. Blank lines go. A line without a semicolon in a file of such lines is an error, and so is one without a single label; with
+    ``strict`` off the latter keeps its text, with the status unmatched or ambiguous.
+    """
+    filled = lines.where(F.trim("line") != "")
+    head = filled.agg(F.min_by("line", "ln").alias("head")).first().head
+    if head is None:
+        return filled.select("ln", "line", F.lit("matched").alias("status"))
+    first = lambda c: F.coalesce(F.from_csv(c, "f string")["f"], F.lit(""))
+    is_header = F.lower(F.trim(first(F.col("line")))) == "protein name"
+    if ";" in head and not head.lower().lstrip().lstrip('"').startswith("protein name"):
+        fault = F.raise_error(F.concat(F.lit("line "), F.col("ln").cast("string"), F.lit(" has no semicolon")))
+        field = F.when(F.col("line").contains(";"), F.substring_index("line", ";", 1)).otherwise(fault)
+        cut, quoted = fenced(filled, identifier=field).withColumn("header", F.lit(False)), F.lit(False)
+        rest = F.substr("line", F.char_length("identifier") + 1)
+    else:
+        cut = fenced(filled, identifier=first(F.col("line")), header=is_header)
+        quoted = F.col("line").rlike('^\\s*"')
+        raw = F.regexp_extract("line", '^(\\s*"(?:[^"]|"")*"|[^,]*)', 1)
+        rest = F.substr("line", F.char_length(raw) + 1)
+    cut = cut.select("ln", "line", "identifier", "header", rest.alias("rest"), quoted.alias("quoted"))
+    found = label_identifiers(cut.where("not header").select("identifier"), labels).select(F.col("identifier").alias("_id"), "label", "status")
+    joined = cut.join(found, F.col("identifier") == F.col("_id"), "left").withColumn("status", F.when(F.col("header"), "matched").otherwise(F.col("status")))
+    named = with_label(F.trim("identifier"), F.col("label"))
+    text = F.concat(F.when(F.col("quoted"), F.concat(F.lit('"'), F.replace(named, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(named), F.col("rest"))
+    bad = F.raise_error(F.concat(F.lit("line "), F.col("ln").cast("string"), F.lit(": no single label of "), F.col("identifier"))) if strict else F.col("line")
+    return joined.select("ln", F.when(F.col("header"), F.col("line")).when(F.col("status") == "matched", text).otherwise(bad).alias("line"), "status")
 
 
 def conflicting_labels(labels: DataFrame, identifier: str = "identifier") -> DataFrame:

@@ -6,14 +6,16 @@ its identifier's, ``format`` where the key mode does not take the identifier, or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from molkeys.functions.geometry import fenced
 from molkeys.functions.identifiers import LABELS, canonical, clean, parse_identifier, without_label
+from molkeys.scratch import written
 from molkeys.sources import tables
 
 from .labels import resolve_files
+from .ranks import numbered
 from .triplets import matches_atoms
 
 CHAIN, RESIDUE, CROSS, AUTO = "chain", "no_chain", "cross", "auto"
@@ -115,11 +117,18 @@ def is_header(line: Column) -> Column:
 def read_samples(spark: SparkSession, path: str, mode: str = AUTO) -> DataFrame:
     """Samples of a search input, a table with a header or lines."""
     text = spark.read.text(path).where(F.trim("value") != "").limit(1).select(is_header(F.col("value")).alias("h")).first()
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
     if text is not None and text.h:
-        rows = tables.read_strings(spark, path)
-        return samples_of_rows(rows.select("*", place["col2"].alias("_line")), "_line", mode)
-    return samples_of_lines(spark.read.text(path).select(place["col2"].alias("ln"), F.col("value").alias("line")), mode, header=False)
+        # a table's rows are numbered in the order of their bytes, the header not counted
+        rows = written(tables.read_strings(spark, path).select("*", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")), "rows")
+        rows = numbered(rows, [F.col("_start"), F.col("_id")], name="_line").drop("_start", "_id")
+        return _some(samples_of_rows(rows, "_line", mode), path)
+    return _some(samples_of_lines(tables.numbered_lines(spark, path).select("ln", "line"), mode, header=False), path)
+
+
+def _some(samples: DataFrame, path: str) -> DataFrame:
+    if samples.isEmpty():
+        raise ValueError(f"no samples in {path}")
+    return samples
 
 
 def strict(samples: DataFrame) -> DataFrame:
@@ -127,19 +136,33 @@ def strict(samples: DataFrame) -> DataFrame:
     return samples.withColumn("canon", F.when(F.col("fault").isNull(), F.col("canon")).otherwise(F.raise_error(F.concat(F.lit("sample of line "), F.col("line").cast("string"), F.lit(": "), "fault"))))
 
 
-def search(samples: DataFrame, lines: DataFrame, wanted: list[str], layout: str = "auto", ignore_suffix: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows found, counters) of samples in lines (key, file_label, file, line) of key files; key is the canonical identifier.
+def resolved_samples(samples: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples with their files, counters of samples by outcome) of files (key, file_label, file)."""
+    resolved = resolve_files(samples.where("fault is null").select(F.col("canon").alias("key"), F.col("grp").alias("label")), files)
+    status = lambda s, n: F.count_if(F.col("status") == s).alias(n)
+    counters = resolved.agg(F.count("*").alias("samples"), status("resolved", "key_files_found"), status("missing", "key_files_missing"), status("ambiguous", "ambiguous_key_files"))
+    return resolved.where("status = 'resolved'").select("file", F.col("key").alias("sample"), F.col("label").alias("grp")), counters
+
+
+def search(samples: DataFrame, lines: DataFrame, wanted: list[str], layout: str = "auto", ignore_suffix: bool = False, files: DataFrame | None = None) -> tuple[DataFrame, Observation, DataFrame]:
+    """(rows found, observed, counters of samples) of samples in lines (key, file_label, file, line) of key files; key is the canonical identifier.
 
+    The lines are read once: rows_read, rows_matched and malformed_rows are counted on their way to the rows found, and are there when those have
+    been read (see ``counters``). Files (key, file_label, file) come from a directory's listing, or else from a scan of these columns.
     Each sample reads its file, so a file that several samples resolve to counts for each.
     """
-    files = lines.select("key", "file_label", "file").distinct()
-    resolved = resolve_files(samples.where("fault is null").select(F.col("canon").alias("key"), F.col("grp").alias("label")), files)
-    found = resolved.where("status = 'resolved'").select("file", F.col("key").alias("sample"), F.col("label").alias("grp"))
-    rows = tables.key_rows(lines.where(F.trim("line") != "").select("file", "line"), layout=layout)
+    files = lines.select("key", "file_label", "file").distinct() if files is None else files
+    found, of_samples = resolved_samples(samples, files)
+    read = lines.where(F.trim("line") != "").select("file", "line").join(found, "file")
+    rows = tables.key_rows(read, layout=layout)
     hit = (F.col("layout") != "malformed") & matches_atoms(F.col("atom1"), F.col("atom2"), F.col("atom3"), wanted, ignore_suffix)
     rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    per_file = rows.groupBy("file").agg(F.count_if(F.col("layout") != "malformed").alias("r"), F.count_if("hit").alias("m"), F.count_if(F.col("layout") == "malformed").alias("b"))
-    read = found.join(per_file, "file").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("r", "rows_read"), ("m", "rows_matched"), ("b", "malformed_rows"))])
-    status = lambda s, n: F.count_if(F.col("status") == s).alias(n)
-    counters = resolved.agg(F.count("*").alias("samples"), status("resolved", "key_files_found"), status("missing", "key_files_missing"), status("ambiguous", "ambiguous_key_files")).crossJoin(read)
-    return rows.where("hit").drop("hit", "line").join(found, "file"), counters
+    observed = Observation()
+    rows = rows.observe(observed, F.count_if(F.col("layout") != "malformed").alias("rows_read"), F.count_if("hit").alias("rows_matched"), F.count_if(F.col("layout") == "malformed").alias("malformed_rows"))
+    return rows.where("hit").drop("hit", "line"), observed, of_samples
+
+
+def counters(found: DataFrame, observed: Observation, of_samples: DataFrame) -> DataFrame:
+    """One row with all counters of a search; reads the rows found once, without keeping them."""
+    found.write.format("noop").mode("overwrite").save()
+    return of_samples.select("*", *[F.lit(int(observed.get.get(n) or 0)).cast("bigint").alias(n) for n in ("rows_read", "rows_matched", "malformed_rows")])

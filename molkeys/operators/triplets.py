@@ -10,18 +10,39 @@ from molkeys.functions import geometry
 ATOM = ("code", "x", "y", "z")
 
 
-def enumerate_triplets(atoms: DataFrame, by: list[str], order: str = "idx", carry: tuple[str, ...] = ()) -> DataFrame:
+#: Atoms of an index block; a group of more is cut into blocks.
+BLOCK = 64
+
+
+def enumerate_triplets(atoms: DataFrame, by: list[str], order: str = "idx", carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """(by, a_*, b_*, c_*): all i < j < k of each group in order, as flat columns of the three atoms.
 
-    A group becomes one array, whose first index is exploded and dealt out before the other two, so that a long chain is
-    spread over tasks. Groups of less than three atoms give nothing.
+    A group becomes one array. One of at most ``block`` atoms is enumerated where it is. A larger one is cut into blocks, and each triple of
+    blocks, with the atoms of its own three, is dealt to a task by itself, so a chain of thousands of atoms is spread over the cluster and no
+    row holds more than three blocks. Groups of less than three atoms give nothing.
     """
     atom = F.struct(order, *ATOM, *carry)
     groups = atoms.groupBy(*by).agg(F.array_sort(F.collect_list(atom)).alias("atoms")).where(F.size("atoms") >= 3)
-    n = F.size("atoms")
-    first = groups.select(*by, "atoms", F.explode(F.sequence(F.lit(0), n - 3)).alias("i"))
-    second = first.select(*by, "atoms", "i", F.explode(F.sequence(F.col("i") + 1, n - 2)).alias("j"))
-    third = second.select(*by, F.get("atoms", F.col("i")).alias("a"), F.get("atoms", F.col("j")).alias("b"), F.explode(F.slice("atoms", F.col("j") + 2, n)).alias("c"))
+    zero = F.lit(0)
+    small = groups.where(F.size("atoms") <= block).select(*by, zero.alias("ua"), zero.alias("ub"), zero.alias("uc"), *[F.col("atoms").alias(p) for p in ("pa", "pb", "pc")])
+
+    cut = F.transform(F.sequence(zero, F.floor((F.size("atoms") - 1) / block).cast("int")), lambda u: F.slice("atoms", u * block + 1, block))
+    large = groups.where(F.size("atoms") > block).select(*by, cut.alias("blocks")).select(*by, "blocks", F.posexplode("blocks").alias("ua", "pa"))
+    large = large.select(*by, "blocks", "ua", "pa", F.explode(F.sequence("ua", F.size("blocks") - 1)).alias("ub"))
+    later = F.slice("blocks", F.col("ub") + 1, F.size("blocks"))
+    large = large.select(*by, "ua", "ub", "pa", F.get("blocks", F.col("ub")).alias("pb"), F.posexplode(later).alias("du", "pc"))
+    # a fixed number, since units are small beside the rows that they make, and adaptive execution would put them together
+    tasks = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = large.select(*by, "ua", "ub", (F.col("ub") + F.col("du")).alias("uc"), "pa", "pb", "pc").repartition(tasks, *by, "ua", "ub", "uc")
+
+    units = small.unionByName(large)
+    first = units.select(*by, "ua", "ub", "uc", "pb", "pc", F.posexplode("pa").alias("i", "a"))
+    # of one block with itself only what comes later
+    same = F.col("ua") == F.col("ub")
+    behind = F.when(same, F.slice("pb", F.col("i") + 2, block)).otherwise(F.col("pb"))
+    second = first.select(*by, "ub", "uc", "a", "pc", F.when(same, F.col("i") + 1).otherwise(0).alias("skip"), F.posexplode(behind).alias("j", "b"))
+    last = F.when(F.col("ub") == F.col("uc"), F.slice("pc", F.col("skip") + F.col("j") + 2, block)).otherwise(F.col("pc"))
+    third = second.select(*by, "a", "b", F.explode(last).alias("c"))
     return third.select(*by, *[F.col(f"{p}.{k}").alias(f"{p}_{k}") for p in "abc" for k in (order, *ATOM, *carry)])
 
 

@@ -257,8 +257,11 @@ def coded_names(spark, sf_dir) -> Frame:
 
 
 def half_even_texts(spark, sf_dir) -> Frame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") / 8).alias("v"))
-    return c.select("c_custkey", identifiers.half_even(F.col("v"), 1).alias("one"), identifiers.half_even(F.col("v"), 2).alias("two"))
+    """Eighths, tenths, hundredths and balances: halves that are exact and halves that are not, of either sign."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    v = F.when(k % 4 == 0, k / 8).when(k % 4 == 1, k / 20).when(k % 4 == 2, k / 200).otherwise(F.col("c_acctbal").cast("double") / 10)
+    return c.select("c_custkey", *[identifiers.half_even(v, d).alias(n) for d, n in ((1, "one"), (2, "two"), (3, "three"))])
 
 
 def chains_in_order(spark, sf_dir) -> Frame:
@@ -300,7 +303,7 @@ def search_counters(spark, sf_dir) -> Frame:
     line = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), cell), "\t")
     label = F.when(k % 3 == 0, "CI").otherwise("")
     lines = o.select(key.alias("key"), label.alias("file_label"), F.concat_ws("/", key, label).alias("file"), line.alias("line"))
-    return search.search(samples, lines, ["C1", "C2", "C3"])[1]
+    return search.counters(*search.search(samples, lines, ["C1", "C2", "C3"]))
 
 
 def residue_targets(spark, sf_dir) -> Frame:
@@ -498,7 +501,7 @@ ORACLES = {
         a AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY lang)), b AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY source)),
         e AS (SELECT idx, sa, sb, sa * sb / (t * (t - 1) / 2) AS ex FROM i, a, b) SELECT round((idx - ex) / ((sa + sb) / 2 - ex), 9) AS ari FROM e""",
     "contact_pairs": f"WITH {ATOMS} SELECT a.struct AS pdb, a.idx::INT AS l_idx, b.idx::INT AS r_idx, round({_d('a', 'b')}, 6) AS distance FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.code <= 5 AND b.code > 5 WHERE {_d('a', 'b')} <= 6",
-    "interaction_labels": f"""WITH {ATOMS}, c AS (SELECT a.struct AS pdb, a.idx::INT AS l_idx, min(round(floor({_d('a', 'b')}) / 4, 1)) AS m FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.code <= 5 AND b.code > 5 WHERE {_d('a', 'b')} <= 12 GROUP BY ALL)
+    "interaction_labels": f"""WITH {ATOMS}, c AS (SELECT a.struct AS pdb, a.idx::INT AS l_idx, min(printf('%.1f', floor({_d('a', 'b')}) / 4)::DOUBLE) AS m FROM atoms a JOIN atoms b ON a.struct = b.struct AND a.code <= 5 AND b.code > 5 WHERE {_d('a', 'b')} <= 12 GROUP BY ALL)
         SELECT pdb, l_idx, m AS min_distance, CASE WHEN m <= 1.5 THEN 'ci' WHEN m <= 2 THEN 'wci' ELSE 'nci' END AS label FROM c""",
     "linked_residues": f"WITH RECURSIVE {_LINKS}, n AS (SELECT struct * 12 + idx AS node, code FROM atoms), r AS (SELECT b AS node FROM e JOIN n x ON x.node = a AND x.code = 1 JOIN n y ON y.node = b AND y.code <> 1 UNION SELECT b FROM r JOIN e ON a = r.node JOIN n y ON y.node = b AND y.code <> 1) SELECT node FROM r",
     "discovery_labels": """WITH f AS (SELECT DISTINCT l_suppkey AS chain, l_partkey % 97 AS seq FROM lineitem), s AS (SELECT DISTINCT o_custkey % 120 AS chain, o_orderkey % 101 AS seq FROM orders)
@@ -522,7 +525,7 @@ ORACLES = {
         olds AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'P' || (c_custkey % 50) || '.' || (c_custkey % 7) ELSE 'P' || (c_custkey % 40) END AS old FROM customer)
         SELECT name, any_value(best) || '_N' || name[length(any_value(best)) + 1:] AS new_name FROM (SELECT name, arg_max(old, length(old)) AS best FROM names LEFT JOIN olds ON name = old OR starts_with(name, old || '.') GROUP BY name) GROUP BY name""",
     "coded_names": "SELECT c_custkey, c_nationkey AS name, coalesce(n_regionkey::VARCHAR, 'N/A') AS code FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2",
-    "half_even_texts": "SELECT c_custkey, printf('%.1f', c_custkey / 8) AS one, printf('%.2f', c_custkey / 8) AS two FROM customer",
+    "half_even_texts": "SELECT c_custkey, printf('%.1f', v) AS one, printf('%.2f', v) AS two, printf('%.3f', v) AS three FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey / 8 WHEN 1 THEN c_custkey / 20 WHEN 2 THEN c_custkey / 200 ELSE c_acctbal::DOUBLE / 10 END AS v FROM customer)",
     "chains_in_order": "SELECT grp, string_agg(CASE WHEN blank THEN '_' ELSE chain END, ',' ORDER BY blank, chain) AS chains FROM (SELECT DISTINCT c_nationkey AS grp, trim(([' ', 'B', 'A', '', 'c'])[c_custkey % 5 + 1]) AS chain, trim(([' ', 'B', 'A', '', 'c'])[c_custkey % 5 + 1]) = '' AS blank FROM customer) GROUP BY grp",
     "split_sizes": "WITH c AS (SELECT lang, count(*) AS n, round(count(*) * 0.25)::BIGINT AS h FROM documents GROUP BY lang) SELECT 'test' AS split, lang, h AS n FROM c UNION ALL SELECT 'val', lang, h FROM c UNION ALL SELECT 'train', lang, n - 2 * h FROM c",
     "class_report": f"WITH {_PRED}, {_REPORT} SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM report",

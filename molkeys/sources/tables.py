@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molkeys.operators.ranks import numbered
+from molkeys.scratch import written
+
 
 class ColumnError(ValueError):
     pass
@@ -98,15 +101,32 @@ def key_rows(lines: DataFrame, text: str = "line", layout: str = "auto") -> Data
     return rows.withColumns(columns).drop("_p")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ln, line) of text files of any size, lines numbered from 1 in each file.
+
+    The reader cuts files into splits; the byte where a split begins and the order in which its lines are read order all lines of a file, and
+    their places in that order are their numbers. No file is one row or one task.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")]
+    lines = written(spark.read.text(path).select(*place, F.col("value").alias("line")), "lines")
+    return numbered(lines, [F.col("_start"), F.col("_id")], ["file"], "ln").select("file", "ln", "line")
+
+
 def distance_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(id_i, id_j, d) of headerless lines ``id;d,d,...``; columns are in the order of the lines."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
+    """(id_i, id_j, d) of headerless lines ``id;d,d,...`` of one file; columns are in the order of the lines. A row of the matrix is a row."""
+    rows = written(numbered_lines(spark, path).where(F.trim("line") != ""), "matrix")
+    rows = numbered(rows, [F.col("ln")], name="i")
     rows = rows.select("i", F.trim(F.substring_index("line", ";", 1)).alias("id_i"), F.split(F.substring_index("line", ";", -1), ",").alias("ds"))
-    cells = rows.select("i", "id_i", F.posexplode("ds").alias("j", "d"))
-    names = rows.select(F.col("i").alias("j"), F.col("id_i").alias("id_j"))
+    cells = rows.select("id_i", F.posexplode("ds").alias("j", "d"))
+    names = rows.select((F.col("i") - 1).alias("j"), F.col("id_i").alias("id_j"))
     return cells.join(names, "j").select("id_i", "id_j", F.trim("d").try_cast("decimal(20,10)").alias("d"))
 
 
+def write_numbered(lines: DataFrame, path: str) -> None:
+    """Text files (ln, line) in the order of their numbers: part after part, and within each."""
+    lines.repartitionByRange("ln").sortWithinPartitions("ln").select(F.col("line").alias("value")).write.text(path)
+
+
 def sniff_format(first_line: str) -> str:
     """semicolon, header_csv, csv or empty, from a file's first line."""
     line = first_line.strip()
