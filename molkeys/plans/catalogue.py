@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molkeys.functions import geometry, identifiers
-from molkeys.operators import balance, contacts, key_tables, labels, metrics, models, residues, search, similarity, targets, triplets
-from molkeys.sources import structures, tables
+from molkeys.operators import balance, contacts, key_tables, labels, metrics, models, neighbours, quantiles, residues, search, similarity, targets, triplets
+from molkeys.scratch import scratch_path
+from molkeys.sources import key_directory, structures, tables
 
 Frame = DataFrame
 
@@ -316,7 +317,7 @@ def chain_targets(spark, sf_dir) -> Frame:
     return targets.chain_targets(rows).select("line", "identifier", "summary_names", "summary_seqs")
 
 
-def target_keys(spark, sf_dir) -> Frame:
+def _target_keys(spark, sf_dir) -> DataFrame:
     """Keys of residues of four atoms, from written structure lines and a table that names them."""
     e = atoms(spark, sf_dir)
     seq = F.floor(F.col("idx") / 4).cast("int")
@@ -324,8 +325,109 @@ def target_keys(spark, sf_dir) -> Frame:
     lines = e.select(F.col("struct").cast("string").alias("pdb"), F.col("idx").alias("ln"), line.alias("line"))
     wanted = e.select(F.col("struct").alias("line"), F.col("struct").cast("string").alias("protein")).distinct().select("line", "protein", F.lit("A").alias("chain"), F.lit("NAG").alias("name"), F.lit("0;1; 2").alias("seq"))
     codes = e.select(F.concat(F.lit("C"), F.col("code").cast("string")).alias("atom"), F.col("code").cast("string").alias("seq"), F.lit(0).alias("line")).distinct()
-    keys = targets.target_keys(lines, targets.residue_targets(wanted), tables.lexical_map(codes))
-    return targets.key_records(keys).groupBy("identifier", "key").agg(F.count("*").alias("freq"))
+    return targets.target_keys(lines, targets.residue_targets(wanted), tables.lexical_map(codes))
+
+
+def target_keys(spark, sf_dir) -> Frame:
+    return targets.key_records(_target_keys(spark, sf_dir)).groupBy("identifier", "key").agg(F.count("*").alias("freq"))
+
+
+RECORD = ["key", *[f"{c}{v}" for v in (1, 2, 3) for c in ("atom", "seq", "x", "y", "z")], "theta_bin", "theta", "dist_bin", "max_dist"]
+
+
+def _record(rows: DataFrame) -> Frame:
+    return rows.select("identifier", *[F.trim(c).alias(c) if c.startswith(("atom", "seq")) else F.round(c, 6).alias(c) if c in ("theta", "max_dist") else F.col(c) for c in RECORD])
+
+
+def target_records(spark, sf_dir) -> Frame:
+    """All twenty fields of the key lines."""
+    return _record(targets.key_records(_target_keys(spark, sf_dir)))
+
+
+def record_files(spark, sf_dir) -> Frame:
+    """The key lines written as one file a target, and those of every second structure read back, typed."""
+    records = targets.key_records(_target_keys(spark, sf_dir))
+    # identifiers as files have them: the structure's number in four places
+    four = F.concat_ws("_", F.lpad(F.substring_index("identifier", "_", 1), 4, "0"), F.substring_index("identifier", "_", -3))
+    named = records.withColumns({"identifier": four, "label": F.when(F.substring_index("identifier", "_", 1).cast("int") % 2 == 0, "CI").otherwise("NI")})
+    path = scratch_path(spark, "record-files")
+    key_directory.write_records(named, path)
+    lines = key_directory.read_lines(spark, path).where("label = 'CI'").select("identifier", "text")
+    return _record(tables.key_rows(lines, "text"))
+
+
+def key_files(spark, sf_dir) -> Frame:
+    """Frequencies written as one file a sample, named by identifier and label, and read back."""
+    k = F.col("sample")
+    identifier = F.concat_ws("_", F.concat((k % 10).cast("string"), F.lpad(F.hex(k % 4096), 3, "0")), F.lit("A"), k.cast("string"), F.lit("NAG"))
+    freq = frequencies(spark, sf_dir).select(identifier.alias("identifier"), F.when(k % 3 == 0, "CI").when(k % 3 == 1, "NCI").otherwise("").alias("label"), "key", "freq")
+    path = scratch_path(spark, "key-files")
+    key_directory.write_frequencies(freq, path)
+    return key_directory.read_frequencies(spark, path).select("identifier", "label", "key", "freq")
+
+
+def matrix_files(spark, sf_dir) -> Frame:
+    """The distance matrix written as numbered lines and read back."""
+    f = frequencies(spark, sf_dir).groupBy(F.col("grp").alias("sample"), "key").agg(F.sum("freq").alias("freq"))
+    cells = similarity.distance_matrix(f).select("id_i", F.struct("id_j", F.round("d", 6).cast("decimal(20,6)").alias("d")).alias("c"))
+    ds = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["d"].cast("string")), ",")
+    lines = cells.groupBy("id_i").agg(F.concat(F.first("id_i").cast("string"), F.lit(";"), ds).alias("line")).select(F.col("id_i").alias("ln"), "line")
+    path = scratch_path(spark, "matrix-files")
+    tables.write_numbered(lines, path)
+    return tables.distance_rows(spark, path).select(F.col("id_i").cast("int").alias("id_i"), F.col("id_j").cast("int").alias("id_j"), F.col("d").cast("double").alias("d"))
+
+
+def annotated_lines(spark, sf_dir) -> Frame:
+    """Lines of a generalised file whose first fields take the labels of the same residues, named in the other order."""
+    n = _names(spark, sf_dir).where("c_custkey % 5 = 0").withColumn("seq", F.split("identifier", "_"))
+    lines = n.select(F.col("c_custkey").alias("ln"), F.concat("identifier", F.lit(";"), F.col("c_custkey").cast("string"), F.lit(",0")).alias("line"))
+    four = F.concat_ws("_", F.get("seq", F.lit(2)), F.get("seq", F.lit(0)), F.get("seq", F.lit(1)), F.get("seq", F.lit(3)))
+    known = n.where("c_custkey % 4 <> 1").select(four.alias("identifier"), F.when(F.col("c_custkey") % 2 == 0, "I").otherwise("NI").alias("label"))
+    return labels.annotate_lines(lines, known, strict=False)
+
+
+def chain_triplets(spark, sf_dir) -> Frame:
+    """Keys of chains of a hundred atoms, which are enumerated by blocks."""
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda i: (F.col("embedding")[i].cast("double") * 40)
+    a = e.select(F.floor(F.col("vec_id") / 100).cast("long").alias("struct"), (F.col("vec_id") % 100).cast("int").alias("idx"), (F.col("label") + 1).cast("int").alias("code"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+    return triplets.key_frequency(triplets.triplet_keys(a, ["struct"]), ["struct"])
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", (F.col("label") % 2).cast("double").alias("label"), F.col("label").alias("kind"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def nearest_neighbours(spark, sf_dir) -> Frame:
+    v = _vectors(spark, sf_dir)
+    return neighbours.nearest(v, v, 3, "vec_id", "v", "kind").select("kind", "vec_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+def interpolated_rows(spark, sf_dir) -> Frame:
+    out = balance.smote(_vectors(spark, sf_dir), "label", "vec_id", "v")
+    return out.select("label", "vec_id", "copy", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+
+
+def edited_rows(spark, sf_dir) -> Frame:
+    return balance.edited(_vectors(spark, sf_dir), "label", "vec_id", "v").select("vec_id", "label")
+
+
+def balanced_rows(spark, sf_dir) -> Frame:
+    return labels.balanced_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey")
+
+
+def oversampled_rows(spark, sf_dir) -> Frame:
+    return balance.balance_oversample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", "copy")
+
+
+def split_rows(spark, sf_dir) -> Frame:
+    return labels.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.25, 0.25)
+
+
+def feature_quantiles(spark, sf_dir) -> Frame:
+    out = quantiles.exact_quantiles(_features(spark, sf_dir), FEATURES, [0.25, 0.5, 0.75])
+    return out.select("column", "share", F.round("value", 9).alias("value"))
 
 
 def split_sizes(spark, sf_dir) -> Frame:
@@ -394,9 +496,45 @@ def logistic_predictions(spark, sf_dir) -> Frame:
     return models.predict(rows.where("split = 'test'"), model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
+def saved_model(spark, sf_dir) -> Frame:
+    """How many test rows there are, and how many a model scores alike before and after it was saved."""
+    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
+    train = rows.where("split = 'train'")
+    model = models.train(train, models.fit_preprocessor(train, FEATURES), models.classifier("logistic_regression", maxIter=20))
+    path = scratch_path(spark, "model")
+    models.save(model, path)
+    test = rows.where("split = 'test'")
+    pick = lambda m, p: models.predict(test, m).select("vec_id", F.struct("prediction", "probabilities").alias(p))
+    both = pick(model, "a").join(pick(models.load(path), "b"), "vec_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_alike"))
+
+
+def calibrated_predictions(spark, sf_dir) -> Frame:
+    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
+    train = rows.where("split <> 'test'")
+    model, _ = models.calibrated_svm(train, models.fit_preprocessor(train, FEATURES), "vec_id", maxIter=30)
+    return models.predict(rows.where("split = 'test'"), model).select("vec_id", "label", "prediction", "confidence", "is_correct")
+
+
+def boosting_history(spark, sf_dir) -> Frame:
+    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id").withColumn("held", F.col("split") == "val")
+    return models.boost(rows.where("split <> 'test'"), models.fit_preprocessor(rows.where("split = 'train'"), FEATURES, scaler="none"), "held", maxIter=20, maxDepth=4)[1]
+
+
+def forest_importances(spark, sf_dir) -> Frame:
+    rows = _features(spark, sf_dir)
+    return models.importances(models.train(rows, models.fit_preprocessor(rows, FEATURES, scaler="none"), models.classifier("random_forest", numTrees=50, maxDepth=8)))
+
+
+def evaluated_splits(spark, sf_dir) -> Frame:
+    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
+    train = rows.where("split = 'train'")
+    return models.evaluate_splits(models.predict(rows, models.train(train, models.fit_preprocessor(train, FEATURES), models.classifier("logistic_regression", maxIter=50))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, search_samples, search_chain_samples, search_counters, residue_targets, chain_targets, target_keys, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions)
+    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, search_samples, search_chain_samples, search_counters, residue_targets, chain_targets, target_keys, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions, target_records, record_files, key_files, matrix_files, annotated_lines, chain_triplets, nearest_neighbours, interpolated_rows, edited_rows, balanced_rows, oversampled_rows, split_rows, feature_quantiles, saved_model, calibrated_predictions, boosting_history, forest_importances, evaluated_splits)
 }
 
 #: Lines of made structure files.
@@ -462,6 +600,16 @@ def _samples(mode: str) -> str:
     samples AS (SELECT min(struct_pack(line := line, nth := nth)) AS place, arg_max(identifier, struct_pack(line := line, nth := nth)) AS protein, grp, canon, kind FROM kinds GROUP BY canon, grp, kind)"""
 
 
+#: The atoms of the targets: three residues of four atoms a structure, coordinates as structure lines hold them.
+_TARGET_ATOMS = "atoms AS (SELECT vec_id // 4 AS struct, vec_id % 4 AS idx, label + 1 AS code, printf('%.3f', embedding[1]::DOUBLE * 40)::DOUBLE AS x, printf('%.3f', embedding[2]::DOUBLE * 40)::DOUBLE AS y, printf('%.3f', embedding[3]::DOUBLE * 40)::DOUBLE AS z FROM embeddings)"
+_VECTORS = "v AS (SELECT vec_id, (label % 2)::DOUBLE AS label, label AS kind, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def _records(identifier: str, where: str = "true") -> str:
+    vertex = ", ".join(f"'C' || v{i}.code AS atom{i}, (struct % 3)::VARCHAR AS seq{i}, v{i}.x AS x{i}, v{i}.y AS y{i}, v{i}.z AS z{i}" for i in (1, 2, 3))
+    return f"WITH {_keys().replace(ATOMS, _TARGET_ATOMS)} SELECT {identifier} || '_A_' || (struct % 3) || '_NAG' AS identifier, key, {vertex}, theta_bin, round(theta, 6) AS theta, dist_bin, round(max_dist, 6) AS max_dist FROM keys WHERE {where}"
+
+
 ORACLES = {
     "search_samples": f"WITH {_samples('auto')} SELECT place.line AS line, place.nth::INT AS nth, protein, grp, canon, kind, NULL::VARCHAR AS fault FROM samples UNION ALL SELECT line, 0, '', grp, '', 'RAW', 'unparsable' FROM one WHERE identifier IS NULL",
     "search_chain_samples": f"WITH {_samples('chain')} SELECT place.line AS line, protein, grp, canon, kind, NULL::VARCHAR AS fault FROM samples UNION ALL SELECT line, '', grp, '', 'RAW', 'unparsable' FROM one WHERE identifier IS NULL",
@@ -474,7 +622,31 @@ ORACLES = {
     "residue_targets": f"WITH {_SAMPLES}, one AS (SELECT *, unnest(seqs) AS seq FROM rows WHERE protein <> '' AND chain <> '' AND name <> '') SELECT line, concat_ws('_', protein, chain, seq, name) AS identifier, name, seq FROM one",
     "chain_targets": f"""WITH {_SAMPLES}, one AS (SELECT *, unnest(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END) AS seq, generate_subscripts(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END, 1) AS nth FROM rows WHERE protein <> '' AND chain <> '')
         SELECT min(line) AS line, protein || '_' || chain AS identifier, coalesce(string_agg(name, ',' ORDER BY seq::INT, line, nth) FILTER (seq IS NOT NULL), '') AS summary_names, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(seq::INT) FILTER (seq IS NOT NULL))), lambda x: x::VARCHAR), ','), '') AS summary_seqs FROM one GROUP BY protein, chain""",
-    "target_keys": "WITH " + _keys().replace(ATOMS, "atoms AS (SELECT vec_id // 4 AS struct, vec_id % 4 AS idx, label + 1 AS code, printf('%.3f', embedding[1]::DOUBLE * 40)::DOUBLE AS x, printf('%.3f', embedding[2]::DOUBLE * 40)::DOUBLE AS y, printf('%.3f', embedding[3]::DOUBLE * 40)::DOUBLE AS z FROM embeddings)") + " SELECT (struct // 3) || '_A_' || (struct % 3) || '_NAG' AS identifier, key, count(*) AS freq FROM keys GROUP BY ALL",
+    "target_records": _records("(struct // 3)"),
+    "record_files": _records("lpad((struct // 3)::VARCHAR, 4, '0')", "(struct // 3) % 2 = 0"),
+    "key_files": f"WITH {FREQ} SELECT (sample % 10) || lpad(printf('%X', sample % 4096), 3, '0') || '_A_' || sample || '_NAG' AS identifier, ['CI', 'NCI', ''][sample % 3 + 1] AS label, key, freq FROM freq",
+    "annotated_lines": f"""WITH {_NAMES}, n AS (SELECT c_custkey AS ln, concat_ws('_', pdb, chain, seq, 'NAG') AS id, label, [concat_ws('_', seq, pdb, chain, 'NAG')] AS _, upper(pdb) || chain || seq AS place FROM base WHERE kind = 0),
+        k AS (SELECT place, list(DISTINCT CASE WHEN ln % 2 = 0 THEN 'I' ELSE 'NI' END) AS ls FROM n WHERE ln % 4 <> 1 GROUP BY place)
+        SELECT ln, id || CASE WHEN label <> '' THEN '_' || label ELSE '' END || CASE WHEN len(ls) = 1 THEN '_' || ls[1] ELSE '' END || ';' || ln || ',0' AS line, CASE WHEN ls IS NULL THEN 'unmatched' WHEN len(ls) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM n LEFT JOIN k USING (place)""",
+    "chain_triplets": "WITH " + _keys().replace(ATOMS, ATOMS.replace("vec_id // 12", "vec_id // 100").replace("vec_id % 12", "vec_id % 100")) + " SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
+    "nearest_neighbours": f"WITH {_VECTORS} SELECT a.kind, a.vec_id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id))::INT AS rank, b.vec_id AS neighbour, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.kind = b.kind AND a.vec_id <> b.vec_id QUALIFY rank <= 3",
+    "edited_rows": f"""WITH {_VECTORS}, n AS (SELECT a.vec_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY r <= 3)
+        SELECT vec_id, label FROM v WHERE vec_id NOT IN (SELECT vec_id FROM n WHERE label <> other)""",
+    "interpolated_rows": f"""WITH {_VECTORS}, c AS (SELECT label, count(*) AS n FROM v GROUP BY 1), m AS (SELECT max(n) AS most, least(5, min(n) - 1) AS k FROM c),
+        small AS (SELECT v.*, n, most, k, row_number() OVER (PARTITION BY v.label ORDER BY md5('42:' || vec_id), vec_id) AS p FROM v JOIN c ON c.label = v.label, m WHERE n < most),
+        made AS (SELECT *, unnest(range(1, (most - n) // n + CASE WHEN p <= (most - n) % n THEN 2 ELSE 1 END))::INT AS copy FROM small),
+        u AS (SELECT *, ('0x' || substr(md5('43:' || vec_id || ':' || copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS a, ('0x' || substr(md5('44:' || vec_id || ':' || copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS s FROM made),
+        near AS (SELECT a.vec_id, b.e AS w, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM small a JOIN small b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY r <= a.k)
+        SELECT label, vec_id, 0 AS copy, round(e[1], 6) AS first, round(e[64], 6) AS last FROM v UNION ALL
+        SELECT label, u.vec_id, copy, round(e[1] + s * (w[1] - e[1]), 6), round(e[64] + s * (w[64] - e[64]), 6) FROM u JOIN near ON near.vec_id = u.vec_id AND r = least(floor(a * k), k - 1) + 1""",
+    "balanced_rows": "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey), c_custkey) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment))",
+    "oversampled_rows": """WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents), m AS (SELECT max(n) AS most FROM d)
+        SELECT doc_id, lang, unnest(range(1, most // n + CASE WHEN p <= most % n THEN 2 ELSE 1 END))::INT AS copy FROM d, m""",
+    "split_rows": """WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS p, round(count(*) OVER (PARTITION BY lang) * 0.25::DOUBLE) AS h FROM documents)
+        SELECT doc_id, lang, CASE WHEN p <= h THEN 'test' WHEN p <= 2 * h THEN 'val' ELSE 'train' END AS split FROM d""",
+    "feature_quantiles": "WITH f AS (SELECT unnest(embedding)::DOUBLE AS v, 'f' || (generate_subscripts(embedding, 1) - 1) AS c FROM embeddings) SELECT c AS column, s AS share, round(CASE s WHEN 0.25 THEN quantile_cont(v, 0.25) WHEN 0.5 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.75) END, 9) AS value FROM f, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS s) GROUP BY c, s",
+    "saved_model": "SELECT sum(round(n * 0.15::DOUBLE))::BIGINT AS n, sum(round(n * 0.15::DOUBLE))::BIGINT AS n_alike FROM (SELECT count(*) AS n FROM embeddings GROUP BY label % 2)",
+    "target_keys": "WITH " + _keys().replace(ATOMS, _TARGET_ATOMS) + " SELECT (struct // 3) || '_A_' || (struct % 3) || '_NAG' AS identifier, key, count(*) AS freq FROM keys GROUP BY ALL",
     "triplet_keys": f"WITH {_keys()} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
     "mirror_keys": f"WITH {_keys(mirror=True)} SELECT struct, key, count(*) AS freq FROM keys GROUP BY ALL",
     "triplet_bins": f"WITH {_keys()} SELECT theta_bin, dist_bin, count(*) AS n FROM keys GROUP BY ALL",
@@ -495,6 +667,8 @@ ORACLES = {
     "set_jaccard": f"WITH {FREQ.replace('freq AS (', 'base AS (', 1)}, freq AS (SELECT DISTINCT grp AS sample, key, 1 AS freq FROM base), {_JACCARD} SELECT id_i, id_j, round(jaccard, 6) AS jaccard FROM jaccard",
     "distance_matrix": f"""WITH {FREQ.replace('freq AS (', 'base AS (', 1)}, {BY_GROUP}, {_JACCARD}, ids AS (SELECT DISTINCT sample FROM freq), b AS (SELECT * FROM jaccard UNION ALL SELECT id_j, id_i, jaccard FROM jaccard)
         SELECT x.sample AS id_i, y.sample AS id_j, CASE WHEN x.sample = y.sample THEN 0 ELSE round(1 - coalesce(jaccard, 0), 6) END::DOUBLE AS d FROM ids x CROSS JOIN ids y LEFT JOIN b ON id_i = x.sample AND id_j = y.sample""",
+    "matrix_files": f"""WITH {FREQ.replace('freq AS (', 'base AS (', 1)}, {BY_GROUP}, {_JACCARD}, ids AS (SELECT DISTINCT sample FROM freq), b AS (SELECT * FROM jaccard UNION ALL SELECT id_j, id_i, jaccard FROM jaccard)
+        SELECT x.sample::INT AS id_i, y.sample::INT AS id_j, CASE WHEN x.sample = y.sample THEN 0 ELSE round(1 - coalesce(jaccard, 0), 6) END::DOUBLE AS d FROM ids x CROSS JOIN ids y LEFT JOIN b ON id_i = x.sample AND id_j = y.sample""",
     "matrix_faults": f"WITH {FREQ}, g AS (SELECT DISTINCT grp FROM freq), b AS (SELECT count(*) = 2 AS there FROM g WHERE grp IN (1, 2)) SELECT 'range' AS fault, 1::BIGINT AS n FROM b WHERE there UNION ALL SELECT 'asymmetric', 2 FROM b WHERE there",
     "similarity_text": "SELECT p_partkey, regexp_replace(regexp_replace((100 - 2 * p_size)::DECIMAL(20,10)::VARCHAR, '0+$', ''), '\\.$', '') AS similarity FROM part",
     "adjusted_rand": """WITH c AS (SELECT lang, source, count(*)::DOUBLE AS n FROM documents GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS idx, sum(n) AS t FROM c),

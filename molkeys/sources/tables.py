@@ -113,9 +113,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def distance_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(id_i, id_j, d) of headerless lines ``id;d,d,...`` of one file; columns are in the order of the lines. A row of the matrix is a row."""
+    """(id_i, id_j, d) of headerless lines ``id;d,d,...`` of a file, or of files in the order of their names; columns are in the order of the lines.
+
+    A row of the matrix is a row, so a matrix may be of any number of them.
+    """
     rows = written(numbered_lines(spark, path).where(F.trim("line") != ""), "matrix")
-    rows = numbered(rows, [F.col("ln")], name="i")
+    rows = numbered(rows, [F.col("file"), F.col("ln")], name="i")
     rows = rows.select("i", F.trim(F.substring_index("line", ";", 1)).alias("id_i"), F.split(F.substring_index("line", ";", -1), ",").alias("ds"))
     cells = rows.select("id_i", F.posexplode("ds").alias("j", "d"))
     names = rows.select((F.col("i") - 1).alias("j"), F.col("id_i").alias("id_j"))
