@@ -34,6 +34,18 @@ def pdb_id(c: Column) -> Column:
     return F.upper(F.regexp_extract(F.regexp_replace(clean(c), "[\"']", ""), "^\\s*(\\S+)", 1))
 
 
+def list_id(c: Column) -> Column:
+    """The id that a line of an id list begins with: without quotes, its first word, cut at a dot and at a dash behind four places or more.
+
+    Upper-cased; null where other characters than letters, digits and underscores are left.
+    """
+    word = F.regexp_extract(F.regexp_replace(F.regexp_replace(F.trim(c.cast("string")), '^"+|"+$', ""), "^'+|'+$", ""), "^\\s*(\\S+)", 1)
+    word = F.substring_index(word, ".", 1)
+    head = F.substring_index(word, "-", 1)
+    word = F.when(word.contains("-") & (F.char_length(head) >= 4), head).otherwise(word)
+    return F.when(word.rlike("^[A-Za-z0-9_]+$"), F.upper(word))
+
+
 def is_pdb_id(c: Column) -> Column:
     return c.rlike("^[A-Za-z0-9]{4}$")
 
@@ -86,6 +98,31 @@ def last_token(c: Column) -> Column:
     return F.element_at(F.split(c, "_"), -1)
 
 
+def token(c: Column, place: int) -> Column:
+    """One part of an identifier, from 0; the third is its number where a file calls it a type. Null where there are fewer."""
+    return F.get(F.split(c, "_"), F.lit(place))
+
+
+def chain_group(name: Column) -> Column:
+    """The group at the end of a key file's name before ``.keys``, upper-cased; null with fewer than three parts."""
+    parts = F.split(F.substring_index(name, ".keys", 1), "_")
+    return F.when(F.size(parts) >= 3, F.upper(F.element_at(parts, -1)))
+
+
+def file_residue(name: Column) -> Column:
+    """The residue at the end of a key file's name before ``.keys``, as written."""
+    return F.element_at(F.split(F.substring_index(F.substring_index(name, "/", -1), ".keys", 1), "_"), -1)
+
+
+def in_groups(group: Column, groups: list[str], rule: str = "exact") -> Column:
+    """Whether a chain group is one of the groups, or (rule ``contains``) holds one of them; case does not count."""
+    wanted = sorted({g.strip().upper() for g in groups if g.strip()})
+    if not wanted or rule not in ("exact", "contains"):
+        raise ValueError("groups are needed, and the rule exact or contains")
+    hit = group.isin(*wanted) if rule == "exact" else F.exists(F.array(*[F.lit(g) for g in wanted]), lambda g: group.contains(g))
+    return F.coalesce(hit, F.lit(False))
+
+
 def split_group(c: Column, parts: int) -> Column:
     """First one (PDB) or two (PDB and chain) tokens."""
     return F.substring_index(c, "_", parts)

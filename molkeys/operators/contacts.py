@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molkeys.functions.identifiers import half_even, interaction_label
+from molkeys.functions.geometry import fenced
+from molkeys.functions.identifiers import atom_id_parts, half_even, interaction_label
 
 
 def contacts(left: DataFrame, right: DataFrame, cut: float = 3.0, by: str = "pdb") -> DataFrame:
@@ -23,6 +24,19 @@ def contacts(left: DataFrame, right: DataFrame, cut: float = 3.0, by: str = "pdb
     return a.join(b, [by, "cx", "cy", "cz"]).drop("cx", "cy", "cz").withColumn("distance", d).where(F.col("distance") <= cut)
 
 
+def component_interactions(rows: DataFrame, component: str, atom: str = "drug", distance: str = "distance", line: str = "line") -> DataFrame:
+    """(protein, chain, carb_name, carb_res, min_distance, label, line) of a contact table's atoms of one component, in any case.
+
+    Distances count as the table has them; one that is no number is an error. ``line`` is where a residue comes first.
+    """
+    p = atom_id_parts(F.col(atom))
+    bad = F.raise_error(F.concat(F.lit("bad distance of line "), F.col(line).cast("string")))
+    own = fenced(rows, p=p).where(F.upper("p.res") == component.upper())
+    value = F.coalesce(F.col(distance).cast("string").try_cast("double"), bad)
+    low = own.groupBy(F.col("p.pdb").alias("protein"), F.col("p.chain").alias("chain"), F.col("p.res").alias("carb_name"), F.col("p.resnum").alias("carb_res")).agg(F.min(value).alias("min_distance"), F.min(line).alias("line"))
+    return low.withColumn("label", interaction_label(F.col("min_distance")))
+
+
 def nearest_labels(rows: DataFrame, residue: list[str], distance: str = "distance", ci: float = 1.5, wci: float = 2.0) -> DataFrame:
     """Per residue: the smallest distance, rounded to a tenth as contact tables hold it, and its label."""
     low = rows.groupBy(*residue).agg(F.min(half_even(F.col(distance), 1).cast("double")).alias("min_distance"))

@@ -11,10 +11,20 @@ def last_per_key(freq: DataFrame, line: str, sample: str = "sample") -> DataFram
     return freq.groupBy(sample, "key").agg(F.max_by("freq", line).alias("freq"))
 
 
+#: Columns of a table, as many as plans of a wide table bear.
+MOST_COLUMNS = 20_000
+
+
 def feature_table(freq: DataFrame, sample: str = "sample", keys: list[int] | None = None) -> DataFrame:
-    """One row a sample and one column a key, in the order of the keys as text; missing is 0. For wide data use ``feature_maps``."""
+    """One row a sample and one column a key, in the order of the keys as text; missing is 0.
+
+    Without ``keys`` all distinct keys become columns; more than ``MOST_COLUMNS`` are an error, for which ``feature_maps`` is the form.
+    """
     if keys is None:
-        keys = [r.key for r in freq.select("key").distinct().orderBy(F.col("key").cast("string")).collect()]
+        found = freq.select("key").distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError("too many keys for columns; use feature_maps")
+        keys = sorted((r.key for r in found), key=str)
     return freq.groupBy(sample).pivot("key", keys).agg(F.first("freq")).na.fill(0)
 
 
@@ -24,7 +34,7 @@ def feature_maps(freq: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def common_keys(freq: DataFrame, group: list[str] = (), sample: str = "sample") -> DataFrame:
-    """(group, key): keys that all samples of a group have."""
+    """(group, key): keys that all samples of a group have: the true intersection, which is empty where a sample shares nothing."""
     group = list(group)
     per_key = freq.groupBy(*group, "key").agg(F.countDistinct(sample).alias("n"))
     total = freq.groupBy(*group).agg(F.countDistinct(sample).alias("total"))

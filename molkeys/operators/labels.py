@@ -179,6 +179,26 @@ def split_statistics(rows: DataFrame, label: str, split: str = "split") -> DataF
     return cells.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(split)))
 
 
+def split_audit(rows: DataFrame, label: str, group: str, split: str = "split") -> DataFrame:
+    """(kind, split, n, classes): the diagnostics of a split as rows.
+
+    Kinds: ``rows``, ``groups`` and ``classes`` of a split; ``overlap``, groups that two splits (named a_b) share; ``missing``, classes that a split
+    lacks, with their names; ``few groups``, classes with fewer than three groups.
+    """
+    cells = rows.select(F.col(split).alias("split"), F.col(group).cast("string").alias("grp"), F.col(label).cast("string").alias("label"))
+    counted = cells.groupBy("split", "grp", "label").agg(F.count("*").alias("n"))
+    names = F.lit(None).cast("array<string>")
+    of_split = counted.groupBy("split").agg(F.sum("n").alias("rows"), F.countDistinct("grp").alias("groups"), F.countDistinct("label").alias("classes"))
+    sizes = of_split.unpivot("split", ["rows", "groups", "classes"], "kind", "n").select("kind", "split", "n", names.alias("classes"))
+    splits = counted.groupBy("grp").agg(F.array_sort(F.collect_set("split")).alias("s")).where(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.concat_ws("_", a, b))))
+    overlap = splits.select(F.explode(pairs).alias("split")).groupBy("split").agg(F.count("*").alias("n")).select(F.lit("overlap").alias("kind"), "split", "n", names.alias("classes"))
+    known = of_split.select("split").crossJoin(counted.select("label").distinct())  # three splits
+    missing = known.join(counted.select("split", "label").distinct(), ["split", "label"], "left_anti").groupBy("split").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("label")).alias("classes")).select(F.lit("missing").alias("kind"), "split", "n", "classes")
+    few = counted.groupBy("label").agg(F.countDistinct("grp").alias("g")).where("g < 3").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("label")).alias("classes")).where("n > 0").select(F.lit("few groups").alias("kind"), F.lit("").alias("split"), "n", "classes")
+    return sizes.unionByName(overlap).unionByName(missing).unionByName(few)
+
+
 def split_report(rows: DataFrame, label: str, group: str, split: str = "split") -> DataFrame:
     """Per split: rows, groups, classes, and groups that another split has too."""
     shared = rows.groupBy(group).agg(F.countDistinct(split).alias("k")).where("k > 1").select(group, F.lit(1).alias("shared"))

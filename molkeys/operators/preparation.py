@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from .quantiles import exact_quantiles, long_form
 
 
+# Names of columns that are labels rather than features.
+LABEL_NAMES = ("label", "labels", "class", "classes", "target", "targets", "y", "residue_type", "residue", "ligand", "ligand_name", "carb_name", "carbohydrate")
+
+
+def feature_columns(columns: list[str], identifier: str) -> list[str]:
+    """The columns that may be features: neither the identifier's nor one named like a label."""
+    return [c for c in columns if c != identifier and c.strip().lower() not in LABEL_NAMES]
+
+
 class _Settings(Params):
     outputCol = Param(Params._dummy(), "outputCol", "vector of the prepared features", TypeConverters.toString)
     log = Param(Params._dummy(), "log", "whether to take log1p of values cut at 0", TypeConverters.toBoolean)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molkeys.functions.identifiers import insertion_key, natural_key, sorted_join
+from molkeys.functions.identifiers import chain_order, clean, insertion_key, natural_key, pdb_id, sorted_join, split_list
+from molkeys.scratch import written
+from molkeys.sources.tables import resolve
+
+from .ranks import numbered
 
 # The twenty standard amino acids.
 AMINO_ACIDS = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
@@ -23,6 +27,44 @@ def discovery_labels(found: DataFrame, seeds: DataFrame, keys: list[str], includ
     return out.unionByName(missing_seeds(found, seeds, keys).withColumn("label", F.lit("CI"))) if include_missing else out
 
 
+# Names of the columns of a seed table, the first that is there wins.
+SEED_ROLES = {
+    "pdb": ["protein", "pdb", "pdb_id", "entry_id", "identifier"],
+    "chain": ["chain", "chain_id"],
+    "name": ["aa", "carb", "carb_name", "residue", "residue_name", "ligand", "entity_name", "name"],
+    "seq": ["resnumber", "seqnum", "carb_id", "residue_number", "residue_id", "seq_id"],
+    "label": ["label", "lable", "class", "group"],
+}
+
+
+def seeds(rows: DataFrame, line: str, component: str, label: str = "CI") -> tuple[DataFrame, DataFrame]:
+    """((line, pdb, chain, name, seq) of the seeds, counters) of a seed table with columns of any of the known names.
+
+    Rows of another component, or with a label that is another one, are no seeds; without a column of names all rows are of the component. A number may
+    be a list. counters: (rows_read, rows_used, rows_without_number).
+    """
+    columns = [c for c in rows.columns if c != line]
+    found = {r: resolve(columns, r, names, rule="first", required=r in ("pdb", "chain", "seq")) for r, names in SEED_ROLES.items()}
+    value = lambda r, default: F.lit(default) if found[r] is None else clean(F.col(f"`{found[r]}`"))
+    read = rows.select(F.col(f"`{line}`").alias("line"), pdb_id(value("pdb", "")).alias("pdb"), value("chain", "").alias("chain"), F.upper(value("name", component)).alias("name"), split_list(value("seq", "")).alias("seqs"), F.upper(value("label", label)).alias("label"))
+    own = (F.col("pdb") != "") & (F.col("name") == component.upper()) & F.col("label").isin("", label.upper())
+    used = own & (F.size("seqs") > 0)
+    counters = read.agg(F.count("*").alias("rows_read"), F.count_if(used).alias("rows_used"), F.count_if(own & (F.size("seqs") == 0)).alias("rows_without_number"))
+    return read.where(used).select("line", "pdb", "chain", "name", F.explode("seqs").alias("seq")), counters
+
+
+def in_label_order(rows: DataFrame, protein: str = "protein", chain: str = "chain", name: str = "aa", label: str = "label", seq: str | None = None) -> DataFrame:
+    """Rows with their ``place``: by protein, CI before other labels, chain with blank ones last, number where given, and name."""
+    first = F.when(F.upper(label) == "CI", 0).otherwise(1)
+    order = [F.col(protein), first, chain_order(F.col(chain)), *([insertion_key(F.col(seq))] if seq else []), F.col(name), F.col(label)]
+    return numbered(rows, order)
+
+
+def merged_rows(rows: DataFrame, by: list[str], seqs: str = "seqs", separator: str = ";") -> DataFrame:
+    """Rows of the same keys as one, with the numbers of all their lists in natural order."""
+    return aggregate_residues(explode_residues(rows.select(*by, F.col(seqs).alias("seqs")), "seqs", separator), by, separator=separator)
+
+
 def missing_seeds(found: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     return seeds.select(*keys).distinct().join(found, keys, "left_anti")
 
@@ -55,20 +97,18 @@ def between_atoms(residues: DataFrame, chain_atoms: DataFrame, chain: list[str],
 def linked(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, node: str = "node", rounds: int = 50) -> DataFrame:
     """Nodes that links reach from the seeds through allowed nodes; the seeds are not part of it.
 
-    Edges (a, b) go both ways. The frontier alone is joined in each round, and rounds end when it is empty; the reached set is
-    written to the checkpoint folder each round where one is set.
+    Edges (a, b) go both ways. The frontier alone is joined in each round, and rounds end when it is empty. Each frontier is written once to the
+    shared folder, and what has been reached is the union of the frontiers.
     """
-    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     step = both.join(allowed.select(F.col(node).alias("b")).distinct(), "b", "left_semi")
     frontier = step.join(seeds.select(F.col(node).alias("a")), "a", "left_semi").select(F.col("b").alias(node)).distinct()
     reached = None
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     for _ in range(rounds):
-        frontier = keep(frontier)
+        frontier = written(frontier, "frontier")
         if frontier.isEmpty():
             break
-        reached = frontier if reached is None else keep(reached.unionByName(frontier))
+        reached = frontier if reached is None else reached.unionByName(frontier)
         frontier = step.join(frontier.withColumnRenamed(node, "a"), "a", "left_semi").select(F.col("b").alias(node)).distinct().join(reached, node, "left_anti")
     else:
         raise RuntimeError("links have not ended")

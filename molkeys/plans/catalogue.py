@@ -512,13 +512,14 @@ def saved_model(spark, sf_dir) -> Frame:
 def calibrated_predictions(spark, sf_dir) -> Frame:
     rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id")
     train = rows.where("split <> 'test'")
-    model, _ = models.calibrated_svm(train, models.fit_preprocessor(train, FEATURES), "vec_id", maxIter=30)
+    model, _ = models.calibrated_svm(train, models.fit_preprocessor(train, FEATURES), "vec_id", folds=3, maxIter=10)
     return models.predict(rows.where("split = 'test'"), model).select("vec_id", "label", "prediction", "confidence", "is_correct")
 
 
 def boosting_history(spark, sf_dir) -> Frame:
-    rows = labels.stratified_split(_features(spark, sf_dir), "label", "vec_id").withColumn("held", F.col("split") == "val")
-    return models.boost(rows.where("split <> 'test'"), models.fit_preprocessor(rows.where("split = 'train'"), FEATURES, scaler="none"), "held", maxIter=20, maxDepth=4)[1]
+    learnable = _features(spark, sf_dir).withColumn("label", (F.col("f0") + F.col("f1") > F.col("f2")).cast("double"))
+    rows = labels.stratified_split(learnable, "label", "vec_id").withColumn("held", F.col("split") == "val")
+    return models.boost(rows.where("split <> 'test'"), models.fit_preprocessor(rows.where("split = 'train'"), FEATURES, scaler="none"), "held", maxIter=10, maxDepth=3)[1]
 
 
 def forest_importances(spark, sf_dir) -> Frame:
@@ -532,9 +533,87 @@ def evaluated_splits(spark, sf_dir) -> Frame:
     return models.evaluate_splits(models.predict(rows, models.train(train, models.fit_preprocessor(train, FEATURES), models.classifier("logistic_regression", maxIter=50))))
 
 
+def listed_ids(spark, sf_dir) -> Frame:
+    """Ids of a list with quotes, versions and parts, each once and at its first line."""
+    k = F.col("c_custkey")
+    core = F.concat(F.lit("p"), (k % 400).cast("string"))
+    value = F.when(k % 12 == 0, F.concat(F.lit('"'), core, F.lit('"'))).when(k % 6 == 0, F.concat(F.lit('"'), core, F.lit('" x'))).when(k % 6 == 1, F.concat(core, F.lit(".1"))).when(k % 6 == 2, F.concat(core, F.lit("-2"))).when(k % 6 == 3, F.concat(core, F.lit("?"))).when(k % 6 == 4, "").otherwise(core)
+    return tables.listed_ids(table(spark, sf_dir, "customer").select(k.alias("line"), value.alias("Entry_ID"), F.lit("other").alias("note")))
+
+
+def _seed_rows(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    columns = {"pdb_id": F.concat(text(k % 10), F.lpad(F.hex(k % 300), 3, "0")), "chain": F.when(k % 3 == 0, "A").otherwise("b"), "aa": F.when(k % 4 == 0, "man").otherwise("Nag"), "resnumber": F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat_ws(";", text(k % 90), F.concat(text(k % 50), F.lit(".0")))).otherwise(text(k % 90)), "lable": F.when(k % 5 == 0, "nci").when(k % 5 == 1, "").otherwise("ci")}
+    return table(spark, sf_dir, "customer").select(k.alias("line"), *[v.alias(c) for c, v in columns.items()])
+
+
+def seed_residues(spark, sf_dir) -> Frame:
+    return residues.seeds(_seed_rows(spark, sf_dir), "line", "NAG")[0]
+
+
+def seed_counters(spark, sf_dir) -> Frame:
+    return residues.seeds(_seed_rows(spark, sf_dir), "line", "NAG")[1]
+
+
+def first_seed_ids(spark, sf_dir) -> Frame:
+    """A report of the first hundred structures that seeds name."""
+    return tables.first_ids(seed_residues(spark, sf_dir).select("line", F.col("pdb").alias("id")), 100)
+
+
+def component_interactions(spark, sf_dir) -> Frame:
+    """Nearest contacts of one component's residues, from atom identifiers and written distances."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    atom = F.concat_ws("_", F.concat(F.lit("x_1AB"), (F.col("o_custkey") % 40).cast("string")), F.when(k % 2 == 0, "A").otherwise("b"), F.when(k % 3 == 0, "man").when(k % 3 == 1, "MAN").otherwise("NAG"), (k % 11).cast("string"), F.lit("C1"))
+    rows = o.select(k.alias("line"), atom.alias("drug"), identifiers.half_even(F.pmod(k * 7, F.lit(60)) / 20, 1).alias("distance"))
+    return contacts.component_interactions(rows, "Man")
+
+
+def chain_group_files(spark, sf_dir) -> Frame:
+    """Key files of some chain groups, by exact and by partial match, and the last parts of their names."""
+    n = _names(spark, sf_dir).select("c_custkey", "identifier", F.concat("identifier", F.lit(".keys_theta29_dist18")).alias("name"))
+    group = identifiers.chain_group(F.col("name"))
+    return n.select("c_custkey", group.alias("grp"), identifiers.file_residue(F.col("name")).alias("residue"), identifiers.in_groups(group, ["nnb", "NAG "]).alias("exact"), identifiers.in_groups(group, ["N"], "contains").alias("partial"), identifiers.token(F.col("identifier"), 2).alias("third"))
+
+
+def located_structures(spark, sf_dir) -> Frame:
+    """Structures in two folders under any of their names."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    pdb = F.concat(F.lit("1A"), F.lpad(F.hex(F.col("k") % 256), 2, "0"))
+    names = structures.structure_names(pdb)
+    listing = c.where("k % 3 > 0").select(F.when(F.col("k") % 2 == 0, "cache").otherwise("local").alias("folder"), F.get(names, (F.col("k") % 6).cast("int")).alias("name")).distinct()
+    return structures.located(c.select(pdb.alias("pdb")), listing, ["local", "cache"])
+
+
+def sample_targets(spark, sf_dir) -> Frame:
+    """Residue targets of a table whose columns have other names."""
+    rows = _sample_rows(spark, sf_dir).select("line", F.col("protein").alias("Protein"), F.col("Chain ID").alias("the chain"), F.col("carb_name").alias("LIGAND"), F.col("SeqNum").alias("carb_id"), "chain_group")
+    return targets.residue_targets(tables.sample_rows(rows, "line", chain="the chain")).select("line", "identifier", "name", "seq")
+
+
+def skipped_samples(spark, sf_dir) -> Frame:
+    rows = _sample_rows(spark, sf_dir).withColumnRenamed("Chain ID", "chain")
+    return tables.skipped_rows(tables.sample_rows(rows, "line"))
+
+
+def split_audit(spark, sf_dir) -> Frame:
+    """Diagnostics of a split by rows, whose groups it does not respect."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    rare = d.withColumn("lang", F.when(F.col("doc_id") == 7, "rare").otherwise(F.col("lang")))
+    out = labels.split_audit(rare.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "val").otherwise("train")), "lang", "source")
+    return out.select("kind", "split", "n", F.array_join("classes", ",").alias("classes"))
+
+
+def labelled_order(spark, sf_dir) -> Frame:
+    """Residues in the order of a sample table, with their places."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("string").alias("protein"), F.element_at(F.array(*[F.lit(x) for x in (" ", "B", "a")]), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("chain"), F.when(F.col("o_orderkey") % 4 == 0, "CI").otherwise("NCI").alias("label"), F.concat((F.col("o_orderkey") % 30).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "A").otherwise("")).alias("seq"), F.col("o_orderkey").cast("string").alias("aa"))
+    return residues.in_label_order(o, seq="seq").select("o_orderkey", "place")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, search_samples, search_chain_samples, search_counters, residue_targets, chain_targets, target_keys, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions, target_records, record_files, key_files, matrix_files, annotated_lines, chain_triplets, nearest_neighbours, interpolated_rows, edited_rows, balanced_rows, oversampled_rows, split_rows, feature_quantiles, saved_model, calibrated_predictions, boosting_history, forest_importances, evaluated_splits)
+    for f in (triplet_keys, mirror_keys, triplet_bins, triplet_summary, atom_count_filter, search_atoms, fixed_width, common_keys, common_key_summary, key_percent, one_vs_all, feature_table, feature_frequency, generalised_jaccard, set_jaccard, distance_matrix, matrix_faults, similarity_text, adjusted_rand, clusters, contact_pairs, interaction_labels, linked_residues, discovery_labels, aggregated_residues, exploded_residues, parsed_identifiers, label_join, resolved_files, balanced_sizes, oversampled_sizes, class_weights, frequent_classes, legacy_files, renamed_files, coded_names, half_even_texts, chains_in_order, search_samples, search_chain_samples, search_counters, residue_targets, chain_targets, target_keys, split_sizes, grouped_split, class_report, metric_summary, confusion, binary_auc, confidence_histogram, missing_report, forest_predictions, logistic_predictions, target_records, record_files, key_files, matrix_files, annotated_lines, chain_triplets, nearest_neighbours, interpolated_rows, edited_rows, balanced_rows, oversampled_rows, split_rows, feature_quantiles, saved_model, calibrated_predictions, boosting_history, forest_importances, evaluated_splits, listed_ids, seed_residues, seed_counters, first_seed_ids, component_interactions, chain_group_files, located_structures, sample_targets, skipped_samples, split_audit, labelled_order)
 }
 
 #: Lines of made structure files.
@@ -590,6 +669,10 @@ _SAMPLES = """rows AS (SELECT c_custkey AS line, CASE WHEN c_custkey % 11 = 0 TH
     filled AS (SELECT * FROM rows WHERE protein || chain || name || array_to_string(seqs, '') || code || grp <> '')"""
 
 
+_SEEDS = """r AS (SELECT c_custkey AS line, upper((c_custkey % 10) || lpad(printf('%X', c_custkey % 300), 3, '0')) AS pdb, CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE 'b' END AS chain, c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AS own,
+        CASE c_custkey % 7 WHEN 0 THEN [] WHEN 1 THEN [(c_custkey % 90)::VARCHAR, (c_custkey % 50)::VARCHAR] ELSE [(c_custkey % 90)::VARCHAR] END AS seqs FROM customer), s AS (SELECT *, own AND len(seqs) > 0 AS used FROM r)"""
+
+
 def _samples(mode: str) -> str:
     """The samples of the table as SQL: numbers only outside the chain mode."""
     by_seq = "name <> '' AND len(seqs) > 0" if mode != "chain" else "false"
@@ -622,6 +705,27 @@ ORACLES = {
     "residue_targets": f"WITH {_SAMPLES}, one AS (SELECT *, unnest(seqs) AS seq FROM rows WHERE protein <> '' AND chain <> '' AND name <> '') SELECT line, concat_ws('_', protein, chain, seq, name) AS identifier, name, seq FROM one",
     "chain_targets": f"""WITH {_SAMPLES}, one AS (SELECT *, unnest(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END) AS seq, generate_subscripts(CASE WHEN name = '' OR len(seqs) = 0 THEN [NULL] ELSE seqs END, 1) AS nth FROM rows WHERE protein <> '' AND chain <> '')
         SELECT min(line) AS line, protein || '_' || chain AS identifier, coalesce(string_agg(name, ',' ORDER BY seq::INT, line, nth) FILTER (seq IS NOT NULL), '') AS summary_names, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(seq::INT) FILTER (seq IS NOT NULL))), lambda x: x::VARCHAR), ','), '') AS summary_seqs FROM one GROUP BY protein, chain""",
+    "listed_ids": """SELECT min(c_custkey) AS line, id FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 IN (3, 4) OR c_custkey % 12 = 6 THEN NULL WHEN c_custkey % 6 = 2 AND length('p' || (c_custkey % 400)) < 4 THEN NULL ELSE 'P' || (c_custkey % 400) END AS id FROM customer) WHERE id IS NOT NULL GROUP BY id""",
+    "seed_residues": f"WITH {_SEEDS} SELECT line, pdb, chain, 'NAG' AS name, unnest(list_distinct(seqs)) AS seq FROM s WHERE used",
+    "seed_counters": f"WITH {_SEEDS} SELECT count(*) AS rows_read, count(*) FILTER (used) AS rows_used, count(*) FILTER (own AND NOT used) AS rows_without_number FROM s",
+    "first_seed_ids": f"WITH {_SEEDS} SELECT min(line) AS line, pdb AS id FROM s WHERE used GROUP BY pdb ORDER BY line LIMIT 100",
+    "component_interactions": """WITH r AS (SELECT o_orderkey AS line, 'x_1AB' || (o_custkey % 40) AS protein, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'b' END AS chain, ['man', 'MAN', 'NAG'][o_orderkey % 3 + 1] AS carb_name, (o_orderkey % 11)::VARCHAR AS carb_res, printf('%.1f', ((o_orderkey * 7) % 60) / 20)::DOUBLE AS d FROM orders)
+        SELECT protein, chain, carb_name, carb_res, min(d) AS min_distance, min(line) AS line, CASE WHEN min(d) <= 1.5 THEN 'ci' WHEN min(d) <= 2 THEN 'wci' ELSE 'nci' END AS label FROM r WHERE upper(carb_name) = 'MAN' GROUP BY ALL""",
+    "chain_group_files": f"""WITH {_NAMES}, n AS (SELECT c_custkey, CASE kind WHEN 0 THEN [pdb, chain, seq, 'NAG'] WHEN 1 THEN [seq, pdb, chain, 'man'] WHEN 2 THEN [pdb, chain, 'NNB'] WHEN 3 THEN [pdb, chain] ELSE ['x-' || c_custkey] END AS p, CASE WHEN kind < 3 AND label <> '' THEN [label] ELSE [] END AS l FROM base), q AS (SELECT c_custkey, list_concat(p, l) AS p FROM n)
+        SELECT c_custkey, CASE WHEN len(p) >= 3 THEN upper(p[-1]) END AS grp, p[-1] AS residue, len(p) >= 3 AND upper(p[-1]) IN ('NNB', 'NAG') AS exact, len(p) >= 3 AND contains(upper(p[-1]), 'N') AS partial, p[3] AS third FROM q""",
+    "located_structures": """WITH i AS (SELECT c_custkey AS k, '1A' || lpad(printf('%X', c_custkey % 256), 2, '0') AS pdb FROM customer), v AS (SELECT k, pdb, [pdb || '.pdb', lower(pdb) || '.pdb', 'pdb' || lower(pdb) || '.ent', pdb || '.pdb.gz', lower(pdb) || '.pdb.gz', 'pdb' || lower(pdb) || '.ent.gz'] AS names FROM i),
+        f AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN 'cache' ELSE 'local' END AS folder, names[k % 6 + 1] AS name FROM v WHERE k % 3 > 0), n AS (SELECT DISTINCT pdb, unnest(names) AS name, generate_subscripts(names, 1) AS nth FROM v)
+        SELECT pdb, arg_min(folder || '/' || f.name, (folder = 'cache')::INT * 10 + nth) FILTER (folder IS NOT NULL) AS path FROM n LEFT JOIN f USING (name) GROUP BY pdb""",
+    "sample_targets": f"WITH {_SAMPLES}, one AS (SELECT *, unnest(seqs) AS seq FROM rows WHERE protein <> '' AND chain <> '' AND name <> '') SELECT line, concat_ws('_', protein, chain, seq, name) AS identifier, name, seq FROM one",
+    "skipped_samples": f"WITH {_SAMPLES}, m AS (SELECT line, concat_ws(',', CASE WHEN protein = '' THEN 'protein' END, CASE WHEN chain = '' THEN 'chain' END, CASE WHEN name = '' THEN 'name' END, CASE WHEN len(seqs) = 0 THEN 'seq' END) AS missing FROM rows) SELECT * FROM m WHERE missing <> ''",
+    "split_audit": """WITH d AS (SELECT CASE WHEN doc_id = 7 THEN 'rare' ELSE lang END AS lang, source, CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM documents),
+        s AS (SELECT split, count(*) AS r, count(DISTINCT source) AS g, count(DISTINCT lang) AS c FROM d GROUP BY split), g AS (SELECT DISTINCT split, source FROM d), l AS (SELECT DISTINCT lang FROM d)
+        SELECT 'rows' AS kind, split, r AS n, NULL::VARCHAR AS classes FROM s UNION ALL SELECT 'groups', split, g, NULL FROM s UNION ALL SELECT 'classes', split, c, NULL FROM s
+        UNION ALL SELECT 'overlap', a.split || '_' || b.split, count(*), NULL FROM g a JOIN g b ON a.source = b.source AND a.split < b.split GROUP BY ALL
+        UNION ALL SELECT 'missing', split, count(*), string_agg(lang, ',' ORDER BY lang) FROM (SELECT s.split, l.lang FROM s CROSS JOIN l EXCEPT SELECT split, lang FROM d) GROUP BY split
+        UNION ALL SELECT 'few groups', '', count(*), string_agg(lang, ',' ORDER BY lang) FROM (SELECT lang FROM d GROUP BY lang HAVING count(DISTINCT source) < 3) HAVING count(*) > 0""",
+    "labelled_order": """WITH o AS (SELECT o_orderkey, (o_custkey % 50)::VARCHAR AS protein, trim([' ', 'B', 'a'][o_orderkey % 3 + 1]) AS chain, o_orderkey % 4 <> 0 AS other, o_orderkey % 30 AS num, CASE WHEN o_orderkey % 7 = 0 THEN 'A' ELSE '' END AS code, o_orderkey::VARCHAR AS aa FROM orders)
+        SELECT o_orderkey, row_number() OVER (ORDER BY protein, other, chain = '', chain, num, code, aa) AS place FROM o""",
     "target_records": _records("(struct // 3)"),
     "record_files": _records("lpad((struct // 3)::VARCHAR, 4, '0')", "(struct // 3) % 2 = 0"),
     "key_files": f"WITH {FREQ} SELECT (sample % 10) || lpad(printf('%X', sample % 4096), 3, '0') || '_A_' || sample || '_NAG' AS identifier, ['CI', 'NCI', ''][sample % 3 + 1] AS label, key, freq FROM freq",

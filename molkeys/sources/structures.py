@@ -132,3 +132,26 @@ def with_codes(atoms: DataFrame, lexical: DataFrame, label: str = "label") -> Da
 
 def unknown_labels(atoms: DataFrame, lexical: DataFrame, label: str = "label") -> DataFrame:
     return atoms.join(F.broadcast(lexical.select(F.col("name").alias(label))), label, "left_anti").groupBy(label).agg(F.count("*").alias("n"))
+
+
+def structure_names(pdb: Column) -> Column:
+    """The names under which a structure's file may lie, in the order in which they are taken."""
+    low, up = F.lower(pdb), F.upper(pdb)
+    plain = F.array(F.concat(up, F.lit(".pdb")), F.concat(low, F.lit(".pdb")), F.concat(F.lit("pdb"), low, F.lit(".ent")))
+    return F.concat(plain, F.transform(plain, lambda n: F.concat(n, F.lit(".gz"))))
+
+
+def located(ids: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
+    """(pdb, path) of the ids (pdb) in a listing (folder, name): the first folder of the list that has one of the names, the first name there; else null."""
+    order = F.array_position(F.array(*[F.lit(f) for f in folders]), F.col("folder"))
+    known = files.withColumn("at", order).where("at > 0").select("name", "at", F.concat_ws("/", "folder", "name").alias("path"))
+    names = ids.select("pdb").distinct().select("pdb", F.posexplode(structure_names(F.col("pdb"))).alias("nth", "name"))
+    best = names.join(known, "name").groupBy("pdb").agg(F.min(F.struct("at", "nth", "path"))["path"].alias("path"))
+    return ids.select("pdb").distinct().join(best, "pdb", "left")
+
+
+def by_availability(rows: DataFrame, status: DataFrame, pdb: str = "protein") -> tuple[DataFrame, DataFrame]:
+    """(rows kept, rows removed) of a table by whether its structure's status (pdb, status) is that of a usable legacy file."""
+    usable = status.where(F.col("status").isin("cached_legacy_pdb", "downloaded_legacy_pdb")).select(F.col("pdb").alias("_pdb")).distinct()
+    on = F.upper(F.trim(F.col(pdb))) == F.col("_pdb")
+    return rows.join(usable, on, "left_semi"), rows.join(usable, on, "left_anti")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molkeys.functions.identifiers import list_id
 from molkeys.operators.ranks import numbered
 from molkeys.scratch import written
 
@@ -130,6 +131,61 @@ def write_numbered(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("ln").sortWithinPartitions("ln").select(F.col("line").alias("value")).write.text(path)
 
 
+#: Columns of an id list, the first that is there wins.
+ID_COLUMNS = ("protein", "pdb_id", "entry_id", "identifier", "pdb")
+
+
+def listed_ids(rows: DataFrame, line: str = "line") -> DataFrame:
+    """(line, id) of the rows of an id list in the order of its lines, each id once: of the preferred column, else the first valid value of a row."""
+    data = [c for c in rows.columns if c != line]
+    lower = {c.lower(): c for c in data}
+    best = next((lower[c] for c in ID_COLUMNS if c in lower), None)
+    value = F.coalesce(*[list_id(F.col(f"`{c}`")) for c in ([best] if best else data)])
+    return rows.select(F.col(line).alias("line"), value.alias("id")).where("id is not null").groupBy("id").agg(F.min("line").alias("line")).select("line", "id")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(line, id) of an id list, a CSV file with a header or lines of text."""
+    if path.lower().endswith(".csv"):
+        rows = read_strings(spark, path)
+        return listed_ids(rows.select("*", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line")))
+    return listed_ids(numbered_lines(spark, path).select(F.col("ln").alias("line"), F.col("line").alias("text")))
+
+
+def first_ids(ids: DataFrame, n: int, line: str = "line") -> DataFrame:
+    """The first n ids of a list, by the lines that name them first."""
+    return ids.groupBy("id").agg(F.min(line).alias(line)).orderBy(line, "id").limit(n)
+
+
+def unique_values(rows: DataFrame, column: str) -> DataFrame:
+    """(value): the filled values of a column without the blanks around them, each once."""
+    if column not in rows.columns:
+        raise ColumnError(f"no column {column}")
+    return rows.select(F.trim(F.col(f"`{column}`").cast("string")).alias("value")).where("value <> ''").distinct()
+
+
+# Names of the columns of a sample table.
+SAMPLE_ROLES = {"protein": ["protein"], "chain": ["chain"], "name": ["residue", "ligand", "name", "entity_name", "carb_name"], "seq": ["seqnum", "carb_id"]}
+
+
+def sample_rows(rows: DataFrame, line: str, whole_chains: bool = False, **explicit: str) -> DataFrame:
+    """(line, protein, chain, name, seq) of a sample table with columns of any of the known names; ``explicit`` names a role's column.
+
+    All roles are needed for residues; for whole chains name and number may be missing.
+    """
+    columns = [c for c in rows.columns if c != line]
+    found = {r: resolve(columns, r, names, explicit.get(r), required=not (whole_chains and r in ("name", "seq"))) for r, names in SAMPLE_ROLES.items()}
+    return rows.select(F.col(f"`{line}`").alias("line"), *[(F.lit("") if c is None else F.coalesce(F.trim(F.col(f"`{c}`")), F.lit(""))).alias(r) for r, c in found.items()])
+
+
+def skipped_rows(samples: DataFrame, whole_chains: bool = False) -> DataFrame:
+    """(line, missing): rows of a sample table that give no target, and which of their values are missing."""
+    roles = ["protein", "chain"] if whole_chains else ["protein", "chain", "name", "seq"]
+    filled = lambda r: F.exists(F.split(r, ";"), lambda x: F.trim(x) != "") if r == "seq" else F.col(r) != ""
+    missing = F.array_compact(F.array(*[F.when(~filled(r), r) for r in roles]))
+    return samples.select("line", F.array_join(missing, ",").alias("missing")).where("missing <> ''")
+
+
 def sniff_format(first_line: str) -> str:
     """semicolon, header_csv, csv or empty, from a file's first line."""
     line = first_line.strip()
