@@ -5,13 +5,14 @@ each line by a normal variable of known deviation, so the number of lines on whi
 the query is binomial; ``calibrated`` takes the largest count that such a pair still reaches with the wanted recall. Pairs
 that pass the count are verified by their cosine in double precision, so no pair below the threshold is linked.
 
-Equal vectors are one class from the start. Classes are sorted along the first line into wide cells, and these are split into blocks of bounded size; pairs of blocks whose cells can meet are dealt to tasks, and there each line
+Vectors that are equal, or equal but for a power of two, are one class from the start. Classes are sorted along the first line into wide cells, and these are split into blocks of bounded size; pairs of blocks whose cells can meet are dealt to tasks, and there each line
 is sorted, the windows are found by binary search, and collisions are counted. Nothing is joined all against all: a block
 meets the blocks of its own label within reach on the first line only, and those whose labels are null meet none.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and null labels, link with nothing; vectors of
 other lengths are compared with their own length only; repeated vec_ids are separate vectors under one id and their
-links are counted for the id; an empty table gives no rows; further columns are ignored.
+links are counted for the id; labels of any type are compared as they are, texts and fractions too; components may be as large or small as
+doubles are; a pair exactly at the threshold is linked; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def lines_of(dim: int, lines: int = PROJECTIONS, seed: int = 7) -> np.ndarray:
 
 
 def project(vectors: DataFrame, key: str, label: str, column: str) -> DataFrame:
-    """(id, label, dim, cell, vec) of the vectors that can link; vec is the vector in double precision."""
+    """(id, label, dim, cell, vec) of the vectors that can link; vec is the vector in double precision, scaled."""
 
     def run(batches):
         for batch in batches:
@@ -65,17 +66,19 @@ def project(vectors: DataFrame, key: str, label: str, column: str) -> DataFrame:
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
                 v = values[at[rows][:, None] + np.arange(d)]
-                norm = np.sqrt((v * v).sum(1))
-                good = np.isfinite(norm) & (norm > 0)
-                rows, v, norm = rows[good], v[good], norm[good]
-                first = (v / norm[:, None]) @ lines_of(int(d))[:, 0]
+                most = np.abs(v).max(1)
+                good = np.isfinite(most) & (most > 0)
+                # by a power of two, which changes no cosine, so that squares neither overflow nor vanish
+                rows, v = rows[good], np.ldexp(v[good], -np.frexp(most[good])[1][:, None])
+                first = (v / np.sqrt((v * v).sum(1))[:, None]) @ lines_of(int(d))[:, 0]
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(8 * d)), len(rows), [None, pa.py_buffer(np.ascontiguousarray(v + 0.0).tobytes())]).cast(pa.binary()) if len(rows) else pa.array([], pa.binary())
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(rows), d, np.int32)), pa.array(np.floor(first / CELL).astype(np.int32)), data], names=["id", "label", "dim", "cell", "vec"])
 
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(column).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(column).cast("array<double>").alias("v"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    return rows.mapInArrow(lean(run), "id bigint, label bigint, dim int, cell int, vec binary")
+    kind = rows.schema["label"].dataType.simpleString()
+    return rows.mapInArrow(lean(run), f"id bigint, label {kind}, dim int, cell int, vec binary")
 
 
 def deal(classes: DataFrame) -> DataFrame:

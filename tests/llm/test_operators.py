@@ -116,6 +116,32 @@ def test_vectors_equal_brute_force(spark):
     assert sum(map(len, links.values())) > 30 and collisions.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_any_label_and_scale(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(24)
+    base /= np.sqrt((base * base).sum())
+    side = rng.standard_normal(24)
+    side -= side @ base * base
+    side /= np.sqrt((side * side).sum())
+    at = lambda c: c * base + np.sqrt(1 - c * c) * side
+    vectors = [("a", base), ("a", base * 1e200), ("a", base * 1e-200), ("a", at(0.96) * 3e-160), ("a", at(0.9)), ("b", base), ("b", base * 5e-300), ("c d", base), (None, base), ("a", base * 0), ("b", base * np.nan)]
+    rows = [(i, label, [float(x) for x in v]) for i, (label, v) in enumerate(vectors)] + [(2, "a", [float(x) for x in base * 1e-200])]
+    links = {0: {1, 2, 3}, 1: {0, 2, 3}, 2: {0, 1, 3}, 3: {0, 1, 2, 4}, 4: {3}, 5: {6}, 6: {5}}
+    cosine = lambda v, w: float((v * w).sum() / np.sqrt((v * v).sum() * (w * w).sum()))
+    assert cosine(at(0.96), at(0.9)) > 0.93 > cosine(base, at(0.9))
+    df = spark.createDataFrame(rows[:-1], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in collisions.near_duplicates(df).collect()}
+    assert got == {i: (len(links.get(i, ())), 0 if i < 5 else 5 if i < 7 else i) for i in range(11)}
+    twice = spark.createDataFrame(rows, df.schema)
+    # a repeated id is one more link of those that it is near to
+    assert {r.vec_id: r.n_links for r in collisions.near_duplicates(twice).collect()}[0] == 4
+    parts = spark.createDataFrame([(0, 1.2, [1.0, 0.0]), (1, 1.7, [1.0, 0.0]), (2, 1.2, [1.0, 1e-9])], "vec_id long, label double, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in collisions.near_duplicates(parts).collect()} == {0: 1, 1: 0, 2: 1}
+    # three, four, five: the cosine is 0.96 and the threshold is met exactly
+    exact = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, 1, [0.96, 0.28])], "vec_id long, label int, embedding array<double>")
+    assert [r.n_links for r in collisions.near_duplicates(exact, cosine=0.96).collect()] == [1, 1]
+
+
 def test_counts_are_calibrated():
     least = collisions.calibrated(0.93)
     rng = np.random.default_rng(1)
