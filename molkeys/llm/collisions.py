@@ -6,7 +6,8 @@ the query is binomial; ``calibrated`` takes the largest count that such a pair s
 that pass the count are verified by their cosine in double precision, so no pair below the threshold is linked.
 
 Vectors that are equal, or equal but for a power of two, are one class from the start. Classes are sorted along the first line into wide cells, and these are split into blocks of bounded size; pairs of blocks whose cells can meet are dealt to tasks, and there each line
-is sorted, the windows are found by binary search, and collisions are counted. Nothing is joined all against all: a block
+is sorted, the windows are found by binary search, and collisions are counted. A task gives out how many links each vector has and a forest of
+them, not the links. Nothing is joined all against all: a block
 meets the blocks of its own label within reach on the first line only, and those whose labels are null meet none.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and null labels, link with nothing; vectors of
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lean, materialise
+from .common import connected_components, lean, materialise, tree
 
 PROJECTIONS = 32
 #: Half width of the windows, in deviations of a unit vector's projection.
@@ -126,7 +127,8 @@ def colliding(p: np.ndarray, q: np.ndarray, least: int, slab: int = 256) -> tupl
 
 
 def count_and_verify(units: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, copies_a, copies_b): verified links between classes."""
+    """(a, b, n) of verified links between classes: in each unit how many vectors ``a`` links with (b null), and a forest of edges (a, b) that connects
+    what the unit's links connect (n null). A unit gives rows in proportion to its own, however many links it finds."""
     least = calibrated(cosine)
 
     def run(batches):
@@ -144,7 +146,12 @@ def count_and_verify(units: DataFrame, cosine: float) -> DataFrame:
                 i, j = i[i < j], j[i < j]
             c = (v[i] * w[j]).sum(1) / np.sqrt((v[i] * v[i]).sum(1) * (w[j] * w[j]).sum(1))
             i, j = i[c >= cosine], j[c >= cosine]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids2[j], copies[i], copies2[j])], names=["a", "b", "copies_a", "copies_b"])
+            n, n2 = np.bincount(i, copies2[j], len(ids)).astype(np.int64), np.bincount(j, copies[i], len(ids2)).astype(np.int64)
+            x, y = tree(ids[i], ids2[j])
+            of = np.concatenate([ids[n > 0], ids2[n2 > 0]])
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [pa.concat_arrays([pa.array(of), pa.array(x)]), pa.concat_arrays([none(len(of)), pa.array(y)]), pa.concat_arrays([pa.array(np.concatenate([n[n > 0], n2[n2 > 0]])), none(len(x))])]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
         for batch in batches:
             for u, side, i, n, vec in zip(*(batch.column(k).to_pylist() for k in range(5))):
@@ -157,7 +164,7 @@ def count_and_verify(units: DataFrame, cosine: float) -> DataFrame:
             yield links()
 
     rows = units.repartition("unit").sortWithinPartitions("unit", "side", "id")
-    return rows.select("unit", "side", "id", "copies", "vec").mapInArrow(lean(run), "a bigint, b bigint, copies_a bigint, copies_b bigint")
+    return rows.select("unit", "side", "id", "copies", "vec").mapInArrow(lean(run), "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
@@ -167,9 +174,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id
     classes = rows.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     one = rows.join(classes.select("rep", *same, "copies"), same).where("id = rep").dropDuplicates(["id", *same]).select("id", "label", "dim", "cell", "vec", "copies")
     found = materialise(count_and_verify(deal(one), cosine), "links")
-    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("rep"), F.col("copies_a").alias("n")))).alias("e")).select("e.*")
-    degree = ends.groupBy("rep").agg(F.sum("n").alias("others"))
-    comps = connected_components(found.select("a", "b"), "near")
+    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    comps = connected_components(found.where("b is not null").select("a", "b"), "near")
     by_class = classes.join(degree, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select(*same, (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     linked = rows.select("id", *same).join(by_class, same).groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))

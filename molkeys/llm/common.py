@@ -216,7 +216,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int, inside: np.ndar
 FOREST_NODES = 1 << 20
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the edges but the roots, with the smallest node that it is connected with."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
@@ -238,7 +238,7 @@ def forest_of(batches):
     """Spanning forests (a, b) of the edges (a, b) in Arrow batches, in bounded memory: what connected stays so."""
     a = b = np.zeros(0, np.int64)
     for batch in batches:
-        a, b = _forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        a, b = tree(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
         if len(a) > FOREST_NODES:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             a = b = np.zeros(0, np.int64)
