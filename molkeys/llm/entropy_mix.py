@@ -32,7 +32,7 @@ from .common import forget, materialise, text_of
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Documents of a bucket, on average; a bucket is the largest group of documents that one task orders.
-BUCKET = 2048
+BUCKET = 512
 #: Newton steps, far more than any bracket needs.
 STEPS = 100
 
