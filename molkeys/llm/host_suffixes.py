@@ -2,14 +2,20 @@
 
 Markup is cut into blocks, and blocks are marked: ``main`` inside an article or main element, ``cut`` inside an element that by
 its name, role, class or id is a menu, header, footer, sidebar, notice, advert, form, comment, script or style, and ``other``
-elsewhere. A page that declares its article gives ``main`` blocks, other pages ``other`` blocks, both without what repeats.
+elsewhere. Classes and ids of headings say nothing. A page that declares its article gives ``main`` blocks, other pages ``other`` blocks,
+both without what repeats.
 
-What repeats is found per host. Pages of equal ``main`` and ``other`` blocks are one page there, so copies are no evidence. A
-block is boilerplate as a whole, or a maximal run of ``LONG`` words or more inside it is, when it recurs on ``PAGES``
-different pages of the host and on one in ``SHARE`` of them. Suffixes of blocks are compared to the depth of ``LONG`` words by hash.
-Most are never counted: a run that recurs takes the smallest hash of its substrings of ``DEPTH`` words along, so only suffixes whose smallest
-one recurs as often are. Where repetition would leave less than one in ``LEFT`` of a page's words, the page is taken for one of a
-family of near copies and stays whole.
+What repeats is found per host. Pages of equal ``main`` and ``other`` blocks are one page there, so copies are no evidence. A run
+of ``LONG`` words or more inside a block is boilerplate when it recurs on ``PAGES`` different pages of the host and on one in
+``SHARE`` of them; so is a whole shorter block, but never as a ``main`` block: headings and phrases of an article may recur.
+
+The suffixes of a host's blocks are sorted by their words to the depth of ``LONG`` (a shorter block is one suffix, itself), as one
+order over all hosts that is split by ranges. Neighbours with all these words in common are an interval, and an interval with
+enough pages is boilerplate; its suffixes, laid over the pages, cover each maximal repeated run. Page is the last part of the order, so
+an interval of many pages lies in several ranges, whose numbers of pages add up. Suffixes that cannot recur are not sorted: equal
+ones have the same smallest hash of ``DEPTH`` words, so only those whose smallest one recurs as often are. Hashes choose what is
+sorted, and words alone decide. Where repetition would leave less than one in ``LEFT`` of a page's words, the page is
+taken for one of a family of near copies and stays whole.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own name, empty; unclosed and unmatched tags, broken
 attributes, cut-off pages and unknown references are read as browsers do, as far as text goes; rows that share a page_id are
@@ -21,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -35,6 +42,8 @@ from .winnow import bounded
 DEPTH, LONG = 6, 20
 #: Boilerplate recurs on so many different pages of a host, and on one in so many of them; one in so many words of a page is left.
 PAGES, SHARE, LEFT = 3, 2, 10
+#: Bytes of a table that is sent to all executors.
+SMALL = 16 << 20
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*$""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -45,16 +54,17 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CUT = frozenset("nav footer aside form script style noscript template head button select textarea iframe dialog menu svg canvas object title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer header masthead comment comments disqus respond reply replies newsletter subscribe signup login popup modal overlay share sharing social related recommended search toolbar copyright pagination skip site-header site-footer site-nav site-navigation main-nav main-menu main-navigation page-footer ad-slot ad-banner ad-container cookie-banner cookie-notice cookie-consent social-share share-buttons skip-link related-posts".split())
-#: Elements whose own marks say nothing of the text in them.
+#: Elements whose own marks say nothing of the text in them, and those whose names (classes and ids) do not.
 ROOTS = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, named: bool = True) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(value.split()):
+        if named and name in ("class", "id") and not MARKS.isdisjoint(value.split()):
             return True
     return False
 
@@ -78,10 +88,11 @@ def _blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, str]],
 
     Marks of elements that begin at ``unmarked`` are ignored.
     """
-    marked: list[int] = []  # of each element of the stack, where it begins if it is marked, or -1
+    marked: list[int] = []  # where the marked elements of the stack begin
     holders: dict[str, set[int]] = {"main": set(), "article": set()}
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, cut, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, cut, main, marked
+    opened: Counter[str] = Counter()  # names on the stack
     parts: list[str] = []
     cut = main = declared = False
     at, end = 0, len(page)
@@ -93,6 +104,13 @@ def _blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, str]],
                 out.append(("cut" if cut else "main" if main else "other", text))
             parts.clear()
 
+    def pop() -> tuple[str, bool, bool, bool]:
+        top = stack.pop()
+        opened[top[0]] -= 1
+        if top[3]:
+            marked.pop()
+        return top
+
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -110,37 +128,46 @@ def _blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, str]],
             continue
         block = name in BLOCKS
         if closing:
-            if any(x[0] == name for x in stack):
-                if block or any(x[0] in BLOCKS or x[1] for x in stack[max(i for i, x in enumerate(stack) if x[0] == name) :]):
+            if opened[name]:
+                ends = block
+                if not ends:
+                    for x in reversed(stack):
+                        ends |= x[0] in BLOCKS or x[1]
+                        if ends or x[0] == name:
+                            break
+                if ends:
                     close()
-                while stack.pop()[0] != name:
+                while pop()[0] != name:
                     pass
-                del marked[len(stack) :]
-                _, cut, main = stack[-1] if stack else ("", False, False)
+                _, cut, main, _ = stack[-1] if stack else ("", False, False, False)
             elif block:
                 close()
             continue
-        by_mark = name not in ROOTS and begin not in unmarked and _marked(attributes)
+        by_mark = name not in ROOTS and begin not in unmarked and _marked(attributes, name not in HEADINGS)
         new_cut = cut or name in CUT or name == "header" and not main or by_mark
         new_main = main or name in ("article", "main")
         if block or new_cut != cut:
             close()
-        if block and stack and any(x[0] == "p" for x in stack):
-            while stack.pop()[0] != "p":
+        if block and opened["p"]:
+            while pop()[0] != "p":
                 pass
-            del marked[len(stack) :]
-            _, cut, main = stack[-1] if stack else ("", False, False)
+            _, cut, main, _ = stack[-1] if stack else ("", False, False, False)
             new_cut = cut or name in CUT or name == "header" and not main or by_mark
             new_main = main or name in ("article", "main")
         declared |= new_main and not new_cut
         if name in holders:
-            holders[name].update(x for x in marked if x >= 0)
+            for x in reversed(marked):
+                if x in holders[name]:  # and so are those around it
+                    break
+                holders[name].add(x)
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
         elif name not in VOID and not attributes.rstrip().endswith("/") or name in BLOCKS and name != "hr":
-            stack.append((name, new_cut, new_main))
-            marked.append(begin if by_mark else -1)
+            stack.append((name, new_cut, new_main, by_mark))
+            opened[name] += 1
+            if by_mark:
+                marked.append(begin)
             cut, main = new_cut, new_main
     close()
     return out, declared, frozenset(holders["main"]), frozenset(holders["article"])
@@ -158,24 +185,28 @@ def _print(*parts: str) -> int:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, row, host, stream, keep, texts): blocks of each page and whether they are its text; host and stream are hashes."""
+    """(page_id, url, row, host, stream, keep, loose, texts): blocks of each page, whether they are its text and whether they may go as short ones.
+
+    Host and stream are hashes.
+    """
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                hosts, streams, keep, texts = [], [], [], []
+                hosts, streams, keep, loose, texts = [], [], [], [], []
                 for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     blocks, declared = blocks_of(page or "")
                     host = host_of(url)
                     hosts.append(_print(host))
                     streams.append(_print(host, *(x for mark, x in blocks if mark != "cut")))
                     keep.append([mark == ("main" if declared else "other") for mark, _ in blocks])
+                    loose.append([mark != "main" for mark, _ in blocks])
                     texts.append([x for _, x in blocks])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(keep, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "stream", "keep", "texts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hosts, pa.int64()), pa.array(streams, pa.int64()), pa.array(keep, pa.list_(pa.bool_())), pa.array(loose, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "row", "host", "stream", "keep", "loose", "texts"])
 
     rows = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
-    return rows.select("page_id", "url", "html", "row").mapInArrow(lean(run), "page_id bigint, url string, row bigint, host bigint, stream bigint, keep array<boolean>, texts array<string>")
+    return rows.select("page_id", "url", "html", "row").mapInArrow(lean(run), "page_id bigint, url string, row bigint, host bigint, stream bigint, keep array<boolean>, loose array<boolean>, texts array<string>")
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -187,51 +218,95 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def suffixes(texts: list[str], depth: int, long: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The hash of each block, and per block those of its suffixes' first ``long`` words, each with the smallest hash of ``depth`` words in them."""
-    data = [x.encode() for x in texts]
+def least_hashes(texts: list[str], loose: list[bool], depth: int, long: int) -> list[np.ndarray]:
+    """Per block, of each of its suffixes of ``long`` words or more the smallest hash of ``depth`` words in the first ``long``.
+
+    A shorter block that may go has one suffix, itself, and its hash; another has none.
+    """
+    data = [x.encode("utf-8", "surrogatepass") for x in texts]
     offsets = np.cumsum([0, *map(len, data)])
     raw = np.frombuffer(b"".join(data), np.uint8)
     prefix = byte_prefix(raw)
     starts, ends, row = words_of(raw, offsets, NOT_SPACE)
     words = span_hash(prefix, starts, ends)
+    whole = span_hash(prefix, offsets[:-1], offsets[1:]).view(np.int64)
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     out = []
-    for a, b in zip(first, first[1:]):
+    for i, (a, b) in enumerate(zip(first, first[1:])):
         if b - a < long:
-            out.append((np.zeros(0, np.int64),) * 2)
-            continue
-        least = np.lib.stride_tricks.sliding_window_view(_grams(words[a:b], depth), long - depth + 1).min(1)
-        out.append((_grams(words[a:b], long).view(np.int64), least.view(np.int64)))
-    return span_hash(prefix, offsets[:-1], offsets[1:]).view(np.int64), out
+            out.append(whole[i : i + 1] if loose[i] else whole[:0])
+        else:
+            out.append(np.lib.stride_tricks.sliding_window_view(_grams(words[a:b], depth), long - depth + 1).min(1).view(np.int64))
+    return out
 
 
-def recurring(blocks: DataFrame, pages: DataFrame, hosts: DataFrame, keys_of) -> DataFrame:
-    """(host, keys): the keys that recur on enough different pages of each host; ``keys_of`` gives those of a page's texts and known keys."""
+def page_keys(blocks: DataFrame, depth: int, long: int) -> DataFrame:
+    """(row, host, keys): the distinct ``least_hashes`` of each page."""
 
     def run(batches):
         for batch in batches:
-            keys = [np.unique(keys_of(texts, known)) for texts, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keys = [np.unique(np.concatenate([np.zeros(0, np.int64), *least_hashes(t, s, depth, long)])) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "keys"])
 
-    every = blocks.select("row", "host", "texts", "known").mapInArrow(lean(run), "row bigint, host bigint, keys array<bigint>").where(F.size("keys") > 0)
-    # rows that are the same have one key of row: one of them counts
-    one = pages.join(every.withColumnRenamed("row", "r"), (F.col("row") == F.col("r")), "inner").select("row", "host", F.explode("keys").alias("key"))
-    counts = one.groupBy("host", "key").agg(F.count("*").alias("c")).where(F.col("c") >= PAGES)
-    enough = counts.join(hosts, "host").where(F.col("c") * SHARE >= F.col("n"))
-    return materialise(enough.groupBy("host").agg(F.collect_list("key").alias("keys")), "recurring")
+    return blocks.select("row", "host", "texts", "loose").mapInArrow(lean(run), "row bigint, host bigint, keys array<bigint>").where(F.size("keys") > 0)
+
+
+def suffixes(pages: DataFrame, depth: int, long: int) -> DataFrame:
+    """(host, key, suffix, page): the first ``long`` words of each suffix whose key is among the ``known`` ones of its page."""
+
+    def run(batches):
+        for batch in batches:
+            for host, page, texts, loose, known in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, found = [], []
+                for text, least in zip(texts, least_hashes(texts, loose, depth, long)):
+                    at = np.flatnonzero(np.isin(least, known))
+                    words = text.split(" ") if len(at) else []
+                    keys += least[at].tolist()
+                    found += [" ".join(words[p : p + long]) for p in at.tolist()]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.string()), pa.array([page] * n, pa.int64())], names=["host", "key", "suffix", "page"])
+
+    return pages.select("host", "page", "texts", "loose", "known").mapInArrow(lean(run), "host bigint, key bigint, suffix string, page bigint")
+
 
+def intervals(found: DataFrame) -> DataFrame:
+    """(host, key, suffix, c): the intervals of the suffix array and their numbers of pages, summed over the ranges that they lie in."""
 
-def uncovered(keep: list[bool], texts: list[str], keys: list[int] | None, runs: list[int] | None, depth: int, long: int) -> str:
-    """The words of a page's text that nothing recurring covers."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            done = []
+            for host, key, suffix, page in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is None or held[2] != suffix or held[0] != host:
+                    if held is not None:
+                        done.append(held[:4])
+                    held = [host, key, suffix, 1, page]
+                elif held[4] != page:
+                    held[3:] = held[3] + 1, page
+            yield rows(done)
+        if held is not None:
+            yield rows([held[:4]])
+
+    def rows(done):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["host", "key", "suffix", "c"])
+
+    ordered = found.repartitionByRange("host", "suffix", "page").sortWithinPartitions("host", "suffix", "page")
+    counted = ordered.mapInArrow(lean(run), "host bigint, key bigint, suffix string, c bigint")
+    return counted.groupBy("host", "key", "suffix").agg(F.sum("c").alias("c"))
+
+
+def uncovered(keep: list[bool], loose: list[bool], texts: list[str], repeated: list[str] | None, long: int) -> str:
+    """The words of a page's text that no repeated suffix covers."""
     words = [x.split(" ") for x in texts]
     hits = [np.zeros(len(w), bool) for w in words]
-    if keys and texts:
-        whole, inner = suffixes(texts, depth, long)
-        for i, hit in enumerate(hits):
-            hit[:] = whole[i] in keys
-            for at in np.flatnonzero(np.isin(inner[i][0], runs or [])):
-                hit[at : at + long] = True
+    found = frozenset(repeated or ())
+    for i in range(len(words) if found else 0):
+        if keep[i] and len(words[i]) < long:
+            hits[i][:] = loose[i] and texts[i] in found
+        elif keep[i]:
+            for p in range(len(words[i]) - long + 1):
+                if " ".join(words[i][p : p + long]) in found:
+                    hits[i][p : p + long] = True
     total = sum(len(w) for k, w in zip(keep, words) if k)
     left = sum(int((~hit).sum()) for k, hit in zip(keep, hits) if k)
     if left * LEFT < total:
@@ -239,34 +314,47 @@ def uncovered(keep: list[bool], texts: list[str], keys: list[int] | None, runs:
     return " ".join(x for k, w, hit in zip(keep, words, hits) if k for x, c in zip(w, hit) if not c)
 
 
-def main_text(pages: DataFrame, depth: int = DEPTH, long: int = LONG) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
-    blocks = materialise(parse_pages(pages), "blocks", compression="zstd")
+def small(df: DataFrame, size) -> DataFrame:
+    """Broadcast a table whose summed bytes, by the column ``size``, are within ``SMALL``; leave the join to shuffle beyond it."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= SMALL else df
+
+
+def often(counts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Counts ``c`` that are enough pages of their host."""
+    return counts.where(F.col("c") >= PAGES).join(hosts, "host").where(F.col("c") * SHARE >= F.col("n")).drop("c", "n")
+
+
+def repeated_suffixes(blocks: DataFrame, depth: int, long: int) -> DataFrame:
+    """(row, repeated): the suffixes that each page may share with enough pages of its host, for pages with any."""
     # one row for each different page: equal streams first, then texts of one page_id
     streams = blocks.groupBy("stream").agg(F.min(F.struct("row", "page_id", "host")).alias("x")).select("x.*")
     different = materialise(streams.groupBy(F.coalesce("page_id", "row").alias("page"), "host").agg(F.min("row").alias("row")), "different")
     hosts = materialise(different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES), "hosts")
-    different = different.select("row").distinct()
     hosts = bounded(hosts, hosts.count())
+    every = materialise(page_keys(blocks.join(hosts, "host", "left_semi"), depth, long), "keys")
+    one = every.join(different.select("row").distinct(), "row", "left_semi").select("host", F.explode("keys").alias("key"))
+    keys = materialise(often(one.groupBy("host", "key").agg(F.count("*").alias("c")), hosts), "frequent")
+    own = every.select("row", "host", F.explode("keys").alias("key")).join(bounded(keys, keys.count()), ["host", "key"])
+    own = materialise(own.distinct(), "own")
+    known = own.groupBy("row").agg(F.collect_list("key").alias("known")).join(different.select("row", "page"), "row")
+    known = materialise(known, "known")
+    # rows that are the same have one number; a page counts once in an interval
+    found = materialise(suffixes(blocks.join(small(known, 8 * F.size("known")), "row"), depth, long), "suffixes", compression="zstd")
+    boilerplate = materialise(often(intervals(found), hosts), "boilerplate")
+    shared = own.join(small(boilerplate, F.octet_length("suffix") + 16), ["host", "key"])
+    return materialise(shared.groupBy("row").agg(F.collect_list("suffix").alias("repeated")), "repeated", compression="zstd")
 
-    def first_keys(texts, _):
-        whole, inner = suffixes(texts, depth, long)
-        return np.concatenate([whole, *(x[1] for x in inner)])
-
-    def run_keys(texts, known):
-        return np.concatenate([np.zeros(0, np.int64), *(x[0][np.isin(x[1], known)] for x in suffixes(texts, depth, long)[1])])
 
-    keys = recurring(blocks.join(hosts, "host", "left_semi").withColumn("known", F.array().cast("array<bigint>")), different, hosts, first_keys)
-    keys = bounded(keys, keys.count())
-    known = blocks.join(keys.withColumnRenamed("keys", "known"), "host")
-    runs = recurring(known, different, hosts, run_keys)
-    runs = bounded(runs, runs.count())
+def main_text(pages: DataFrame, depth: int = DEPTH, long: int = LONG) -> DataFrame:
+    """Per page: page_id, url, text, n_chars."""
+    blocks = materialise(parse_pages(pages), "blocks", compression="zstd")
+    repeated = repeated_suffixes(blocks, depth, long)
 
     def run(batches):
         for batch in batches:
-            texts = [uncovered(*x, depth, long) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            texts = [uncovered(*x, long) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    every = blocks.join(keys, "host", "left").join(runs.withColumnRenamed("keys", "runs"), "host", "left")
-    out = every.select("page_id", "url", "keep", "texts", "keys", "runs").mapInArrow(lean(run), "page_id bigint, url string, text string")
+    every = blocks.join(small(repeated, F.octet_length(F.array_join("repeated", " ")) + 8), "row", "left")
+    out = every.select("page_id", "url", "keep", "loose", "texts", "repeated").mapInArrow(lean(run), "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
