@@ -40,6 +40,8 @@ from .common import lean, materialise, steps, string_buffer, text_of
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
 LONGEST, COMMON, COUNTED = 61, 150_000, 300_000
+#: Characters by which the lengths of pieces at a place are narrowed.
+HEAD = 3
 #: The id part of an edge without a piece, and the mark of an edge whose piece is a part of a better one.
 UNKNOWN, INNER = (1 << 24) - 1, 1 << 31
 #: Bytes of text of a step.
@@ -129,6 +131,16 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return table
 
 
+def lengths_by_head(spark: SparkSession, model: Model) -> DataFrame:
+    """(head_key, head, lengths): for each beginning of ``HEAD`` characters of a piece, the lengths that pieces at a place with it can have, and 1."""
+    known, lengths = {p for p, _, _ in model.pieces}, {}
+    for p in known:
+        if len(p) >= HEAD:
+            lengths.setdefault(p[:HEAD], set()).add(len(p))
+    rows = [(h, sorted(x | {1} | {k for k in range(2, HEAD) if h[:k] in known})) for h, x in lengths.items()]
+    return spark.createDataFrame(rows, "head string, lengths array<int>").withColumn("head_key", F.xxhash64("head"))
+
+
 def substrings(rows: DataFrame, model: Model) -> DataFrame:
     """Rows with an edge for each piece in their unit, and for each single character without one; rows without a unit get the edge -1.
 
@@ -136,7 +148,12 @@ def substrings(rows: DataFrame, model: Model) -> DataFrame:
     """
     n = F.char_length("unit")
     some = rows.select("*", F.explode_outer(F.sequence(F.lit(0), n - 1)).alias("start"))
-    some = some.select("*", F.explode_outer(F.when(n.isNotNull(), F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start"))))).alias("len"))
+    # only lengths that some piece with the first characters here has: both tables are of the vocabulary's size
+    some = some.withColumn("own_head", F.substr("unit", F.col("start") + 1, F.lit(HEAD))).withColumn("head_key", F.xxhash64("own_head"))
+    some = some.join(F.broadcast(lengths_by_head(rows.sparkSession, model)), "head_key", "left")
+    shorter = F.array(*[F.lit(k) for k in range(1, HEAD)])
+    some = some.select(*rows.columns, "start", F.explode_outer(F.when(n.isNotNull(), F.when(F.col("own_head") == F.col("head"), F.col("lengths")).otherwise(shorter))).alias("len"))
+    some = some.where(n.isNull() | (F.col("len") <= n - F.col("start")))
     some = some.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("len"))).withColumn("key", F.xxhash64("piece"))
     # the vocabulary is a fixed table of some ten thousand rows; a join on longs takes half the time of one on strings, and the pieces are compared after it
     joined = some.join(F.broadcast(piece_table(rows.sparkSession, model)), "key", "left").withColumn("packed", F.when(F.col("piece") == F.col("its"), F.col("packed")))
