@@ -517,22 +517,34 @@ def grouped_edges(exploded: DataFrame) -> DataFrame:
     return grouped.withColumn("unit", F.when(F.get("edges", F.lit(0)) >= 0, F.col("row").cast("string")))
 
 
-def held_ids(rows: pa.Table, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the edges that lie between two ``cuts`` without one inside, or of their character's bytes, behind each other, and their numbers by row."""
+def held_ids(rows: pa.Table, chars: pa.Array, char_ids: np.ndarray, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the symbols between two neighbouring ``cuts``, behind each other, and their numbers by row.
+
+    A symbol of several characters is an edge; one character is looked up among ``chars``, or becomes its bytes.
+    """
     edge, n = _flat(rows["edges"])
     of = np.repeat(np.arange(len(rows)), n)
     start, length, ends = _bits(edge)
-    cuts = pc.fill_null(rows["cuts"], 0).to_numpy()[of]
-    held = np.flatnonzero((edge >= 0) & (cuts & (1 << length + 1) - 1 << start == ends))
-    held = held[np.argsort(of[held] << 8 | start[held])]
-    ids, of, count = edge[held] & UNKNOWN, of[held], np.ones(len(held), np.int64)
-    bare = np.flatnonzero(ids == UNKNOWN)
-    if len(bare):
-        words = rows["row"].combine_chunks().take(pa.array(of[bare])).to_pylist()
-        chars = [w.decode()[i].encode() for w, i in zip(words, start[held[bare]].tolist())]
-        count[bare] = [len(c) for c in chars]
+    cuts = pc.fill_null(rows["cuts"], 0).to_numpy()
+    held = np.flatnonzero((edge >= 0) & (length > 1) & (cuts[of] & (1 << length + 1) - 1 << start == ends))
+    places, ids, units = [of[held] << 8 | start[held]], [edge[held] & UNKNOWN], rows["row"].combine_chunks()
+    bare: list[tuple[int, bytes]] = []
+    for i in range(LONGEST):
+        single = np.flatnonzero((cuts >> i & 3) == 3)
+        if len(single):
+            own = pc.utf8_slice_codeunits(units.take(pa.array(single)).cast(pa.string()), i, i + 1)
+            at = pc.fill_null(pc.index_in(own, value_set=chars), -1).to_numpy()
+            places.append(single << 8 | i)
+            ids.append(char_ids[at])  # the last one, UNKNOWN, for -1
+            bare += [(places[-1][k], own[k].as_py().encode()) for k in np.flatnonzero(at < 0).tolist()]
+    order = np.argsort(np.concatenate(places))
+    of, ids = np.concatenate(places)[order] >> 8, np.concatenate(ids)[order]
+    if bare:
+        as_bytes = [c for _, c in sorted(bare)]
+        count = np.ones(len(ids), np.int64)
+        count[ids == UNKNOWN] = [len(c) for c in as_bytes]
         ids, of = np.repeat(ids, count), np.repeat(of, count)
-        ids[ids == UNKNOWN] = byte_base + np.frombuffer(b"".join(chars), np.uint8).astype(np.int64)
+        ids[ids == UNKNOWN] = byte_base + np.frombuffer(b"".join(as_bytes), np.uint8).astype(np.int64)
     return ids, np.bincount(of, minlength=len(rows)).astype(np.int64)
 
 
@@ -542,6 +554,8 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "n_units", "ids", "exact"]
     merges, kind = model.kind == "bpe", id_type(model)
     last, start = ("cuts" if merges else "ids"), struct.calcsize(HEADER)
+    chars = {p: i for p, i, _ in model.pieces if len(p) == 1}
+    char_ids = np.array([*chars.values(), UNKNOWN], np.int64)
 
     def close(batches):
         table = [b""] * size
@@ -568,7 +582,7 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
         n = np.array([f[4] for f in fields], np.int64)
         known = np.concatenate([np.frombuffer(x, kind, k, start) for x, k in zip(firsts, n)])
         places = np.concatenate([np.frombuffer(x, "<i4", f[5], start + kind.itemsize * f[4]) for x, f in zip(firsts, fields)])
-        open_ids, more = held_ids(rows, base) if merges else _flat(rows["ids"])
+        open_ids, more = held_ids(rows, pa.array(list(chars), pa.string()), char_ids, base) if merges else _flat(rows["ids"])
         row = np.searchsorted(heads, np.arange(len(rows)), side="right") - 1
         base_of = np.cumsum(n) - n
         gap = np.setdiff1d(np.arange(len(rows)), heads, assume_unique=True)
@@ -589,7 +603,10 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     # written, so that a task of each pass has two Python workers at most
     rows = open_units(materialise(open_rows(docs, model), "open", compression="zstd"))
-    rows = grouped_edges(substrings(rows, model))
+    rows = substrings(rows, model)
+    if merges:  # an edge of one character joins nothing; the first one of a unit stands for it on its way
+        rows = rows.where("unit is null or len > 1 or start = 0")
+    rows = grouped_edges(rows)
     if merges:
         rows = rows.select("row", "edges", F.when(F.col("unit").isNotNull(), merged_cuts()).alias("cuts"))
     else:
