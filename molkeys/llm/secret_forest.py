@@ -1,14 +1,18 @@
-"""Secret scans: a random forest tells secrets from other long tokens, with DataFrame functions and Spark ML only.
+"""Secret scans: a random forest tells secrets from other tokens and values, with DataFrame functions and Spark ML only.
 
-Candidates are runs of 16 or more characters of keys, and values of 6 or more characters behind an equals sign or a colon that
-are more than letters. Each is described by its length, kinds of characters and the
-transitions between them, the variety of its characters, the share of it that frequent words of the corpus cover, what
-looks like a path before it, and the words next to it. A random forest, trained from labelled findings with the same
-columns, gives the chance that it is a secret; those below ``threshold`` are false positives and left out.
+Candidates are runs of 16 or more characters of keys; values of 5 or more characters behind an equals sign or a colon, of any
+characters but white space and quotes, less the punctuation at their end; whole quoted strings, with blanks, behind a name that
+tells of a secret; and words up to the end of the line behind a name of a password. Each is described by its length, kinds of
+characters and the transitions between them, the variety of its characters, the pairs of letters that no known word has, the share
+that known words cover, what looks like a path or an address, and the words next to it. Known words are the frequent ones of the
+corpus and a short fixed list. A random forest, trained from labelled findings with the same columns, gives the chance that a
+candidate is a secret; those below ``threshold`` are false positives and left out.
 
 Labelled findings are a table (token, before, after, label). Without one, ``example_findings`` makes one of documented size:
-random keys of common formats in and out of assignments are secrets; joined words, digests that are named so, identifiers,
-paths, counters and placeholders are not.
+random keys of common formats, passwords and pass phrases in assignments are secrets; joined words, digests that are named so,
+identifiers, times, embedded images, paths, counters, references to variables and placeholders are not.
+
+Not candidates: tokens under 16 characters that stand in prose without an assignment, and values under 5 characters.
 
 Cases: null and empty texts have no candidates; equal tokens are found at each of their places; texts and tokens may be of any
 length; repeated rows are scanned each, and findings of rows that share a doc_id and a text are the same; an empty table gives no
@@ -17,29 +21,52 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import forget, materialise, text_of
 
 KEY = "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![@!#$%^&*])"
-VALUE = "(?<=[=:][\"' ]{0,2})(?<![^\"' =:])(?=[A-Za-z]*+[^\\s\"'<>A-Za-z,;.])[^\\s\"'<>]{5,}+(?<=[^\\s,;.)])"
-TOKEN = f"{KEY}|{VALUE}"
-#: Labelled findings of each kind that are made; words of the dictionary; characters of context.
-EXAMPLES, DICTIONARY, CONTEXT = 400, 200, 40
-KEYWORDS = "(?i)(pass(word|wd)?|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential)s?"
-HARMLESS = "(?i)(sha-?(1|256|512)?|md5|digest|checksum|commit|hash|etag|uuid|guid|rev(ision)?|version|build|license|example)s?"
+VALUE = "(?<=[=:][\"' ]{0,2})(?<![^\"' =:])[^\\s\"'<>]{4,}[^\\s\"'<>,;.)]"
+PASSWORD = "pass(?:word|wd|phrase|code)?|pwd"
+NAMED = f"(?i:{PASSWORD}|secret|token|credential|api.?key)[\"']? {{0,2}}[=:] {{0,2}}"
+QUOTED = "|".join(f"(?<={q})(?<={NAMED}{q})[^{q}\\r\\n]{{5,}}+(?={q})" for q in "\"'")
+PHRASE = f"(?<=[=:] {{0,2}})(?<=(?i:{PASSWORD}) {{0,2}}[=:] {{0,2}})(?=[\\p{{L}}\\p{{N}}_-]++ [\\p{{L}}\\p{{N}}])[\\p{{L}}\\p{{N}} _-]{{5,}}+(?=[\\r\\n]|$)"
+TOKEN = f"{QUOTED}|{PHRASE}|{KEY}|{VALUE}"
+#: Labelled findings of each kind that are made; words of the dictionary; characters of context; tasks of the fit.
+EXAMPLES, DICTIONARY, CONTEXT, PARTS = 300, 200, 40, 4
+KEYWORDS = "(?i)(password|passwd|passphrase|passcode|pwd|(?<![a-z])pass(?![a-z])|secret|token|api.?key|access.?key|private.?key|auth(?!or)|bearer|credential)"
+HARMLESS = "(?i)(sha-?(1|256|384|512)?|md5|digest|checksum|commit|hash|etag|integrity|uuid|guid|rev(ision)?|version|build|license|example)s?"
+EMBEDDED = "(?i)(base64,|integrity\\s{0,2}[=:]\\s{0,2}[\"']?|sha(256|384|512)[-:])$"
+PLACEHOLDER = "(?i)example|your|x{6,}|placeholder|test|change.?me|enter|must|please|requir|invalid|forgot|missing|^(null|none|undefined|string|true|false|hidden|redacted|[*.x-]+)$|^[$%{\\[<]"
+#: Words of English and of programs, known in every corpus.
+WORDS = "about access account action add after all also and any array author back before begin between body build button call case change check city class click client close code color column content count create data date default delete description device document down each element email end event every example factory field file find first for form format from function get good group handler has have head height here home house image index input into item its key know label last length letter level library light like line link list load local long look main make manager many market message method mode model month more most move name new next node not note now number object off old one only open option order other out over page parent part path people place point position print process query read record remove request result return right river row same section see select send service set show side size some sort start state string style system table text than that the then there they this time title together top train tree type under update use user value version view water week well were what when where which will window with word work world write year".split()
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
-    """The most frequent words of three to eight letters, counted over all texts; their number is fixed."""
+    """The most frequent words of three to eight letters, counted over all texts, and the fixed ones; their number is fixed."""
     found = F.explode(F.split(F.lower(text_of("text")), "[^\\p{L}\\p{N}]+"))
-    return [r.word for r in docs.select(found.alias("word")).where(F.col("word").rlike("^[a-z]{3,8}$")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()]
+    frequent = docs.select(found.alias("word")).where(F.col("word").rlike("^[a-z]{3,8}$")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()
+    return list(dict.fromkeys([r.word for r in frequent] + WORDS))
+
+
+def any_word(words: list[str]) -> str:
+    """A pattern of the words, longest first, entered by their first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) or "(?!)"
+
+
+def odd_pairs(words: list[str]) -> str:
+    """A pattern of two letters that follow each other in none of the words; only the first is taken."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    seen = {w[i : i + 2] for w in words for i in range(len(w) - 1)}
+    by = {a: "".join(b for b in letters if a + b not in seen) for a in letters}
+    return "|".join(f"{a}(?=[{rest}])" for a, rest in by.items() if rest) or "(?!)"
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
@@ -64,7 +91,7 @@ def features(rows: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
     n = F.char_length(token).cast("double")
     share = lambda kind: F.regexp_count(token, F.lit(kind)) / n
     changes = lambda pattern: F.regexp_count(token, F.lit(pattern)) / n
-    covered = (n - F.char_length(F.regexp_replace(F.lower(token), "|".join(sorted(words, key=len, reverse=True)) or "(?!)", ""))) / n
+    covered = (n - F.char_length(F.regexp_replace(F.lower(token), any_word(words), ""))) / n
     near = F.regexp_extract(before, "([A-Za-z_.-]{2,})[^A-Za-z0-9]{0,6}$", 1)
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     columns: dict[str, Column] = {
@@ -80,14 +107,22 @@ def features(rows: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
         "case_change": changes("(?<=[a-z])(?=[A-Z])"),
         "vowel_turns": changes("(?i)(?<=[aeiou])(?=[bcdfghjklmnpqrstvwxyz])"),
         "repeats": changes("(.)\\1"),
+        "odd_pairs": F.regexp_count(F.lower(token), F.lit(odd_pairs(words))) / n,
+        "blanks": share(" "),
         "dictionary": covered,
-        "address": flag(token.rlike("(?i)^[^@]+@[^@]+[.][a-z]{2,}$|^\\w+://|^www[.]|^[0-9.:TZ+/-]+$|^v?[0-9]+[.][0-9]+")),
-        "block": flag(before.rlike("(-----|[A-Za-z0-9+/]{16})\\s*$")),
+        "address": flag(token.rlike("(?i)^[^@/]+@[^@]+[.][a-z]{2,}$|^\\w+://|^//|^data:|^www[.]|^[0-9.:TZ+/-]+$|^v?[0-9]+[.][0-9]+")),
+        "moment": flag(token.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]{1,2}:[0-9]{2}")),
+        "userinfo": flag(token.rlike("^(\\w+:)?//[^/@:]+:[^/@]+@")),
+        "reference": flag(token.rlike("^[A-Za-z_]+([.][A-Za-z_]+)+|[()\\[]|^[a-z]+(_[a-z]+)+$|^[A-Z]+(_[A-Z]+)+$")),
+        "embedded": flag(before.rlike(EMBEDDED) | token.rlike("^(sha(256|384|512)[-:]|data:)")),
+        "block": flag(before.rlike("(-----|[A-Za-z0-9+/]{16})\\s*$|[A-Za-z0-9_-]{16}[.]$")),
         "path": flag(before.rlike("(?i)(/|\\\\|https?:\\S*|www\\.\\S*)$") | token.rlike("/.*/")),
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "keyword": flag(near.rlike(KEYWORDS)),
-        "harmless": flag(near.rlike(HARMLESS) | token.rlike("(?i)example|your|x{6,}|placeholder|test")),
+        "password": flag(near.rlike(f"(?i)({PASSWORD})$")),
+        "harmless": flag(near.rlike(HARMLESS)),
+        "placeholder": flag(token.rlike(PLACEHOLDER)),
         "known_prefix": flag(token.rlike("^(AKIA|ASIA|gh[opsu]_|sk_|pk_|xox[abp]-|AIza|eyJ)")),
     }
     return rows.select("*", *[c.alias(f"f_{k}") for k, c in columns.items()]), [f"f_{k}" for k in columns]
@@ -105,13 +140,12 @@ def example_findings(spark: SparkSession, words: list[str], each: int = EXAMPLES
     mixed = F.when(F.col("id") % 2 == 0, assign).otherwise(plain)
     hexes = F.expr("substr(sha2(concat_ws(':', 'hex', cast(id as string)), 256), 1, cast(16 + pmod(xxhash64('n', id), 49) as int))")
     uuid = F.regexp_replace(F.substring(seed("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    ids = spark.range(each)
+    ids = spark.range(0, each, 1, PARTS)
     kinds = [
         (hexes, assign, 1),
         (F.concat(F.lit("AKIA"), upper), mixed, 1),
         (F.substring(base64, 1, 40), assign, 1),
         (F.concat(pick(["ghp_", "sk_live_", "xoxb-"], "pre"), F.translate(F.substring(base64, 1, 36), "+/", "aZ")), mixed, 1),
-        (joined, mixed, 0),
         (joined, plain, 0),
         (F.initcap(joined), plain, 0),
         (F.substring(seed("d"), 1, 40), pick(["commit ", "sha1: ", "digest=", "checksum ", "sha256=", "etag: "], "named"), 0),
@@ -143,15 +177,57 @@ def example_findings(spark: SparkSession, words: list[str], each: int = EXAMPLES
         (F.concat(word, F.lit("()")), secret, 0),
         (F.substring(seed("d3"), 1, 64), pick(["sha256:", "digest: ", "checksum = ", "sha256="], "named2"), 0),
     ]
+    some = lambda salt: F.element_at(F.array(*[F.lit(w) for w in words or ["word"]]), F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(words or [1]))).cast("int") + 1)
+    letters = F.translate(F.substring(seed("ltr"), 1, 14), "0123456789abcdef", "qwzrtpsdkfghjxlv")
+    letters = F.left(letters, (F.col("id") % 7 + 8).cast("int"))
+    two_cases = F.concat(F.left(letters, F.lit(3)), F.upper(F.substring(letters, 4, 2)), F.substring(letters, 6, 14))
+    named = pick(["password = \"", "passphrase: ", "password=", "pwd: ", "passwd='", "\"password\": \"", "pass="], "named3")
+    phrase = F.concat_ws(" ", some("p1"), some("p2"), some("p3"), F.when(F.col("id") % 2 == 0, some("p4")))
+    camel = F.concat(some("c1"), F.initcap(some("c2")), F.initcap(some("c3")), F.initcap(some("c4")), F.when(F.col("id") % 2 == 0, F.initcap(some("c5"))).otherwise(""))
+    day = F.date_format(F.timestamp_seconds(F.lit(1_500_000_000) + F.col("id") * 777_777), "yyyy-MM-dd")
+    moment = F.concat(day, pick(["T", "T0", "T1"], "hour"), F.lpad((F.col("id") % 10).cast("string"), 1, "0"), F.lit(":"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit(":11"), pick(["Z", "", "+01:00"], "zone"))
+    image = F.concat(pick(["iVBORw0KGgo", "R0lGODlh", "/9j/4AAQ"], "magic"), line)
+    quoted = pick(["title = \"", "name: '", "label=\"", "type: ", "state = ", "class=\"", "author: ", "note: "], "quoted")
+    kinds += [
+        (letters, named, 1),
+        (two_cases, secret, 1),
+        (F.concat(some("w1"), some("w2")), named, 1),
+        (F.concat(some("w1"), F.lit("-"), some("w2"), F.lit("-"), some("w3")), named, 1),
+        (phrase, pick(["password = \"", "passphrase: ", "passphrase = \"", "pwd: ", "\"password\": \"", "secret = '"], "phrase"), 1),
+        (F.concat(number.cast("string"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")), pick(["passcode: ", "password=", "pwd = '"], "pin"), 1),
+        (F.substring(base64, 1, 24), pick(["Authorization: Bearer ", "bearer ", "Authorization: Basic "], "bearer"), 1),
+        (F.concat(F.lit("eyJ"), F.translate(line, "+/", "-_")), pick(["is ", "Bearer ", "token=", "jwt: "], "jwt"), 1),
+        (F.translate(line, "+/", "-_"), F.concat(F.lit("eyJ"), F.substring(seed("j"), 1, 30), F.lit(".")), 1),
+        (F.concat(F.lit("//"), some("w1"), F.lit(":"), F.substring(base64, 1, 10), F.lit("@"), some("w2"), F.lit(".org/"), some("w3")), pick(["postgres:", "url = https:", "amqp:"], "userinfo"), 1),
+        (image, pick(["src=\"data:image/png;base64,", "url(data:image/gif;base64,", "href='data:font/woff;base64,"], "uri"), 0),
+        (F.concat(F.lit("data:image/png;base64,"), image), pick(["src=\"", "href='", "image: "], "src"), 0),
+        (F.concat(pick(["sha384-", "sha256-", "sha512-"], "sri"), line), pick(["integrity=\"", "integrity: ", "integrity sha: "], "integrity"), 0),
+        (camel, F.when(F.col("id") % 2 == 0, plain).otherwise(field), 0),
+        (F.initcap(camel), plain, 0),
+        (F.concat_ws("_", some("s1"), some("s2"), some("s3"), some("s4")), mixed, 0),
+        (F.concat_ws("-", some("s1"), some("s2"), some("s3"), some("s4")), F.when(F.col("id") % 2 == 0, plain).otherwise(field), 0),
+        (moment, field, 0),
+        (some("w1"), F.when(F.col("id") % 2 == 0, field).otherwise(quoted), 0),
+        (F.concat(some("w1"), some("w2")), quoted, 0),
+        (F.initcap(letters), pick(["name: ", "author: ", "city = \"", "title: ", "user="], "foreign"), 0),
+        (pick(["null", "undefined", "hidden", "required", "string", "********", "changeme", "[REDACTED]", "<password>", "$PASSWORD", "false", "redacted", "{{password}}", "%(pwd)s"], "none"), secret, 0),
+        (F.concat(pick(["self.", "config.", "process.env.", "os.environ.", "request.", "args."], "object"), F.when(F.col("id") % 2 == 0, some("w1")).otherwise("SECRET_KEY")), secret, 0),
+        (F.concat(pick(["get_", "read_", "load_", "user_", "db_"], "verb"), some("w1"), pick(["", "()", "[0]"], "call")), secret, 0),
+        (F.concat(pick(["Enter your ", "Please choose a ", "Must be a ", "Forgot the ", "Invalid ", "The missing ", "Requires a "], "prompt"), some("w1"), F.lit(" "), some("w2")), secret, 0),
+    ]
+    one = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(label).alias("label")) for t, b, label in kinds])
     close = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").otherwise(" ")
-    parts = [ids.select(t.alias("token"), b.alias("before"), F.lit(label).alias("label")) for t, b, label in kinds]
-    return reduce(DataFrame.unionByName, parts).withColumn("after", close).where(F.char_length("token") >= 5)
+    return ids.select(F.explode(one).alias("one")).select("one.*").withColumn("after", close).where(F.char_length("token") >= 5)
 
 
 def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
     rows, names = features(findings, words)
+    # written once: each pass of the fit would make its columns anew
+    rows = materialise(rows.select("label", *names), "findings")
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", F.col("label").cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(data)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(data)
+    forget(rows)
+    return model
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, words: list[str], *keep: str, threshold: float = 0.5) -> DataFrame:
