@@ -2,7 +2,8 @@
 
 Candidates are runs of 16 or more characters of keys; values of 5 or more characters behind an equals sign or a colon, of any
 characters but white space and quotes, less the punctuation at their end; whole quoted strings, with blanks, behind a name that
-tells of a secret; and words up to the end of the line behind a name of a password. Each is described by its length, kinds of
+tells of a secret; words up to the end of the line behind a name of a password; and
+what an element of such a name holds. Each is described by its length, kinds of
 characters and the transitions between them, the variety of its characters, the pairs of letters that no known word has, the share
 that known words cover, what looks like a path or an address, and the words next to it. Known words are the frequent ones of the
 corpus and a short fixed list. A random forest, trained from labelled findings with the same columns, gives the chance that a
@@ -35,12 +36,14 @@ PASSWORD = "pass(?:word|wd|phrase|code)?|pwd"
 NAMED = f"(?i:{PASSWORD}|secret|token|credential|api.?key)[\"']? {{0,2}}[=:] {{0,2}}"
 QUOTED = "|".join(f"(?<={q})(?<={NAMED}{q})[^{q}\\r\\n]{{5,}}+(?={q})" for q in "\"'")
 PHRASE = f"(?<=[=:] {{0,2}})(?<=(?i:{PASSWORD}) {{0,2}}[=:] {{0,2}})(?=[\\p{{L}}\\p{{N}}_-]++ [\\p{{L}}\\p{{N}}])[\\p{{L}}\\p{{N}} _-]{{5,}}+(?=[\\r\\n]|$)"
-TOKEN = f"{QUOTED}|{PHRASE}|{KEY}|{VALUE}"
+ELEMENT = f"(?<=>)(?<=(?i:{PASSWORD}|secret|token|credential|key)>)[^\\s<>]{{5,}}+(?=</)"
+#: No candidate starts behind a character of keys: one look at it spares the others most places.
+TOKEN = f"(?<![A-Za-z0-9_+/-])(?:{QUOTED}|{PHRASE}|{ELEMENT}|{KEY}|{VALUE})"
 #: Labelled findings of each kind that are made; words of the dictionary; characters of context; tasks of the fit.
 EXAMPLES, DICTIONARY, CONTEXT, PARTS = 300, 200, 40, 4
-KEYWORDS = "(?i)(password|passwd|passphrase|passcode|pwd|(?<![a-z])pass(?![a-z])|secret|token|api.?key|access.?key|private.?key|auth(?!or)|bearer|credential)"
+KEYWORDS = "(?i)(password|passwd|passphrase|passcode|pwd|(?<![a-z])pass(?![a-z])|secret|token|api.?key|access.?key|private.?key|[a-z_-]key$|auth(?!or)|bearer|credential|session|cookie)"
 HARMLESS = "(?i)(sha-?(1|256|384|512)?|md5|digest|checksum|commit|hash|etag|integrity|uuid|guid|rev(ision)?|version|build|license|example)s?"
-EMBEDDED = "(?i)(base64,|integrity\\s{0,2}[=:]\\s{0,2}[\"']?|sha(256|384|512)[-:])$"
+EMBEDDED = "(?i)(base64,|ssh-[a-z0-9]+ |integrity\\s{0,2}[=:]\\s{0,2}[\"']?|sha(256|384|512)[-:])$"
 PLACEHOLDER = "(?i)example|your|x{6,}|placeholder|test|change.?me|enter|must|please|requir|invalid|forgot|missing|^(null|none|undefined|string|true|false|hidden|redacted|[*.x-]+)$|^[$%{\\[<]"
 #: Words of English and of programs, known in every corpus.
 WORDS = "about access account action add after all also and any array author back before begin between body build button call case change check city class click client close code color column content count create data date default delete description device document down each element email end event every example factory field file find first for form format from function get good group handler has have head height here home house image index input into item its key know label last length letter level library light like line link list load local long look main make manager many market message method mode model month more most move name new next node not note now number object off old one only open option order other out over page parent part path people place point position print process query read record remove request result return right river row same section see select send service set show side size some sort start state string style system table text than that the then there they this time title together top train tree type under update use user value version view water week well were what when where which will window with word work world write year".split()
@@ -117,7 +120,7 @@ def features(rows: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
         "embedded": flag(before.rlike(EMBEDDED) | token.rlike("^(sha(256|384|512)[-:]|data:)")),
         "block": flag(before.rlike("(-----|[A-Za-z0-9+/]{16})\\s*$|[A-Za-z0-9_-]{16}[.]$")),
         "path": flag(before.rlike("(?i)(/|\\\\|https?:\\S*|www\\.\\S*)$") | token.rlike("/.*/")),
-        "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
+        "assigned": flag(before.rlike("[=:]\\s*[\"']?$|[a-z]>$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "keyword": flag(near.rlike(KEYWORDS)),
         "password": flag(near.rlike(f"(?i)({PASSWORD})$")),
@@ -189,6 +192,10 @@ def example_findings(spark: SparkSession, words: list[str], each: int = EXAMPLES
     image = F.concat(pick(["iVBORw0KGgo", "R0lGODlh", "/9j/4AAQ"], "magic"), line)
     quoted = pick(["title = \"", "name: '", "label=\"", "type: ", "state = ", "class=\"", "author: ", "note: "], "quoted")
     kinds += [
+        (F.substring(base64, 1, 40), pick(["AccountKey=", "SigningKey: ", "encryption_key = ", "MASTER_KEY=\""], "keyed"), 1),
+        (hexes, pick(["session=", "sessionid: ", "cookie: sid=", "session_id = \""], "session"), 1),
+        (F.concat(some("w1"), number.cast("string"), ending), pick(["<password>", "<Secret>", "<token>"], "element"), 1),
+        (F.translate(F.substring(seed("few"), 1, 40), "0123456789abcdef", "ACGTACGTACGTACGT"), F.when(F.col("id") % 2 == 0, plain).otherwise(field), 0),
         (letters, named, 1),
         (two_cases, secret, 1),
         (F.concat(some("w1"), some("w2")), named, 1),
@@ -216,7 +223,7 @@ def example_findings(spark: SparkSession, words: list[str], each: int = EXAMPLES
         (F.concat(pick(["Enter your ", "Please choose a ", "Must be a ", "Forgot the ", "Invalid ", "The missing ", "Requires a "], "prompt"), some("w1"), F.lit(" "), some("w2")), secret, 0),
     ]
     one = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(label).alias("label")) for t, b, label in kinds])
-    close = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").otherwise(" ")
+    close = F.when(F.col("before").endswith('"'), '"').when(F.col("before").endswith("'"), "'").when(F.col("before").endswith(">"), "</").otherwise(" ")
     return ids.select(F.explode(one).alias("one")).select("one.*").withColumn("after", close).where(F.char_length("token") >= 5)
 
 
