@@ -120,6 +120,17 @@ def test_neighbours_equal_brute_force(spark, block, pivots):
     assert neighbours.nearest(df.where("id < 0"), df, 4, "id", "v").count() == 0
 
 
+def test_neighbours_of_copies_and_no_copies_for_pairs_of_blocks(spark):
+    # one vector forty times, keys as texts, and one that is not finite; nothing travels once for each pair of blocks
+    points = [(str(i), "a", [1.0, -0.0 if i % 2 else 0.0]) for i in range(40)] + [(f"x{i}", "a", [float(i), 5.0]) for i in range(30)]
+    df = spark.createDataFrame([*points, ("nan", "a", [float("nan"), 1.0])], "id string, cls string, v array<double>").repartition(3)
+    out = neighbours.nearest(df, df, 3, "id", "v", "cls", 8)
+    want = brute_nearest(points, 3)
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1]) for x in want)
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_smote_interpolates_between_neighbours(spark):
     points = [p for p in POINTS if p[1] != "lone"]
     df = spark.createDataFrame(points, "id long, cls string, v array<double>")
