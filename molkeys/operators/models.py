@@ -78,7 +78,20 @@ def classifier(kind: str, label: str = "label", features: str = "features", weig
 
 def train(rows: DataFrame, state: PreparationModel, model) -> PipelineModel:
     """Preparation and classifier as one pipeline, fitted on rows."""
-    return Pipeline(stages=[state, model]).fit(rows)
+    fitted = Pipeline(stages=[state, model]).fit(rows)
+    without_summary(fitted.stages[-1])
+    return fitted
+
+
+def without_summary(model):
+    """The fitted model without its training summary, as a loaded one is.
+
+    The summary of two classes holds the session, and tasks cannot take that along once the session has observed a metric.
+    """
+    for one in getattr(model, "models", [model]):
+        if getattr(one, "hasSummary", False):
+            one._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -170,12 +183,12 @@ def calibrated_svm(rows: DataFrame, state: PreparationModel, key: str, label: st
         raise ValueError("calibration needs two folds")
     data = written(numbered(state.transform(rows), [draw(seed, key), F.col(key)], [label], "_p").withColumn("fold", (F.col("_p") % folds).cast("int")).select(key, F.col(label).cast("double").alias(label), "features", "fold"), "folds")
     svm = classifier("svm", label, seed=seed, **params)
-    parts = [svm.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f)) for f in range(folds)]
+    parts = [without_summary(svm.fit(data.where(F.col("fold") != f))).transform(data.where(F.col("fold") == f)) for f in range(folds)]
     scores = parts[0].select(key, label, "fold", "rawPrediction")
     for part in parts[1:]:
         scores = scores.unionByName(part.select(*scores.columns))
     scores = written(scores, "scores")
-    final = svm.fit(data)
+    final = without_summary(svm.fit(data))
     slopes, offsets = [], []
     for c in range(len(final.models)):
         one = scores.select((F.col(label) == c).alias("is"), F.get(vector_to_array("rawPrediction"), F.lit(c)).alias("s"))

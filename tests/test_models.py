@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from molkeys.operators import balance, labels, models, neighbours, quantiles
@@ -59,6 +60,15 @@ def test_a_saved_pipeline_scores_alike(spark, rows, tmp_path, scaler):
     assert [r.feature for r in models.importances(again).collect()][-1] == "d" and models.class_coefficients(again).count() == 12
 
 
+@pytest.mark.parametrize("kind, params", [("logistic_regression", {"maxIter": 3}), ("random_forest", {"numTrees": 3, "maxDepth": 3}), ("svm", {"maxIter": 3})])
+def test_models_score_after_an_observation(spark, rows, kind, params):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    two = rows.where("label < 2")
+    model = models.train(two, Preparation(["a", "b"], scaler="none").fit(two), models.classifier(kind, **params))
+    assert seen.get == {"n": 3} and len(models.predict(two, model).select("id", "prediction").collect()) == two.count()
+
+
 def test_penalties_are_checked():
     for bad in ({"penalty": "l3"}, {"penalty": "elasticnet"}, {"penalty": "l2", "l1_ratio": 0.5, "n": 5}, {"penalty": "l1", "C": 0, "n": 5}, {"penalty": "elasticnet", "l1_ratio": 2.0, "n": 5}):
         with pytest.raises(ValueError):
