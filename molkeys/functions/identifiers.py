@@ -54,16 +54,24 @@ def is_seqnum(c: Column) -> Column:
     return c.rlike("^-?\\d+[A-Za-z]?$")
 
 
-def _tokens(c: Column) -> tuple[Column, Column]:
-    """The filled parts of an identifier without its label, and the label: one of four or more parts may be."""
-    whole = F.filter(F.transform(F.split(clean(c), "_"), lambda x: F.trim(x)), lambda x: x != "")
-    last = F.upper(F.element_at(whole, -1))
-    labelled = (F.size(whole) >= 4) & last.isin(*LABELS)
-    return F.when(labelled, F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole), F.when(labelled, last).otherwise("")
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used: as the variable of a function over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tokens(c: Column) -> Column:
+    """(t, label): the filled parts of an identifier without its label, and the label: one of four or more parts may be."""
+
+    def parts(whole: Column) -> Column:
+        last = F.upper(F.element_at(whole, -1))
+        labelled = (F.size(whole) >= 4) & last.isin(*LABELS)
+        return F.struct(F.when(labelled, F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole).alias("t"), F.when(labelled, last).otherwise("").alias("label"))
+
+    return bound(F.filter(F.transform(F.split(clean(c), "_"), lambda x: F.trim(x)), lambda x: x != ""), parts)
 
 
 def without_label(c: Column) -> Column:
-    return F.array_join(_tokens(c)[0], "_")
+    return F.array_join(_tokens(c)["t"], "_")
 
 
 def parse_identifier(c: Column) -> Column:
@@ -71,7 +79,10 @@ def parse_identifier(c: Column) -> Column:
 
     Both orders of four parts give the first kind; parts beyond the fourth are ignored. Chains keep their case.
     """
-    t, label = _tokens(c)
+    return bound(_tokens(c), lambda parts: _parsed(parts["t"], parts["label"]))
+
+
+def _parsed(t: Column, label: Column) -> Column:
     n = F.size(t)
     at = lambda i: F.get(t, F.lit(i))
     none = F.lit(None).cast("string")
@@ -86,8 +97,8 @@ def parse_identifier(c: Column) -> Column:
 
 
 def canonical(parsed: Column, raw: Column) -> Column:
-    parts = F.array_compact(F.array(parsed["pdb"], parsed["chain"], parsed["seq"], parsed["res"], parsed["grp"]))
-    return F.when(parsed["kind"] == "RAW", clean(raw)).otherwise(F.array_join(parts, "_"))
+    parts = lambda p: F.array_join(F.array_compact(F.array(p["pdb"], p["chain"], p["seq"], p["res"], p["grp"])), "_")
+    return bound(parsed, lambda p: F.when(p["kind"] == "RAW", clean(raw)).otherwise(parts(p)))
 
 
 def with_label(identifier: Column, label: Column) -> Column:

@@ -197,8 +197,8 @@ def _names(spark, sf_dir) -> DataFrame:
 
 def parsed_identifiers(spark, sf_dir) -> Frame:
     n = _names(spark, sf_dir)
-    p = identifiers.parse_identifier(F.col("identifier"))
-    return n.select("c_custkey", p.alias("p"), identifiers.canonical(p, F.col("identifier")).alias("canon")).select("c_custkey", "canon", F.col("p.kind").alias("kind"), F.col("p.label").alias("label"))
+    parsed = geometry.fenced(n, p=identifiers.parse_identifier(F.col("identifier")))
+    return parsed.select("c_custkey", identifiers.canonical(F.col("p"), F.col("identifier")).alias("canon"), "p").select("c_custkey", "canon", F.col("p.kind").alias("kind"), F.col("p.label").alias("label"))
 
 
 def label_join(spark, sf_dir) -> Frame:

@@ -112,3 +112,15 @@ def test_lines_keep_their_numbers_and_form(spark, tmp_path):
     with pytest.raises(Exception, match="no single label"):
         labels.annotate(rows, known).collect()
     assert [tuple(r) for r in labels.unmatched(rows, known).collect()] == [("9ABC_A_5_NAG", "unmatched")]
+
+
+def test_an_identifier_is_split_once(spark):
+    from molkeys.plans import catalogue
+
+    # nested uses of a parse multiply its parts, and the work of each row with them
+    rows = spark.createDataFrame([("1ABC_A_12_nag_ci",), ("12_1abc_A_NAG",), ("1abc_A",), (None,)], "i string")
+    out = rows.select(identifiers.parse_identifier(F.col("i")).alias("p")).select("p.kind", "p.pdb", "p.seq", "p.label")
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [tuple(r) for r in out.collect()] == [("PDB_CHAIN_SEQ_RESIDUE", "1ABC", "12", "CI"), ("PDB_CHAIN_SEQ_RESIDUE", "1ABC", "12", ""), ("PDB_CHAIN", "1ABC", None, ""), ("RAW", None, None, "")]
+    plan = catalogue.parsed_identifiers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
