@@ -15,7 +15,8 @@ not what the library gives; there ``merged_ids`` folds over the edges, best firs
 make it up. A merge may let an earlier edge join only if a better piece contains its piece, which the piece table marks;
 units where that happens are folded once more with a search for the best edge at each step. Boundaries are the bits of a long, so
 it takes units up to ``LONGEST`` characters; longer ones take the same path or merges in the Python task. A character without a
-piece becomes its bytes.
+piece becomes its bytes. Common units are folded by higher-order functions; of the others a task folds those of a batch of edges together, edge by
+edge (``folded_cuts``), and puts the ids into their rows in the same go.
 
 Cases: null or empty texts have no ids; U+2581 in a text is read as a space, as by the library, so such texts come back
 with spaces and are not exact; repeated rows and rows that share a doc_id are encoded and reported each; texts and units may be of any length; an
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, steps, string_buffer, text_of
+from .common import gathered, lean, materialise, steps, string_buffer, text_of
 
 SPACE = "▁"
 #: Characters of a unit that bits can hold; units whose ids are broadcast; units that a task counts at a time.
@@ -476,45 +477,81 @@ def _bits(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, length, (1 << length) + 1 << start
 
 
-def grouped_edges(exploded: DataFrame) -> DataFrame:
-    """The rows of ``open_units`` again, with the edges of their units and, as ``with_joins`` has them, those of two characters or more.
+def folded_cuts(n_chars: np.ndarray, count: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The fold of ``merged_cuts`` over many units at once: their places between symbols, as bits.
 
-    An edge of start 0 and length 1, or -1, begins a row. ``row`` or ``unit``, of which each row has one, is sent as the one column ``row``.
+    ``edge`` has the edges of two characters or more, ``count`` of each unit, best first. In step k all units take their k-th edge; those where an
+    earlier edge could join after that are folded once more, with the best edge of each at each step.
     """
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            edge = table["edge"].to_numpy()
-            heads = np.flatnonzero((edge < 0) | ((edge >> 24 & 0xFF3F) == 1))
-            if not len(heads):
-                held = table
-                continue
-            held = table.slice(heads[-1])
-            yield from done(table.slice(0, heads[-1]), heads)
-        if held is not None:
-            yield from done(held, np.array([0, len(held)]))
+    start, length, ends = _bits(edge)
+    inner = (1 << length - 1) - 1 << start + 1
+    begin = np.cumsum(count) - count
+    can = lambda cuts, at: (cuts & ends[at] == ends[at]) & (np.bitwise_count(cuts & inner[at]) == 1)
+    every = (1 << n_chars.astype(np.int64) + 1) - 1
+    cuts, order = every.copy(), np.argsort(-count, kind="stable")
+    for k in range(count[order[0]] if len(order) else 0):
+        order = order[: np.searchsorted(-count[order], -k)]  # those with an edge k
+        some = order[cuts[order] > 0]
+        at, before = begin[some] + k, cuts[some]
+        good = can(before, at)
+        some, at = some[good], at[good]
+        after = before[good] & ~inner[at]
+        check = np.flatnonzero(edge[at] & INNER) if k else ()
+        if len(check):
+            earlier = can(after[check, None], begin[some[check], None] + np.arange(k)).any(1)
+            after[check[earlier]] = -1
+        cuts[some] = after
+    again = np.flatnonzero(cuts < 0)
+    slab = max(1, (1 << 20) // max(1, count.max(initial=0)))
+    for i in range(0, len(again), slab):
+        some = again[i : i + slab]
+        now, k = every[some], np.arange(count[some].max())
+        there = k < count[some, None]
+        at = np.where(there, begin[some, None] + k, 0)
+        while True:
+            joins = there & can(now[:, None], at)
+            best, left = joins.argmax(1), joins.any(1)
+            if not left.any():
+                break
+            now = np.where(left, now & ~inner[at[np.arange(len(some)), best]], now)
+        cuts[some] = now
+    return cuts
+
+
+def grouped_edges(batches, merges: bool):
+    """Batches (row, edges) of the rows of ``open_units`` again, with the edges of their units; with ``merges`` also the ``cuts`` of these.
+
+    An edge of start 0 and length 1, or -1, begins a row.
+    """
+    held = None
 
     def done(table, heads):
-        if len(table):
-            out = table.select(["row"]).take(pa.array(heads[:-1])).combine_chunks()
-            edge, of = table["edge"].to_numpy(), np.repeat(np.arange(len(out)), np.diff(heads))
+        rows, edge, n = table["row"].take(pa.array(heads[:-1])).combine_chunks(), table["edge"].to_numpy(), np.diff(heads)
+        out = [rows, _lists(edge, n, pa.int64())]
+        if merges:
+            own = np.flatnonzero(edge[heads[:-1]] >= 0)
+            of = np.repeat(np.arange(len(n)), n)
             join = np.flatnonzero((edge >= 0) & ((edge >> 24 & 63) > 1))
             join = join[np.lexsort((edge[join], of[join]))]
-            start, length, ends = _bits(edge[join])
-            inner = (1 << length - 1) - 1 << start + 1
-            places = np.append(0, np.cumsum(np.bincount(of[join], minlength=len(out)))).astype(np.int32)
-            joins = pa.StructArray.from_arrays([pa.array(edge[join]), pa.array(ends), pa.array(inner)], names=["e", "ends", "inner"])
-            out = out.append_column("edges", _lists(edge, np.diff(heads), pa.int64()))
-            yield from out.append_column("joins", pa.ListArray.from_arrays(pa.array(places), joins)).to_batches()
-
-    head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
-    rows = exploded.select(F.when(head, F.coalesce("row", F.col("unit").cast("binary"))).alias("row"), "edge")
-    joins = "array<struct<e bigint, ends bigint, inner bigint>>"
-    grouped = rows.mapInArrow(lean(run), f"row binary, edges array<bigint>, joins {joins}")
-    return grouped.withColumn("unit", F.when(F.get("edges", F.lit(0)) >= 0, F.col("row").cast("string")))
+            count = np.bincount(of[join], minlength=len(n))[own]
+            cuts, mask = np.zeros(len(n), np.int64), np.ones(len(n), bool)
+            cuts[own] = folded_cuts(pc.utf8_length(rows.take(pa.array(own)).cast(pa.string())).to_numpy(), count, edge[join])
+            mask[own] = False
+            out.append(pa.array(cuts, mask=mask))
+        return pa.RecordBatch.from_arrays(out, names=["row", "edges", "cuts"][: len(out)])
+
+    for batch in gathered(batches, STEP):
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        edge = table["edge"].to_numpy()
+        heads = np.flatnonzero((edge < 0) | ((edge >> 24 & 0xFF3F) == 1))
+        if not len(heads):
+            continue  # without rows, since a task's first one begins a row
+        held = table.slice(heads[-1])
+        if len(heads) > 1:
+            yield done(table.slice(0, heads[-1]), heads)
+    if held is not None:
+        yield done(held, np.array([0, len(held)]))
 
 
 def held_ids(rows: pa.Table, chars: pa.Array, char_ids: np.ndarray, byte_base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -606,12 +643,15 @@ def encode_rows(docs: DataFrame, model: Model) -> DataFrame:
     rows = substrings(rows, model)
     if merges:  # an edge of one character joins nothing; the first one of a unit stands for it on its way
         rows = rows.where("unit is null or len > 1 or start = 0")
-    rows = grouped_edges(rows)
-    if merges:
-        rows = rows.select("row", "edges", F.when(F.col("unit").isNotNull(), merged_cuts()).alias("cuts"))
-    else:
-        rows = fold(rows, model).select("row", "ids")
-    return rows.mapInArrow(lean(close), "doc_id bigint, n_units bigint, ids array<int>, exact boolean")
+    # ``row`` or ``unit``, of which each row has one, is sent as the one column ``row``
+    head = F.col("unit").isNull() | ((F.col("start") == 0) & (F.col("len") == 1))
+    rows = rows.select(F.when(head, F.coalesce("row", F.col("unit").cast("binary"))).alias("row"), "edge")
+    out = "doc_id bigint, n_units bigint, ids array<int>, exact boolean"
+    if merges:  # the edges of a task are grouped, folded and put into their rows in one go
+        return rows.mapInArrow(lean(lambda batches: close(grouped_edges(batches, True))), out)
+    rows = rows.mapInArrow(lean(lambda batches: grouped_edges(batches, False)), "row binary, edges array<bigint>")
+    rows = rows.withColumn("unit", F.when(F.get("edges", F.lit(0)) >= 0, F.col("row").cast("string")))
+    return fold(rows, model).select("row", "ids").mapInArrow(lean(close), out)
 
 
 def encode_summary(docs: DataFrame, model: Model) -> DataFrame:

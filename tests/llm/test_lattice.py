@@ -1,5 +1,7 @@
 """The ids of every row against the library, with rare units and the decoded text."""
 
+import random
+
 import pytest
 import sentencepiece
 
@@ -32,3 +34,18 @@ def test_rows_of_a_unigram_model_take_the_best_path(spark, monkeypatch):
     got = lattice.encode_summary(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     want = {i: lattice.best_path("▁" + t.replace(" ", "▁"), ranks, 3, 300) if t else [] for i, t in rows}
     assert {r.doc_id: r.ids for r in got} == want and all(r.exact for r in got)
+
+
+def test_open_units_are_folded_together_in_one_python_pass(spark, monkeypatch):
+    # units whose better pieces hold worse ones, of all lengths, among them those that are folded once more
+    monkeypatch.setattr(lattice, "COMMON", 0)
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    sp, draw = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+    model = lattice.load_model(path)
+    parts = [p.replace("▁", "") for p, _, _ in draw.sample(model.pieces, 3000)] + list("abetinsé")
+    texts = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 9)))[: draw.randint(1, 70)] for _ in range(40)) for _ in range(60)]
+    out = lattice.encode_summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model)
+    plan = out._jdf.queryExecution().toString()
+    assert {r.doc_id: r.ids for r in out.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    # neither edges nor joins go back to Spark between the join with the pieces and the rows
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1 and "aggregate(" not in plan.split("== Physical Plan ==")[1]
