@@ -245,10 +245,15 @@ def forest_of(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+#: Edges of thinned forests, by their counted number, that one task closes: 8 MB.
+FEW_EDGES = 500_000
+
+
+def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); the component is the smallest node reachable.
 
-    Each task thins the edges that it reads to a forest, before anything is shuffled. Then large-star and small-star steps alternate: each is one aggregate for
+    Each task thins the edges that it reads to a forest, before anything is shuffled. Forests of at most ``few`` edges in all are closed by one task, for
+    rounds of jobs over so few rows cost the driver more than the rows are. For more, large-star and small-star steps alternate: each is one aggregate for
     the smallest neighbour and one join, so a hub is split like any skewed join. Each round is written to the shared
     folder, and the rounds end when the edges' count and sum of hashes stay. Loops are ignored.
     """
@@ -260,7 +265,12 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     # forests are small beside what made them: as many files as the cluster has cores, twice
     cur = materialise(thin.repartition(2 * edges.sparkSession.sparkContext.defaultParallelism), name)
     seen = print_of(cur)
-    for _ in range(rounds if seen[0] else 0):
+    closed = seen[0] <= few
+    if closed and seen[0]:
+        one = materialise(cur.coalesce(1).mapInArrow(lean(forest_of), "a bigint, b bigint"), name)  # a forest of that size is given out whole: each node with its smallest one
+        forget(cur)
+        cur = one
+    for _ in range(0 if closed else rounds):
         few = cur.mapInArrow(forest_of, "a bigint, b bigint")
         both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -274,7 +284,7 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         if seen == before:
             break
     else:
-        if seen[0]:
+        if not closed:
             raise RuntimeError("components have not settled")
     nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
