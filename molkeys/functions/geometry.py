@@ -54,7 +54,7 @@ def with_vertices(rows: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -
     rows = rows.withColumns({"d12": distance("a", "b"), "d13": distance("a", "c"), "d23": distance("b", "c")})
     d12, d13, d23 = F.col("d12"), F.col("d13"), F.col("d23")
     cp, cq, cr = F.col("a_code"), F.col("b_code"), F.col("c_code")
-    order = lambda i, j, k: F.lit(100 * i + 10 * j + k)
+    order = lambda i, j, k: F.lit(i | j << 2 | k << 4)
 
     def pair(x: int, y: int, single: int, above: Column, dx: Column, dy: Column) -> Column:
         """Places of two equal atoms and a third one; ``above`` says whether the pair has the higher code."""
@@ -73,11 +73,10 @@ def with_vertices(rows: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -
         .when((cr > cp) & (cp > cq), order(3, 1, 2))
         .otherwise(order(3, 2, 1))
     )
-    rows = fenced(rows, place=place)
-    at = F.col("place")
-    digits = {"v1": F.floor(at / 100), "v2": F.floor(at / 10) % 10, "v3": at % 10}
-    pick = lambda v, k: F.when(digits[v] == 1, F.col(f"a_{k}")).when(digits[v] == 2, F.col(f"b_{k}")).otherwise(F.col(f"c_{k}")).alias(f"{v}_{k}")
-    return rows.select(*by, *[pick(v, k) for v in digits for k in ("code", "x", "y", "z", *carry)])
+    # which atom a vertex is, worked out once for all its columns: the JVM compiles no generated method over 8000 bytes, and interprets it for each triplet
+    rows = fenced(rows, place=place).withColumns({f"_v{v}": F.shiftright("place", 2 * v - 2).bitwiseAND(3) for v in (1, 2, 3)})
+    pick = lambda v, k: F.when(F.col(f"_v{v}") == 1, F.col(f"a_{k}")).when(F.col(f"_v{v}") == 2, F.col(f"b_{k}")).otherwise(F.col(f"c_{k}")).alias(f"v{v}_{k}")
+    return rows.select(*by, *[pick(v, k) for v in (1, 2, 3) for k in ("code", "x", "y", "z", *carry)])
 
 
 def key_columns(triplets: DataFrame, mirror: bool = False, lenient: bool = False, dtheta: int = DTHETA, dlen: int = DLEN, num_labels: int = NUM_LABELS) -> DataFrame:
@@ -86,7 +85,8 @@ def key_columns(triplets: DataFrame, mirror: bool = False, lenient: bool = False
     out = triplets.withColumns({"d01": distance("v1", "v2"), "d02": distance("v1", "v3"), "d12": distance("v2", "v3"), "d3": F.sqrt(F.pow(middle[0], 2) + F.pow(middle[1], 2) + F.pow(middle[2], 2))})
     out = out.withColumns({"max_dist": F.greatest("d01", "d02", "d12"), "half": F.col("d01") / 2})
     cosine = F.try_divide(F.pow("d02", 2) - F.pow("half", 2) - F.pow("d3", 2), 2 * F.col("half") * F.col("d3"))
-    out = out.withColumn("theta1", F.nanvl(180 * F.acos(cosine) / PI, F.lit(None).cast("double")))
+    # the generator parts the generated code as well: what comes behind it is a method of its own
+    out = fenced(out, theta1=F.nanvl(180 * F.acos(cosine) / PI, F.lit(None).cast("double")))
     theta = F.when(F.col("theta1") <= 90, F.col("theta1")).otherwise(F.abs(180 - F.col("theta1")))
     out = out.withColumn("theta", theta).withColumns({"theta_bin": theta_bin(F.col("theta"), lenient), "dist_bin": distance_bin(F.col("max_dist"))})
     code = lambda v: F.col(f"{v}_code").cast("long") - 1

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from molkeys.functions import geometry
 from molkeys.operators import triplets
+from molkeys.plans import catalogue
 
 # hand-computed cases: atoms (code, x, y, z), order of the input places, distance bin, angle bin, key, mirrored key
 CASES = [
@@ -38,3 +39,16 @@ def test_bins_at_their_edges(spark):
     assert [(r.a, r.b) for r in got] == [(2, 2), (1, 1), (None, 29), (29, 29), (1, 1)]
     d = spark.createDataFrame([(0.5,), (1.0,), (17.0,), (40.0,)], "d double").select(geometry.distance_bin(F.col("d")).alias("b")).collect()
     assert [r.b for r in d] == [1, 2, 18, 18]
+
+
+@pytest.mark.parametrize("name", ["chain_triplets", "mirror_keys", "triplet_bins", "triplet_summary", "search_atoms"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
+    # the JVM interprets methods of 8000 bytes or more, however often they run
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        parts = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
