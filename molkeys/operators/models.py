@@ -76,8 +76,23 @@ def classifier(kind: str, label: str = "label", features: str = "features", weig
     raise ValueError(f"unknown classifier {kind}")
 
 
+#: Training rows of a task at least.
+TASK_ROWS = 200
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Training rows over all cores of the cluster.
+
+    A small table is one file and so one task, and trees count their rows, and choose their splits, in as many tasks as the rows have.
+    """
+    rows = written(rows, "training")
+    return rows.repartition(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)))
+
+
 def train(rows: DataFrame, state: PreparationModel, model) -> PipelineModel:
     """Preparation and classifier as one pipeline, fitted on rows."""
+    if isinstance(model, RandomForestClassifier):
+        rows = dealt(rows)
     fitted = Pipeline(stages=[state, model]).fit(rows)
     without_summary(fitted.stages[-1])
     return fitted

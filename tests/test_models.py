@@ -69,6 +69,14 @@ def test_models_score_after_an_observation(spark, rows, kind, params):
     assert seen.get == {"n": 3} and len(models.predict(two, model).select("id", "prediction").collect()) == two.count()
 
 
+def test_forests_are_grown_by_all_cores(spark, rows, monkeypatch):
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: (seen.append(data), fit(self, data))[1])
+    one = spark.range(2000).select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("a")).coalesce(1)
+    model = models.train(one, Preparation(["a"], scaler="none").fit(one), models.classifier("random_forest", numTrees=3, maxDepth=3))
+    assert seen[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and seen[0].count() == 2000 and model.stages[-1].getNumTrees == 3
+
+
 def test_penalties_are_checked():
     for bad in ({"penalty": "l3"}, {"penalty": "elasticnet"}, {"penalty": "l2", "l1_ratio": 0.5, "n": 5}, {"penalty": "l1", "C": 0, "n": 5}, {"penalty": "elasticnet", "l1_ratio": 2.0, "n": 5}):
         with pytest.raises(ValueError):
