@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molkeys.scratch import written
+from molkeys.scratch import scratch_path, written
 
 from . import metrics
 from .preparation import Preparation, PreparationModel
@@ -89,15 +92,49 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)))
 
 
+#: Nodes of trees that are grown, and held by the driver, at once, about.
+NODES = 400_000
+#: Between the seeds of a forest's parts, more than a table has partitions.
+SEEDS = 1_000_003
+
+
 def train(rows: DataFrame, state: PreparationModel, model) -> PipelineModel:
-    """Preparation and classifier as one pipeline, fitted on rows."""
+    """Preparation and classifier as one pipeline, fitted on rows; the stage of a forest of many nodes is a ``Forest``."""
     if isinstance(model, RandomForestClassifier):
-        rows = dealt(rows)
+        return grown(dealt(rows).persist(), state, model)
     fitted = Pipeline(stages=[state, model]).fit(rows)
     without_summary(fitted.stages[-1])
     return fitted
 
 
+def grown(rows: DataFrame, state: PreparationModel, model: RandomForestClassifier) -> PipelineModel:
+    """Preparation and forest, its trees grown part by part so that no part has more than about ``NODES`` nodes.
+
+    Spark keeps all nodes of a forest in the driver, while it grows and after, and sends them with each task. A part is written before the next one grows.
+    The first is as large as any trees of so many rows and levels may be, the others by the nodes of those before. A forest of few nodes is one part, as Spark fits it.
+    """
+    trees, path, parts, nodes = model.getNumTrees(), scratch_path(rows.sparkSession, "forest"), [], 0
+    most = min(2 ** (model.getMaxDepth() + 1) - 1, 2 * max(1, rows.count()) - 1)
+    done = 0
+    while done < trees:
+        size = trees if model.getLeafCol() else min(trees - done, max(1, int(NODES // most)))
+        # places of rows in trees are kept with the rows: else all trees go with each task
+        own = model.copy({model.numTrees: size, model.seed: model.getSeed() + SEEDS * len(parts), model.cacheNodeIds: True})
+        fitted = Pipeline(stages=[state, own]).fit(rows)
+        part = without_summary(fitted.stages[-1])
+        done, nodes = done + size, nodes + part.totalNumNodes
+        if size == trees:
+            break
+        parts.append(f"{path}/{len(parts)}")
+        part.save(parts[-1])
+        # trees of one forest are of like size
+        most = min(most, max(1.0, 1.25 * nodes / done))
+    rows.unpersist()
+    if not parts:
+        return fitted
+    return PipelineModel([state, Forest(parts, model.getFeaturesCol(), trees, model.getThresholds() if model.isSet(model.thresholds) else [])])
+
+
 def without_summary(model):
     """The fitted model without its training summary, as a loaded one is.
 
@@ -168,6 +205,82 @@ def class_coefficients(model: PipelineModel) -> DataFrame:
     return SparkSession.active().createDataFrame([(c, n, float(v)) for c, row in enumerate(matrix) for n, v in zip(names, row)], "class int, feature string, coefficient double")
 
 
+class ForestWriter(MLWriter):
+    def __init__(self, forest: Forest):
+        super().__init__()
+        self.forest = forest
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.forest, path, self.sparkSession)
+        for i, part in enumerate(self.forest.parts()):
+            part.save(f"{path}/parts/{i}")
+
+
+class ForestReader(MLReader):
+    def load(self, path: str) -> Forest:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        forest = Forest()
+        forest._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(forest, metadata)
+        return forest._set(paths=[f"{path}/parts/{i}" for i in range(len(forest.getOrDefault("paths")))])
+
+
+class Forest(Model, MLWritable, MLReadable):
+    """A random forest in written parts, of which one at a time is in memory. It scores as Spark's forest of all the trees does.
+
+    Scoring runs one job a part, as ``transform`` is called, which writes the votes of its trees for each row; a row's votes are added in the order of the parts.
+    """
+
+    paths = Param(Params._dummy(), "paths", "of the parts", TypeConverters.toListString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "vector of the features", TypeConverters.toString)
+    numTrees = Param(Params._dummy(), "numTrees", "of all parts", TypeConverters.toInt)
+    thresholds = Param(Params._dummy(), "thresholds", "by which the probability of each class is divided for the prediction, none if empty", TypeConverters.toListFloat)
+
+    def __init__(self, paths: list[str] = (), featuresCol: str = "features", numTrees: int = 0, thresholds: list[float] = ()):
+        super().__init__()
+        self._set(paths=list(paths), featuresCol=featuresCol, numTrees=numTrees, thresholds=list(thresholds))
+
+    @property
+    def getNumTrees(self) -> int:
+        return self.getOrDefault("numTrees")
+
+    def parts(self) -> Iterator[RandomForestClassificationModel]:
+        for path in self.getOrDefault("paths"):
+            yield RandomForestClassificationModel.load(path)
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """The mean of the trees that have a split, as in one forest."""
+        total = sum(part.featureImportances.toArray() * sum(t.numNodes > 1 for t in part.trees) for part in self.parts())
+        return DenseVector(total / (total.sum() or 1.0))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        spark, features = dataset.sparkSession, self.getOrDefault("featuresCol")
+        rows = written(dataset.withColumn("_row", F.monotonically_increasing_id()), "scored")
+        path = scratch_path(spark, "votes")
+        for i, part in enumerate(self.parts()):
+            voted = part.setPredictionCol("").setProbabilityCol("").transform(rows.select("_row", features))
+            voted.select("_row", F.lit(i).alias("part"), vector_to_array("rawPrediction").alias("votes")).write.mode("append").parquet(path)
+        each = spark.read.parquet(path).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("part", "votes"))).alias("_each"))
+        none = F.transform(F.col("_each")[0]["votes"], lambda _: F.lit(0.0))
+        votes = F.aggregate("_each", none, lambda a, x: F.zip_with(a, x["votes"], lambda p, q: p + q))
+        shares = F.transform("_votes", lambda x: x / F.lit(float(self.getNumTrees)))
+        limits = self.getOrDefault("thresholds")
+        # a limit of 0 is passed by any share above 0
+        judged = F.zip_with("_shares", F.array(*map(F.lit, limits)), lambda p, t: F.when(t > 0, p / t).when(p > 0, float("inf")).otherwise(0.0)) if limits else F.col("_shares")
+        out = rows.join(each.select("_row", votes.alias("_votes")), "_row").withColumn("_shares", shares)
+        # of equal shares the first class
+        first = (F.array_position(judged, F.array_max(judged)) - 1).cast("double")
+        return out.withColumns({"rawPrediction": array_to_vector("_votes"), "probability": array_to_vector("_shares"), "prediction": first}).drop("_row", "_votes", "_shares")
+
+    def write(self) -> ForestWriter:
+        return ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> ForestReader:
+        return ForestReader()
+
+
 class Calibration(Model, DefaultParamsReadable, DefaultParamsWritable):
     """Probabilities from one score a class: a logistic curve for each, scaled to sum to one. A stage behind a classifier with scores."""
 

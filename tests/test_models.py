@@ -77,6 +77,35 @@ def test_forests_are_grown_by_all_cores(spark, rows, monkeypatch):
     assert seen[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and seen[0].count() == 2000 and model.stages[-1].getNumTrees == 3
 
 
+def test_large_forests_are_grown_and_kept_in_parts(spark, rows, tmp_path, monkeypatch):
+    kept, save = [], models.RandomForestClassificationModel.save
+    monkeypatch.setattr(models, "NODES", 200)
+    monkeypatch.setattr(models.RandomForestClassificationModel, "save", lambda self, path: (kept.append((self.getNumTrees, self.totalNumNodes)), save(self, path))[1])
+    names = ["a", "b", "c", "d"]
+    state = Preparation(names, scaler="none").fit(rows)
+    model = models.train(rows, state, models.classifier("random_forest", numTrees=20, maxDepth=4))
+    forest = model.stages[-1]
+    assert len(kept) > 2 and max(n for _, n in kept) <= 200 and sum(t for t, _ in kept) == 20 == forest.getNumTrees
+    models.save(model, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    got = {r.id: r for r in models.predict(rows.withColumn("x", F.lit(1)), again).collect()}
+    assert len(got) == rows.count() and {"x", "split", "confidence", "is_correct"} <= set(next(iter(got.values())).asDict())
+    # the trees of all parts, one by one
+    trees = [t for p in forest.parts() for t in p.trees]
+    for r in state.transform(rows).sort("id").limit(20).collect():
+        votes = np.sum([t.predictProbability(r.features).toArray() for t in trees], 0)
+        assert got[r.id].rawPrediction.toArray() == pytest.approx(votes) and got[r.id].probabilities == pytest.approx(list(votes / 20)) and got[r.id].prediction == votes.argmax()
+    alike = models.predict(rows, model).collect()
+    assert {r.id: r.probabilities for r in alike} == {i: r.probabilities for i, r in got.items()} and sum(r.is_correct for r in alike) > 150
+    assert models.predict(rows.where("id < 0"), again).count() == 0
+    want = np.mean([t.featureImportances.toArray() for t in trees], 0)
+    assert forest.featureImportances.toArray() == pytest.approx(want) and {r.feature: r.importance for r in models.importances(again).collect()} == pytest.approx(dict(zip(names, want)))
+    # parts differ, and thresholds decide as they do in one forest
+    assert len({str(t.toDebugString) for t in trees}) == 20
+    one = models.train(rows, state, models.classifier("random_forest", numTrees=20, maxDepth=4).setThresholds([1.0, 0.0, 1.0]))
+    assert {r.prediction for r in models.predict(rows, one).where(F.col("probabilities")[1] > 0).select("prediction").collect()} == {1.0}
+
+
 def test_penalties_are_checked():
     for bad in ({"penalty": "l3"}, {"penalty": "elasticnet"}, {"penalty": "l2", "l1_ratio": 0.5, "n": 5}, {"penalty": "l1", "C": 0, "n": 5}, {"penalty": "elasticnet", "l1_ratio": 2.0, "n": 5}):
         with pytest.raises(ValueError):
